@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe
+from lakeloom.llm import bpe, mixing, tiff, token_counts, token_files
 from lakeloom.llm.common import table
 
 
@@ -15,8 +15,52 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("exact")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, path)
+
+
+def op2_tiff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.payload_features(table(spark, sf_dir, "documents"))
+
+
+def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_tiff_payloads": op2_tiff_payloads,
+    "op5_curriculum_mix": op5_curriculum_mix,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_curriculum_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::DOUBLE AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source
+        ), w AS (
+            SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s
+        ), l AS (
+            SELECT *, (sum(ss) OVER () - 3 * coalesce(sum(ss) OVER (ORDER BY ss / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY ss / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+        ), t AS (
+            SELECT source, ss, least(3 * ss, (SELECT coalesce(arg_min(level, (ss / weight, rk)), 0) FROM l WHERE NOT 3 * ss < level * weight) * weight) AS target FROM l
+        ), c AS (
+            SELECT d.*, t.ss::BIGINT AS source_size, t.target, round(t.target)::BIGINT AS goal,
+                sum(size) OVER (PARTITION BY d.source ORDER BY conv_bucket, turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS at
+            FROM (SELECT *, ('0x' || substr(turn, 1, 8))::BIGINT % 4096 AS conv_bucket FROM d) d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+            (greatest(least(size, goal - at), 0) + greatest(least(size, goal - at - source_size), 0) + greatest(least(size, goal - at - 2 * source_size), 0))::BIGINT AS taken
+        FROM c
+    """,
+}
