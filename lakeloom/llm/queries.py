@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, mixing, tiff, token_counts, token_files
+from lakeloom.llm import bpe, ctw, exact_topk, html_text, mixing, quality, simhash, tiff, token_counts, token_files
 from lakeloom.llm.common import table
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("exact")
 
@@ -24,6 +28,14 @@ def op2_tiff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.payload_features(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,15 +44,38 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_tiff_payloads": op2_tiff_payloads,
+    "op3_context_tree_weighting": op3_context_tree_weighting,
+    "op4_quality_trees": op4_quality_trees,
     "op5_curriculum_mix": op5_curriculum_mix,
+    "op6_exact_topk": op6_exact_topk,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash_components": op9_simhash_components,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op5_curriculum_mix": r"""
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn
@@ -56,11 +91,11 @@ ORACLES: dict[str, str] = {
             SELECT source, ss, least(3 * ss, (SELECT coalesce(arg_min(level, (ss / weight, rk)), 0) FROM l WHERE NOT 3 * ss < level * weight) * weight) AS target FROM l
         ), c AS (
             SELECT d.*, t.ss::BIGINT AS source_size, t.target, round(t.target)::BIGINT AS goal,
-                sum(size) OVER (PARTITION BY d.source ORDER BY conv_bucket, turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS at
+                sum(size) OVER (PARTITION BY d.source ORDER BY conv_bucket, turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS pos
             FROM (SELECT *, ('0x' || substr(turn, 1, 8))::BIGINT % 4096 AS conv_bucket FROM d) d JOIN t ON d.source IS NOT DISTINCT FROM t.source
         )
         SELECT doc_id, size, source_size, target,
-            (greatest(least(size, goal - at), 0) + greatest(least(size, goal - at - source_size), 0) + greatest(least(size, goal - at - 2 * source_size), 0))::BIGINT AS taken
+            (greatest(least(size, goal - pos), 0) + greatest(least(size, goal - pos - source_size), 0) + greatest(least(size, goal - pos - 2 * source_size), 0))::BIGINT AS taken
         FROM c
     """,
 }
