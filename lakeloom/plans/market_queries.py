@@ -36,10 +36,10 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-@query("""SELECT f.ticker, f.trading_date, s.exchange, coalesce(d.adj_close_price, d.close_price) AS effective_close_price, round(ma20, 6) AS ma20, round(ma50, 6) AS ma50, round(rsi_14, 6) AS rsi_14, flag_above_ma50, flag_overbought, flag_oversold
+@query("""SELECT f.ticker, f.trading_date, s.exchange, coalesce(d.adj_close_price, d.close_price) AS effective_close_price, round(ma20, 9) AS ma20, round(ma50, 9) AS ma50, round(rsi_14, 9) AS rsi_14, flag_above_ma50, flag_overbought, flag_oversold
     FROM v_flags f JOIN v_symbols s USING (ticker) JOIN v_daily d USING (ticker, trading_date) WHERE ma20 IS NOT NULL AND (flag_overbought OR flag_oversold OR flag_above_ma50)""")
 def market_screen(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: cleaning, indicators, view, screen."""
@@ -130,7 +130,7 @@ def effective_close(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).select("ticker", "trading_date", m.effective_close().alias("effective_close_price"))
 
 
-@query("SELECT ticker, trading_date, round(rsi_14, 6) AS rsi_14 FROM v_flags WHERE flag_overbought ORDER BY trading_date DESC, ticker LIMIT 200")
+@query("SELECT ticker, trading_date, round(rsi_14, 9) AS rsi_14 FROM v_flags WHERE flag_overbought ORDER BY trading_date DESC, ticker LIMIT 200")
 def screen_signals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.screen_signals(features(spark, d), F.col("flag_overbought")).select("ticker", "trading_date", "rsi_14"), "rsi_14")
 
@@ -138,7 +138,7 @@ def screen_signals(spark: SparkSession, d: str) -> DataFrame:
 # -- joins and views --
 
 
-@query("""SELECT s.ticker, s.exchange, d.trading_date, coalesce(d.adj_close_price, d.close_price) AS effective_close_price, round(f.ma50, 6) AS ma50, f.market_cap, d.anomaly_reason
+@query("""SELECT s.ticker, s.exchange, d.trading_date, coalesce(d.adj_close_price, d.close_price) AS effective_close_price, round(f.ma50, 9) AS ma50, f.market_cap, d.anomaly_reason
     FROM v_symbols s JOIN v_daily d ON s.ticker = d.ticker LEFT JOIN v_features f ON f.ticker = d.ticker AND f.trading_date = d.trading_date""")
 def daily_view(spark: SparkSession, d: str) -> DataFrame:
     view = m.daily_view(views.symbols(spark, d), daily(spark, d), features(spark, d).select("ticker", "trading_date", "ma50", "market_cap"))
@@ -197,30 +197,35 @@ def sql_surface(spark: SparkSession, d: str) -> DataFrame:
 # -- windows --
 
 
-@query("SELECT ticker, trading_date, round(ma20, 6) AS ma20, round(ma50, 6) AS ma50, round(ma200, 6) AS ma200 FROM v_features")
+@query("SELECT ticker, trading_date, round(ma20, 9) AS ma20, round(ma50, 9) AS ma50, round(ma200, 9) AS ma200 FROM v_features")
 def moving_averages(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.moving_averages(daily(spark, d)).select("ticker", "trading_date", "ma20", "ma50", "ma200"), "ma20", "ma50", "ma200")
 
 
-@query("SELECT ticker, trading_date, round(rsi_14, 6) AS rsi_14 FROM v_features")
+@query("SELECT ticker, trading_date, round(rsi_14, 9) AS rsi_14 FROM v_features")
 def rsi14(spark: SparkSession, d: str) -> DataFrame:
     return rounded(m.rsi(daily(spark, d)).select("ticker", "trading_date", "rsi_14"), "rsi_14")
 
 
-_EMA = """WITH RECURSIVE p AS MATERIALIZED (SELECT ticker, trading_date, price, rn FROM v_price), e AS (
-        SELECT ticker, trading_date, rn, price AS e12, price AS e26, 0.0::DOUBLE AS sig FROM p WHERE rn = 1
-        UNION ALL SELECT ticker, trading_date, rn, a, b, sig * (1 - 2 / 10.0::DOUBLE) + 2 / 10.0::DOUBLE * (a - b) FROM (
-            SELECT p.ticker, p.trading_date, p.rn, e.sig, e.e12 * (1 - 2 / 13.0::DOUBLE) + 2 / 13.0::DOUBLE * p.price AS a, e.e26 * (1 - 2 / 27.0::DOUBLE) + 2 / 27.0::DOUBLE * p.price AS b
-            FROM e JOIN p ON p.ticker = e.ticker AND p.rn = e.rn + 1))
+_EMA = """WITH e AS (
+        SELECT ticker, prices, dates, 1 AS rn, prices[1] AS e12, prices[1] AS e26, 0.0::DOUBLE AS sig FROM (
+            SELECT ticker, list(price ORDER BY trading_date) AS prices, list(trading_date ORDER BY trading_date) AS dates FROM v_price GROUP BY ticker)
+        UNION ALL SELECT ticker, prices, dates, rn, a, b, sig * (1 - 2 / 10.0::DOUBLE) + 2 / 10.0::DOUBLE * (a - b) FROM (
+            SELECT ticker, prices, dates, rn + 1 AS rn, sig, e12 * (1 - 2 / 13.0::DOUBLE) + 2 / 13.0::DOUBLE * prices[rn + 1] AS a, e26 * (1 - 2 / 27.0::DOUBLE) + 2 / 27.0::DOUBLE * prices[rn + 1] AS b
+            FROM e WHERE rn < len(prices)))
     """
 
 
+def _recursive(sql: str) -> str:
+    return with_views(_EMA + sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query()
 def ema_macd(spark: SparkSession, d: str) -> DataFrame:
     return m.ema_macd(daily(spark, d)).withColumns({c: F.round(c, 4) for c in ("macd", "macd_signal")})
 
 
-ORACLES["ema_macd"] = with_views(_EMA + "SELECT ticker, trading_date, round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal FROM e").replace("WITH v_symbols", "WITH RECURSIVE v_symbols").replace("WITH v_payload", "WITH RECURSIVE v_payload").replace(", RECURSIVE p AS", ", p AS").replace("  RECURSIVE", " ")
+ORACLES["ema_macd"] = _recursive("SELECT ticker, dates[rn] AS trading_date, round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal FROM e")
 
 
 @query("SELECT d.ticker, trading_date, d.close_price * nullif(current_listed_shares, 0) AS market_cap FROM v_daily d JOIN v_symbols USING (ticker)")
@@ -235,14 +240,14 @@ def signal_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def daily_features(spark: SparkSession, d: str) -> DataFrame:
-    out = m.daily_features(daily(spark, d), views.symbols(spark, d)).withColumns({c: F.round(c, 4) for c in ("macd", "macd_signal", "ma20", "rsi_14")})
+    out = m.daily_features(daily(spark, d), views.symbols(spark, d)).withColumns({c: F.round(c, 4) for c in ("macd", "macd_signal")} | {c: F.round(c, 9) for c in ("ma20", "rsi_14")})
     return out.select("ticker", "trading_date", "ma20", "rsi_14", "macd", "macd_signal", "market_cap", "flag_above_ma50", "formula_version")
 
 
-ORACLES["daily_features"] = with_views(
-    _EMA + "SELECT f.ticker, f.trading_date, round(ma20, 4) AS ma20, round(rsi_14, 4) AS rsi_14, round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal, market_cap, flag_above_ma50, 'v2_adj_close' AS formula_version FROM e JOIN v_flags f USING (ticker, trading_date)"
-).replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE p AS", ", p AS").replace("  RECURSIVE", " ")
-ORACLES["ema_macd"] = with_views(_EMA + "SELECT ticker, trading_date, round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal FROM e").replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE p AS", ", p AS").replace("  RECURSIVE", " ")
+ORACLES["daily_features"] = _recursive(
+    """SELECT f.ticker, f.trading_date, round(ma20, 9) AS ma20, round(rsi_14, 9) AS rsi_14, round(e12 - e26, 4) AS macd, round(sig, 4) AS macd_signal, market_cap, flag_above_ma50, 'v2_adj_close' AS formula_version
+    FROM e JOIN v_flags f ON f.ticker = e.ticker AND f.trading_date = e.dates[e.rn]"""
+)
 
 
 @query("SELECT ticker, timestamp, close, volume, trading_date FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY timestamp DESC) AS n FROM v_intraday) WHERE n = 1")
