@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import crc_mod, texts, written
 
-DEPTH = 4
+DEPTH = 5
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of text of a block, about.
-BLOCK = 12_000_000
+#: Bytes of text of a block and of a slice of it, about.
+BLOCK, SLICE = 24_000_000, 3_000_000
 WORDS, GRAMS, TEXTS = 0, 1, 2
 #: The least number of parts in which n-grams are weighted; n-grams of a part.
 PARTS, PART = 64, 250_000
@@ -75,6 +75,17 @@ def numbered(whole: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, grams
 
 
+def slices(data: list[bytes]) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE`` bytes together, so that arrays stay small."""
+    out, lo, size = [], 0, 0
+    for i, d in enumerate(data):
+        size += len(d)
+        if size >= SLICE:
+            out.append((lo, i + 1))
+            lo, size = i + 1, 0
+    return out if lo == len(data) else [*out, (lo, len(data))]
+
+
 def word_key(word: bytes) -> int:
     x = xxhash.xxh3_64_intdigest(word)
     return x - (1 << 64) if x >> 63 else x
@@ -93,27 +104,30 @@ def counted(group: pd.DataFrame) -> pd.DataFrame:
             for w in d.split():
                 if w not in words:
                     words[w] = 0
-    whole, begins = stream(data)
-    ids, grams = numbered(whole, DEPTH + 1)
-    sizes = np.diff(np.append(begins, len(whole)))
-    weight = np.repeat(train, sizes)[DEPTH:]  # by the text of the byte that is predicted
-    inner = np.ones(len(whole), bool)
-    inner[(begins[:, None] + np.arange(DEPTH)).ravel()] = False  # the marks before a text are not predicted
-    count = np.bincount(ids[weight & inner[DEPTH:]], minlength=len(grams))
-    seen = np.bincount(ids[inner[DEPTH:]], minlength=len(grams)) > 0
+    found, counts = [], []
+    for lo, hi in slices(data):
+        whole, begins = stream(data[lo:hi])
+        ids, grams = numbered(whole, DEPTH + 1)
+        sizes = np.diff(np.append(begins, len(whole)))
+        weight = np.repeat(train[lo:hi], sizes)[DEPTH:]  # by the text of the byte that is predicted
+        inner = np.ones(len(whole), bool)
+        inner[(begins[:, None] + np.arange(DEPTH)).ravel()] = False  # the marks before a text are not predicted
+        count = np.bincount(ids[weight & inner[DEPTH:]], minlength=len(grams))
+        seen = np.bincount(ids[inner[DEPTH:]], minlength=len(grams)) > 0
+        found.append(grams[seen])
+        counts.append(count[seen])
+    grams, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    count = np.bincount(inverse, np.concatenate(counts), len(grams)).astype(np.int64)
     return pd.DataFrame(
         {
             "block": group["block"].iloc[0],
-            "kind": np.concatenate([np.full(len(words), WORDS), np.full(int(seen.sum()), GRAMS), [TEXTS]]).astype(np.int32),
-            "key": np.concatenate([np.fromiter(map(word_key, words), np.int64, len(words)), grams[seen], [0]]),
-            "n": np.concatenate([np.fromiter(words.values(), np.int64, len(words)), count[seen], [int(train.sum())]]),
+            "kind": np.concatenate([np.full(len(words), WORDS), np.full(len(grams), GRAMS), [TEXTS]]).astype(np.int32),
+            "key": np.concatenate([np.fromiter(map(word_key, words), np.int64, len(words)), grams, [0]]),
+            "n": np.concatenate([np.fromiter(words.values(), np.int64, len(words)), count, [int(train.sum())]]),
         }
     )
 
 
-_FACTORIALS = np.zeros(1)
-
-
 def log_factorial(n: np.ndarray) -> np.ndarray:
     """Natural logarithm of the gamma function at n + 1/2 over that at 1/2, by Stirling's series from 10 on."""
     small = np.cumsum(np.log(np.concatenate([[1.0], np.arange(10) + 0.5])))
@@ -263,14 +277,17 @@ def score_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 cache[w] = of_key[word_key(w)]
             logs = np.fromiter(map(cache.__getitem__, words), float, len(words))
             out.append((len(words) + 1, int(np.count_nonzero(logs)) + (learned > 0), float(logs.sum()) + math.log10(learned + 1) - (len(words) + 1) * math.log10(n + v + 1)))
-        whole, begins = stream(data)
-        ids, grams = numbered(whole, DEPTH + 1)
         order = np.argsort(key[~is_word])
-        at = np.minimum(np.searchsorted(key[~is_word][order], grams), len(order) - 1)
-        logs = np.where(key[~is_word][order][at] == grams, value[~is_word][order][at], 0.0)[ids]  # 0: only in marks
-        sums = np.cumsum(np.concatenate([[0.0], logs]))
-        ends = np.append(begins[1:], len(whole))
-        inner = sums[ends - DEPTH] - sums[begins]
+        key, value = key[~is_word][order], value[~is_word][order]
+        inner = []
+        for lo, hi in slices(data):
+            whole, begins = stream(data[lo:hi])
+            ids, grams = numbered(whole, DEPTH + 1)
+            at = np.minimum(np.searchsorted(key, grams), len(key) - 1)
+            sums = np.cumsum(np.where(key[at] == grams, value[at], 0.0)[ids])  # 0: n-grams that only end in marks
+            sums = np.concatenate([[0.0], sums])
+            inner.append(sums[np.append(begins[1:], len(whole)) - DEPTH] - sums[begins])
+        inner = np.concatenate(inner)
         return pd.DataFrame(
             {
                 "doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": [x[0] for x in out], "n_known": [x[1] for x in out], "train_tokens": n, "base_score": [x[2] for x in out],
