@@ -34,6 +34,8 @@ BLOCK = "part int, block int, first_doc long, n_docs long, n_ids long, width int
 
 #: What str.split() takes for white space though Unicode does not.
 ODD = re.compile("[\x1c-\x1f]")
+#: Letters and the ASCII marks after them (no quote, which may begin a contraction).
+PARTS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)$")
 
 
 class EliasFano:
@@ -86,6 +88,30 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_word = not self._ids(["a \n　b"])[0] != self._ids(["a b"])[0] and self._ids([" "])[0] == []
         self.known: dict[str, bytes] = {}
+        #: Ids of stems and of runs of marks, for a tokenizer that parts them and folds ASCII case.
+        whole, stem, marks = self._ids(["Ab,.", "ab", ",."])
+        self.by_part = self.by_word and whole == stem + marks
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, known: dict[str, bytes], some: set[str]) -> None:
+        new = list(some.difference(known))
+        for lo in range(0, len(new), 20_000):
+            for word, ids in zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True):
+                known[word] = np.asarray(ids, self.dtype).tobytes()
+
+    def _learn_words(self, words: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known.clear()
+            self.parts.clear()
+        if not self.by_part:
+            return self._learn(self.known, words)
+        split = {}
+        for word in words.difference(self.known):
+            stem, marks = PARTS.match(word).groups() if PARTS.match(word) else (word, "")
+            split[word] = stem.lower() if stem.isascii() else stem, marks
+        self._learn(self.parts, {x for pair in split.values() for x in pair})
+        for word, (stem, marks) in split.items():
+            self.known[word] = self.parts[stem] + self.parts[marks]
 
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tool.encode_batch_fast(some, add_special_tokens=False)]
@@ -97,12 +123,7 @@ class WordEncoder:
                 continue
             odd = {i: ids for i, text in enumerate(group) if ODD.search(text) for ids in self._ids([text])}
             split = [[] if i in odd else text.split() for i, text in enumerate(group)]
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list({x for words in split for x in words}.difference(self.known))
-            for lo in range(0, len(new), 20_000):
-                for word, ids in zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True):
-                    self.known[word] = np.asarray(ids, self.dtype).tobytes()
+            self._learn_words({x for words in split for x in words})
             for i, words in enumerate(split):
                 yield np.asarray(odd[i], self.dtype).tobytes() if i in odd else b"".join(map(self.known.__getitem__, words))
 
