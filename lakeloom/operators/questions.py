@@ -9,7 +9,7 @@ from lakeloom.functions.text import any_of, extract_dates, norm_free, squeeze
 
 # Symbols, aliases and keyword lists. Keywords are matched against folded text, so only the folded
 # spellings can match.
-SYMBOLS = ("ACB", "BCM", "BID", "BVH", "CTG", "FPT", "GAS", "GVR", "HDB", "HPG", "MBB", "MSN", "MWG", "PLX", "POW", "SAB", "SHB", "SSB", "SSI", "STB", "TCB", "TPB", "VCB", "VHM", "VIB", "VIC", "VJC", "VNM", "VPB", "VRE")
+SYMBOLS = ("ACB", "BCM", "BID", "BVH", "CTG", "FPT", "GAS", "GVR", "HDB", "HPG", "MBB", "MSN", "MWG", "PLX", "POW", "SAB", "SHB", "SSB", "SSI", "STB", "TCB", "TPB", "VCB", "VHM", "VIB", "VIC", "VJC", "VNM", "VPB", "VRE", "VND", "VIX", "PVS", "PVD", "NLG", "KDH", "DXG", "DIG", "KBC", "DCM", "DPM", "REE", "GEX", "EIB", "OCB", "LPB", "SCS", "CTR", "BSR", "IDC")
 ALIASES = (
     ("acb", "ACB", "Asia Commercial Bank"), ("ngan hang a chau", "ACB", "Asia Commercial Bank"), ("ngan hang tmcp a chau", "ACB", "Asia Commercial Bank"), ("asia commercial bank", "ACB", "Asia Commercial Bank"),
     ("techcombank", "TCB", "Techcombank"), ("hoa phat", "HPG", "Hòa Phát"), ("ssi", "SSI", "SSI Securities"), ("fpt", "FPT", "FPT"), ("vinamilk", "VNM", "Vinamilk"),
