@@ -139,7 +139,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     learn = rows.join(marks, "doc_id").filter(crc_mod("doc_id", FOLDS) != HELD_OUT)
     # hashes below a share that holds somewhat more than the sample: what reaches the driver stays bounded in all
-    share = min(1.0, 1.2 * sample / max(1, marks.count()))
+    share = min(1.0, 1.6 * sample / max(1, marks.count()))
     learn = learn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else learn
     learn = learn.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", *STATISTICS).limit(sample).toPandas()
     forest = fit(learn[list(STATISTICS)].to_numpy(float), (learn["quality"].to_numpy() >= 1).astype(float))
