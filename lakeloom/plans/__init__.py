@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("market_queries", "text_queries", "question_queries", "news_queries", "document_queries", "retrieval_queries", "stream_queries")
+MODULES = ("market_queries", "text_queries", "question_queries", "news_queries", "document_queries", "retrieval_queries", "stream_queries", "legacy_queries")
 
 
 def all_queries() -> tuple[dict, dict]:
