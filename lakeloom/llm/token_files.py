@@ -11,6 +11,8 @@ null and empty texts have the end id alone; a text of any length is one document
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +29,7 @@ from lakeloom.llm.common import scratch, texts
 
 SAMPLE = 512
 #: Characters that are split at a time; ids of a block, at least (a document is never cut); entries of a word cache.
-SLICE, BLOCK_IDS, CACHE = 1 << 21, 1 << 20, 700_000
+SLICE, BLOCK_IDS, CACHE = 1 << 21, 1 << 20, 500_000
 #: doc_ids are delta-coded against first_doc by Parquet itself, as a list column.
 BLOCK = "part int, block int, first_doc long, n_docs long, n_ids long, width int, ids binary, doc_ids array<long>, low_bits int, low binary, high binary, samples binary"
 
@@ -84,6 +86,7 @@ class WordEncoder:
     each new word between white space. For a tokenizer that keeps white space, whole texts go to the library."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tool = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_word = not self._ids(["a \n　b"])[0] != self._ids(["a b"])[0] and self._ids([" "])[0] == []
@@ -102,16 +105,16 @@ class WordEncoder:
     def _learn_words(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
+        if len(self.parts) > 2 * CACHE:  # what the library was asked for stays longer
             self.parts.clear()
         if not self.by_part:
             return self._learn(self.known, words)
-        split = {}
-        for word in words.difference(self.known):
-            stem, marks = PARTS.match(word).groups() if PARTS.match(word) else (word, "")
-            split[word] = stem.lower() if stem.isascii() else stem, marks
-        self._learn(self.parts, {x for pair in split.values() for x in pair})
-        for word, (stem, marks) in split.items():
-            self.known[word] = self.parts[stem] + self.parts[marks]
+        new = list(words.difference(self.known))
+        found = list(map(PARTS.match, new))
+        split = [(m[1].lower() if m[1].isascii() else m[1], m[2]) if m else (word, "") for word, m in zip(new, found, strict=True)]
+        self._learn(self.parts, set(itertools.chain.from_iterable(split)))
+        parts = self.parts
+        self.known.update(zip(new, [parts[stem] + parts[marks] for stem, marks in split], strict=True))
 
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tool.encode_batch_fast(some, add_special_tokens=False)]
