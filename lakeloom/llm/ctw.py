@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import crc_mod, texts, written
 
-DEPTH = 5
+DEPTH = 4
 FOLDS, HELD_OUT = 7, 2
 #: Bytes of text of a block and of a slice of it, about.
-BLOCK, SLICE = 24_000_000, 3_000_000
+BLOCK, SLICE = 12_000_000, 3_000_000
 WORDS, GRAMS, TEXTS = 0, 1, 2
 #: The least number of parts in which n-grams are weighted; n-grams of a part.
 PARTS, PART = 64, 250_000
