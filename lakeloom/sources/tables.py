@@ -151,10 +151,12 @@ def read_article_contents(keys: DataFrame, spark: SparkSession, path: str, schem
     return keys.join(read_table(spark, path, schema), "content_key")
 
 
-def raw_file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Path, digest and length of raw files; empty files are marked."""
+def raw_file_inventory(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
+    """Digest and length of each expected raw file (column ``name``). Spark's reader passes over empty files, so a file
+    that is empty or absent has no digest; both are errors."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length"), (F.col("length") == 0).alias("is_empty"))
+    found = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
+    return expected.select("name").distinct().join(found, "name", "left").withColumn("is_error", F.col("sha256").isNull())
 
 
 def parsed_document_sink(sections: DataFrame, tables: DataFrame, path: str) -> None:
