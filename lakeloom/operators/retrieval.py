@@ -220,24 +220,42 @@ def _rules(dates: tuple[str, ...]) -> list[tuple[str, Column, Column]]:
     return [(name, F.coalesce(c, F.lit(False)), F.lit(w)) for name, c, w in rules]
 
 
-def rerank(candidates: DataFrame, dates: tuple[str, ...] = ()) -> DataFrame:
-    """Candidates (question, chunk fields, cosine) with rerank_score and the names of the rules that count: ten times the
-    cosine, six times the token coverage, and additive rules by focus."""
+def prepare_questions(questions: DataFrame) -> DataFrame:
+    """What reranking needs of a question, worked out once for each question and not for each candidate."""
     q = F.col("question")
-    rows = candidates
+    rows = questions.withColumns({"focus": detect_focus(q), "phrase": focus_phrase(q), "metrics": metric_targets(q), "_question": fold_text(q), "_tokens": F.array_distinct(F.filter(tokenize_fold(q), lambda x: F.length(x) > 1))})
+    return rows.withColumn("_opinion", any_of(F.col("_question"), OPINION) & (F.size("metrics") == 0))
+
+
+def prepare_chunks(chunks: DataFrame) -> DataFrame:
+    """What reranking needs of a chunk, worked out once for each chunk."""
+    rows = chunks
     for c in ("section_subtitle", "note_text", "row_label", "row_code", "window_text", "focus_row_text", "raw_content"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     if "row_values" not in rows.columns:
         rows = rows.withColumn("row_values", F.array().cast("array<struct<key:string,value:string>>"))
-    rows = rows.withColumns({"focus": detect_focus(q), "phrase": focus_phrase(q), "metrics": metric_targets(q), "_question": fold_text(q), "_text": payload_text(), "_title": fold_text(F.col("section_title")), "_subtitle": fold_text(F.col("section_subtitle")), "_label": fold_text(F.col("row_label")), "_core": strip_row_prefix(F.col("row_label"))})
+    rows = rows.withColumns({"_text": payload_text(), "_title": fold_text(F.col("section_title")), "_subtitle": fold_text(F.col("section_subtitle")), "_label": fold_text(F.col("row_label")), "_core": strip_row_prefix(F.col("row_label"))})
     hay = fold_text(F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in ("section_title", "section_subtitle", "note_text")), F.col("_text")))
-    rows = rows.withColumns({"_hay": hay, "_keys": F.transform(F.coalesce("row_values", F.array().cast("array<struct<key:string,value:string>>")), lambda x: fold_text(x["key"])), "_opinion": any_of(F.col("_question"), OPINION) & (F.size("metrics") == 0)})
-    rules = _rules(dates)
-    total = F.col("cosine") * 10 + 6 * F.coalesce(token_coverage(q, F.col("_hay")), F.lit(0.0))
-    for _, condition, weight in rules:
-        total = total + F.when(condition, weight).otherwise(0.0)
-    why = F.filter(F.array(*(F.when(c, F.lit(n)) for n, c, _ in rules)), lambda x: x.isNotNull())
+    keys = F.transform(F.coalesce("row_values", F.array().cast("array<struct<key:string,value:string>>")), lambda x: fold_text(x["key"]))
+    return rows.withColumns({"_hay": hay, "_keys": keys})
+
+
+def rerank(candidates: DataFrame, dates: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates (question, chunk fields, cosine) with rerank_score and the names of the rules that count: ten times the
+    cosine, six times the token coverage, and additive rules by focus. Questions and chunks that were prepared before they
+    were joined are not worked out again."""
+    rows = candidates if "_question" in candidates.columns else prepare_questions(candidates)
+    rows = rows if "_hay" in rows.columns else prepare_chunks(rows)
+    flags = _rules(dates)
+    # every rule is evaluated once: names and weights are read off the flags
+    rows = rows.withColumn("_flags", F.array(*(c for _, c, _ in flags)))
+    hay = F.col("_hay")
+    coverage = F.try_divide(F.size(F.filter("_tokens", lambda x: F.contains(hay, x))).cast("double"), F.nullif(F.size("_tokens"), F.lit(0)))
+    weights, names = F.array(*(w for _, _, w in flags)), F.array(*(F.lit(n) for n, _, _ in flags))
+    rules = F.aggregate(F.zip_with("_flags", weights, lambda f, w: F.when(f, w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    total = F.col("cosine") * 10 + 6 * F.coalesce(coverage, F.lit(0.0)) + rules
+    why = F.filter(F.zip_with("_flags", names, lambda f, n: F.when(f, n)), lambda x: x.isNotNull())
     out = rows.withColumns({"rerank_score": F.round(total, 6), "why": why})
     return out.drop(*(c for c in out.columns if c.startswith("_")))
 

@@ -114,8 +114,9 @@ def report_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
     """Each question with the chunks of a few orders, and a cosine by hash."""
-    q = views.questions(spark, d).withColumn("doc_id", F.explode(F.array(*(F.pmod(F.col("question_id") * 7 + i, F.lit(1000)) for i in range(4)))))
-    c = report_chunks(spark, d).withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)))
+    q = r.prepare_questions(views.questions(spark, d)).withColumn("doc_id", F.explode(F.array(*(F.pmod(F.col("question_id") * 7 + i, F.lit(1000)) for i in range(4)))))
+    c = report_chunks(spark, d).filter("doc_id < 1000").withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)))
+    c = r.prepare_chunks(c)
     return q.join(c, "doc_id").withColumn("cosine", F.round(F.pmod(F.crc32(F.concat_ws("|", F.col("question_id").cast("string"), "retrieval_id").cast("binary")), F.lit(1000)) / 1000.0, 6))
 
 
