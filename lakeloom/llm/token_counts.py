@@ -33,7 +33,7 @@ START, LETTERS, NUMBERS, OTHERS, AFTER_BLANK, AFTER_SPACE, QUOTED, QUOTED_R, QUO
 STATES, CLASSES = 11, 12
 CHUNK = 64
 #: Characters for each pass; entries kept of pieces; states kept of the transducer; bytes of a piece run by window.
-SLICE, CACHE, NODES, LONG = 1 << 21, 500_000, 700_000, 48
+SLICE, CACHE, NODES, LONG = 1 << 20, 400_000, 400_000, 48
 
 
 def class_table() -> np.ndarray:
