@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, mixing, quality, simhash
+from lakeloom.llm import bpe, mixing, near_copies, quality
 from lakeloom.llm.common import table, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,8 +25,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of repeated rows of it the first by hash."""
-    kept = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    """Of each group of near copies, linked by a five-word similarity of 0.8 or more, the document with the smallest
+    doc_id; of repeated rows of it the first by hash."""
+    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    roots = near_copies.near_copies(docs)
+    rows = docs.select("doc_id", node.alias("node")).join(roots, "node", "left")
+    kept = rows.groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("doc_id").alias("kept")).select("kept").distinct()
     rows = docs.select(*DOCUMENTS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
     return rows.withColumn("_first", first).filter("_first = 1").drop("_first")

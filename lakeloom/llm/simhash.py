@@ -31,14 +31,17 @@ CROWD = 20_000
 LEAF = 1 << 12
 
 
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order; none of a text without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space only
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)
-    return _majority(hashes)
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _majority(hashes: np.ndarray) -> int:

@@ -288,3 +288,38 @@ def test_pipeline_stages(spark, docs):
     for f in stages.values():  # awkward rows, and none
         assert f(spark, docs, SF).count() >= 1
         f(spark, docs.filter("false"), SF).count()
+
+
+def _planted(rng, words, share):
+    """A copy of the words with single words replaced until the five-word similarity falls below ``share``."""
+    from lakeloom.llm import near_copies as nc
+
+    base, copy, last = nc.shingle_set(" ".join(words)), list(words), list(words)
+    while True:
+        copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**9)}"
+        other = nc.shingle_set(" ".join(copy))
+        both = len(np.intersect1d(base, other))
+        if both / (len(base) + len(other) - both) < share:
+            return " ".join(last)
+        last = list(copy)
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    import random
+
+    import corpus_pipeline as c
+
+    rng, rows, bases = random.Random(5), [], 60
+    for i in range(bases):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows.append((i, " ".join(words), "en", "s", 1))
+        rows += [(1000 * (k + 1) + i, _planted(rng, words, share), "en", "s", 1) for k, share in enumerate((0.8, 0.85, 0.9, 0.95))]
+        far = words[:150] + [f"far{i}-{k}" for k in range(150)]  # a similarity of about a third stays
+        rows.append((10000 + i, " ".join(far), "en", "s", 1))
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in c.drop_near_duplicates(spark, given, SF).collect())
+    assert got == [*range(bases), *range(10000, 10000 + bases)]
+    awkward = [(1, None), (2, ""), (3, " \n "), (4, "one"), (5, "two")]
+    given = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in awkward], given.schema)
+    assert sorted(r["doc_id"] for r in c.drop_near_duplicates(spark, given, SF).collect()) == [1, 4, 5]
+    assert c.drop_near_duplicates(spark, given.filter("false"), SF).count() == 0
