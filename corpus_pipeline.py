@@ -7,7 +7,7 @@ as Parquet and read again before the next one.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, mixing, near_copies, quality
@@ -25,15 +25,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, linked by a five-word similarity of 0.8 or more, the document with the smallest
-    doc_id; of repeated rows of it the first by hash."""
+    """Of each group of near copies, linked by a five-word similarity of 0.8 or more, one row: that of the smallest
+    doc_id, by hash among rows of it and among rows without an id. Rows of null or repeated id are told apart by content."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    row = F.xxhash64(*(x for c in DOCUMENTS for x in (F.col(c).isNull(), F.col(c))))  # a null alone leaves the hash as it is
     roots = near_copies.near_copies(docs)
-    rows = docs.select("doc_id", node.alias("node")).join(roots, "node", "left")
-    kept = rows.groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("doc_id").alias("kept")).select("kept").distinct()
-    rows = docs.select(*DOCUMENTS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "lang", "source", "n_chars")))
-    return rows.withColumn("_first", first).filter("_first = 1").drop("_first")
+    rows = docs.select("doc_id", node.alias("node"), row.alias("row")).join(roots, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = rows.groupBy(F.coalesce("root", "node").alias("component")).agg(first).select(F.col("first.row").alias("_row"))
+    return docs.select(*DOCUMENTS, row.alias("_row")).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

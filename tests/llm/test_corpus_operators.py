@@ -323,3 +323,16 @@ def test_pipeline_drops_planted_near_copies(spark):
     given = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in awkward], given.schema)
     assert sorted(r["doc_id"] for r in c.drop_near_duplicates(spark, given, SF).collect()) == [1, 4, 5]
     assert c.drop_near_duplicates(spark, given.filter("false"), SF).count() == 0
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline as c
+
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(None, words(k), "en", None, 1) for k in range(20)]  # no id, different texts
+    rows += [(7, words("a"), "en", None, 1), (7, words("b"), "en", None, 1), (3, words("b"), "en", None, 1), (7, words("a"), "en", None, 1)]
+    rows += [(9, words("c"), "en", None, 1), (9, words("d"), None, "en", 1), (8, words("c"), "en", None, 1)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = c.drop_near_duplicates(spark, given, SF).select("doc_id", "text").collect()
+    want = [(None, words(k)) for k in range(20)] + [(7, words("a")), (3, words("b")), (8, words("c")), (9, words("d"))]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
