@@ -267,19 +267,25 @@ def rank_candidates(reranked: DataFrame) -> DataFrame:
 
 def metric_rescue(questions: DataFrame, chunks: DataFrame, hits: DataFrame, limit: int = 48) -> DataFrame:
     """Chunks under a question's filters, not hit already, whose row label or table text names one of its metrics; at most
-    ``limit`` for each question by point_id, with cosine 0. The join is on the metric, so only chunks that match are paired."""
-    q = questions.withColumn("metric", F.explode(metric_targets(F.col("question")))).select("question_id", "metric", *(F.col(c).alias(f"_{c}") for c in FILTERS if c in questions.columns))
+    ``limit`` for each question by point_id, with cosine 0. The join is on the metric, so only chunks that match are paired;
+    questions of the same metrics and filters search once, for as many chunks more as any question has hits."""
+    filters = [c for c in FILTERS if c in questions.columns and c in chunks.columns]
+    q = questions.select("question_id", metric_targets(F.col("question")).alias("metrics"), *(F.col(c).alias(f"_{c}") for c in filters))
+    q = q.filter(F.size("metrics") > 0).withColumn("_ask", F.to_json(F.struct("metrics", *(f"_{c}" for c in filters))))
+    asks = q.drop("question_id").distinct().withColumn("metric", F.explode("metrics")).drop("metrics")
     title, label, text = fold_text(F.col("section_title")), strip_row_prefix(F.col("row_label")), fold_text(payload_text())
     named = F.filter(F.array(*(F.when(F.when(F.col("chunk_type").isin(*ROWS), F.contains(label, F.lit(m))).otherwise(F.col("chunk_type").isin("table", "table_full") & any_of(text, a)), F.lit(m)) for m, a in METRICS)), lambda x: x.isNotNull())
     noise = any_of(title, (*NOISE_TITLES, "tom tat cac chinh sach ke toan"))
     c = chunks.filter(~noise).withColumn("metric", F.explode(named))
     met = F.lit(True)
-    for x in FILTERS:
-        if x in questions.columns and x in chunks.columns:
-            met = met & (F.col(f"_{x}").isNull() | (F.col(f"_{x}") == F.col(x)))
-    rows = c.join(q, "metric").filter(met).select("question_id", "point_id").distinct().join(hits, ["question_id", "point_id"], "left_anti")
-    order = Window.partitionBy("question_id").orderBy("point_id")
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).select("question_id", "point_id", F.lit(0.0).alias("cosine"))
+    for x in filters:
+        met = met & (F.col(f"_{x}").isNull() | (F.col(f"_{x}") == F.col(x)))
+    hits = hits.select("question_id", "point_id").distinct()
+    most = hits.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0
+    by = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("point_id"))
+    found = c.join(asks, "metric").filter(met).select("_ask", "point_id").distinct().withColumn("_n", by("_ask")).filter(F.col("_n") <= limit + most).drop("_n")
+    rows = found.join(q.select("question_id", "_ask").distinct(), "_ask").select("question_id", "point_id").distinct().join(hits, ["question_id", "point_id"], "left_anti")
+    return rows.withColumn("_n", by("question_id")).filter(F.col("_n") <= limit).select("question_id", "point_id", F.lit(0.0).alias("cosine"))
 
 
 # -- context ----------------------------------------------------------------------------------------------------------

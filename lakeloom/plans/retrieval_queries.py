@@ -112,12 +112,19 @@ def report_chunks(spark: SparkSession, d: str) -> DataFrame:
                     body.alias("content_for_embedding"), body.alias("raw_content"), F.when(kind == "table_row_window", body).alias("window_text"), F.when(kind == "table_row", body).alias("focus_row_text"), F.lit(1).alias("page"))
 
 
+def points(spark: SparkSession, d: str) -> DataFrame:
+    return report_chunks(spark, d).withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)))
+
+
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """Each question with the chunks of a few orders, and a cosine by hash."""
-    q = r.prepare_questions(views.questions(spark, d)).withColumn("doc_id", F.explode(F.array(*(F.pmod(F.col("question_id") * 7 + i, F.lit(1000)) for i in range(4)))))
-    c = report_chunks(spark, d).filter("doc_id < 1000").withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)))
+    """Each question with the chunks of four slots of orders, and a cosine by hash. There are as many slots as orders and
+    every order has one, so any order can be met and the candidates of a question stay few."""
+    slots = views.table(spark, d, "lineitem").select(F.countDistinct("l_orderkey")).first()[0] or 1
+    slot = F.pmod(F.xxhash64("question_id"), F.lit(slots))
+    q = r.prepare_questions(views.questions(spark, d)).withColumn("slot", F.explode(F.array_distinct(F.array(*(F.pmod(slot + i, F.lit(slots)) for i in range(4))))))
+    c = points(spark, d).withColumn("slot", F.pmod("doc_id", F.lit(slots)))
     c = r.prepare_chunks(c)
-    return q.join(c, "doc_id").withColumn("cosine", F.round(F.pmod(F.crc32(F.concat_ws("|", F.col("question_id").cast("string"), "retrieval_id").cast("binary")), F.lit(1000)) / 1000.0, 6))
+    return q.join(c, "slot").drop("slot").withColumn("cosine", F.round(F.pmod(F.crc32(F.concat_ws("|", F.col("question_id").cast("string"), "retrieval_id").cast("binary")), F.lit(1000)) / 1000.0, 6))
 
 
 @query()
@@ -137,7 +144,7 @@ def assemble_context(spark: SparkSession, d: str) -> DataFrame:
 def metric_rescue(spark: SparkSession, d: str) -> DataFrame:
     a = asked(spark, d)
     hits = a.filter("cosine > 0.5").select("question_id", "point_id")
-    return r.metric_rescue(views.questions(spark, d), report_chunks(spark, d).filter("doc_id < 1000").withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40))), hits)
+    return r.metric_rescue(views.questions(spark, d), points(spark, d), hits)
 
 
 @query("""SELECT l_orderkey AS doc_id, chunk_type, n FROM (SELECT l_orderkey, unnest([{'k': 'table_row', 'n': len(list_filter(rows, lambda x: len(list_filter(x, lambda c: trim(c) <> '')) >= 2))}, {'k': 'table_row_window', 'n': len(list_filter(rows, lambda x: len(list_filter(x, lambda c: trim(c) <> '')) >= 2))}, {'k': 'table_full', 'n': 1}]) AS s FROM v_lines), LATERAL (SELECT s.k AS chunk_type, s.n AS n) WHERE n > 0""")
