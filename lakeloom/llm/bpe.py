@@ -218,20 +218,23 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, text string, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode each text and decode its ids again: doc_id, n_tokens, digest of the ids, digest of the decoded text,
-    and whether the decoded text is the text (it is unless the text holds broken surrogates)."""
+    whether the decoded text is the text (it is unless the text holds broken surrogates), and the columns to ``keep``."""
+    rows = texts(docs, keep)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = encoder(path)
         decimal = [str(i).encode() for i in range(len(tool.vocabulary.bytes_of))].__getitem__
         for batch in batches:
-            rows = []
+            found = []
             some = batch["text"].tolist()
-            for doc_id, text, found in zip(batch["doc_id"], some, tool.encode(some), strict=True):
-                ids = found.tolist()
+            for doc_id, text, encoded in zip(batch["doc_id"], some, tool.encode(some), strict=True):
+                ids = encoded.tolist()
                 back = tool.vocabulary.decode(ids)
-                rows.append((doc_id, len(ids), hashlib.sha256(b",".join(map(decimal, ids))).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+                found.append((doc_id, len(ids), hashlib.sha256(b",".join(map(decimal, ids))).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+            out = pd.DataFrame(found, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            yield out.assign(**{c: batch[c] for c in keep})
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return rows.mapInPandas(run, schema)

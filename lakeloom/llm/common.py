@@ -17,16 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text only (so clashing extra columns never matter); a null text counts as empty."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and the columns to ``keep`` only (so clashing extra columns never matter); a null text counts as empty."""
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir as set; one of our own only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir as set. One of our own is made only where that is unset and
+    all of Spark runs in one process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lakeloom-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -40,7 +46,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove written tables from the shared folder once everything made of them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(column: str, modulus: int):

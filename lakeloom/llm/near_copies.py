@@ -3,11 +3,17 @@
 Operator 9's rule (three words, two bits) is bound to its query; at a similarity of 0.8 five-word fingerprints lie about
 ten of 64 bits apart, and a budget that holds such pairs (17 bits) lets a fixed share of all pairs of texts through.
 Candidates therefore come from the SimHash tries at their narrow budget and from minhash bands: two texts of similarity
-0.8 share one of 30 bands of five minhashes with probability 1 - 7e-6. Every candidate pair is checked on its texts, so
-nothing is linked below 0.8. First each bucket's members meet one of them, which takes a row a member; after the
-components of these links, only members that still lie in different components meet each other.
+0.8 share one of 30 bands of five minhashes with probability 1 - 7e-6. First each bucket's members meet one of them, which
+takes a row a member; pairs whose minhashes agree far less than 0.8 asks for are left out (a similar pair falls below
+``LEAST`` of 150 with probability 1e-7), the rest is checked on its texts, so nothing is linked below 0.8.
 
-Defined results: null, empty and blank texts are copies of each other; a text of fewer than five words is one shingle.
+After the components of these links, the texts of buckets that still hold several components meet by their prefixes: with
+shingles in ascending order of frequency, two similar texts share one of the first fifth of each, at positions that leave
+room for the overlap. That join loses no pair, and texts that differ by edits of their own from a common source, which a
+bucket holds by the thousand, mostly have no position left in common.
+
+Defined results: null, empty and blank texts are copies of each other; a text of fewer than five words is one shingle;
+repeated rows are one text; an empty table gives no rows; extra columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -21,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm import simhash
-from lakeloom.llm.common import written
+from lakeloom.llm.common import dropped, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Of all minhashes, how many of a candidate pair agree in their low bytes at least.
+LEAST = 92
 #: Shingles whose minhashes are computed at once.
 CUT = 1 << 12
 
@@ -42,15 +50,24 @@ def shingle_set(text: str) -> np.ndarray:
     return distinct(simhash.shingle_hashes(text, SHINGLE))
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """A key for each band of minhashes, signed; the band's number is part of it."""
+def minhashes(shingles: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), CUT):
         np.minimum(low, ((shingles[None, i : i + CUT] ^ _FLIP) * _ODD).min(1), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> list[int]:
+    """A key for each band of minhashes, signed; the band's number is part of it."""
     keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))]
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def sketch(low: np.ndarray) -> bytes:
+    """The low byte of each minhash."""
+    return (low & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= SIMILAR * (len(a) + len(b) - both)
@@ -63,17 +80,18 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """node, fingerprint, number of shingles and band keys of each distinct text."""
+    """node, fingerprint, number of shingles, band keys and minhash sketch of each distinct text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = [simhash.shingle_hashes(x, SHINGLE) for x in batch["text"]]
             prints = np.fromiter((simhash._majority(x) if len(x) else 0 for x in hashes), np.uint64, len(batch)).view(np.int64)
             sets = [distinct(x) for x in hashes]
-            yield pd.DataFrame({"node": batch["node"], "fp": prints, "size": [len(x) for x in sets], "keys": [bands(x) for x in sets]})
+            low = [minhashes(x) for x in sets]
+            yield pd.DataFrame({"node": batch["node"], "fp": prints, "size": [len(x) for x in sets], "keys": [bands(x) for x in low], "sketch": [sketch(x) for x in low]})
 
-    rows = nodes(docs).mapInPandas(run, "node long, fp long, size long, keys array<long>")
-    return rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    rows = nodes(docs).mapInPandas(run, "node long, fp long, size long, keys array<long>, sketch binary")
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "keys", "sketch")))
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -82,10 +100,26 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.filter((F.col("x.node") != F.col("y.node")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree well enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("x", "y"))
+            yield batch.loc[(x == y).sum(1) >= LEAST, ["a", "b"]]
+
+    of = lambda end, name: signed.select(F.col("node").alias(end), F.col("sketch").alias(name))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def _texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the nodes named."""
+    return nodes(docs).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs that are similar, by their texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(nodes(docs).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    """The pairs that are similar, by their texts, written."""
+    texts = written(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs), "near-texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
@@ -98,7 +132,37 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.loc[keep, ["a", "b"]]
 
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    return written(full.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "near-links")
+    found = written(full.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "near-links")
+    dropped(texts)
+    return found
+
+
+def prefix_pairs(rooted: DataFrame, docs: DataFrame) -> DataFrame:
+    """Distinct pairs a-b of the nodes of ``rooted`` (node, root), of different roots, that may have the similarity by
+    what their shingles' order of frequency allows; no similar pair is missing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(x).view(np.int64) for x in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in sets], "shingles": sets})
+
+    rows = written(_texts(rooted.select("node"), docs).mapInPandas(run, "node long, size long, shingles array<long>"), "near-shingles")
+    each = rows.select("node", F.explode("shingles").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # shingles of one text alone come first in its order; only their number matters
+    lists = each.join(shared, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("shared")).join(rows.select("node", "size"), "node")
+    alone = F.col("size") - F.size("shared")
+    wanted = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILAR) - 1e-9) + 1
+    first = lists.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(wanted - alone, F.lit(0)).cast("int"))).alias("at", "x"))
+    first = first.select("node", F.col("x.h").alias("h"), "size", (F.col("size") - F.col("alone") - F.col("at")).alias("room")).join(rooted, "node")
+    several = first.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("h")
+    first = written(first.join(several, "h"), "near-prefixes")
+    x, y = (first.select("h", *(F.col(c).alias(f"{c}_{end}") for c in ("node", "size", "room", "root"))) for end in "xy")
+    fits = F.least("room_x", "room_y") >= (F.col("size_x") + F.col("size_y")) * F.lit(SIMILAR / (1 + SIMILAR)) - 1e-6
+    met = x.join(y, (x["h"] == y["h"]) & (F.col("root_x") < F.col("root_y")) & fits)
+    out = written(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "near-pairs")
+    dropped(rows, first)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -113,14 +177,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("turn"), "node", "size")).alias("hub")).filter("n > 1")
     buckets = written(keyed.join(met, "key").select("key", "node", "size", F.struct("hub.node", "hub.size").alias("hub")), "near-buckets")
     stars = buckets.select(one.alias("x"), F.col("hub").alias("y"))
-    first = written(_pairs(stars.unionByName(same).unionByName(tries)), "near-pairs")
+    first = written(_likely(_pairs(stars.unionByName(same).unionByName(tries)), signed), "near-pairs")
     found = _checked(first, docs)
+    dropped(signed, first)
 
     roots = simhash.components(found)
-    named = buckets.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    left = written(named.join(mixed, "key").select("key", one.alias("x"), "root"), "near-mixed")
-    other = left.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-    more = _pairs(left.join(other, "key").filter("root < other").select("x", "y")).join(first, ["a", "b"], "left_anti")
-    more = _checked(written(more, "near-pairs"), docs)
-    return simhash.components(found.unionByName(more)) if more.first() else roots
+    left = written(named.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-mixed")
+    pairs = prefix_pairs(left, docs)
+    more = _checked(pairs, docs)
+    dropped(buckets, left, pairs)
+    if more.first():
+        dropped(roots)
+        roots = simhash.components(found.unionByName(more))
+    dropped(found, more)
+    return roots

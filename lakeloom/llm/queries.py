@@ -37,7 +37,7 @@ def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rounds", "position")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ ORACLES: dict[str, str] = {
     """,
     "op5_curriculum_mix": r"""
         WITH d AS (
-            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS turn
             FROM documents
         ), s AS (
             SELECT source, sum(size)::DOUBLE AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source
@@ -95,14 +95,23 @@ ORACLES: dict[str, str] = {
             SELECT *, (sum(ss) OVER () - 3 * coalesce(sum(ss) OVER (ORDER BY ss / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                 / sum(weight) OVER (ORDER BY ss / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
         ), t AS (
-            SELECT source, ss, least(3 * ss, (SELECT coalesce(arg_min(level, (ss / weight, rk)), 0) FROM l WHERE NOT 3 * ss < level * weight) * weight) AS target FROM l
+            SELECT source, ss, weight, least(3 * ss, (SELECT coalesce(arg_min(level, (ss / weight, rk)), 0) FROM l WHERE NOT 3 * ss < level * weight) * weight) AS target FROM l
         ), c AS (
-            SELECT d.*, t.ss::BIGINT AS source_size, t.target, round(t.target)::BIGINT AS goal,
+            SELECT d.doc_id, d.size, t.ss::BIGINT AS source_size, t.target, t.weight, round(t.target)::BIGINT AS goal,
                 sum(size) OVER (PARTITION BY d.source ORDER BY conv_bucket, turn, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS pos
             FROM (SELECT *, ('0x' || substr(turn, 1, 8))::BIGINT % 4096 AS conv_bucket FROM d) d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), r AS (  -- a row for each round in which words are taken; share: the part of its source's demand before it
+            SELECT c.*, n, greatest(least(size, goal - pos - n * source_size), 0) AS words, (pos + n * source_size)::DOUBLE / nullif(goal, 0) AS share
+            FROM c, (SELECT unnest([0, 1, 2]) AS n)
+        ), p AS (  -- rates over training time: 1.5 - t, 1 and 0.5 + t; their integrals reach the share at the root of a quadratic
+            SELECT *, CASE weight
+                WHEN 5 THEN CASE WHEN share >= 0.625 THEN 0.5 + 2 * (share - 0.625) / (1.0 + sqrt(greatest(1.0 - 2 * (share - 0.625), 0))) ELSE 2 * share / (1.5 + sqrt(greatest(2.25 - 2 * share, 0))) END
+                WHEN 2 THEN share
+                ELSE CASE WHEN share >= 0.375 THEN 0.5 + 2 * (share - 0.375) / (1.0 + sqrt(1.0 + 2 * (share - 0.375))) ELSE 2 * share / (0.5 + sqrt(0.25 + 2 * share)) END
+            END AS at FROM r
         )
-        SELECT doc_id, size, source_size, target,
-            (greatest(least(size, goal - pos), 0) + greatest(least(size, goal - pos - source_size), 0) + greatest(least(size, goal - pos - 2 * source_size), 0))::BIGINT AS taken
-        FROM c
+        SELECT doc_id, size, source_size, any_value(target) AS target, sum(words)::BIGINT AS taken, count(*) FILTER (words > 0)::INTEGER AS rounds,
+            min(floor(least(at, 1) * 1e9 + 0.5) / 1e9) FILTER (words > 0) AS position
+        FROM p GROUP BY doc_id, size, source_size, pos
     """,
 }

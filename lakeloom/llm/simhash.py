@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import texts, written
+from lakeloom.llm.common import dropped, texts, written
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 2
 #: Fingerprints of one block value beyond which it is dealt once more.
@@ -157,7 +157,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, crowd: int = CROWD) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) of every node of the links.
+    """node and root (the smallest node reachable) of every node of the links, written.
 
     Rounds of two steps: every node's larger neighbours are linked to its smallest neighbour, then all its smaller
     neighbours and itself to the smallest. Links only get fewer; a round that changes nothing ends it. Each
@@ -178,13 +178,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     before = state(edges)
     while before[0]:
-        edges = written(smallest(smallest(edges, True), False), "links")
+        last, edges = edges, written(smallest(smallest(edges, True), False), "links")
+        dropped(last)
         now = state(edges)
         if now == before:
             break
         before = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return roots.unionByName(edges.select(F.col("v").alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node")))
+    out = written(roots.unionByName(edges.select(F.col("v").alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node"))), "roots")
+    dropped(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:

@@ -144,7 +144,39 @@ def test_mix_meets_targets(spark, docs, no_docs):
     order = mixing.curriculum(table(spark, "documents")).count()
     assert order >= sum(r["taken"] > 0 for r in rows)
     assert mixing.mixed(no_docs).count() == 0 and mixing.curriculum(no_docs).count() == 0
-    assert mixing.curriculum(docs).columns == docs.columns
+    assert mixing.curriculum(docs).columns == [*docs.columns, "position", "round"]
+
+
+def test_curriculum_follows_the_schedules(spark):
+    given = table(spark, "documents")
+    rows = mixing.curriculum(given.withColumn("position", given.n_chars)).collect()
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows) and len({(r["doc_id"], r["round"]) for r in rows}) == len(rows)
+    sizes = {r["doc_id"]: (r["source"], r["size"], r["target"]) for r in mixing.mixed(given).collect()}
+    first = {r["doc_id"]: r["position"] for r in rows if r["round"] == 0}
+    assert first == {r["doc_id"]: r["position"] for r in mixing.mixed(given).collect() if r["taken"]}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append((r["position"], sizes[r["doc_id"]][1]))
+    for rank, source in enumerate(sorted(by, key=lambda x: (x is None, x))):
+        schedule = mixing.SCHEDULES[rank % 3]
+        goal = next(t for s, _, t in sizes.values() if s == source)
+        grid = np.linspace(0, 1, 20001)
+        rate = np.interp(grid, *zip(*schedule, strict=True))
+        area = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        done = 0
+        for at, size in sorted(by[source]):
+            assert np.interp(at, grid, area / area[-1]) == pytest.approx(done / goal, abs=1e-3)
+            done += size
+
+
+def test_mix_tells_repeated_and_nameless_rows_apart(spark):
+    rows = [(None, f"w{i} x y", "en", "a", 1) for i in range(30)] + [(1, "p q r", "en", "a", 1)] * 3 + [(1, "s t u", "en", None, 1)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(str, mixing.mixed(given).collect())) == sorted(map(str, mixing.mixed(given.repartition(5)).collect()))
+    out = mixing.curriculum(given)
+    taken = collections.Counter((r["doc_id"], r["text"], r["round"]) for r in out.collect())
+    assert all(n <= collections.Counter((r[0], r[1]) for r in rows)[k[:2]] for k, n in taken.items())
+    assert sum(taken.values()) == mixing.mixed(given).selectExpr("sum(rounds)").first()[0]
 
 
 def test_schedule_is_inverted(spark):
@@ -270,6 +302,51 @@ def test_main_text_of_given_pages(spark):
         assert got[r["page_id"]] == "\n".join(p for p in parts if p)
 
 
+def survivors(rows):
+    """The smallest id of each group of texts that a five-word similarity of 0.8 or more links, by all pairs."""
+    from lakeloom.llm import near_copies as nc
+
+    sets = [set(nc.shingle_set(text or "").tolist()) for _, text in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if min(len(a), len(sets[j])) >= 0.8 * max(len(a), len(sets[j])) and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    first = {}
+    for i, (doc_id, _) in enumerate(rows):
+        first[root(i)] = min(first.get(root(i), doc_id), doc_id)
+    return sorted(first.values())
+
+
+def test_prefixes_lose_no_pair(spark):
+    import random
+
+    from lakeloom.llm import near_copies as nc
+
+    rng, texts = random.Random(9), []
+    for i in range(12):  # edits of a common source, above and below the similarity
+        words = [f"b{i}w{k}" for k in range(rng.randrange(5, 120))]
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 1 + len(words) // 20 * 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(["one", "two", f"n{rng.random()}"])
+            texts.append(" ".join(copy))
+    given = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(texts))], "doc_id long, text string")
+    keyed = {r["node"]: set(nc.shingle_set(r["text"]).tolist()) for r in nc.nodes(given).collect()}
+    got = {(r["a"], r["b"]) for r in nc.prefix_pairs(nc.nodes(given).selectExpr("node", "node AS root"), given).collect()}
+    want = {(a, b) for a in keyed for b in keyed if a < b and len(keyed[a] & keyed[b]) >= 0.8 * len(keyed[a] | keyed[b])}
+    assert want and want <= got and len(got) < len(keyed) ** 2 / 8
+    same = nc.nodes(given).selectExpr("node", "0L AS root")
+    assert nc.prefix_pairs(same, given).count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as c
 
@@ -280,9 +357,9 @@ def test_pipeline_stages(spark, docs):
     scored = {r["doc_id"] for r in quality.classify(given, table(spark, "labels")).filter("predicted = 1").collect()}
     assert kept.columns == columns and {r["doc_id"] for r in kept.collect()} == scored
     apart = stages["near_dedup"](spark, given, SF)
-    assert apart.columns == columns and apart.count() == simhash.near_duplicates(given).select("component_id").distinct().count()
+    assert apart.columns == columns and sorted(r["doc_id"] for r in apart.collect()) == survivors([tuple(r) for r in given.select("doc_id", "text").collect()])
     mixed = stages["mixing"](spark, given, SF)
-    assert mixed.columns == columns and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.mixed(given).filter("taken > 0").collect()}
+    assert mixed.columns == [*columns, "position", "round"] and {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in mixing.mixed(given).filter("taken > 0").collect()}
     out = c.run(spark, SF)
     assert out.columns[0] == "doc_id" and 0 < out.count() <= 3 * given.count()
     for f in stages.values():  # awkward rows, and none
