@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns a DataFrame; it is written
 as Parquet and read again before the next one.
+
+Defined results of every stage: null and empty texts are documents like any other (near copies of each other, never mixed
+in); an empty table gives an empty result; columns of docs besides those of documents are left out, whatever their names;
+ties go to the smaller doc_id, then by hashes of the row, so reruns agree. Repeated rows share their fate in the first
+stage; the second keeps one of them.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, mixing, near_copies, quality
-from lakeloom.llm.common import table, written
+from lakeloom.llm.common import dropped, table, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,13 +42,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, a row for each round in which the mix takes them."""
+    """Documents in training order, a row for each round in which the mix takes them: the columns of documents, then the
+    training position and the round. Null texts and texts without words are never taken."""
     return mixing.curriculum(docs.select(*DOCUMENTS))
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the texts decoded from them."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token counts and digests of the ids and of the texts decoded from them, with position and round as the mix gave
+    them; a null text counts as empty."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), tuple(c for c in ("position", "round") if c in docs.columns))
 
 
 STAGES = [
@@ -59,7 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(*before)
+        before = (docs,)
     return docs
