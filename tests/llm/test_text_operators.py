@@ -19,6 +19,13 @@ def odd_texts():
     return ["".join(random.choice("'srevlmtdxAB19! \n\t　é<|>") for _ in range(random.randint(0, 80))) for _ in range(400)]
 
 
+def unicode_texts():
+    """Texts of letters, marks, spaces and controls of all kinds, in long and short runs."""
+    rng = random.Random(11)
+    pool = [*map(chr, range(0x20)), *"ÀÉÑßİıſΣςаБжʼ़ͅाักกำ한ᄀ각日本〆々ﬁﷺ²½Ⅳⅷ٣५𝐀🙂🏳‍🌈\u0301\u0327\u1ab0\u200b\u2028\xa0\u3000\x85", *"abcXYZ   ..,'!-_<|>"]
+    return ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+
+
 def test_bpe_equals_library():
     tool, mine = Tokenizer.from_file(BYTE), bpe.Encoder(BYTE)
     some = [*odd_texts(), "x<|endoftext|> y", "a" * 3000]
@@ -43,7 +50,7 @@ def test_splitter_does_not_depend_on_chunks(monkeypatch):
 
 def test_word_encoder_equals_library():
     mine = token_files.WordEncoder(WORD)
-    some = [*odd_texts(), "Ab,. I'll <|endoftext|>x<|startoftext|> Σ ΑΣ ²x x² é,"]
+    some = [*odd_texts(), *unicode_texts(), "Ab,. I'll <|endoftext|>x<|startoftext|> Σ ΑΣ ²x x² é,"]
     for text, ids in zip(some, mine.encode(some), strict=True):
         assert np.frombuffer(ids, mine.dtype).tolist() == mine.tool.encode(text, add_special_tokens=False).ids, text
 
@@ -54,6 +61,9 @@ def test_elias_fano(n):
     marks = token_files.EliasFano.of(values)
     assert (marks.values() == values).all()
     assert all(marks.select(i) == values[i] for i in range(n))
+    for lo, hi in ((0, n), (1, min(n, 2)), (n // 2, n), (n // 3, n // 3 + 1), (max(0, n - 513), max(0, n - 1))):
+        if lo < hi <= n:
+            assert (marks.select_many(lo, hi) == values[lo:hi]).all()
 
 
 def test_bpe_query(spark, docs, no_docs):
@@ -91,6 +101,32 @@ def test_token_files_query(spark, docs, no_docs, monkeypatch):
     assert token_files.read_token_files(spark, token_files.write_token_files(no_docs, WORD, end_id=2)).count() == 0
 
 
+def test_token_files_of_several_parts_and_blocks(spark):
+    tool = Tokenizer.from_file(WORD)
+    texts = {i: "tok en " * (i * 7 % 23) + str(i) for i in range(900)}
+    given = spark.createDataFrame([(i, x, "clash") for i, x in texts.items()], "doc_id long, text string, part string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = token_files.write_token_files(given, WORD, end_id=2, block_ids=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    blocks = spark.read.parquet(path)
+    assert blocks.count() > 20 and blocks.select("part").distinct().count() > 1
+    start = 0
+    for r in token_files.read_token_files(spark, path).orderBy("doc_id").collect():
+        n = len(tool.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1
+        assert (r["start"], r["n_tokens"]) == (start, n)
+        start += n
+
+
+def test_texts_longer_than_a_slice(monkeypatch):
+    some = [*odd_texts()[:40], "Some, words. of a long text " * 200, "", "x" * 999]
+    for module, make in ((token_files, lambda: token_files.WordEncoder(WORD).encode), (bpe, lambda: bpe.Encoder(BYTE).encode), (token_counts, lambda: token_counts.Counter(BYTE).count)):
+        whole = list(map(bytes, make()(some))) if module is not token_counts else list(make()(some))
+        monkeypatch.setattr(module, "SLICE", 50)
+        assert (list(map(bytes, make()(some))) if module is not token_counts else list(make()(some))) == whole
+
+
 def test_tiff_query(docs, no_docs):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
     rows = tiff.payload_features(docs).collect()
