@@ -235,8 +235,31 @@ def brute_components(ids, prints):
     return [min((x for x in groups[root(i)] if x is not None), default=None) for i in range(len(ids))]
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
-def test_simhash_links_and_components(spark, crowd):
+def test_trie_goes_down_in_pairs_of_nodes():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    near = base[:500] ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64))
+    far = base[500:900] ^ (np.uint64(7) << rng.integers(0, 60, 400).astype(np.uint64))
+    close = np.uint64(5) << np.uint64(40) | np.arange(600, dtype=np.uint64)  # dense: all values of some bits
+    values = np.unique(np.concatenate([base, near, far, close]))
+    apart = np.bitwise_count(values[:, None] ^ values[None]) <= 2
+    want = np.arange(len(values))
+    while not np.array_equal(low := np.where(apart, want[None], len(values)).min(1), want):
+        want = low
+    seen = {}
+    assert (simhash.trie_links(values, seen=seen) == want).all()
+    pairs = len(values) ** 2 // 2
+    assert 0 < seen["visited"] < pairs / 4 and seen["cut"] > 0  # far fewer pairs of nodes than pairs of values
+    x, y = values[::2], values[1::2]
+    got = simhash.trie_links(x, y, differ=0)
+    both = np.concatenate([x, y])
+    links = np.bitwise_count(x[:, None] ^ y[None]) <= 2
+    assert all(got[i] == got[len(x) + j] for i, j in zip(*np.nonzero(links), strict=True))
+    assert ((got != np.arange(len(both))).sum() <= links.sum()) and len(simhash.trie_links(values[:0])) == 0
+
+
+@pytest.mark.parametrize(("node", "crowd"), [(simhash.NODE, simhash.CROWD), (16, simhash.CROWD), (16, 12)])
+def test_simhash_links_and_components(spark, node, crowd):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     chain = [base[0]]
@@ -245,7 +268,7 @@ def test_simhash_links_and_components(spark, crowd):
     near = [b ^ np.uint64(1 << int(rng.integers(0, 64))) for b in base[:20]]
     prints = sorted({int(x) for x in [*base, *chain, *near, 0, 1, 3]})
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in prints], "fp long")
-    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, crowd=crowd)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, node=node, crowd=crowd)).collect()}
     signed = [int(np.uint64(x).view(np.int64)) for x in prints]
     want = brute_components(signed, prints)
     assert [roots.get(x, x) for x in signed] == want
