@@ -5,7 +5,8 @@ key ``rank * width + position``; the root is therefore the leftmost pair of lowe
 each a logarithmic update; encoding ends when the root holds no mergeable pair.
 
 Defined results: a null text is an empty one; an empty text has no ids; texts of any length are handled whole; added
-special strings inside a text are found before anything else, as the library does by default.
+special strings inside a text are found before anything else, as the library does by default; repeated rows are rows of
+their own with equal results; an empty table gives no rows; extra columns of any name are left out unless asked for.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -28,7 +31,7 @@ NONE, END = 1 << 60, (1 << 20) - 1
 #: Symbols in the arrays of one block of pieces; characters of the texts that are split at a time.
 BLOCK, SLICE = 1 << 18, 1 << 21
 #: Entries that a worker keeps for pieces and for space-separated chunks before it starts again.
-CACHE = 700_000
+CACHE = 350_000
 
 
 def byte_symbols() -> list[str]:
@@ -143,15 +146,15 @@ class Encoder:
         self.chunks: dict[str, bytes | None] = {}
 
     def learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        if len(self.pieces) > CACHE:  # what is in use stays
+            self.pieces = {x: self.pieces[x] for x in pieces if x in self.pieces}
         new = [x for x in pieces if x not in self.pieces]
         for piece, ids in zip(new, self.vocabulary.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new]), strict=True):
             self.pieces[piece] = ids.tobytes()
 
     def learn_chunks(self, chunks: set[str]) -> None:
         if len(self.chunks) > CACHE:
-            self.chunks.clear()
+            self.chunks = {x: self.chunks[x] for x in chunks if x in self.chunks}
         new = [x for x in chunks if x not in self.chunks]
         split = [None if not x or x[0].isspace() or x[-1].isspace() else self.findall(" " + x) for x in new]
         self.learn_pieces({y for x in split if x for y in x})
@@ -168,21 +171,37 @@ class Encoder:
         added = self.vocabulary.added
         for group in groups(some, SLICE):
             parts = [[x for x in self.vocabulary.split_added.split(text) if x] if any(x in text for x in added) else [text] for text in group]
-            split = [[part.split(" ") for part in text] for text in parts]
-            self.learn_chunks({x for text in split for part in text for x in part[1:]})
-            for text, chunks in zip(parts, split, strict=True):
-                found = []
-                for part, (first, *rest) in zip(text, chunks, strict=True):
-                    if part in added:
-                        found.append(np.asarray([added[part]], "<u4").tobytes())
-                        continue
-                    ids = list(map(self.chunks.__getitem__, rest))
-                    if not first or first[-1].isspace() or None in ids:
-                        found.append(self.by_pieces(part))
-                    else:
-                        found += [self.by_pieces(first), *ids]
+            plain = self.by_chunks([part for text in parts for part in text if part not in added])
+            for text in parts:
+                found = [np.asarray([added[part]], "<u4").tobytes() if part in added else next(plain) for part in text]
                 yield np.frombuffer(b"".join(found), "<u4")
 
+    def by_chunks(self, parts: list[str]) -> Iterator[bytes]:
+        """The ids of each part, put together from its chunks column-wise; a part with a chunk that does not stand alone
+        goes by its pieces."""
+        split = pc.split_pattern(pa.array(parts, pa.large_string()), " ")
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn_chunks(set(distinct))
+        ids = list(map(self.chunks.__getitem__, distinct))
+        odd = np.fromiter((x is None for x in ids), bool, len(ids))
+        ids = [x or b"" for x in ids]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        code, at = chunks.indices.to_numpy(), split.offsets.to_numpy()
+        wide, odd = size[code], odd[code]
+        first = at[:-1]
+        wide[first] = 0  # the first chunk has no space before it
+        odd[first] = False
+        apart = np.add.reduceat(odd, first).tolist() if len(first) else []
+        ends = np.concatenate([[0], np.cumsum(wide)])
+        stream = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begin[code] - ends[:-1], wide) + np.arange(ends[-1])]
+        cut = ends[at].tolist()
+        for part, some, a, b in zip(parts, apart, cut, cut[1:], strict=False):
+            head = part.split(" ", 1)[0]
+            whole = some or not head or head[-1].isspace()
+            yield self.by_pieces(part) if whole else self.by_pieces(head) + stream[a:b].tobytes()
+
 
 def groups(some: list[str], limit: int) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters together."""

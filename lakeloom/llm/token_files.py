@@ -167,8 +167,8 @@ class WordEncoder:
             split = pc.ascii_split_whitespace(pa.array(group, pa.large_string()))
             words = split.flatten().dictionary_encode()
             distinct = listed(words.dictionary)
-            if len(self.known) > CACHE:
-                self.known.clear()
+            if len(self.known) > CACHE:  # what is in use stays
+                self.known = {w: self.known[w] for w in distinct if w in self.known}
             self._learn([w for w in distinct if w not in self.known])
             ids = list(map(self.known.__getitem__, distinct))
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
