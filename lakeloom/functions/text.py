@@ -78,12 +78,15 @@ def slug(c: Column) -> Column:
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
+def unescape(c: Column) -> Column:
+    for a, b in ENTITIES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def clean_html_text(c: Column) -> Column:
     """Tags off, references decoded, white space collapsed."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return squeeze(out)
+    return squeeze(unescape(F.regexp_replace(c, "<[^>]+>", " ")))
 
 
 def truncate_text(c: Column, n: int) -> Column:

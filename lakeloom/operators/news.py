@@ -20,7 +20,26 @@ NEGATIVE_PHRASES = ("tin tieu cuc", "tieu cuc", "tin xau", "rui ro", "bi phat",
 NEGATIVE_TERMS = ("thua lo", "lo rong", "suy giam", "giam", "bi phat", "khoi to", "dieu tra", "tranh chap", "sa thai", "no xau", "downgrade", "canh bao")
 STRONG_TERMS = ("lo rong", "bi phat", "khoi to", "dieu tra")
 LATEST_TERMS = ("moi nhat", "gan day", "hom nay", "tuan nay", "recent", "latest", "today", "this week")
-STOP_WORDS = ("about", "bao", "chung", "chu", "co", "dang", "day", "financial", "gan", "gia", "hom", "khoan", "la", "moi", "nay", "news", "nhat", "nhieu", "phieu", "stock", "the", "tin", "tuc", "ve", "what")
+#: Stop words of the search for hits.
+SEARCH_STOP_WORDS = (
+    "about", "bao", "bao nhieu", "chung", "chung khoan", "chu", "co", "dang", "day", "financial", "gan", "gia", "gi", "historical", "hom", "indicator", "latest", "market", "moi", "nay", "news",
+    "noteworthy", "price", "query", "recent", "report", "technical", "what", "y",
+)
+#: Stop words of article selection and topics.
+STOP_WORDS = ("tin", "news", "gia", "gia ca", "co", "co phieu", "phieu", "gan", "day", "moi", "nhat", "hom", "nay", "la", "gi", "dang", "chu", "y", "noteworthy", "recent", "latest", "current", "price", "what", "about")
+#: Capital words that are no tickers, in searches; those of rewritten queries besides.
+NON_TICKERS = ("ABOUT", "AFTER", "DATA", "FOR", "FROM", "LATEST", "MARKET", "NEWS", "PRICE", "QUERY", "RANGE", "RECENT", "REPORT", "REPORTS", "TECH", "TODAY", "WHAT", "WHEN", "WHICH", "WITH")
+REWRITE_NON_TICKERS = (*NON_TICKERS, "BANK", "STOCK")
+RECENT_INTENT = ("hom nay", "moi nhat", "gan day", "gan day nhat", "latest", "recent", "today", "tuan nay", "thang nay", "trong thang", "thong tin moi nhat")
+RECENT_MARKERS = ("moi nhat", "gan day", "hom nay", "latest", "recent", "today", "thong tin moi nhat")
+NEGATIVE_INTENT = ("negative", "tieu cuc", "xau", "rui ro", "giam", "lo", "kien", "bi phat", "canh bao", "kho khan", "sa thai", "no", "tranh chap")
+BUSINESS_INTENT = ("co phieu", "chung khoan", "doanh nghiep", "cong ty", "tai chinh", "ket qua kinh doanh", "stock", "shares", "business", "company")
+SEARCH_FILLERS = ("Tin mới nhất", "Tin gần đây", "Tin tức mới nhất", "Tin tức gần đây", "hôm nay", "Hôm nay", "mới nhất", "gần đây", "là gì", "có gì đáng chú ý", "ra sao", "?")
+COMPANY_NAMES = {
+    "HPG": "Hòa Phát", "ACB": "ACB", "FPT": "FPT", "VCB": "Vietcombank", "VHM": "Vinhomes", "MWG": "Thế Giới Di Động", "SSI": "SSI", "STB": "Sacombank", "CTG": "VietinBank", "BID": "BIDV", "GAS": "PV Gas",
+    "PLX": "Petrolimex", "VNM": "Vinamilk",
+}
+SEARCH_ALIASES = {"HPG": ("hoa phat", "tap doan hoa phat", "cong ty hoa phat"), "ACB": ("ngan hang acb", "asia commercial bank"), "FPT": ("tap doan fpt",), "VNM": ("vinamilk", "cong ty vinamilk")}
 LIMIT, TITLE_RATIO, TOPIC_OVERLAP = 5, 0.84, 0.86
 
 # -- hits -------------------------------------------------------------------------------------------------------------
@@ -140,78 +159,237 @@ def article_status(fetched: Column, text: Column, snippet: Column, min_words: in
     return F.struct(status.alias("status"), body.alias("text"), F.substring(body, 1, 280).alias("excerpt"))
 
 
-#: Lines that are never article text, and lines after which an article is over.
-NOISE_LINE = r"^(?:\d{1,2}:\d{2}\b.*|[-*•|#>\s]*|(?:menu|trang chu|dang nhap|dang ky|login|search|tim kiem|chia se|share)\b.{0,20})$"
-TAIL_LINE = r"^(?:tin lien quan|bai lien quan|doc them|xem them|related|tags?:|tu khoa|binh luan|comments?)\b"
+#: What marks a line as no article text, and what marks the end of an article, both folded.
+NOISE_MARKERS = ("kenh thong tin kinh te", "bang gia dien tu", "danh muc dau tu", "moi nhat", "doc nhanh", "tin moi nhan", "chia se bai viet", "binh luan", "tro lai")
+TAIL_MARKERS = ("tin lien quan", "xem them", "co the ban quan tam")
+_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def _plain_line(line: Column) -> Column:
+    """A markdown line as plain text: images off, links as their text, bare URLs and leading marks off."""
+    out = F.regexp_replace(line, r"!\[[^\]]*\]\([^)]+\)", "")
+    out = F.regexp_replace(out, r"\[\s*([^\]]*?)\s*\]\([^)]+\)", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"https?://\S+", " "), r"^[#>*\-\s]+", "")
+    return t.unescape(t.squeeze(out))
+
+
+def _word_count(c: Column) -> Column:
+    return F.size(F.filter(F.split(t.squeeze(c), " "), lambda x: x != ""))
 
 
 def extract_article_text(articles: DataFrame, cap: int = 5000, least: int = 120) -> DataFrame:
-    """Article text of markdown, line by line: it starts at the line most like the title (else the first heading, else
-    the top), drops noise lines, stops at a tail marker once there are ``least`` characters, and is cut at ``cap``; the
-    snippet stands in when nothing is left."""
-    rows = articles.select("article_id", "title", "snippet", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n")).alias("line_no", "line"))
-    fold = t.match_norm(F.col("line"))
-    title_words = F.filter(F.split(t.match_norm(F.coalesce("title", F.lit(""))), " "), lambda x: F.length(x) > 1)
-    hits = F.size(F.filter(title_words, lambda w: F.contains(F.concat(F.lit(" "), fold, F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" ")))))
-    rows = rows.withColumns({"fold": fold, "likeness": F.try_divide(hits.cast("double"), F.size(title_words)), "clean": t.squeeze(F.regexp_replace(F.regexp_replace("line", r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[#*_`>]+", " "))})
+    """Article text of markdown, line by line. It starts at the first line that holds enough words of the title, else at
+    the first heading, else at the line most like the title; lines of menus, clocks and links are dropped; it ends at a
+    tail marker once there are ``least`` characters, or when ``cap`` characters are reached. The snippet stands in for a
+    text that is empty, under 20 words, or holds two noise markers."""
+    rows = articles.select("article_id", "title", "snippet", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), _LINE_END)).alias("line_no", "raw"))
+    fold = t.match_norm(F.col("raw"))
+    words = F.filter(F.regexp_extract_all(t.match_norm(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) >= 3)
+    paper = F.array_contains(words, "bao") & F.array_contains(words, "vnexpress")
+    words = F.slice(F.when(paper, F.filter(words, lambda x: ~x.isin("bao", "vnexpress", "cafef"))).otherwise(words), 1, 8)
+    likeness = F.size(F.filter(words, lambda w: F.contains(fold, w)))
+    line = F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    rows = rows.withColumns({"fold": fold, "line": line, "likeness": likeness, "enough": F.greatest(F.lit(2), F.least(F.lit(4), F.size(words))), "clean": _plain_line(line)})
     per = Window.partitionBy("article_id")
-    anchor = F.coalesce(F.min(F.when(F.col("likeness") >= 0.6, F.col("line_no"))).over(per), F.min(F.when(F.ltrim("line").startswith("#"), F.col("line_no"))).over(per), F.lit(0))
-    rows = rows.withColumn("anchor", anchor)
-    keep = (F.col("line_no") >= F.col("anchor")) & (F.col("clean") != "") & ~F.rlike("fold", F.lit(NOISE_LINE)) & ~F.rlike("fold", F.lit(TAIL_LINE))
-    rows = rows.withColumn("keep", keep)
+    most = F.max(F.when(F.col("likeness") > 0, F.struct(F.col("likeness"), -F.col("line_no")))).over(per)
+    anchor = F.coalesce(
+        F.min(F.when(F.col("likeness") >= F.col("enough"), F.col("line_no"))).over(per), F.min(F.when(F.col("line").startswith("#"), F.col("line_no"))).over(per), -most["col2"], F.lit(0)
+    )
+    rows = rows.withColumn("anchor", anchor).filter(F.col("line_no") >= F.col("anchor"))
+    clean, line = F.col("clean"), F.col("line")
+    both = F.concat_ws("\n", "fold", t.match_norm(clean))
+    few = _word_count(clean)
+    links = (F.length(line) - F.length(F.replace(line, F.lit("](")))) / 2
+    noise = t.any_of(both, NOISE_MARKERS) | line.startswith("[](") | line.startswith("![](") | ((links >= 2) & (few < 12)) | clean.isin("*", "-", "#", "") | F.rlike(clean, F.lit(r"^\d{1,2}:\d{2}\s")) | ((few < 10) & F.rlike(clean, F.lit(r"\d{1,2}:\d{2}")))
+    tail = line.startswith("[ ![") | line.startswith("#### [") | t.any_of(F.col("fold"), TAIL_MARKERS)
+    rows = rows.withColumns({"keep": ~noise, "tail": tail})
     so_far = Window.partitionBy("article_id").orderBy("line_no")
     rows = rows.withColumn("chars", F.coalesce(F.sum(F.when(F.col("keep"), F.length("clean"))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("over", F.max((F.rlike("fold", F.lit(TAIL_LINE)) & (F.col("chars") >= least) & (F.col("line_no") >= F.col("anchor"))).cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("keep") & (F.col("over") == 0), F.struct("line_no", "clean")))), lambda x: x["clean"])
-    out = rows.groupBy("article_id", "title", "snippet").agg(lines.alias("lines"))
-    text = F.substring(F.array_join("lines", "\n"), 1, cap)
-    return out.select("article_id", F.when(text == "", t.squeeze(F.coalesce("snippet", F.lit("")))).otherwise(text).alias("text"))
+    rows = rows.withColumn("over", F.max((F.col("tail") & (F.col("chars") >= least)).cast("int")).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = F.when(F.col("keep") & (F.col("over") == 0) & (F.col("chars") < cap), F.struct("line_no", "clean"))
+    lines = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["clean"])
+    out = rows.groupBy("article_id").agg(F.first("snippet").alias("snippet"), lines.alias("lines")).withColumn("text", t.clean_html_text(F.array_join("lines", "\n")))
+    marked = sum((F.contains(t.match_norm(F.col("text")), F.lit(w)).cast("int") for w in NOISE_MARKERS), F.lit(0))
+    poor = (F.col("text") == "") | (marked >= 2) | (_word_count(F.col("text")) < 20)
+    return out.select("article_id", F.when(poor, t.clean_html_text(F.coalesce("snippet", F.lit("")))).otherwise(F.col("text")).alias("text"))
 
 
 def strip_publish_noise(c: Column) -> Column:
-    """Bracketed prefixes, bylines with dates and shares, company ticker lines off."""
-    out = F.regexp_replace(c, r"^\[[^\]]+\]\s*", "")
-    out = F.regexp_replace(out, r"(?i)[^|]{0,40}\*{2,}\s*\|\s*\d{1,2}-\d{1,2}-\d{4}(?:.*?Chia sẻ\s*\d+)?", " ")
-    return t.squeeze(F.regexp_replace(out, r"(?i)\b[A-Z]{3,5}:\s*Công ty.*?(?=\.|$)", " "))
+    """Bylines with dates, company ticker lines, asterisks, clocks and share counts off."""
+    out = F.regexp_replace(c, r"(?iu)[^|]{0,40}\*{2,}\s*\|\s*\d{1,2}-\d{1,2}-\d{4}", " ")
+    out = F.regexp_replace(out, r"(?iuU)\b[A-Z]{3,5}:\s*Công ty.*?(?=\.|$)", " ")
+    for pattern in (r"\*{2,}", r"(?i)\|\s*\d{1,2}:\d{2}\s*(?:AM|PM)?", r"(?iuU)\bChia sẻ\s*\d+\b", r"(?iuU)\bThị trường chứng khoán\b"):
+        out = F.regexp_replace(out, pattern, " ")
+    return t.squeeze(out)
+
+
+def polish_summary(summary: Column, title: Column) -> Column:
+    """A summary to show: site prefix, publishing noise and a repeated title off, then its excerpt."""
+    out = strip_publish_noise(F.regexp_replace(F.trim(summary), r"^\[[^\]]+\]\s*", ""))
+    named = (F.coalesce(title, F.lit("")) != "") & F.lower(out).startswith(F.lower(title))
+    out = F.when(named, F.regexp_replace(F.substring(out, F.length(title) + 1, F.length(out)), "^[ :-]+", "")).otherwise(out)
+    return excerpt(out, F.substring(out, 1, 280))
 
 
 def excerpt(text: Column, fallback: Column, cap: int = 420) -> Column:
-    """Lines from the top, without clock lines and short labels, as many as fit; an ellipsis when some are left out."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), t.squeeze), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\d{1,2}:\d{2}\s+")) & ~(x.endswith(":") & (F.length(x) < 40)))
-    whole = F.array_join(lines, " ")
+    """Lines from the top, without clock lines and short labels, until ``cap`` characters are reached; cut with an
+    ellipsis when they exceed it. Without such a line, the whole text; of an empty text, the fallback."""
+    text = F.coalesce(text, F.lit(""))
+    label = lambda x: (F.size(F.split(x, " ")) < 6) & F.contains(F.substring(x, 1, 8), F.lit(":"))
+    lines = F.filter(F.transform(F.split(text, _LINE_END), t.squeeze), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\d{1,2}:\d{2}\s+")) & ~label(x))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("parts"))
+    taken = F.aggregate(lines, start, lambda a, x: F.when(a["n"] >= cap, a).otherwise(F.struct((a["n"] + F.length(x)).alias("n"), F.concat(a["parts"], F.array(x)).alias("parts"))))["parts"]
+    whole = F.when(F.size(taken) > 0, F.array_join(taken, " ")).otherwise(t.squeeze(text))
     cut = F.when(F.length(whole) > cap, F.concat(F.rtrim(F.substring(whole, 1, cap - 1)), F.lit("…"))).otherwise(whole)
-    return F.when(whole == "", t.truncate_text(F.coalesce(fallback, F.lit("")), cap)).otherwise(cut)
+    return F.when(t.squeeze(text) == "", fallback).otherwise(cut)
 
 
 # -- intent and scores ------------------------------------------------------------------------------------------------
 
 
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(t.squeeze(c), r"^[ ?.,:]+|[ ?.,:]+$", "")
+
+
+def _names(folded: Column, stop: tuple[str, ...]) -> Column:
+    """Whether any word of a folded phrase is no stop word."""
+    return F.exists(F.split(folded, " "), lambda x: (x != "") & ~x.isin(*stop))
+
+
+def _tickers(text: Column, wrong: tuple[str, ...]) -> Column:
+    """Words of 3 to 5 letters in the text put into capitals, in order, without those that are no tickers."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b([A-Z]{3,5})\b"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(*wrong)))
+
+
+def entity_phrase(question: Column) -> Column:
+    """What a question asks about: the clause after a Vietnamese, else an English preposition, else the question without
+    its news words; null if only stop words are left."""
+
+    def clause(pattern: str) -> Column:
+        x = F.regexp_extract(question, rf"(?iu)(?:{pattern})\s+([^?]+)", 1)
+        x = F.regexp_replace(x, r"(?sU)\b(?:là gì|co gi|có gì|ra sao|noteworthy|latest|recent news|recent|today|current price)\b.*$", "")
+        return _strip(F.regexp_replace(x, r"(?iuU)\b(?:news|tin tức|tin)\b", " "))
+
+    rest = F.regexp_replace(question, r"(?iuU)^(?:tin tức|tin tuc|thông tin|thong tin)(?:\s+mới nhất|\s+moi nhat)?\s+", "")
+    rest = F.regexp_replace(rest, r"(?iusU)\b(?:gần đây nhất|gan day nhat|gần đây|gan day|mới nhất|moi nhat|hôm nay|hom nay)\b.*$", "")
+    rest = _strip(F.regexp_replace(rest, r"(?iuU)\b(?:có gì đáng chú ý|co gi dang chu y|là gì|la gi|ra sao)\b", " "))
+    options = [clause("của|cua|về|ve"), clause("about|of|for"), rest]
+    return F.coalesce(*(F.when(_names(t.norm_free(x), SEARCH_STOP_WORDS), x) for x in options))
+
+
+def _folded(text: str) -> str:
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower().replace("đ", "d")) if unicodedata.category(c) != "Mn")
+
+
+def expand_aliases(tokens: Column) -> Column:
+    """The tokens, then for each ticker among them its aliases, its company's name and the longer parts of that."""
+    more = {}
+    for ticker in dict.fromkeys([*SEARCH_ALIASES, *COMPANY_NAMES]):
+        name = _folded(COMPANY_NAMES.get(ticker, ""))
+        more[ticker.lower()] = list(dict.fromkeys([*SEARCH_ALIASES.get(ticker, ()), *([name] if name else []), *(x for x in name.split() if len(x) >= 3)]))
+    known = F.create_map(*(x for k, v in more.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda x: F.coalesce(F.element_at(known, F.lower(x)), none)))))
+
+
 def entity_tokens(question: Column) -> Column:
-    """Capital words of 3 to 5 letters, the phrase after 'of' or 'about', and its longer parts; stop words off."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    tickers = F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"\b([A-Z]{3,5})\b"), F.lit(1)), F.lower), lambda x: ~F.array_contains(stop, x))
-    phrase = F.regexp_replace(t.match_norm(F.regexp_extract(question, r"(?i)(?:của|cua|về|ve|about|of|for)\s+([^?]+)", 1)), r"\b(?:la gi|co gi|ra sao|bao nhieu)\b.*$", "")
-    phrase = F.trim(phrase)
-    parts = F.filter(F.split(phrase, " "), lambda x: (F.length(x) >= 3) & ~F.array_contains(stop, x))
+    """Tokens by which hits are found: tickers, the entity phrase without question words, its longer parts, aliases."""
+    entity = entity_phrase(question)
+    phrase = F.regexp_replace(t.norm_free(entity), r"\b(?:hom nay|moi nhat|gan day|recent|latest|news|noteworthy)\b", " ")
+    phrase = F.coalesce(t.squeeze(F.regexp_replace(phrase, r"\b(?:co gi dang chu y|co gi|dang chu y|la gi|ra sao)\b", " ")), F.lit(""))
+    whole = F.when(_names(phrase, SEARCH_STOP_WORDS), F.array(phrase)).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(F.split(phrase, " "), lambda x: (F.length(x) >= 3) & ~x.isin(*SEARCH_STOP_WORDS))
+    return expand_aliases(F.array_distinct(F.concat(F.transform(_tickers(F.coalesce(entity, question), NON_TICKERS), F.lower), whole, parts)))
+
+
+def selection_tokens(question: Column) -> Column:
+    """Tokens by which articles are selected: capital words, the clause after a preposition, its longer parts."""
+    tickers = F.filter(F.transform(_tickers(question, ()), F.lower), lambda x: ~x.isin(*STOP_WORDS))
+    phrase = F.regexp_replace(F.regexp_extract(question, r"(?iu)(?:của|cua|về|ve)\s+([^?.,]+)", 1), r"(?sU)\b(?:la gi|co gi|có gì|ra sao|bao nhieu)\b.*$", "")
+    phrase = F.regexp_replace(t.match_norm(phrase), r"^[ ?]+|[ ?]+$", "")
+    parts = F.filter(F.split(phrase, " "), lambda x: (F.length(x) >= 3) & ~x.isin(*STOP_WORDS))
     return F.filter(F.array_distinct(F.concat(tickers, F.array(phrase), parts)), lambda x: x != "")
 
 
 def detect_news_intent(question: Column) -> Column:
     q = t.norm_free(question)
-    tokens = entity_tokens(question)
+    tokens = selection_tokens(question)
     return F.struct(t.any_of(q, NEGATIVE_PHRASES).alias("negative"), t.any_of(q, LATEST_TERMS).alias("latest"), (F.size(tokens) > 0).alias("stock"), tokens.alias("tokens"))
 
 
+def _cleaned_question(question: Column) -> Column:
+    for x in SEARCH_FILLERS:
+        question = F.replace(question, F.lit(x), F.lit(" "))
+    return t.squeeze(question)
+
+
+def query_candidates(question: Column) -> Column:
+    """All search texts for a question in order, distinct: its entity, its tickers, then business, recent and negative
+    wordings of its subject, the question itself, and the question without fillers."""
+    raw = t.squeeze(question)
+    folded, entity = t.norm_free(raw), entity_phrase(raw)
+    tickers = _tickers(F.coalesce(entity, raw), NON_TICKERS)
+    subject = F.coalesce(entity, F.get(tickers, F.lit(0)))
+    none = F.array().cast("array<string>")
+    with_each = lambda form: F.flatten(F.transform(tickers, form))
+    join = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    of_entity = F.when(entity.isNotNull(), F.array(entity, join("tin tức ", entity), join(entity, " chứng khoán"))).otherwise(none)
+    mixed = F.when(
+        entity.isNotNull(), F.flatten(F.transform(F.filter(tickers, lambda x: ~F.contains(F.upper(entity), x)), lambda x: F.array(join(entity, " ", x), join(entity, " ", x, " chứng khoán"))))
+    ).otherwise(none)
+    of_tickers = with_each(lambda x: F.array(x, join("tin tức ", x), join(x, " chứng khoán"), join(x, " tin tức mới nhất")))
+
+    def when(intent: Column, *tails: str) -> Column:
+        return F.when(intent & subject.isNotNull(), F.array(*(join(subject, x) for x in tails))).otherwise(none)
+
+    business = when((F.size(tickers) > 0) | t.any_of(folded, BUSINESS_INTENT), " kết quả kinh doanh", " doanh nghiệp")
+    recent = when(t.any_of(folded, RECENT_INTENT), " tin tức gần đây", " tin tức mới nhất")
+    negative = when(t.any_of(folded, NEGATIVE_INTENT), " tin tiêu cực gần đây", " rủi ro cổ phiếu", " bị phạt", " khó khăn")
+    every = F.concat(of_entity, mixed, of_tickers, business, recent, negative, F.array(raw, _cleaned_question(raw)))
+    return F.array_distinct(F.filter(F.transform(every, t.squeeze), lambda x: x != ""))
+
+
+def primary_query(question: Column) -> Column:
+    """The first search text: the entity, else the first ticker, with the wish for news of late; else the question."""
+    raw = t.squeeze(question)
+    entity = entity_phrase(raw)
+    ticker, late = F.get(_tickers(F.coalesce(entity, raw), NON_TICKERS), F.lit(0)), t.any_of(t.norm_free(raw), RECENT_INTENT)
+    cleaned = _cleaned_question(raw)
+    named = lambda x, tail: F.concat(F.lit("tin tức "), x, F.when(late, F.lit(tail)).otherwise(F.lit("")))
+    return t.squeeze(F.coalesce(named(entity, " gần đây nhất"), named(ticker, " mới nhất"), F.nullif(cleaned, F.lit("")), raw))
+
+
 def search_query_variants(questions: DataFrame) -> DataFrame:
-    """One row for each search text of a question, the primary one first: entity with intent words, tickers, the question."""
+    """One row for each search text of a question: the primary one, then the first four candidates (eight for a question
+    without entity and ticker), distinct."""
     q = F.col("question")
-    intent = detect_news_intent(q)
-    phrase = F.element_at(F.sort_array(F.transform(F.col("tokens"), lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))), asc=False), 1)["w"]
-    rows = questions.withColumns({"intent": intent, "tokens": entity_tokens(q)}).withColumn("phrase", F.when(F.size("tokens") > 0, phrase))
-    tail = F.when(F.col("intent.negative"), " tin tieu cuc").when(F.col("intent.latest"), " tin moi nhat").otherwise(" tin tuc")
-    variants = F.array(F.concat("phrase", tail), F.concat(F.lit("co phieu "), F.get("tokens", F.lit(0))), F.col("phrase"), t.squeeze(q))
-    variants = F.array_distinct(F.filter(variants, lambda x: x.isNotNull() & (x != "")))
-    return rows.select("question_id", F.posexplode(variants).alias("ordinal", "query"))
+    raw = t.squeeze(q)
+    named = entity_phrase(raw).isNotNull() | (F.size(_tickers(raw, NON_TICKERS)) > 0)
+    variants = F.array_distinct(F.concat(F.array(primary_query(q)), F.slice(query_candidates(q), F.lit(1), F.when(named, 4).otherwise(8))))
+    return questions.select("question_id", F.posexplode(F.filter(variants, lambda x: x != "")).alias("ordinal", "query"))
+
+
+def rewritten_query(planned: Column, original: Column, year: Column) -> Column:
+    """A planner's query and the user's words as one search text: Vietnamese, with the ticker's company and the year where
+    news of late are wanted."""
+    planned, original = (t.squeeze(F.coalesce(x, F.lit(""))) for x in (planned, original))
+    both = F.concat_ws(" ", F.nullif(planned, F.lit("")), F.nullif(original, F.lit("")))
+    scrubbed = F.regexp_replace(F.regexp_replace(both, r"(?iuU)\btin(?:\s+tuc)?\b", " "), r"(?iuU)\bthong tin\b", " ")
+    ticker = F.get(_tickers(scrubbed, REWRITE_NON_TICKERS), F.lit(0))
+    names = F.create_map(*(F.lit(x) for pair in COMPANY_NAMES.items() for x in pair))
+    label = F.coalesce(F.element_at(names, ticker), ticker)
+    subject = F.when(label != ticker, F.concat(label, F.lit(" "), ticker)).otherwise(ticker)
+    late = t.any_of(t.norm_free(F.concat_ws(" ", planned, original)), RECENT_MARKERS)
+    marked = lambda x: F.rlike(x, F.lit(r"[^\x00-\x7f]"))
+    fresh = F.concat(F.lit("tin tức "), subject, F.lit(" mới nhất "), year.cast("string"))
+    plain = t.squeeze(F.regexp_replace(planned, r"(?iuU)\b(?:recent|latest|news about|news|about|stock|shares)\b", " "))
+    return (
+        F.when(marked(planned) & late & ticker.isNotNull(), fresh).when(marked(planned), planned).when(ticker.isNotNull() & late, fresh).when(ticker.isNotNull(), F.concat(F.lit("tin tức "), subject))
+        .when(marked(original), original).when(marked(plain), plain).when(original != "", original).otherwise(planned)
+    )
 
 
 def score_recency(published: Column, now: Column, latest: Column) -> Column:
@@ -283,13 +461,20 @@ def topic_signature(articles: DataFrame, n: int = 8) -> DataFrame:
 
 
 def near_duplicate_pairs(rows: DataFrame, overlap: float = TOPIC_OVERLAP) -> DataFrame:
-    """Pairs of articles of one question that share enough of their signatures. Signatures have eight words at most, so
-    pairs are found by shared words and only counted, never crossed."""
-    words = rows.select("query_id", "article_id", F.size("signature").alias("n"), F.explode("signature").alias("word"))
-    a, b = words.alias("a"), words.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.article_id") < F.col("b.article_id")))
-    out = pairs.groupBy(F.col("a.query_id").alias("query_id"), F.col("a.article_id").alias("first"), F.col("b.article_id").alias("second")).agg((F.count("*") / F.least(F.first("a.n"), F.first("b.n"))).alias("overlap"))
-    return out.filter(F.col("overlap") >= overlap)
+    """Pairs of articles of one question that share enough of their signatures, measured by the smaller one. With words in
+    ascending order of frequency, a pair must share one of the first n - ceil(overlap n) + 1 words of its smaller
+    signature, so only these words are joined to all words of signatures as large or larger."""
+    words = rows.select("query_id", "article_id", "signature", F.size("signature").alias("n"), F.explode("signature").alias("word"))
+    often = words.groupBy("query_id", "word").agg(F.count("*").alias("often")).filter("often > 1")
+    words = words.join(often, ["query_id", "word"])
+    place = F.row_number().over(Window.partitionBy("query_id", "article_id").orderBy(F.desc("often"), F.desc("word")))  # words of one article alone come before these
+    prefix = words.withColumn("place", place).filter(F.col("place") >= F.ceil(F.col("n") * F.lit(overlap) - 1e-9))
+    a, b = prefix.alias("a"), words.alias("b")
+    larger = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.article_id") < F.col("b.article_id")))
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.word") == F.col("b.word")) & larger)
+    share = F.size(F.array_intersect("a.signature", "b.signature")) / F.col("a.n")
+    out = pairs.select(F.col("a.query_id").alias("query_id"), F.least("a.article_id", "b.article_id").alias("first"), F.greatest("a.article_id", "b.article_id").alias("second"), share.alias("overlap"))
+    return out.filter(F.col("overlap") >= overlap).distinct()
 
 
 def select_diverse(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -367,3 +552,44 @@ def select_payloads(payloads: DataFrame, selected: DataFrame) -> DataFrame:
     """Payload rows whose id was selected for their question; questions with no selection keep all."""
     chosen = payloads.join(selected, ["query_id", "article_id"], "left_semi")
     return chosen.unionByName(payloads.join(selected.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def article_detail(articles: DataFrame, contents: DataFrame) -> DataFrame:
+    """Every article with what is stored of its content: artifact keys, cleaned text, an excerpt of it, extracted payload;
+    nulls where there is none."""
+    kept = contents.select("article_id", *(c for c in ("raw_html_artifact_key", "markdown_artifact_key", "cleaned_text_artifact_key", "extracted_payload_artifact_key", "cleaned_text", "extracted_payload") if c in contents.columns))
+    return articles.join(kept, "article_id", "left").withColumn("cleaned_excerpt", F.substring(F.nullif("cleaned_text", F.lit("")), 1, 280))
+
+
+def cache_upsert_flow(hits: DataFrame, cache: DataFrame, content: DataFrame, crawled: DataFrame, now: Column, ttl_hours: int = 24) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of the article cache: hits (run_id, url_hash, title, url) are recorded, split into usable cache records and
+    misses, and the misses' crawl outcomes (url_hash, cleaned_text, markdown, error_message; no row: nothing came back)
+    are stored. An outcome with an error is marked failed first and stored like any other, as its text is the snippet.
+
+    Returns the cache after it (one row for each url_hash), the new contents, and counts for each run."""
+    from lakeloom.operators.market import last_of_batch
+
+    named = last_of_batch(hits.select("url_hash", "title", "url"), ["url_hash"], ["title", "url"])
+    usable, misses = cache_split(hits, cache, content, now, ttl_hours)
+    asked = misses.select("url_hash").distinct()
+    text = F.concat(F.coalesce("cleaned_text", F.lit("")), F.coalesce("markdown", F.lit("")))
+    came = crawled.select("url_hash", "cleaned_text", "markdown", "error_message").join(asked, "url_hash", "left_semi")
+    new = came.select("url_hash", F.concat(F.lit("articles/"), "url_hash", F.lit("/content.json")).alias("content_key"), "cleaned_text", "markdown", F.sha2(text, 256).alias("content_hash"), "error_message")
+    got = asked.join(new, "url_hash", "left").withColumn("_asked", F.lit(True))
+    old = named.join(cache.select("url_hash", *(F.col(c).alias(f"_{c}") for c in ("title", "url", "status", "content_key", "content_hash", "crawled_at"))), "url_hash", "full_outer")
+    rows = old.join(got.select("url_hash", "content_key", "content_hash", "_asked"), "url_hash", "left")
+    stored, failed = F.col("content_key").isNotNull(), F.coalesce("_asked", F.lit(False))
+    after = rows.select(
+        "url_hash", F.coalesce(F.nullif("title", F.lit("")), "_title").alias("title"), F.coalesce("url", "_url").alias("url"),
+        F.when(stored, "crawled").when(failed, "failed").otherwise(F.coalesce("_status", F.lit("discovered"))).alias("status"), F.coalesce("content_key", "_content_key").alias("content_key"),
+        F.coalesce("content_hash", "_content_hash").alias("content_hash"), F.when(stored, now.cast("timestamp")).otherwise(F.col("_crawled_at")).alias("crawled_at"),
+        F.when(~stored & failed, F.lit("Crawler returned no article.")).alias("error_message"),
+    )
+    fate = misses.join(got.select("url_hash", F.col("content_key").alias("_key"), F.col("error_message").alias("_error")), "url_hash", "left")
+    outcome = F.when(F.col("_key").isNull(), "lost").when(F.col("_error").isNotNull(), "error").otherwise("crawled")
+    every = usable.select("run_id", F.lit("cached").alias("outcome")).unionByName(fate.select("run_id", outcome.alias("outcome")))
+    o = F.col("outcome")
+    counts = every.groupBy("run_id").agg(
+        F.count("*").alias("selected_count"), F.count_if(o == "cached").alias("cache_hits"), F.count_if(o.isin("crawled", "error")).alias("crawled_new"), F.count_if(o.isin("lost", "error")).alias("crawl_failed")
+    )
+    return after, new.drop("error_message"), counts

@@ -252,11 +252,11 @@ def pending_documents(spark: SparkSession, d: str) -> DataFrame:
     return o.pending_documents(e).select("doc_id")
 
 
-@query("SELECT doc_id, part FROM v_windows WHERE doc_id % 50 = 0")
+@query("SELECT doc_id, part, (doc_id % 50 = 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS renewed FROM v_windows")
 def reprocess_document(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of chosen documents made anew and put in place of the old ones."""
-    from lakeloom.operators.market import upsert_replace
-
-    chosen = views.table(spark, d, "documents").filter("doc_id % 50 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    new = o.chunk_text(chosen).select("doc_id", "part")
-    return upsert_replace(new.filter("part > 0"), new, ["doc_id", "part"], ["part"])
+    """Chunks of all documents; those of chosen ones are made anew and put in place of the old ones, all others stay."""
+    docs = views.table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    old = o.chunk_text(docs.select("doc_id", "text")).select("doc_id", "part", F.lit(False).alias("renewed"))
+    new = o.chunk_text(docs.filter("doc_id % 50 = 0 AND lang = 'en'").select("doc_id", "text")).select("doc_id", "part", F.lit(True).alias("renewed"))
+    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+    return kept.unionByName(new)

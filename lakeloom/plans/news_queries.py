@@ -73,11 +73,17 @@ def score_relevance(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d).select("position", "relevance", "source_priority", "fresh")
 
 
-@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 4 WHEN 1 THEN CASE WHEN event_id % 50 <= 7 THEN 3 WHEN event_id % 50 <= 30 THEN 2 ELSE 1 END WHEN 2 THEN 4 WHEN 3 THEN 2 ELSE 0 END AS freshness FROM events""")
+_DAYS = "date_diff('day', ts::DATE, DATE '2024-02-05')"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_type = 'purchase' THEN 4 WHEN event_type IN ('view', 'click') THEN CASE WHEN {_DAYS} <= 7 THEN 3 WHEN {_DAYS} <= 30 THEN 2 ELSE 1 END WHEN event_type = 'signup' THEN 2 ELSE 0 END AS freshness FROM events""")
 def score_freshness(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    title = F.when(e % 6 == 0, "Tin hôm nay").when(e % 6 == 1, F.concat((e % 50).cast("string"), F.lit(" days ago"))).when(e % 6 == 2, "3 hours ago").otherwise("x")
-    return views.table(spark, d, "events").select("event_id", n.freshness(title, F.lit(""), F.lit(None).cast("string"), F.when(e % 6 == 3, "w").otherwise("y")).alias("freshness"))
+    """Events as hits of a feed that tells ages in words."""
+    kind = F.col("event_type")
+    days = F.datediff(F.to_date(F.lit("2024-02-05")), F.to_date("ts")).cast("string")
+    age = F.when(kind == "purchase", F.concat(F.hour("ts").cast("string"), F.lit(" hours ago"))).when(kind.isin("view", "click"), F.concat(days, F.lit(" days ago")))
+    limit = F.when(kind == "signup", "w").otherwise("y")
+    return views.table(spark, d, "events").select("event_id", n.freshness(kind, F.col("user_id").cast("string"), age, limit).alias("freshness"))
 
 
 @query("SELECT position, source_priority FROM v_prio")
@@ -123,9 +129,9 @@ def infer_timelimit(spark: SparkSession, d: str) -> DataFrame:
     return views.questions(spark, d).select("question_id", n.infer_timelimit(F.col("question")).alias("timelimit"))
 
 
-@query(f"SELECT position, u AS href, title, coalesce({_FLEX}, {_URL_DATE}::TIMESTAMP) AS published_at FROM v_nhits WHERE position % 5 = 0 AND length(u) >= 25".replace("raw", "raw"))
+@query(f"SELECT position, u AS href, title, coalesce({_FLEX}, {_URL_DATE}::TIMESTAMP) AS published_at FROM v_nhits WHERE length(u) >= 25 AND contains(u, '//cafef.vn/')".replace("raw", "raw"))
 def build_hits(spark: SparkSession, d: str) -> DataFrame:
-    items = hits(spark, d).filter("position % 5 = 0").select("position", F.col("url").alias("href"), F.col("_page_url").alias("url"), "title", F.col("raw").alias("date"))
+    items = hits(spark, d).select("position", F.col("url").alias("href"), F.col("_page_url").alias("url"), "title", F.col("raw").alias("date"))
     return n.build_hits(items, F.lit("cafef.vn")).select("position", "href", "title", "published_at")
 
 
@@ -147,9 +153,9 @@ def detect_news_intent(spark: SparkSession, d: str) -> DataFrame:
     return views.questions(spark, d).withColumn("i", n.detect_news_intent(F.col("question"))).select("question_id", "i.negative", "i.latest")
 
 
-#: Articles: documents with market words put in, for three intents.
+#: Articles: whole documents with market words put in, for three intents; sixty make the candidates of a question.
 _EXTRA = "CASE doc_id % 5 WHEN 0 THEN 'cổ phiếu thua lỗ bị phạt' WHEN 1 THEN 'Doanh thu và lợi nhuận' WHEN 2 THEN 'phim FPT play giải trí' WHEN 3 THEN 'khởi tố, cảnh báo' ELSE '' END"
-views.SQL["v_articles"] = f"""SELECT doc_id, doc_id % 3 AS query_id, {_EXTRA} || ' ' || substr(coalesce(text, ''), 1, 200) AS body, strip_accents(replace(lower({_EXTRA} || ' ' || substr(coalesce(text, ''), 1, 200)), 'đ', 'd')) AS folded,
+views.SQL["v_articles"] = f"""SELECT doc_id, doc_id // 60 AS query_id, {_EXTRA} || ' ' || coalesce(text, '') AS body, strip_accents(replace(lower({_EXTRA} || ' ' || coalesce(text, '')), 'đ', 'd')) AS folded,
     doc_id % 3 = 1 AS negative, doc_id % 2 = 0 AS latest, doc_id % 4 <> 0 AS stock, CASE doc_id % 3 WHEN 0 THEN 'cafef.vn' WHEN 1 THEN 'x.org' ELSE 'vietstock.vn' END AS domain,
     CASE WHEN doc_id % 11 > 0 THEN TIMESTAMP '2025-06-01' - INTERVAL 6 HOUR * (doc_id % 2000) END AS published FROM documents"""
 _NEG = f"({_sum(n.NEGATIVE_TERMS)} * 0.8::DOUBLE + {_sum(n.STRONG_TERMS)} * 0.6::DOUBLE)"
@@ -170,8 +176,8 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     age = F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.lit(0), (i % 2000 * 6).cast("int"))
     return views.table(spark, d, "documents").select(
         "doc_id",
-        (i % 3).alias("query_id"),
-        F.concat(extra, F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("body"),
+        F.floor(i / 60).alias("query_id"),
+        F.concat(extra, F.lit(" "), F.coalesce("text", F.lit(""))).alias("body"),
         F.struct((i % 3 == 1).alias("negative"), (i % 2 == 0).alias("latest"), (i % 4 != 0).alias("stock"), F.array(F.lit("the"), F.lit("de la")).alias("tokens")).alias("intent"),
         F.when(i % 3 == 0, "cafef.vn").when(i % 3 == 1, "x.org").otherwise("vietstock.vn").alias("domain"),
         F.when(i % 11 > 0, age).alias("published"),
@@ -187,13 +193,13 @@ def article_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).select("query_id", F.col("doc_id").alias("article_id"), F.substring("body", 1, 60).alias("title"), F.lit("").alias("snippet"), F.col("body").alias("summary"), F.lit("").alias("cleaned_text"), F.concat(F.lit("https://"), "domain", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "published", "intent")
+    a = articles(spark, d).select("query_id", F.col("doc_id").alias("article_id"), F.substring_index("body", "\n", 1).alias("title"), F.lit("").alias("snippet"), F.col("body").alias("summary"), F.lit("").alias("cleaned_text"), F.concat(F.lit("https://"), "domain", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "published", "intent")
     return n.score_candidates(a, F.lit(NOW).cast("timestamp"))
 
 
 views.SQL["v_final"] = f"""SELECT doc_id AS article_id, query_id, published, domain, round(1.7::DOUBLE * (CASE WHEN contains({_W.format("ftitle")}, ' the ') THEN 5 ELSE 0 END + CASE WHEN contains({_W.format("fbody")}, ' the ') THEN 3 ELSE 0 END + CASE WHEN contains(ftitle, 'de la') THEN 6 ELSE 0 END + CASE WHEN contains(fbody, 'de la') THEN 4 ELSE 0 END)
     + 2.2::DOUBLE * recency + CASE WHEN negative THEN 2.4::DOUBLE ELSE 0.5::DOUBLE END * negative_score + quality + 1.4::DOUBLE * alignment, 6) AS final_score FROM (
-    SELECT *, {_SCORES} FROM (SELECT * REPLACE (ftitle || '  ' || fbody || ' ' AS folded) FROM (SELECT *, strip_accents(replace(lower(substr(body, 1, 60)), 'đ', 'd')) AS ftitle, strip_accents(replace(lower(body), 'đ', 'd')) AS fbody FROM v_articles)))"""
+    SELECT *, {_SCORES} FROM (SELECT * REPLACE (ftitle || '  ' || fbody || ' ' AS folded) FROM (SELECT *, strip_accents(replace(lower(split_part(body, chr(10), 1)), 'đ', 'd')) AS ftitle, strip_accents(replace(lower(body), 'đ', 'd')) AS fbody FROM v_articles)))"""
 
 
 @query("SELECT query_id, article_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, published DESC NULLS LAST, 'https://' || domain || '/' || article_id)::INTEGER AS rank FROM v_final")
@@ -215,16 +221,17 @@ def topic_signature(spark: SparkSession, d: str) -> DataFrame:
     return signatures(spark, d)
 
 
-@query("""SELECT a.article_id % 50 AS query_id, a.article_id AS first, b.article_id AS second, len(list_intersect(a.signature, b.signature)) / least(len(a.signature), len(b.signature))::DOUBLE AS overlap
-    FROM v_sig a JOIN v_sig b ON a.article_id % 50 = b.article_id % 50 AND a.article_id < b.article_id WHERE len(list_intersect(a.signature, b.signature)) / least(len(a.signature), len(b.signature))::DOUBLE >= 0.5""")
+@query("""SELECT a.article_id // 200 AS query_id, a.article_id AS first, b.article_id AS second, len(list_intersect(a.signature, b.signature)) / least(len(a.signature), len(b.signature))::DOUBLE AS overlap
+    FROM v_sig a JOIN v_sig b ON a.article_id // 200 = b.article_id // 200 AND a.article_id < b.article_id WHERE len(list_intersect(a.signature, b.signature)) / least(len(a.signature), len(b.signature))::DOUBLE >= 0.86""")
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return n.near_duplicate_pairs(signatures(spark, d).withColumn("query_id", F.col("article_id") % 50), 0.5)
+    """Two hundred documents are the candidates of a question."""
+    return n.near_duplicate_pairs(signatures(spark, d).withColumn("query_id", F.floor(F.col("article_id") / 200)))
 
 
 @query()
 def select_diverse_topk(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).join(signatures(spark, d), "article_id", "left").withColumns({"canonical_url": F.col("url"), "latest": F.col("intent.latest"), "negative_query": F.col("intent.negative")})
-    return n.select_diverse(s.filter("rank <= 50"))
+    return n.select_diverse(s)
 
 
 @query("SELECT doc_id AS article_id, doc_id % 2 AS query_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 1")
@@ -273,10 +280,60 @@ def article_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extract_article_text(spark: SparkSession, d: str) -> DataFrame:
-    md = views.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 40).alias("title"), F.lit("snip").alias("snippet"), F.concat(F.lit("Menu\n09:30 x\n"), "text", F.lit("\nTin liên quan\nmore")).alias("markdown"))
+    md = views.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"), F.lit("snip").alias("snippet"), F.concat(F.lit("Bảng giá điện tử\n09:30 x\n"), "text", F.lit("\nTin liên quan\nmore")).alias("markdown"))
     return n.extract_article_text(md)
 
 
 @query()
 def excerpt(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "documents").select("doc_id", n.excerpt(n.strip_publish_noise(F.col("text")), F.lit("none")).alias("excerpt"))
+
+
+@query("""SELECT doc_id AS article_id, source AS site, CASE WHEN doc_id % 3 > 0 THEN 'articles/' || doc_id || '/text' END AS cleaned_text_artifact_key, CASE WHEN doc_id % 3 > 0 THEN substr(nullif(text, ''), 1, 280) END AS cleaned_excerpt FROM documents""")
+def article_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as articles; two of three have stored content."""
+    a = views.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.col("source").alias("site"), "text")
+    c = a.filter("article_id % 3 > 0").select("article_id", F.concat(F.lit("articles/"), F.col("article_id").cast("string"), F.lit("/text")).alias("cleaned_text_artifact_key"), F.col("text").alias("cleaned_text"))
+    return n.article_detail(a.drop("text"), c).select("article_id", "site", "cleaned_text_artifact_key", "cleaned_excerpt")
+
+
+def cache_flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as hits of runs, every second one cached (some too long ago), every third of the rest crawled with an error,
+    every fifth lost."""
+    k = F.col("page_id")
+    p = views.table(spark, d, "pages").withColumn("url_hash", F.sha2("url", 256))
+    h = p.select((k % 7).alias("run_id"), "url_hash", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url")
+    first = p.groupBy("url_hash").agg(F.min("page_id").alias("page_id"), F.max("html").alias("html"))
+    old = first.filter(k % 2 == 0)
+    none = F.lit(None).cast("string")
+    at = F.lit(NOW).cast("timestamp") - F.make_dt_interval(F.lit(0), (k % 48).cast("int"))
+    key = F.concat(F.lit("articles/"), "url_hash", F.lit("/content.json"))
+    cache = old.select("url_hash", F.lit("").alias("title"), none.alias("url"), F.when(k % 8 == 0, "failed").otherwise("crawled").alias("status"), key.alias("content_key"), F.lit("old").alias("content_hash"), at.alias("crawled_at"))
+    crawled = first.filter(k % 5 > 0).select("url_hash", F.col("html").alias("cleaned_text"), none.alias("markdown"), F.when(k % 3 == 0, "timeout").alias("error_message"))
+    return n.cache_upsert_flow(h, cache, old.filter(k % 6 > 0).select(key.alias("content_key")), crawled, F.lit(NOW))
+
+
+#: The same by cases of page_id: what is cached and usable, what comes back.
+views.SQL["v_flow"] = """SELECT p.page_id % 7 AS run_id, p.url, f.first % 2 = 0 AND f.first % 8 > 0 AND f.first % 6 > 0 AND f.first % 48 <= 24 AS cached, f.first % 5 > 0 AS came, f.first % 3 = 0 AS broken, f.first % 2 = 0 AS known, f.first % 8 = 0 AS was_failed, f.html
+    FROM pages p JOIN (SELECT url, min(page_id) AS first, max(html) AS html FROM pages GROUP BY url) f USING (url)"""
+
+
+@query("""SELECT run_id, count(*) AS selected_count, count(*) FILTER (cached) AS cache_hits, count(*) FILTER (NOT cached AND came) AS crawled_new, count(*) FILTER (NOT cached AND (NOT came OR broken)) AS crawl_failed FROM v_flow GROUP BY 1""")
+def cache_upsert_flow(spark: SparkSession, d: str) -> DataFrame:
+    return cache_flow(spark, d)[2]
+
+
+@query("""SELECT DISTINCT sha256(url) AS url_hash, CASE WHEN NOT cached AND came THEN 'crawled' WHEN NOT cached THEN 'failed' WHEN was_failed THEN 'failed' ELSE 'crawled' END AS status, CASE WHEN NOT cached AND came THEN sha256(html) WHEN known THEN 'old' END AS content_hash FROM v_flow""")
+def cache_after_flow(spark: SparkSession, d: str) -> DataFrame:
+    return cache_flow(spark, d)[0].select("url_hash", "status", "content_hash")
+
+
+@query()
+def rewritten_query(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("question")
+    return views.questions(spark, d).select("question_id", n.rewritten_query(F.concat(F.lit("recent news about "), F.regexp_extract(q, "([A-Z]{3,5})", 1)), q, F.lit(2026)).alias("query"))
+
+
+@query()
+def polish_summary(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "documents").select("doc_id", n.polish_summary(F.concat(F.lit("[cafef.vn] "), F.coalesce("text", F.lit(""))), F.substring_index("text", " ", 2)).alias("summary"))

@@ -62,11 +62,11 @@ def stream_latest_price(spark: SparkSession, d: str) -> DataFrame:
     return finished(spark, j.latest_prices(e))
 
 
-@query("SELECT ticker, trading_date, round(ma20, 9) AS ma20, flag_above_ma50 FROM v_flags WHERE trading_date < DATE '1995-06-01'")
+@query("SELECT ticker, trading_date, round(ma20, 9) AS ma20, flag_above_ma50 FROM v_flags")
 def stream_eod(spark: SparkSession, d: str) -> DataFrame:
     path = s.scratch(spark, "daily")
     columns = ["ticker", "trading_date", "close_price", "adj_close_price"]
-    daily(spark, d).select(*columns).filter("trading_date < '1995-06-01'").repartitionByRange(2, "trading_date").write.parquet(path)
+    daily(spark, d).select(*columns).repartitionByRange(2, "trading_date").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
     j.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint")
     kind = "ticker string, trading_date date, ma20 double, flag_above_ma50 boolean"
@@ -157,10 +157,10 @@ def partition_inventory(spark: SparkSession, d: str) -> DataFrame:
     return s.partition_inventory(daily(spark, d).withColumn("trading_year", F.year("trading_date")), 1990, 2000)
 
 
-@query("SELECT 2000 + doc_id % 3 AS fiscal_year, count(*) AS n, bool_and(true) AS all_valid FROM v_windows WHERE doc_id % 4 = 0 GROUP BY 1".replace("2000 + doc_id % 3", "(2000 + doc_id % 3)::INTEGER"))
+@query("SELECT 2000 + doc_id % 3 AS fiscal_year, count(*) AS n, bool_and(true) AS all_valid FROM v_windows GROUP BY 1".replace("2000 + doc_id % 3", "(2000 + doc_id % 3)::INTEGER"))
 def write_read_chunks(spark: SparkSession, d: str) -> DataFrame:
     path = s.scratch(spark, "chunks")
-    c = documents.chunk_text(views.table(spark, d, "documents").filter("doc_id % 4 = 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    c = documents.chunk_text(views.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     s.write_chunks(c.select("doc_id", "part", F.col("text").alias("content_for_embedding"), (2000 + F.col("doc_id") % 3).cast("int").alias("fiscal_year"), F.lit("FPT").alias("ticker")), path)
     return s.read_chunks(spark, path).groupBy("fiscal_year").agg(F.count("*").alias("n"), F.bool_and("is_valid").alias("all_valid"))
 

@@ -92,7 +92,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     n = F.col("conv_id") % F.lit(len(QUESTION_FORMS))
     form = F.element_at(F.array(*map(F.lit, QUESTION_FORMS)), (n + 1).cast("int"))
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.concat(form, F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("question"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.concat(form, F.lit(" "), F.coalesce("text", F.lit(""))).alias("question"))
 
 
 QUESTION_FORMS = (
@@ -138,7 +138,7 @@ SQL = {
     "v_ingest": """SELECT user_id::VARCHAR AS doc_id, CASE event_type WHEN 'signup' THEN 'DISCOVERED' WHEN 'view' THEN 'DOWNLOADED' WHEN 'click' THEN 'PARSED' WHEN 'purchase' THEN 'EMBEDDED' WHEN 'error' THEN 'FAILED' END AS new_status,
         event_id, ts FROM events""",
     "v_calls": "SELECT event_type AS agent, CASE event_type WHEN 'error' THEN 'error' ELSE 'success' END AS status, value AS latency, ts, event_id, user_id FROM events",
-    "v_questions": f"SELECT conv_id * 100 + turn AS question_id, [{_FORMS_SQL}][conv_id % {len(QUESTION_FORMS)} + 1] || ' ' || substr(coalesce(text, ''), 1, 60) AS question FROM conversations WHERE role = 'user'",
+    "v_questions": f"SELECT conv_id * 100 + turn AS question_id, [{_FORMS_SQL}][conv_id % {len(QUESTION_FORMS)} + 1] || ' ' || coalesce(text, '') AS question FROM conversations WHERE role = 'user'",
 }
 
 

@@ -86,16 +86,6 @@ def test_news_order_and_selection(spark):
     assert got == {"article-2": None, "article-1": None, "article-3": "duplicate_canonical_url", "article-4": "near_duplicate_title", "article-5": "relevance_score<=0", "article-6": "near_duplicate_topic"}
 
 
-def test_article_text(spark):
-    md = "Trang chủ\n# FPT báo lãi lớn\n09:30 giá\nĐoạn một [liên kết](http://x) dài " + "chữ " * 40 + "\nTin liên quan\nbỏ đi"
-    df = spark.createDataFrame([(1, "FPT báo lãi lớn", "tóm tắt", md), (2, "t", "tóm tắt", None)], "article_id int, title string, snippet string, markdown string")
-    got = {r["article_id"]: r["text"] for r in news.extract_article_text(df).collect()}
-    assert got[1].startswith("FPT báo lãi lớn\nĐoạn một liên kết dài") and "bỏ" not in got[1] and "09:30" not in got[1]
-    assert got[2] == "tóm tắt"
-    assert one(spark, news.excerpt(F.lit("09:30 x\nLabel:\nfirst\nsecond"), F.lit(""))) == "first second"
-    assert one(spark, news.strip_publish_noise(F.lit("[CafeF] text"))) == "text"
-
-
 def test_chunking(spark):
     df = spark.createDataFrame([("d", " ".join(map(str, range(1000)))), ("e", "  "), ("f", "x y")], "doc_id string, text string")
     parts = [(r["doc_id"], r["part"], len(r["text"].split())) for r in o.chunk_text(df).orderBy("doc_id", "part").collect()]
