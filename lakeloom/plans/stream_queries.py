@@ -35,9 +35,9 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def finished(spark: SparkSession, stream: DataFrame, mode: str = "complete") -> DataFrame:
+def finished(spark: SparkSession, stream: DataFrame, *keys: str, part: str | None = None) -> DataFrame:
     path = s.scratch(spark, "result")
-    j.to_table(stream, path, f"{path}-checkpoint", mode)
+    j.to_table(stream, path, f"{path}-checkpoint", list(keys), part)
     return s.read_table(spark, path, stream.schema)
 
 
@@ -59,7 +59,7 @@ def stream_intraday(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT ticker, timestamp, close FROM (SELECT 'U' || user_id AS ticker, max(ts) AS timestamp, arg_max(value, ts) AS close FROM events GROUP BY 1)")
 def stream_latest_price(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").alias("timestamp"), F.col("value").alias("close"))
-    return finished(spark, j.latest_prices(e))
+    return finished(spark, j.latest_prices(e), "ticker")
 
 
 @query("SELECT ticker, trading_date, round(ma20, 9) AS ma20, flag_above_ma50 FROM v_flags")
@@ -95,17 +95,17 @@ def stream_stage_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT w AS window_start, agent, status, count(*) / 300.0::DOUBLE AS rate FROM (SELECT agent, status, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 4 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS w FROM v_calls) GROUP BY ALL")
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
-    return finished(spark, j.rates(calls(events(spark, d)).withWatermark("ts", "10 minutes"), ["agent", "status"]))
+    return finished(spark, j.rates(calls(events(spark, d)).withWatermark("ts", "10 minutes"), ["agent", "status"]), "window_start", "agent", "status")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, agent, count(*) AS n, sum(round(latency * 1000)::BIGINT)::BIGINT AS sum_ms, " + ", ".join(f"count(*) FILTER (WHERE latency <= {b}::DOUBLE) AS le_{i}" for i, b in enumerate(j.BUCKETS)) + " FROM v_calls GROUP BY ALL")
 def stream_latency_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return finished(spark, j.latency_histogram(calls(events(spark, d)), ["agent"]))
+    return finished(spark, j.latency_histogram(calls(events(spark, d)).withWatermark("ts", "1 day"), ["agent"]), "window_start", "agent")
 
 
 @query("SELECT event_type AS status, sum(greatest(user_id - 5, 0))::BIGINT AS total FROM events GROUP BY 1")
 def stream_ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    return finished(spark, j.ingest_counters(events(spark, d).select(F.col("event_type").alias("status"), (F.col("user_id") - 5).alias("amount"))))
+    return finished(spark, j.ingest_counters(events(spark, d).select(F.col("event_type").alias("status"), (F.col("user_id") - 5).alias("amount"))), "status")
 
 
 @query("SELECT event_type AS stage, count(*) AS published, count(*) FILTER (WHERE event_id % 3 <> 0) AS backlog FROM events GROUP BY 1")
@@ -126,7 +126,7 @@ _RANK = "CASE new_status WHEN 'DISCOVERED' THEN 10 WHEN 'DOWNLOADED' THEN 20 WHE
 def stream_doc_state(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"signup": "DISCOVERED", "view": "DOWNLOADED", "click": "PARSED", "purchase": "EMBEDDED", "error": "FAILED"}
     status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
-    return finished(spark, j.doc_state(events(spark, d).select(F.col("user_id").cast("string").alias("doc_id"), status.alias("new_status"))))
+    return finished(spark, j.doc_state(events(spark, d).select(F.col("user_id").cast("string").alias("doc_id"), status.alias("new_status"))), "doc_id")
 
 
 @query()
@@ -191,3 +191,89 @@ def parsed_document_sink(spark: SparkSession, d: str) -> DataFrame:
     t = doc_tables(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("ordinal"), "header", "rows")
     s.parsed_document_sink(views.sections(spark, d), t, path)
     return spark.read.parquet(path).filter("sections IS NOT NULL").select("doc_id", F.size("sections").cast("long").alias("sections"))
+
+
+@query(f"SELECT ticker, timestamp, close FROM (SELECT 'U' || user_id AS ticker, date_trunc('minute', ts) AS timestamp, arg_max(value, event_id) AS close FROM (SELECT user_id, date_trunc('minute', ts) AS ts, value, event_id FROM events) WHERE {_SESSION} GROUP BY 1, 2) WHERE timestamp >= TIMESTAMP '2024-01-20'")
+def stream_eod_purge(spark: SparkSession, d: str) -> DataFrame:
+    """Intraday rows left once the days up to the 20th are closed."""
+    e = events(spark, d).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.date_trunc("minute", "ts").alias("timestamp"), F.col("value").alias("close"), F.col("event_id").alias("arrival"))
+    path = s.scratch(spark, "intraday")
+    j.stream_intraday(e, path, f"{path}-checkpoint")
+    closed = views.table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.to_date("ts").alias("trading_date"), F.col("value").alias("close_price"), F.col("value").alias("adj_close_price"))
+    closed.filter("trading_date <= '2024-01-20'").groupBy("ticker", "trading_date").agg(F.max("close_price").alias("close_price"), F.max("adj_close_price").alias("adj_close_price")).write.parquet(f"{path}-closed")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}-closed").schema).parquet(f"{path}-closed")
+    j.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint-eod", path)
+    return s.read_table(spark, path, e.schema).select("ticker", "timestamp", "close")
+
+
+@query("SELECT count(*) AS attempted, count(*) FILTER (vec_id % 10 > 0) AS upserted, count(*) FILTER (vec_id % 10 = 0) AS failed, count(DISTINCT CASE WHEN vec_id % 10 > 0 THEN vec_id END) AS stored FROM embeddings")
+def write_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written twice: as many are stored; every tenth has no vector."""
+    path = s.scratch(spark, "vectors")
+    e = views.table(spark, d, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).alias("vector"), F.col("label").alias("ticker"))
+    s.write_vectors(spark, e, path)
+    report = s.write_vectors(spark, e, path)
+    stored = s.read_table(spark, path, "point_id decimal(20,0)").count()
+    return report.withColumn("stored", F.lit(stored).cast("long"))
+
+
+# -- readers: payload files made of the given tables, read back --
+
+
+def _json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+@query("SELECT ticker AS symbol, strftime(trading_date, '%d/%m/%Y') AS TradingDate, close_price::VARCHAR AS Close FROM v_payload".replace("close_price::VARCHAR", "round(close_price * 100)::BIGINT::VARCHAR"))
+def read_daily_payload(spark: SparkSession, d: str) -> DataFrame:
+    """A file line for each ticker; half of them hold their rows under the other name."""
+    path = s.scratch(spark, "payload")
+    rows = views.daily_payload(spark, d).select("ticker", F.struct(F.date_format("trading_date", "dd/MM/yyyy").alias("TradingDate"), F.round(F.col("close_price") * 100).cast("long").cast("string").alias("Close")).alias("row"))
+    sets = rows.groupBy(F.col("ticker").alias("symbol")).agg(F.collect_list("row").alias("rows"))
+    odd = F.pmod(F.crc32(F.col("symbol").cast("binary")), F.lit(2)) == 1
+    _json(sets.select("symbol", F.when(odd, F.col("rows")).otherwise(F.array()).alias("data"), F.when(~odd, F.col("rows")).alias("dataList")), path)
+    return s.read_daily_payload(spark, path, lines=True).select("symbol", "TradingDate", "Close")
+
+
+@query("SELECT upper(n_name) AS ticker, CASE WHEN n_nationkey % 3 = 0 THEN 'S' WHEN n_nationkey % 3 = 1 THEN 'HOSE' ELSE 'stock' END AS market, (n_nationkey * 100)::BIGINT AS current_listed_shares FROM nation")
+def read_symbol_profile(spark: SparkSession, d: str) -> DataFrame:
+    path, k = s.scratch(spark, "profiles"), F.col("n_nationkey")
+    info = F.struct(F.lower("n_name").alias("Symbol"), F.when(k % 3 == 0, "S").otherwise("").alias("SecType"), F.when(k % 3 == 1, "HOSE").otherwise(" ").alias("MarketId"), F.concat((k * 100).cast("string"), F.lit(".0")).alias("ListedShare"))
+    _json(views.table(spark, d, "nation").select(F.array(F.struct(F.array(info).alias("RepeatedInfo"))).alias("data")), path)
+    return s.read_symbol_profile(spark, path, lines=True).select("ticker", "market", "current_listed_shares")
+
+
+@query("SELECT CASE WHEN doc_id % 4 = 3 THEN 'unknown_doc' ELSE doc_id::VARCHAR END AS doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 1 END::INTEGER AS pages, sha256(CASE WHEN doc_id % 4 = 0 THEN text || 'second' ELSE text END) AS digest FROM documents WHERE text IS NOT NULL AND text <> ''")
+def read_parsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as parsed reports: pages under either name, inline markdown or inline text; every fourth without an id."""
+    path, k = s.scratch(spark, "reports"), F.col("doc_id") % 4
+    page = lambda c: F.struct(F.lit("1").alias("page"), c.alias("markdown"))
+    rows = views.table(spark, d, "documents").filter("text <> ''").select(
+        F.when(k == 3, "").otherwise(F.col("doc_id").cast("string")).alias("doc_id"), F.when(k == 0, F.array(page(F.col("text")), page(F.lit("second")))).alias("pages"),
+        F.when(k == 1, F.struct(F.array(page(F.col("text"))).alias("pages"))).alias("result"), F.when(k == 2, F.col("text")).alias("markdown"), F.when(k == 3, F.col("text")).alias("text"),
+    )
+    _json(rows, path)
+    read = s.read_parsed_documents(spark, path, lines=True)
+    return read.select("doc_id", F.size("pages").alias("pages"), F.sha2(F.array_join(F.transform("pages", lambda p: F.coalesce(p["markdown"], p["text"])), ""), 256).alias("digest"))
+
+
+@query("SELECT doc_id, lang AS ticker, CASE WHEN doc_id % 2 = 0 THEN 'v' END AS kept, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def join_markdown_json(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.table(spark, d, "documents").filter("text IS NOT NULL")
+    parsed = docs.filter("doc_id % 2 = 0").select("doc_id", F.create_map(F.lit("ticker"), F.lit("OLD"), F.lit("k"), F.lit("v")).alias("metadata"))
+    out = s.join_markdown_json(docs.select("doc_id", F.col("lang").alias("ticker")), docs.select("doc_id", F.col("text").alias("markdown")), parsed)
+    return out.select("doc_id", F.try_element_at("metadata", F.lit("ticker")).alias("ticker"), F.try_element_at("metadata", F.lit("k")).alias("kept"), F.sha2("markdown", 256).alias("digest"))
+
+
+@query("SELECT true AS has_digest, true AS named, count(DISTINCT source) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT false, false, 1")
+def raw_file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """A raw file for each source, and one that is expected and missing."""
+    path = s.scratch(spark, "raw")
+    docs = views.table(spark, d, "documents").filter("source IS NOT NULL")
+    docs.select(F.concat_ws(" ", F.col("doc_id").cast("string"), "lang").alias("value"), "source").repartition("source").write.partitionBy("source").text(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    names = files.select(F.element_at(F.split("path", "/"), -1).alias("name")).union(spark.createDataFrame([("absent.pdf",)], "name string"))
+    found = s.raw_file_inventory(spark, path, names)
+    per = files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct().count()
+    out = found.select(F.col("sha256").isNotNull().alias("has_digest"), (F.col("name") != "absent.pdf").alias("named")).distinct()
+    return out.withColumn("n", F.when(F.col("named"), F.lit(per)).otherwise(1).cast("long"))

@@ -4,38 +4,81 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from lakeloom.functions.text import slug
 from lakeloom.operators.market import PAYLOAD_FIELDS
 
 # -- folders and versioned tables -------------------------------------------------------------------------------------
 
+#: Parts by hash of the key into which an upserted table is dealt where the caller names no other.
+BUCKETS = 16
+
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    """A new path in the folder that all executors share; one of our own only where none is set and all of Spark runs in
+    one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakeloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lakeloom-")
+        context.setCheckpointDir(folder)
     return f"{context.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def current_version(spark: SparkSession, path: str) -> int:
     """The last committed version of a table, 0 when there is none."""
-    try:
-        return spark.read.schema("version int").parquet(f"{path}/_versions").agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
+    files, at = _files(spark, f"{path}/_versions")
+    if not files.exists(at):
         return 0
+    return max((int(x.getPath().getName()) for x in files.listStatus(at) if x.getPath().getName().isdigit()), default=0)
+
+
+def _parts(spark: SparkSession, path: str, version: int) -> dict[str, int]:
+    """Which version each part of a table has, as of a commit."""
+    if not version:
+        return {}
+    rows = spark.read.schema("part string, version int").parquet(f"{path}/_versions/{version}").collect()
+    return {r["part"]: r["version"] for r in rows}
+
+
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, int], schema: T.StructType | str) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/v{v}/part={k}" for k, v in sorted(parts.items())))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The current version, or an empty table."""
-    version = current_version(spark, path)
-    return spark.read.schema(schema).parquet(f"{path}/v{version}") if version else spark.createDataFrame([], schema)
+    return _read_parts(spark, path, _parts(spark, path, current_version(spark, path)), schema)
+
+
+def _commit(spark: SparkSession, path: str, version: int, parts: dict[str, int]) -> None:
+    """Make a version the current one. A commit of a number that is there already fails, so of two writers one loses;
+    what neither this version nor the one before it needs is removed."""
+    before = _parts(spark, path, version - 1)
+    spark.createDataFrame(sorted(parts.items()), "part string, version int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/_versions/{version}")
+    if version < 3:
+        return
+    for part, v in _parts(spark, path, version - 2).items():
+        if v not in (before.get(part), parts.get(part)):
+            files, at = _files(spark, f"{path}/v{v}/part={part}")
+            files.delete(at, True)
+    files, at = _files(spark, f"{path}/_versions/{version - 2}")
+    files.delete(at, True)
 
 
 def write_version(df: DataFrame, path: str) -> int:
@@ -43,18 +86,45 @@ def write_version(df: DataFrame, path: str) -> int:
     the old version can be written."""
     spark = df.sparkSession
     version = current_version(spark, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+    df.write.mode("overwrite").parquet(f"{path}/v{version}/part=all")
+    _commit(spark, path, version, {"all": version})
     return version
 
 
-def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str]) -> None:
-    """Keyed upsert into a versioned table."""
-    from lakeloom.operators.market import upsert_replace
+def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str], part: Column | None = None) -> int:
+    """Keyed upsert into a versioned table; returns the number of rows put in. ``part``, a function of the key (a date, a
+    hash by default), deals the table into parts, and only the parts that the batch touches are written anew."""
+    from lakeloom.operators.market import last_of_batch
 
     columns = [c for c in batch.columns if not c.startswith("_")]
-    target = read_table(spark, path, batch.select(*columns).schema)
-    write_version(upsert_replace(target, batch, keys, order), path)
+    part = F.coalesce((F.pmod(F.hash(*keys), F.lit(BUCKETS)) if part is None else part).cast("string"), F.lit("none"))
+    folder = f"{path}/_batches/{uuid.uuid4().hex}"  # the batch is read three times and may be costly
+    last_of_batch(batch, keys, order).select(*columns, part.alias("part")).write.parquet(folder)
+    schema = batch.select(*columns).schema
+    rows = spark.read.schema(T.StructType([*schema, T.StructField("part", T.StringType())])).parquet(folder)
+    version = current_version(spark, path)
+    parts = _parts(spark, path, version)
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    if counts:
+        target = _read_parts(spark, path, {k: v for k, v in parts.items() if k in counts}, schema).withColumn("part", part)
+        merged = target.join(rows.select(*keys), keys, "left_anti").select(*columns, "part").unionByName(rows)
+        merged.hint("rebalance", "part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/v{version + 1}")
+        _commit(spark, path, version + 1, parts | dict.fromkeys(counts, version + 1))
+    files, at = _files(spark, folder)
+    files.delete(at, True)
+    return sum(counts.values())
+
+
+def drop_parts(spark: SparkSession, path: str, gone: Callable[[str], bool]) -> int:
+    """Drop the parts of a versioned table whose names ``gone`` picks; nothing is written anew. Returns how many rows went."""
+    version = current_version(spark, path)
+    parts = _parts(spark, path, version)
+    old = {k: v for k, v in parts.items() if gone(k)}
+    if not old:
+        return 0
+    rows = spark.read.parquet(*(f"{path}/v{v}/part={k}" for k, v in old.items())).count()
+    _commit(spark, path, version + 1, {k: v for k, v in parts.items() if k not in old})
+    return rows
 
 
 def write_by_year(daily: DataFrame, path: str) -> None:
@@ -82,17 +152,17 @@ _ROW = T.StructType([T.StructField(n, T.StringType()) for n in PAYLOAD_FIELDS])
 PAYLOAD = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("data", T.ArrayType(_ROW)), T.StructField("dataList", T.ArrayType(_ROW))])
 
 
-def read_daily_payload(spark: SparkSession, path: str) -> DataFrame:
-    """Price payload files: rows under data or else dataList; none is no rows."""
-    raw = spark.read.schema(PAYLOAD).option("multiLine", True).json(path)
+def read_daily_payload(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Price payload files (one payload each, or one a line): rows under data or else dataList; none is no rows."""
+    raw = spark.read.schema(PAYLOAD).option("multiLine", not lines).json(path)
     rows = F.when(F.size("data") > 0, F.col("data")).otherwise(F.col("dataList"))
     return raw.select("symbol", F.explode(rows).alias("row")).select("symbol", "row.*")
 
 
-def read_symbol_profile(spark: SparkSession, path: str) -> DataFrame:
+def read_symbol_profile(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The first repeated record of each profile file; the market is the security type, else the market id, else stock."""
     kind = "data array<struct<RepeatedInfo: array<struct<Symbol: string, SymbolName: string, SymbolEngName: string, Exchange: string, SecType: string, MarketId: string, ListedShare: string>>>>"
-    raw = spark.read.schema(kind).option("multiLine", True).json(path)
+    raw = spark.read.schema(kind).option("multiLine", not lines).json(path)
     i = F.get(F.get("data", F.lit(0))["RepeatedInfo"], F.lit(0))
     text = lambda n: F.nullif(F.trim(i[n]), F.lit(""))
     return raw.select(
@@ -106,9 +176,9 @@ _TABLE = "array<struct<page: int, section_title: string, header: array<string>,
 PARSED = f"doc_id string, metadata map<string, string>, pages {_PAGE}, result struct<pages: {_PAGE}>, markdown string, text string, tables {_TABLE}"
 
 
-def read_parsed_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_parsed_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Parsed reports: pages under their names, else the inline text as page 1; unknown_doc without an id."""
-    raw = spark.read.schema(PARSED).option("multiLine", True).json(path)
+    raw = spark.read.schema(PARSED).option("multiLine", not lines).json(path)
     inline = F.coalesce(F.nullif("markdown", F.lit("")), F.nullif("text", F.lit("")))
     none = F.lit(None).cast("string")
     one = F.array(F.struct(F.lit("1").alias("page"), none.alias("page_number"), none.alias("number"), inline.alias("markdown"), none.alias("text"), none.alias("content")))
@@ -166,3 +236,13 @@ def parsed_document_sink(sections: DataFrame, tables: DataFrame, path: str) -> N
     s.join(t, "doc_id", "full_outer").withColumn("record_id", slug(F.col("doc_id").cast("string"))).write.mode("overwrite").parquet(path)
 
 
+def write_vectors(spark: SparkSession, points: DataFrame, path: str) -> DataFrame:
+    """Upsert of embedded chunks (chunk_id, vector, payload) by their stable point id, repeatable at will; points without an
+    id or a vector fail and stay out. Returns one row: attempted, upserted and failed points."""
+    from lakeloom.operators.documents import point_id
+
+    ok = F.coalesce((F.col("chunk_id") != "") & (F.size("vector") > 0), F.lit(False))
+    good = points.filter(ok).withColumn("point_id", point_id(F.col("chunk_id")))
+    counts = points.agg(F.count("*").alias("attempted"), F.count_if(~ok).alias("failed")).first()
+    upserted = upsert_table(spark, path, good, ["point_id"], ["chunk_id"])
+    return spark.createDataFrame([(counts["attempted"], upserted, counts["failed"])], "attempted long, upserted long, failed long")

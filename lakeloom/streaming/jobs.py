@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import documents, market
 from lakeloom.operators.market import status_rank
 from lakeloom.schemas import STATUS_RANK
-from lakeloom.sources.tables import append_events, read_table, upsert_table, write_version
+from lakeloom.sources.tables import append_events, drop_parts, read_table, upsert_table
 
 
 def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -21,31 +21,44 @@ def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 def stream_intraday(snapshots: DataFrame, path: str, checkpoint: str) -> None:
     """Session snapshots upserted by ticker and minute: late rows replace by key, rows without a key or price go to a
-    quarantine beside the table and stop nothing. Upserts by key make a repeated batch harmless."""
+    quarantine beside the table and stop nothing. The table lies by day, and a batch writes the days that it touches.
+    Upserts by key make a repeated batch harmless."""
     spark = snapshots.sparkSession
 
     def each(batch: DataFrame, _: int) -> None:
         ok = F.col("ticker").isNotNull() & F.col("timestamp").isNotNull() & F.col("close").isNotNull()
         append_events(batch.filter(~F.coalesce(ok, F.lit(False))), f"{path}-quarantine")
-        upsert_table(spark, path, batch.filter(ok), ["ticker", "timestamp"], ["arrival"])
+        upsert_table(spark, path, batch.filter(ok), ["ticker", "timestamp"], ["arrival"], F.to_date("timestamp"))
 
     available_now(snapshots.filter(market.in_session(F.col("timestamp"))), each, checkpoint)
 
 
 def latest_prices(snapshots: DataFrame) -> DataFrame:
-    """The latest snapshot of each ticker; the same columns on a stream (update or complete mode) or a batch."""
+    """The latest snapshot of each ticker; the same columns on a stream (update mode) or a batch."""
     return snapshots.groupBy("ticker").agg(F.max(F.struct("timestamp", "close")).alias("last")).select("ticker", "last.timestamp", "last.close")
 
 
-def stream_eod(daily: DataFrame, symbols: DataFrame, raw_path: str, feature_path: str, checkpoint: str) -> None:
-    """Closed days: upsert the daily rows, then compute features anew for the touched tickers only."""
+def purge_intraday(spark: SparkSession, path: str, before: str) -> int:
+    """Drop the days before a date from the intraday table; returns how many rows went."""
+    return drop_parts(spark, path, lambda day: day < before)
+
+
+def stream_eod(daily: DataFrame, symbols: DataFrame, raw_path: str, feature_path: str, checkpoint: str, intraday_path: str | None = None) -> None:
+    """Closed days: upsert the daily rows by year, compute features anew for the touched tickers from the first day of the
+    batch on (what lies before cannot change), and drop intraday rows of days before the last one that is closed."""
     spark = daily.sparkSession
+    year = F.year("trading_date")
 
     def each(batch: DataFrame, _: int) -> None:
-        upsert_table(spark, raw_path, batch, ["ticker", "trading_date"], ["trading_date"])
-        touched = batch.select("ticker").distinct()
-        rows = read_table(spark, raw_path, batch.schema).join(touched, "ticker", "left_semi")
-        upsert_table(spark, feature_path, market.daily_features(rows, symbols), ["ticker", "trading_date"], ["trading_date"])
+        upsert_table(spark, raw_path, batch, ["ticker", "trading_date"], ["trading_date"], year)
+        first, last = batch.agg(F.min("trading_date"), F.max("trading_date")).first()
+        if first is None:
+            return
+        rows = read_table(spark, raw_path, batch.schema).join(batch.select("ticker").distinct(), "ticker", "left_semi")
+        features = market.daily_features(rows, symbols).filter(F.col("trading_date") >= F.lit(first))
+        upsert_table(spark, feature_path, features, ["ticker", "trading_date"], ["trading_date"], year)
+        if intraday_path:
+            purge_intraday(spark, intraday_path, last.isoformat())
 
     available_now(daily, each, checkpoint)
 
@@ -115,6 +128,7 @@ def url_dedupe(urls: DataFrame, ttl: str = "24 hours") -> DataFrame:
     return urls.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["url_hash"])
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """A stream's result as a versioned table: each batch of a complete-mode stream is a version."""
-    available_now(stream, lambda batch, _: write_version(batch, path) and None, checkpoint, mode)
+def to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], part: str | None = None) -> None:
+    """A stream's result as a versioned table: each batch in update mode puts its changed rows in place by key."""
+    spark = stream.sparkSession
+    available_now(stream, lambda batch, _: upsert_table(spark, path, batch, keys, keys, F.col(part) if part else None) and None, checkpoint, "update")
