@@ -3,8 +3,8 @@
 Operator 9's rule (three words, two bits) is bound to its query; at a similarity of 0.8 five-word fingerprints lie about
 ten of 64 bits apart, and a budget that holds such pairs (17 bits) lets a fixed share of all pairs of texts through.
 Candidates therefore come from the SimHash tries at their narrow budget and from minhash bands: two texts of similarity
-0.8 share one of 30 bands of five minhashes with probability 1 - 7e-6. First each bucket's members meet one of them, which
-takes a row a member; pairs whose minhashes agree far less than 0.8 asks for are left out (a similar pair falls below
+0.8 share one of 30 bands of five minhashes with probability 1 - 7e-6. In each of three rounds, a bucket's members meet one of
+them if no link has put them into its component, which takes a row a member at most; pairs whose minhashes agree far less than 0.8 asks for are left out (a similar pair falls below
 ``LEAST`` of 150 with probability 1e-7), the rest is checked on its texts, so nothing is linked below 0.8.
 
 After the components of these links, the texts of buckets that still hold several components meet by their prefixes: with
@@ -31,6 +31,8 @@ from lakeloom.llm.common import dropped, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 30, 5
+#: Rounds in which the members of a bucket meet one of them.
+STARS = 3
 #: Of all minhashes, how many of a candidate pair agree in their low bytes at least.
 LEAST = 92
 #: Shingles whose minhashes are computed at once.
@@ -119,7 +121,8 @@ def _texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that are similar, by their texts, written."""
-    texts = written(_texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs), "near-texts")
+    ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+    texts = written(_texts(ends, docs), "near-texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
@@ -174,22 +177,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
     tries = simhash.links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
 
     keyed = signed.select("node", "size", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("turn"), "node", "size")).alias("hub")).filter("n > 1")
-    buckets = written(keyed.join(met, "key").select("key", "node", "size", F.struct("hub.node", "hub.size").alias("hub")), "near-buckets")
-    stars = buckets.select(one.alias("x"), F.col("hub").alias("y"))
-    first = written(_likely(_pairs(stars.unionByName(same).unionByName(tries)), signed), "near-pairs")
-    found = _checked(first, docs)
-    dropped(signed, first)
-
-    roots = simhash.components(found)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    buckets = written(keyed.join(shared, "key"), "near-buckets")
+    links = roots = None
+    for turn in range(STARS):
+        named = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        chance = F.xxhash64("node", "key", F.lit(turn)).alias("turn")
+        hubs = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(chance, "node", "size", "root")).alias("hub")).filter("low <> high")
+        stars = named.join(hubs, "key").filter("root <> hub.root").select(one.alias("x"), F.struct("hub.node", "hub.size").alias("y"))
+        pairs = _pairs(stars.unionByName(same).unionByName(tries) if turn == 0 else stars)
+        first = written(_likely(pairs, signed), "near-pairs")
+        found = _checked(first, docs)
+        dropped(first, *([roots] if roots is not None else []))
+        links = found if links is None else written(links.unionByName(found), "near-links")
+        roots = simhash.components(links)
     named = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     left = written(named.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-mixed")
     pairs = prefix_pairs(left, docs)
     more = _checked(pairs, docs)
-    dropped(buckets, left, pairs)
+    dropped(signed, buckets, left, pairs)
     if more.first():
         dropped(roots)
-        roots = simhash.components(found.unionByName(more))
-    dropped(found, more)
+        roots = simhash.components(links.unionByName(more))
+    dropped(links, more)
     return roots
