@@ -20,12 +20,18 @@ BASE_URL = "https://static2.vietstock.vn/data"
 QUARTERS = ((1, "QUY%201", ("Q1",)), (2, "QUY%202", ("Q2", "6T")), (3, "QUY%203", ("Q3", "9T")), (4, "QUY%204", ("Q4",)))
 REPORT_TYPES, SCOPES = ("Soatxet", "KiemToan"), ("Congtyme", "Hopnhat")
 
+#: Fiscal years that one discovery can ask for.
+MOST_YEARS = 200
+
 # -- discovery --------------------------------------------------------------------------------------------------------
 
 
 def discovery_requests(tickers: DataFrame, years: DataFrame, exchanges: DataFrame, default: str = "HOSE") -> DataFrame:
-    """Every ticker with every fiscal year (years are a handful), and its exchange or the default."""
-    rows = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct().crossJoin(F.broadcast(years.select("fiscal_year")))
+    """Every ticker with every fiscal year (one array of distinct years), and its exchange or the default."""
+    wanted = sorted(r["fiscal_year"] for r in years.select("fiscal_year").distinct().limit(MOST_YEARS + 1).collect())
+    if len(wanted) > MOST_YEARS:
+        raise ValueError(f"more than {MOST_YEARS} fiscal years")
+    rows = tickers.select(F.upper(F.trim("ticker")).alias("ticker")).distinct().withColumn("fiscal_year", F.explode(F.array(*map(F.lit, wanted)).cast(f"array<{dict(years.dtypes)['fiscal_year']}>")))
     return rows.join(exchanges.select("ticker", "exchange"), "ticker", "left").withColumn("exchange", F.coalesce("exchange", F.lit(default)))
 
 

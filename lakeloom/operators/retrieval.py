@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,32 +114,77 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, cells: int = 16) -> DataFrame:
+#: Chunks and questions of a cell of the vector search, about; multiply-adds of a cell at once.
+CELL_CHUNKS, CELL_QUESTIONS, CELL_STEP = 8192, 4096, 1 << 22
+
+
+def _cell_best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` best chunks of one cell for each of its questions, by cosine rounded to six digits, then point_id."""
+    columns = ["question_id", "point_id", "cosine"]
+    if not len(q) or not len(c):
+        return pd.DataFrame({x: [] for x in columns})
+    c = c.sort_values("point_id")
+    points, found = c["point_id"].to_numpy(), []
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (np.stack(t["vector"].to_numpy()).astype(float) for t in (q, c)))
+    for lo in range(0, len(a), step := max(1, CELL_STEP // max(1, len(b)))):
+        near = np.round(a[lo : lo + step] @ b.T, 6)
+        near[np.isnan(near)] = -2  # a vector of zeros has no cosine
+        for i, row in enumerate(near, lo):
+            kth = np.partition(row, len(row) - min(k, len(row)))[len(row) - min(k, len(row))]
+            at = np.flatnonzero(row >= kth)
+            at = at[np.argsort(-row[at], kind="stable")][:k]
+            found.append((np.full(len(at), q["question_id"].iloc[i]), points[at], np.where(row[at] < -1, np.nan, row[at])))
+    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, cell_chunks: int = CELL_CHUNKS, cell_questions: int = CELL_QUESTIONS) -> DataFrame:
     """The ``k`` chunks of highest cosine for each question vector among those that meet the filters the question sets.
 
-    Chunks are dealt into ``cells`` by hash and questions are copied to each, so that neither side is broadcast whole and
-    each cell keeps only its ``k`` best; ties go to the smaller point_id."""
+    The filters that a question sets and their values are a key; a chunk has a key for each set of filters that occurs, so
+    questions meet only chunks that pass. The chunks and the questions of a key are dealt into cells of bounded size by
+    hash, every cell multiplies its block and keeps its ``k`` best; ties go to the smaller point_id, vectors of other lengths
+    or of zeros are left out."""
     used = [c for c in filters if c in questions.columns and c in chunks.columns]
-    c = chunks.select("point_id", F.col("vector").alias("_v"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("_norm"), *(F.col(x).alias(f"_{x}") for x in used), F.pmod(F.xxhash64("point_id"), F.lit(cells)).alias("_cell"))
-    q = questions.withColumns({"_qnorm": F.sqrt(dot(F.col("vector"), F.col("vector"))), "_cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<bigint>"))})
-    met = F.lit(True)
+    mask = F.lit("")
     for x in used:
-        met = met & (F.col(x).isNull() | (F.col(x) == F.col(f"_{x}")))
-    rows = q.join(c, (q["_cell"] == c["_cell"]) & met).select("question_id", c["_cell"], "point_id", F.round(F.try_divide(dot(F.col("vector"), F.col("_v")), F.col("_qnorm") * F.col("_norm")), 6).alias("cosine"))
-    best = Window.partitionBy("question_id", "_cell").orderBy(F.desc("cosine"), "point_id")
-    rows = rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+        mask = F.concat(mask, F.when(F.col(x).isNull(), "0").otherwise("1"))
+    q = questions.filter(F.size("vector") > 0).select("question_id", "vector", mask.alias("mask"), *used)
+    sets = sorted(r["mask"] for r in q.select("mask").distinct().collect())  # at most two to the number of filters
+
+    def key(mask: str) -> Column:
+        parts = [F.coalesce(F.col(x).cast("string"), F.lit("\0")) for x, on in zip(used, mask, strict=True) if on == "1"]
+        return F.concat_ws("\1", F.lit(mask), *parts, F.size("vector").cast("string"))
+
+    of_question = F.coalesce(*(F.when(F.col("mask") == m, key(m)) for m in sets)) if sets else F.lit("")
+    q = q.select("question_id", "vector", of_question.alias("key"))
+    c = chunks.filter(F.size("vector") > 0).select("point_id", "vector", F.explode(F.array(*map(key, sets)) if sets else F.array().cast("array<string>")).alias("key"))
+    c = c.join(q.select("key").distinct(), "key", "left_semi")
+    sizes = c.groupBy("key").agg(F.ceil(F.count("*") / cell_chunks).cast("int").alias("c_cells")).join(q.groupBy("key").agg(F.ceil(F.count("*") / cell_questions).cast("int").alias("q_cells")), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    left = q.join(sizes, "key").select("question_id", "vector", "key", own("question_id", "q_cells").alias("qc"), every("c_cells").alias("cc"))
+    right = c.join(sizes, "key").select("point_id", "vector", "key", own("point_id", "c_cells").alias("cc"), every("q_cells").alias("qc"))
+    schema = f"question_id {dict(q.dtypes)['question_id']}, point_id {dict(c.dtypes)['point_id']}, cosine double"
+    met = left.groupBy("key", "qc", "cc").cogroup(right.groupBy("key", "qc", "cc")).applyInPandas(lambda a, b: _cell_best(a, b, k), schema)
     order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "point_id")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "point_id", "cosine")
+    met = met.filter(~F.isnan("cosine")).withColumn("cosine", F.round("cosine", 6))
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "point_id", "cosine")
 
 
-def vector_topk_lsh(questions: DataFrame, chunks: DataFrame, k: int = TOP, tables: int = 8, width: float = 1.0, radius: float = 1.4) -> DataFrame:
-    """Approximate top-k: random projections of unit vectors propose pairs within a radius, exact cosine ranks them."""
+def vector_topk_lsh(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, tables: int = 8, width: float = 1.0, radius: float = 1.4) -> DataFrame:
+    """Approximate top-k: random projections of unit vectors propose pairs within a radius, exact cosine ranks those that
+    meet the filters the question sets. Recall is measured by the tests."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    q, c = (x.select(key, array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("v")) for x, key in ((questions, "question_id"), (chunks, "point_id")))
+    used = [c for c in filters if c in questions.columns and c in chunks.columns]
+    q, c = (x.select(key, array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("v"), *used) for x, key in ((questions, "question_id"), (chunks, "point_id")))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, "distance").select("datasetA.question_id", "datasetB.point_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("cosine"))
+    pairs = model.approxSimilarityJoin(q, c, radius, "distance")
+    for x in used:
+        pairs = pairs.filter(F.col(f"datasetA.{x}").isNull() | (F.col(f"datasetA.{x}") == F.col(f"datasetB.{x}")))
+    pairs = pairs.select("datasetA.question_id", "datasetB.point_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("cosine"))
     order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "point_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

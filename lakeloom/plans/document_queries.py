@@ -159,10 +159,13 @@ def table_chunks(spark: SparkSession, d: str) -> DataFrame:
     return o.chunk_table(doc_tables(spark, d).select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("table_id"), "header", "rows"))
 
 
-@query(f"""SELECT l_orderkey AS doc_id, 'table_full' AS chunk_type, NULL::INTEGER AS row_index, {_MD.format("header")} || chr(10) || '| --- | --- | --- | --- |' || chr(10) || array_to_string(list_transform(rows, lambda r: {_MD.format("r")}), chr(10)) AS content, NULL AS linked_id FROM v_lines
+views.SQL["v_ct"] = f"""SELECT l_orderkey AS doc_id, 'table_full' AS chunk_type, NULL::INTEGER AS row_index, {_MD.format("header")} || chr(10) || '| --- | --- | --- | --- |' || chr(10) || array_to_string(list_transform(rows, lambda r: {_MD.format("r")}), chr(10)) AS content, NULL AS linked_id FROM v_lines
     UNION ALL SELECT l_orderkey, 'table_row', row_index, trim(row[1]) || ' | ' || array_to_string({_VALUES}, ' | '), 'financial_report_vi_t' || l_orderkey || '_window_' || lpad(row_index::VARCHAR, 4, '0') FROM v_valid
     UNION ALL SELECT a.l_orderkey, 'table_row_window', a.row_index, {_MD.format("any_value(a.header)")} || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg({_MD.format("b.row")}, chr(10) ORDER BY b.row_index), 'financial_report_vi_t' || a.l_orderkey || '_row_' || lpad(a.row_index::VARCHAR, 4, '0')
-        FROM v_valid a JOIN v_valid b ON a.l_orderkey = b.l_orderkey AND abs(a.row_index - b.row_index) <= 1 GROUP BY a.l_orderkey, a.row_index""")
+        FROM v_valid a JOIN v_valid b ON a.l_orderkey = b.l_orderkey AND abs(a.row_index - b.row_index) <= 1 GROUP BY a.l_orderkey, a.row_index"""
+
+
+@query("SELECT doc_id, chunk_type, row_index, content, linked_id FROM v_ct")
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:
     return table_chunks(spark, d).select("doc_id", "chunk_type", "row_index", "content", "linked_id")
 

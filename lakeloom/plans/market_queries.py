@@ -42,11 +42,10 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 @query("""SELECT f.ticker, f.trading_date, s.exchange, coalesce(d.adj_close_price, d.close_price) AS effective_close_price, round(ma20, 9) AS ma20, round(ma50, 9) AS ma50, round(rsi_14, 9) AS rsi_14, flag_above_ma50, flag_overbought, flag_oversold
     FROM v_flags f JOIN v_symbols s USING (ticker) JOIN v_daily d USING (ticker, trading_date) WHERE ma20 IS NOT NULL AND (flag_overbought OR flag_oversold OR flag_above_ma50)""")
 def market_screen(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: cleaning, indicators, view, screen."""
-    symbols = views.symbols(spark, d)
-    f = features(spark, d)
-    view = m.daily_view(symbols, daily(spark, d), f.drop("exchange", "market", "current_listed_shares", "adj_close_price", "close_price"))
-    view = view.filter(F.col("ma20").isNotNull() & (F.col("flag_overbought") | F.col("flag_oversold") | F.col("flag_above_ma50")))
+    """Flagship: cleaning, indicators, view, screen. Listed tickers carry their exchange and prices through the indicators,
+    so the daily rows are aggregated once and shuffled once by ticker."""
+    view = features(spark, d).filter(F.col("exchange").isNotNull() & F.col("ma20").isNotNull() & (F.col("flag_overbought") | F.col("flag_oversold") | F.col("flag_above_ma50")))
+    view = view.withColumn("effective_close_price", m.effective_close())
     return rounded(view.select("ticker", "trading_date", "exchange", "effective_close_price", "ma20", "ma50", "rsi_14", "flag_above_ma50", "flag_overbought", "flag_oversold"), "ma20", "ma50", "rsi_14")
 
 
@@ -130,9 +129,9 @@ def effective_close(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).select("ticker", "trading_date", m.effective_close().alias("effective_close_price"))
 
 
-@query("SELECT ticker, trading_date, round(rsi_14, 9) AS rsi_14 FROM v_flags WHERE flag_overbought ORDER BY trading_date DESC, ticker LIMIT 200")
+@query("SELECT ticker, trading_date, round(rsi_14, 9) AS rsi_14 FROM v_flags WHERE flag_above_ma50 AND rsi_14 > 50 ORDER BY trading_date DESC, ticker LIMIT 200")
 def screen_signals(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(m.screen_signals(features(spark, d), F.col("flag_overbought")).select("ticker", "trading_date", "rsi_14"), "rsi_14")
+    return rounded(m.screen_signals(features(spark, d), F.col("flag_above_ma50") & (F.col("rsi_14") > 50)).select("ticker", "trading_date", "rsi_14"), "rsi_14")
 
 
 # -- joins and views --
@@ -177,9 +176,12 @@ def current_price_with_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT a.ticker, a.trading_date AS date_1, a.price AS price_1, b.trading_date AS date_2, b.price AS price_2, round(b.price - a.price, 4) AS price_change, round(100 * (b.price - a.price) / nullif(a.price, 0), 2) AS percent_change
-    FROM v_price a JOIN v_price b ON a.ticker = b.ticker AND a.trading_date = DATE '1996-03-04' AND b.trading_date = DATE '1996-03-08'""")
+    FROM v_price a JOIN v_price b ON a.ticker = b.ticker AND a.trading_date = (SELECT min(trading_date) FROM v_price WHERE ticker = (SELECT min(ticker) FROM v_price)) AND b.trading_date = (SELECT max(trading_date) FROM v_price WHERE ticker = (SELECT min(ticker) FROM v_price))""")
 def compare_two_dates(spark: SparkSession, d: str) -> DataFrame:
-    return m.compare_two_dates(daily(spark, d), F.lit(datetime.date(1996, 3, 4)), F.lit(datetime.date(1996, 3, 8)))
+    """The first and the last day of the first ticker, for every ticker with prices on both."""
+    prices = daily(spark, d)
+    first, last = prices.groupBy("ticker").agg(F.min("trading_date"), F.max("trading_date")).orderBy("ticker").first()[1:]
+    return m.compare_two_dates(prices, F.lit(first), F.lit(last))
 
 
 @query("""SELECT ticker, date_trunc('year', trading_date)::DATE AS period, arg_min(price, trading_date) AS start_price, arg_max(price, trading_date) AS end_price,

@@ -155,11 +155,15 @@ def linked_chunk_lookup(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'w' WHEN doc_id % 4 = 1 THEN 'f' WHEN doc_id % 4 = 2 THEN 'r' ELSE 'e' END AS text, doc_id % 8 = 6 AS toc FROM documents""")
+@query("""SELECT doc_id, chunk_type, row_index, CASE WHEN chunk_type = 'table_full' THEN 'raw ' || content WHEN row_index % 2 = 0 THEN CASE chunk_type WHEN 'table_row' THEN 'row ' ELSE 'window ' END || content ELSE content END AS text,
+    chunk_type = 'table_full' AND contains(content, '| part |') AS toc FROM v_ct""")
 def payload_text(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id") % 4
-    c = views.table(spark, d, "documents").select("doc_id", F.when(n == 0, "table_row_window").when(n == 1, "table_row").when(n == 2, "table").otherwise("text").alias("chunk_type"), F.lit("w").alias("window_text"), F.lit("f").alias("focus_row_text"), F.lit("r").alias("raw_content"), F.lit("e").alias("content_for_embedding"))
-    return c.select("doc_id", r.payload_text().alias("text"), r.toc_like(F.when(F.col("doc_id") % 8 == 6, "muc luc").otherwise("noi dung")).alias("toc"))
+    """Chunks of order tables; every second row has texts of its own, the others fall back to what is embedded."""
+    c, even = table_chunks(spark, d), F.coalesce(F.col("row_index") % 2 == 0, F.lit(False))
+    own = lambda word: F.when(even, F.concat(F.lit(word), "content")).otherwise("")
+    c = c.withColumns({"window_text": own("window "), "focus_row_text": own("row "), "raw_content": F.concat(F.lit("raw "), "content"), "content_for_embedding": F.col("content")})
+    listed = F.regexp_replace(F.regexp_replace(r.fold_text(F.col("content")), r"\| part \|", "| noi dung |"), r"\| price \|", "| trang |")
+    return c.select("doc_id", "chunk_type", "row_index", r.payload_text().alias("text"), (r.toc_like(listed) & (F.col("chunk_type") == "table_full")).alias("toc"))
 
 
 @query("SELECT doc_id, round(len(list_filter(['the', 'de', 'und'], lambda w: contains(lower(strip_accents(replace(text, 'ß', 'ss'))), w))) / 3.0::DOUBLE, 6) AS coverage FROM documents")
@@ -173,15 +177,15 @@ def hit_preview(spark: SparkSession, d: str) -> DataFrame:
     return r.hit_preview(c).select("doc_id", "preview")
 
 
-@query("SELECT l_orderkey AS question_id, 'tong tai san' AS metric, '30.6.2025 VND' AS key, (l_orderkey + 1)::VARCHAR AS value FROM (SELECT DISTINCT l_orderkey FROM lineitem) UNION ALL SELECT l_orderkey, 'loi nhuan sau thue', '2024', (l_orderkey + 2)::VARCHAR FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+@query("""SELECT question_id, metric, strftime(ship, '%d.%m.%Y') || ' VND' AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY question_id, metric ORDER BY CASE WHEN ship = asked THEN 0 WHEN year(ship) = year(asked) THEN 1 WHEN year(ship) >= 2000 THEN 2 ELSE 3 END, l_linenumber, l_extendedprice, l_partkey) AS r FROM (
+    SELECT l_orderkey AS question_id, l_returnflag AS metric, l_linenumber, l_extendedprice, l_partkey, l_shipdate::DATE AS ship, round(l_extendedprice)::BIGINT::VARCHAR AS value, max(l_shipdate::DATE) OVER (PARTITION BY l_orderkey) AS asked FROM lineitem)) WHERE r = 1""")
 def select_amounts(spark: SparkSession, d: str) -> DataFrame:
-    k = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question_id")).distinct()
-    cell = lambda key, n: F.struct(F.lit(key).alias("key"), (F.col("question_id") + n).cast("string").alias("value"))
-    values = F.array(cell("note", 0), cell("31.12.2024", 3), cell("30.6.2025 VND", 1))
-    a = k.withColumns({"metric": F.lit("tong tai san"), "row_values": values, "asked_date": F.lit("30/06/2025")})
-    b = k.withColumns({"metric": F.lit("loi nhuan sau thue"), "row_values": F.array(cell("x", 4), cell("2024", 2)), "asked_date": F.lit(None).cast("string")})
-    both = a.unionByName(b).withColumns({"ordinal": F.lit(0), "page": F.lit(1), "retrieval_id": F.lit("r")})
-    return r.select_amounts(both).select("question_id", "metric", "key", "value")
+    """Order lines as contexts of their order's question: amounts under their ship dates, asked for the last one."""
+    rows = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_returnflag").alias("metric"), F.struct("l_linenumber", "l_extendedprice", "l_partkey").alias("ordinal"), F.to_date("l_shipdate").alias("ship"), F.round("l_extendedprice").cast("long").cast("string").alias("value"))
+    asked = rows.groupBy("question_id").agg(F.date_format(F.max("ship"), "dd/MM/yyyy").alias("asked_date"))
+    cell = F.struct(F.concat(F.date_format("ship", "dd.MM.yyyy"), F.lit(" VND")).alias("key"), F.col("value").alias("value"))
+    contexts = rows.withColumns({"row_values": F.array(cell), "page": F.lit(1), "retrieval_id": F.lit("r")}).join(asked, "question_id")
+    return r.select_amounts(contexts).select("question_id", "metric", "key", "value")
 
 
 @query("SELECT doc_id AS question_id, doc_id % 3 <> 1 AS has_evidence FROM documents")
