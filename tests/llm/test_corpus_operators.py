@@ -195,19 +195,49 @@ def test_exact_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in range(700)]
     rows += [(i, rows[3][1]) for i in range(1000, 1040)] + [(2000, None), (2001, []), (2100, [None] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, rows[0][1]), (2200, [0.5, 0.5]), (2201, [0.25, 0.5]), rows[5]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = collections.defaultdict(list)
-    for r in exact_topk.top_products(df, candidates=100, queries=3).collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    for q, v in good:
-        if q % 100 == 0:
-            want = sorted(((-int(w @ v), i) for i, w in good if i != q and len(w) == len(v)))[:10]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)], q
-    assert set(got) == {i for i, _ in good if i % 100 == 0}
+    rows += [rows[200]] * 3 + [(200, rows[7][1]), (300, rows[8][1]), (300, rows[8][1])]  # queries repeated, and of one id with other vectors
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, v int")
+    for sizes in ({"candidates": 100, "queries": 3}, {}):
+        got = collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_products(df, **sizes).collect())
+        good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+        want = collections.Counter()
+        for at, (q, v) in enumerate(good):
+            if q % 100 == 0:
+                found = sorted(((-int(w @ v), i) for k, (i, w) in enumerate(good) if k != at and len(w) == len(v)))[:10]
+                want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(found))
+        assert got == want
     assert exact_topk.top_products(df.filter("false")).count() == 0
 
 
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e16, 1.0]), (2, [-1e16, 0.0]), (3, [0.0, 1e15]), (4, [3e15, 3e15]), (5, [1.0, 1.0])]
+    got = {r["vec_id"]: r["score"] for r in exact_topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    high = [2**63 - 1 if x * 1024 >= 2**63 else int(np.floor(x * 1024)) for x in rows[0][1]]
+    for i, v in rows[1:]:
+        exact = sum(a * max(-(2**63), min(2**63 - 1, int(np.floor(x * 1024)))) for a, x in zip(high, v, strict=True))
+        assert got[i] == max(-(2**63), min(2**63 - 1, exact))
+
+
+def test_segment_bounds_prune_and_lose_nothing():
+    rng = np.random.default_rng(6)
+    basis = exact_topk.steps(16)
+    assert np.allclose(basis @ basis.T, np.eye(16))
+    for spread in (np.ones(64), 0.8 ** np.arange(64)):  # without and with directions that matter more
+        turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+        x = rng.normal(size=(3000, 64)) * spread
+        x = np.floor(1024 * (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn).astype(np.int64)
+        seen = {}
+        ids = rng.permutation(3000)
+        floor = np.sort(x[:80] @ x.T, axis=1)[:, -11].astype(float)
+        for f in (np.full(80, -np.inf), floor):
+            seen = {}
+            for i, (at, score) in enumerate(exact_topk.best(x[:80], f, x, ids, list(range(80)), seen=seen)):
+                want = sorted((-int(x[j] @ x[i]), int(ids[j])) for j in range(3000) if j != i)[:10]
+                assert [(-int(s), int(ids[j])) for j, s in zip(at, score, strict=True)] == want
+        left = {n: sum(seen[n]) / sum(seen["pairs"]) for n in exact_topk.LEVELS}
+        assert left[4] >= left[16] >= left[32] and left[32] < (0.6 if spread[-1] == 1 else 0.1), left
+
+
 def brute_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not words:
