@@ -3,21 +3,26 @@
 ``read_pages`` walks the chain of image directories, decodes PackBits, LZW or deflate strips and tiles, undoes
 predictors and gives one row for each page. ``write_payload`` stores bytes losslessly as grey 8-bit pages.
 
+``payload_features`` goes through both: texts are stored, the stored bytes are read as pages, and consecutive pages of a
+row, which narrow steps keep together and in order, are described as one payload.
+
 Defined results: a null or broken image gives one row with its error and no samples; a null text is an empty payload;
-an empty payload is one row of 64 zero samples; payloads longer than a page go on in further pages.
+an empty payload is one row of 64 zero samples; payloads longer than a page go on in further pages; repeated rows are rows
+of their own with equal values; an empty table gives no rows; extra columns of any name are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakeloom.llm.common import texts
 
@@ -158,44 +163,59 @@ def encode_payload(payload: bytes, level: int = 1) -> bytes:
         out += struct.pack("<H", n) + b"".join(struct.pack("<HHII", *f) for f in fields) + bytes(4)
         link = after - 4
         if count > 1:
-            out += struct.pack(f"<{2 * count}I", *begins[:-1], *(b - a for a, b in pairwise(begins)))
+            out += struct.pack(f"<{2 * count}I", *begins[:-1], *(b - a for a, b in itertools.pairwise(begins)))
         out += b"".join(strips) + bytes(sum(map(len, strips)) % 2)
     return bytes(out)
 
 
-def read_pages(images: DataFrame, key: str, media: str) -> DataFrame:
-    """One row for each page of each image: the key, page, width, height, samples, pixels; or the error."""
-    kind = dict(images.dtypes)[key]
+def read_pages(images: DataFrame, key: str, media: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each page of each image: the key, page, width, height, samples, pixels; or the error. The columns to
+    ``keep`` stand on every row of their image."""
+    kinds = dict(images.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for k, data in zip(batch["key"], batch["media"], strict=True):
+            rows, of = [], []
+            for i, (k, data) in enumerate(zip(batch["key"], batch["media"], strict=True)):
                 try:
                     for n, fields in enumerate(directories(data if data is not None else b"")):
                         page = decode_page(data, fields)
                         rows.append((k, n, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), None))
+                        of.append(i)
                 except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
                     rows.append((k, -1, 0, 0, 0, b"", str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["key", "page", "width", "height", "samples", "pixels", "error"])
+                    of.append(i)
+            out = pd.DataFrame(rows, columns=["key", "page", "width", "height", "samples", "pixels", "error"])
+            yield out.assign(**{c: batch[c].to_numpy()[of] for c in keep})
+
+    some = images.selectExpr(f"`{key}` AS key", f"`{media}` AS media", *(f"`{c}`" for c in keep))
+    schema = f"key {kinds[key]}, page int, width int, height int, samples int, pixels binary, error string" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return some.mapInPandas(run, schema).withColumnRenamed("key", key)
+
 
-    some = images.selectExpr(f"`{key}` AS key", f"`{media}` AS media")
-    return some.mapInPandas(run, f"key {kind}, page int, width int, height int, samples int, pixels binary, error string").withColumnRenamed("key", key)
+def store_payloads(docs: DataFrame) -> DataFrame:
+    """Every text as a TIFF: a number of its row, doc_id, n_bytes, media, media_bytes and media_sha256."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            data = [x.encode("utf-8", "surrogatepass") for x in batch["text"]]
+            media = [encode_payload(x + bytes(-len(x) % ROW if x else ROW)) for x in data]
+            sums = [hashlib.sha256(x).hexdigest() for x in media]
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_bytes": list(map(len, data)), "media": media, "media_bytes": list(map(len, media)), "media_sha256": sums})
+
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    return rows.mapInPandas(run, "row long, doc_id long, n_bytes long, media binary, media_bytes long, media_sha256 string")
 
 
 def payload_features(docs: DataFrame) -> DataFrame:
-    """Store every text as a TIFF, read it back, and describe what was read.
+    """Store every text as a TIFF, read its pages back, and describe what was read.
 
     doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of the samples read back, media_bytes and
     media_sha256 of the file, and a feature string: pages, mean and deviation of the samples, how many of 256 values
     occur, mean step between neighbours, and the deciles of the rows' means."""
 
-    def describe(doc_id, text: str) -> tuple:
-        data = text.encode("utf-8", "surrogatepass")
-        payload = data + bytes(-len(data) % ROW if data else ROW)
-        media = encode_payload(payload)
-        pages = [decode_page(media, fields) for fields in directories(media)]
-        back = b"".join(p.tobytes() for p in pages)
+    def describe(pages: list[bytes]) -> tuple:
+        back = b"".join(pages)
         grid = np.frombuffer(back, np.uint8).reshape(-1, ROW)
         count = np.bincount(grid.ravel(), minlength=256)
         n, value = grid.size, np.arange(256)
@@ -204,11 +224,25 @@ def payload_features(docs: DataFrame) -> DataFrame:
         step = float(np.abs(np.diff(grid.astype(np.int16), axis=1)).mean())
         rows = np.quantile(grid.mean(1), np.linspace(0, 1, 11))
         feature = f"pages={len(pages)};mean={mean:.4f};sd={spread:.4f};values={np.count_nonzero(count)};step={step:.4f};rows=" + ",".join(f"{x:.2f}" for x in rows)
-        return doc_id, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), feature
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [describe(*x) for x in zip(batch["doc_id"], batch["text"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return texts(docs).mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        last, pages = None, []  # of the row whose pages may go on
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            for row in [None] if batch is None else batch.itertuples(index=False):
+                if last is not None and (row is None or row.row != last.row):
+                    out.append((last.doc_id, last.n_bytes, *describe(pages), last.media_bytes, last.media_sha256))
+                    pages = []
+                if row is not None:
+                    if row.error is not None:
+                        raise ValueError(f"a stored payload cannot be read: {row.error}")
+                    pages.append(row.pixels)
+                last = row
+            out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "media_bytes", "media_sha256"])
+            yield out.astype({"doc_id": "Int64"})
+
+    pages = read_pages(store_payloads(docs), "row", "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    pages = pages.select("row", "page", "pixels", "error", "doc_id", "n_bytes", "media_bytes", "media_sha256")
+    out = pages.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, media_bytes long, media_sha256 string")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

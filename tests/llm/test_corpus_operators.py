@@ -96,6 +96,77 @@ def test_language_model_query(spark, docs, no_docs):
     assert ctw.score_documents(no_docs).count() == 0
 
 
+def test_language_model_score_by_plain_recursion(spark, monkeypatch):
+    """The query's score of small documents, from counts in dictionaries alone."""
+    import functools
+
+    monkeypatch.setattr(ctw, "SLICE", 30)  # several slices; several blocks below
+    texts = {i: ["abab ba", "ABBA cab", "", "é a", "abab ba"][i % 5] + "ab" * (i % 3) for i in range(12)}
+    texts[3] = None
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    assert 0 < sum(held.values()) < len(held)
+    zeros, ones = collections.Counter(), collections.Counter()
+    for i, text in texts.items():
+        if not held[i]:
+            data = bytes(4) + (text or "").encode().lower() + b"\0"
+            for at in range(4, len(data)):
+                for j in range(8):
+                    node = 1 << j | data[at] >> (8 - j)
+                    for depth in range(5):
+                        (ones if data[at] >> (7 - j) & 1 else zeros)[data[at - depth : at], node] += 1
+    seen = {k for k in {*zeros, *ones}}
+
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1)
+
+    @functools.cache
+    def weighted(context, node):
+        own = kt(zeros[context, node], ones[context, node])
+        if len(context) == 4:
+            return own
+        below = [bytes([c]) + context for c in range(256) if (bytes([c]) + context, node) in seen]
+        return math.log(0.5) + np.logaddexp(own, sum(weighted(x, node) for x in below))
+
+    def chance(before, node, bit, depth=0):
+        context = before[len(before) - depth :]
+        z, o = zeros[context, node], ones[context, node]
+        p = ((o if bit else z) + 0.5) / (z + o + 1)
+        if depth == 4:
+            return p
+        share = math.exp(kt(z, o) + math.log(0.5) - weighted(context, node))
+        return share * p + (1 - share) * chance(before, node, bit, depth + 1)
+
+    given = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (1 << 20, 150):
+        for r in ctw.score_documents(given, block=block).collect():
+            data = bytes(4) + (texts[r["doc_id"]] or "").encode().lower() + b"\0"
+            want = sum(math.log10(chance(data[at - 4 : at], 1 << j | data[at] >> (8 - j), data[at] >> (7 - j) & 1)) for at in range(4, len(data)) for j in range(8))
+            assert r["score"] == pytest.approx(want, rel=1e-9), r["doc_id"]
+
+
+def test_boosted_trees_against_exhaustive_splits():
+    """The first split of the first tree is the best of all, and leaves hold the regularised means of the gradients."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=300) > 0.2).astype(float)
+    forest = quality.fit(x, y, rounds=1, depth=1)
+    p = y.mean()
+    g, h = y - p, p * (1 - p)
+
+    def gain(f, cut):
+        left = x[:, f] <= cut
+        parts = [(g[m].sum(), h * m.sum()) for m in (left, ~left)]
+        if min(left.sum(), (~left).sum()) < quality.LEAST:
+            return 0.0
+        return sum(a * a / (b + quality.RIDGE) for a, b in parts) - g.sum() ** 2 / (h * len(y) + quality.RIDGE)
+
+    best = max(gain(f, c) for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1], method="lower")))
+    f, cut = forest.feature[0, 0], forest.cut[0, 0]
+    assert gain(f, cut) == pytest.approx(best)
+    for side, m in enumerate((x[:, f] <= cut, x[:, f] > cut)):
+        assert forest.leaf[0, side] == pytest.approx(quality.RATE * g[m].sum() / (h * m.sum() + quality.RIDGE))
+
+
 def test_boosted_trees_learn_and_flatten():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 4))

@@ -175,6 +175,29 @@ def test_segment_codecs():
         assert tiff.unpack_bits(pack_bits(data)) == data
 
 
+def test_codecs_on_published_examples():
+    """The worked examples of the two formats' specifications."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    assert tiff.unpack_lzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+
+def test_payloads_of_many_pages_keep_together(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "PAGE_ROWS", 3)
+    texts = {i: "xyz" * (i * 97 % 501) for i in range(40)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # pages of a payload in several batches
+    try:
+        rows = tiff.payload_features(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 40
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r["n_bytes"], r["payload_sha256"]) == (len(data), hashlib.sha256(payload).hexdigest())
+
+
 def test_pages_of_tiles_strips_and_broken_images(spark):
     import struct
 
