@@ -2,13 +2,22 @@
 
 A page is cut into blocks with the role that its markup gives them: main (inside an article or main container), loose
 (elsewhere), or marked (menus, headers, footers, sidebars, notices, adverts, forms, comments). Pages of a host meet in
-groups of bounded size; the token streams of all blocks outside the containers are concatenated, a suffix array over
-them finds the long runs that stand on two or more distinct pages, and these are removed as boilerplate. What is left of
-the loose blocks, the unique runs, counts as text where a page has no container of its own. Containers take no part in
-the array: a passage that two articles share is syndication, not boilerplate.
+groups of bounded size; the token streams of whole pages, containers included, are concatenated, and a suffix array over
+them, sorted as deep as a long run, tells on which pages every run of ``RUN`` tokens stands. Runs that stand on ``SHARE`` of
+a host's distinct pages or more are boilerplate.
+
+That share is of the whole host, so groups change nothing: a run that reaches it in the host reaches it in one of the groups
+that the host is dealt into at least. Each group names the runs that do; these few (a page has no room for more than
+1 / SHARE of its length) are then counted exactly over all pages of the host, and what remains is the host's dictionary.
+
+Unique runs decide: the text of a page is what the dictionary leaves of its containers or, where they hold under half as
+many unique tokens as the loose blocks, of the loose blocks. Inside containers, only runs of nearly all pages of the host go
+(``FIRM``), so a passage that articles share stays. Identical pages count once, so a copied page stays as well.
 
 Defined results: null and empty pages, and pages without text, give an empty text; pages without a host are a host of
-their own; repeated rows of a page are one page for the count of distinct pages; any length is treated whole.
+their own; repeated rows of a page are one page for the counts and rows of their own in the result; any length is treated
+whole; a host of one distinct page has no boilerplate; an empty table gives no rows; extra columns of any name are left out.
+Runs and pages are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,17 +25,22 @@ from __future__ import annotations
 import html
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import written
 
-#: Tokens of a run that counts as long; pages of a group; groups of a task; pages that are cut into blocks at a time.
-RUN, PAGES, TOGETHER, CUT = 6, 256, 8, 250
+#: Tokens of a run; of a host's distinct pages, the share from which a run is boilerplate, and the share and number from
+#: which it is inside containers too.
+RUN, SHARE, FIRM, FIRM_PAGES = 8, 0.3, 0.9, 10
+#: Pages of a group; groups of a task; pages that are cut into blocks at a time; bytes of dictionaries up to which all tasks
+#: get them whole, beyond which pages and dictionaries meet by host and part.
+PAGES, TOGETHER, CUT, DICTIONARY = 256, 8, 250, 32_000_000
 MAIN, LOOSE, MARKED = 0, 1, 2
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -125,16 +139,14 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[np.ndarray], page_of: np.ndarray, run: int = RUN) -> list[np.ndarray]:
-    """Of each token stream, which tokens lie in a run of ``run`` or more tokens that stands on two distinct pages.
-
-    The suffixes of the concatenated streams are sorted by doubling; neighbours whose common prefix has ``run`` tokens
-    are one group, and a group of more than one page marks its windows."""
+def run_classes(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all runs of ``run`` tokens in the token streams: the stream and position of each, and its class (equal runs have
+    equal classes). The suffixes of the concatenated streams are sorted by doubling until they are told apart to the depth of
+    a run; neighbours whose common prefix has a run's length are one class."""
     sizes = np.array([len(x) for x in streams], np.int64)
     n = int(sizes.sum()) + len(streams)
     ends = np.cumsum(sizes + 1)
     text = np.empty(n, np.int64)
-    page = np.repeat(page_of, sizes + 1)
     inside = np.ones(n, bool)
     inside[ends - 1] = False
     if inside.any():
@@ -142,7 +154,7 @@ def repeated(streams: list[np.ndarray], page_of: np.ndarray, run: int = RUN) ->
     text[~inside] = np.arange(len(streams))  # a separator of its own ends each stream
     levels = [np.unique(text, return_inverse=True)[1]]
     hop = 1
-    while hop < n and levels[-1].max() + 1 < n:
+    while hop < run:
         rank = levels[-1]
         key = rank * (n + 1)
         key[:-hop] += rank[hop:] + 1
@@ -156,16 +168,11 @@ def repeated(streams: list[np.ndarray], page_of: np.ndarray, run: int = RUN) ->
         ok[ok] = levels[k][a[ok]] == levels[k][b[ok]]
         a[ok], b[ok] = a[ok] + (1 << k), b[ok] + (1 << k)
         common[ok] += 1 << k
-    group = np.concatenate([[0], np.cumsum(common < run)])
-    low, high = np.full(group[-1] + 1, page.max() + 1), np.full(group[-1] + 1, -1)
-    np.minimum.at(low, group, page[order])
-    np.maximum.at(high, group, page[order])
-    begins = order[(low < high)[group]]
-    cover = np.zeros(n + run + 1, np.int64)
-    np.add.at(cover, begins, 1)
-    np.add.at(cover, begins + run, -1)
-    marked = np.cumsum(cover)[:n] > 0
-    return [marked[e - s - 1 : e - 1] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    kind = np.empty(n, np.int64)
+    kind[order] = np.concatenate([[0], np.cumsum(common < run)])
+    whole = np.flatnonzero(np.repeat(ends, sizes + 1) - 1 - np.arange(n) >= run)  # suffixes with room for a run
+    stream = np.repeat(np.arange(len(streams)), sizes + 1)[whole]
+    return stream, whole - (ends - sizes - 1)[stream], kind[whole]
 
 
 def unique_runs(block: list[tuple[str, bool]], run: int = RUN) -> list[str]:
@@ -179,43 +186,148 @@ def unique_runs(block: list[tuple[str, bool]], run: int = RUN) -> list[str]:
     return out
 
 
-def host_texts(group: pd.DataFrame) -> pd.DataFrame:
-    """The text of each page of one group of a host's pages."""
-    pages = [list(zip(r.tolist(), t.tolist(), strict=True)) for r, t in zip(group["roles"], group["texts"], strict=True)]
-    outside = [[(i, x) for i, (role, text) in enumerate(page) if role != MAIN for x in text.split(" ")] for page in pages]
-    numbers: dict[str, int] = {}
-    streams = [np.array([numbers.setdefault(x, len(numbers)) for _, x in page], np.int64) for page in outside]
-    same = pd.factorize(group["url"].fillna("") + "\0" + group["page_id"].astype(str))[0]
-    covered = repeated(streams, same.astype(np.int64))
-    out = []
-    for page, tokens, gone in zip(pages, outside, covered, strict=True):
-        text = [x for role, x in page if role == MAIN]
-        if not text:
-            left: dict[int, list[tuple[str, bool]]] = {}
-            for (i, x), drop in zip(tokens, gone.tolist(), strict=True):
-                if page[i][0] == LOOSE:
-                    left.setdefault(i, []).append((x, drop))
-            text = [x for _, block in sorted(left.items()) if (x := " ".join(unique_runs(block)))]
-        out.append(("\n".join(text), int(gone.sum())))
-    return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": [x for x, _ in out], "n_chars": [len(x) for x, _ in out], "boilerplate_tokens": [x for _, x in out]})
+_HASHES: dict[str, int] = {}
+_FACTORS = np.random.default_rng(10).integers(0, 1 << 63, RUN, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of tokens; a worker keeps those of common tokens."""
+    if len(_HASHES) > 400_000:
+        _HASHES.clear()
+    for x in set(tokens).difference(_HASHES):
+        _HASHES[x] = xxhash.xxh3_64_intdigest(x)
+    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def run_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each run of ``RUN`` tokens."""
+    n = len(hashes) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    key = sum(hashes[i : i + n] * _FACTORS[i] for i in range(RUN))
+    return (key ^ key >> np.uint64(29)).view(np.int64)
+
+
+def cover(size: int, begins: np.ndarray) -> np.ndarray:
+    """Which of ``size`` tokens lie in runs that begin at the positions given."""
+    edge = np.zeros(size + RUN + 1, np.int64)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, begins + RUN, -1)
+    return np.cumsum(edge)[:size] > 0
+
+
+def frequent_runs(group: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+    """The keys of the runs that stand on ``SHARE`` of the distinct pages of one group of a host's pages. A page that has
+    copies counts by one over their number, wherever they are."""
+    weight = dict(zip(copies["uid"].tolist(), (1.0 / copies["n"]).tolist(), strict=True))
+    pages = group.drop_duplicates("uid") if not len(copies) else group
+    each = np.array([weight.get(x, 1.0) for x in pages["uid"].tolist()])
+    hashes = [token_hashes(x.split(" ")) if x else np.zeros(0, np.uint64) for x in pages["stream"]]
+    streams = np.split(pd.factorize(np.concatenate(hashes))[0], np.cumsum(list(map(len, hashes)))[:-1])
+    stream, place, kind = run_classes(streams)
+    if not len(kind):
+        return pd.DataFrame([], columns=["host", "key"])
+    pairs = np.unique(kind * len(streams) + stream)
+    held = np.bincount(pairs // len(streams), each[pairs % len(streams)], int(kind.max()) + 1)
+    often = held >= SHARE * each.sum() - 1e-6
+    first = np.unique(kind, return_index=True)[1]
+    first = first[often[kind[first]]]
+    keys = {int(run_keys(hashes[s][p : p + RUN])[0]) for s, p in zip(stream[first].tolist(), place[first].tolist(), strict=True)}
+    host = group["host"].iloc[0]
+    return pd.DataFrame([(host, x) for x in sorted(keys)], columns=["host", "key"])
+
+
+def page_text(page: list[tuple[int, str]], known: np.ndarray, firm: np.ndarray) -> tuple[str, int]:
+    """The text of a page's blocks and the number of boilerplate tokens; ``known`` are the sorted keys of the host's
+    boilerplate, ``firm`` those that hold inside containers too."""
+    tokens = [t for _, text in page for t in text.split(" ")]
+    gone = np.zeros((2, len(tokens)), bool)
+    if len(known):
+        keys = run_keys(token_hashes(tokens))
+        for row, some in zip(gone, (known, firm), strict=True):
+            if len(some):
+                row[:] = cover(len(tokens), np.flatnonzero(some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys))
+    parts: dict[int, list[list[tuple[str, bool]]]] = {MAIN: [], LOOSE: []}
+    at = 0
+    for role, text in page:
+        some = text.split(" ")
+        if role in parts:
+            parts[role].append(list(zip(some, gone[int(role == MAIN), at : at + len(some)].tolist(), strict=True)))
+        at += len(some)
+    own, loose = (sum(not drop for block in parts[role] for _, drop in block) for role in (MAIN, LOOSE))
+    chosen = parts[MAIN] if parts[MAIN] and 2 * own >= loose else parts[LOOSE]
+    return "\n".join(x for block in chosen if (x := " ".join(unique_runs(block)))), int(gone[0].sum())
+
+
+def _with_dictionaries(rows: DataFrame, words: DataFrame, run: Callable[[pd.DataFrame, Callable], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over pages with a function from a host to its words, a frame. Dictionaries of proven size go to all tasks; larger ones
+    meet the pages by host and part. The result is the same."""
+    size = words.agg(F.sum(F.octet_length("host") + F.lit(64))).first()[0] or 0
+    if size <= DICTIONARY:
+        held = words.toPandas()
+        by_host = rows.sparkSession.sparkContext.broadcast({host: some.drop(columns="host") for host, some in held.groupby("host")})
+
+        def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in range(0, len(batch), CUT):
+                    yield run(batch.iloc[i : i + CUT], by_host.value.get)
+
+        return rows.mapInPandas(narrow, schema)
+    spread = words.join(rows.select("host", "part").distinct(), "host")
+
+    def met(group: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        return run(group, lambda _: some.drop(columns=["host", "part"]) if len(some) else None)
+
+    rows, spread = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (rows, spread))  # both come from the same pages
+    return rows.groupBy("host", "part").cogroup(spread.groupBy("host", "part")).applyInPandas(met, schema)
 
 
 def main_texts(pages: DataFrame, group_pages: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars and the number of boilerplate tokens found, one row for each row given.
 
-    A host's pages are dealt by hash into groups of about ``group_pages``, so that no host is one task; boilerplate
-    stands on far more pages than one in a group. The table of hosts is written first: Spark then knows its size and
-    broadcasts it only below its threshold."""
+    A host's pages are dealt by hash into groups of about ``group_pages``, so that no host is one task. The table of
+    hosts is written first: Spark then knows its size and broadcasts it only below its threshold."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    hosts = written(rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).cast("int").alias("groups")), "hosts")
+    rows = rows.withColumn("uid", F.xxhash64("page_id", "url", "html")).withColumn("body", F.xxhash64("html"))
+    bodies = written(rows.select("host", "uid", "body").groupBy("host", "body", "uid").agg(F.count("*").alias("n")), "bodies")
+    hosts = written(bodies.groupBy("host").agg(F.ceil(F.sum("n") / group_pages).cast("int").alias("groups"), F.count_distinct("body").alias("contents")), "hosts")
     parts = max(1, -(-(hosts.agg(F.sum("groups")).first()[0] or 0) // TOGETHER))  # so that a task has a few groups at any size
-    rows = rows.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    part = F.pmod("uid", F.col("groups"))
+    rows = rows.join(hosts, "host").withColumn("part", part)
+    several = bodies.groupBy("host", "body").agg(F.sum("n").alias("n")).filter("n > 1")
+    copies = bodies.select("host", "body", "uid").join(several, ["host", "body"]).join(hosts, "host").select("host", part.alias("part"), "uid", "n")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (whole.iloc[i : i + CUT] for whole in batches for i in range(0, len(whole), CUT)):
-            found = [blocks(x) for x in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], "part": batch["part"], "roles": [[r for r, _ in x] for x in found], "texts": [[t for _, t in x] for x in found]})
+            yield pd.DataFrame({c: batch[c].tolist() for c in ("host", "part", "uid")} | {"stream": [" ".join(t for _, t in blocks(x)) for x in batch["html"]]})
+
+    cut = rows.filter("contents > 1").select("host", "part", "uid", "html").mapInPandas(streams, "host string, part long, uid long, stream string")
+    left, right = cut.repartition(parts, "host", "part").groupBy("host", "part"), copies.repartition(parts, "host", "part").groupBy("host", "part")
+    frequent = left.cogroup(right).applyInPandas(lambda a, b: frequent_runs(a, b) if len(a) else pd.DataFrame([], columns=["host", "key"]), "host string, key long")
+    candidates = written(frequent.distinct(), "runs")
+
+    def standing(batch: pd.DataFrame, words_of: Callable) -> pd.DataFrame:
+        out = []
+        for host, body, page in zip(batch["host"], batch["body"], batch["html"], strict=True):
+            words = words_of(host)
+            if words is not None:
+                keys = np.intersect1d(run_keys(token_hashes([t for _, text in blocks(page) for t in text.split(" ")])), words["key"].to_numpy())
+                out += zip([host] * len(keys), [body] * len(keys), keys.tolist(), strict=True)
+        return pd.DataFrame(out, columns=["host", "body", "key"])
+
+    some = rows.select("host", "part", "body", "html")
+    counts = _with_dictionaries(some, candidates, standing, "host string, body long, key long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    counts = counts.join(hosts, "host").filter((F.col("n") >= 2) & (F.col("n") >= F.col("contents") * F.lit(SHARE) - 1e-6))
+    words = written(counts.select("host", "key", ((F.col("n") >= F.col("contents") * F.lit(FIRM) - 1e-6) & (F.col("n") >= FIRM_PAGES)).alias("firm")), "boilerplate")
+
+    def texts(batch: pd.DataFrame, words_of: Callable) -> pd.DataFrame:
+        none, out, sorted_words = np.zeros(0, np.int64), [], {}
+        for host, page in zip(batch["host"], batch["html"], strict=True):
+            if host not in sorted_words:
+                w = words_of(host)
+                sorted_words[host] = (none, none) if w is None else (np.sort(w["key"].to_numpy()), np.sort(w["key"].to_numpy()[w["firm"].to_numpy(bool)]))
+            out.append(page_text(blocks(page), *sorted_words[host]))
+        return pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"].tolist(), "text": [x for x, _ in out], "n_chars": [len(x) for x, _ in out], "boilerplate_tokens": [x for _, x in out]})
 
-    parsed = rows.select("page_id", "url", "html", "host", "part").mapInPandas(cut, "page_id long, url string, host string, part long, roles array<int>, texts array<string>")
-    return parsed.repartition(parts, "host", "part").groupBy("host", "part").applyInPandas(host_texts, "page_id long, url string, text string, n_chars long, boilerplate_tokens long")
+    return _with_dictionaries(rows.select("page_id", "url", "host", "part", "html"), words, texts, "page_id long, url string, text string, n_chars long, boilerplate_tokens long")

@@ -384,18 +384,17 @@ def test_simhash_query(spark, docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_repeated_runs_by_brute_force():
+def test_run_classes_by_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(20):
-        streams = [rng.integers(0, 3, rng.integers(0, 30)) for _ in range(5)]
-        page = np.array([0, 1, 1, 2, 3])
-        got = html_text.repeated(streams, page, run=4)
-        for i, s in enumerate(streams):
-            want = np.zeros(len(s), bool)
-            for a in range(len(s) - 3):
-                if any(page[j] != page[i] and any((t[k : k + 4] == s[a : a + 4]).all() for k in range(len(t) - 3)) for j, t in enumerate(streams)):
-                    want[a : a + 4] = True
-            assert (want == got[i]).all()
+    for run in (1, 4, 8):
+        streams = [rng.integers(0, 2, rng.integers(0, 30)) for _ in range(6)]
+        stream, place, kind = html_text.run_classes(streams, run)
+        want = [(i, a) for i, s in enumerate(streams) for a in range(len(s) - run + 1)]
+        assert sorted(zip(stream.tolist(), place.tolist(), strict=True)) == want
+        text = [tuple(streams[i][a : a + run]) for i, a in zip(stream, place, strict=True)]
+        for i in range(len(text)):
+            for j in range(i):
+                assert (text[i] == text[j]) == (kind[i] == kind[j])
 
 
 def test_main_text(spark):
@@ -417,13 +416,82 @@ def test_main_text(spark):
     assert html_text.main_texts(df.filter("false")).count() == 0
 
 
+def article(page):
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", body))
+    return "\n".join(p for p in parts if p)
+
+
 def test_main_text_of_given_pages(spark):
     pages = table(spark, "pages")
     got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
-    for r in pages.collect():
-        body = re.search("<article>(.*)</article>", r["html"], re.S)[1]
-        parts = (" ".join(html.unescape(re.sub("<[^>]*>", "", p)).split()) for p in re.split("</?(?:p|h1)>", body))
-        assert got[r["page_id"]] == "\n".join(p for p in parts if p)
+    assert got == {r["page_id"]: article(r["html"]) for r in pages.collect()}
+
+
+def brute_texts(rows):
+    """Texts by counting every run of every page of a host, and the choice of roles by unique tokens."""
+    by_host, pages = collections.defaultdict(dict), []
+    for page_id, url, page in rows:
+        host = re.match("(?:[a-z]+:)?//([^/?#]*)", (url or "").lower())
+        host = host[1] if host else ""
+        cut = html_text.blocks(page or "")
+        tokens = [t for _, x in cut for t in x.split(" ")]
+        pages.append((page_id, host, cut, tokens))
+        by_host[host][page or ""] = {tuple(tokens[i : i + 8]) for i in range(len(tokens) - 7)}
+    out = {}
+    for page_id, host, cut, tokens in pages:
+        count = collections.Counter(w for runs in by_host[host].values() for w in runs)
+        n = len(by_host[host])
+        gone = []
+        for least in (max(2, 0.3 * n - 1e-6), max(10, 0.9 * n - 1e-6)):
+            mark = [False] * len(tokens)
+            for i in range(len(tokens) - 7):
+                if count[tuple(tokens[i : i + 8])] >= least:
+                    mark[i : i + 8] = [True] * 8
+            gone.append(mark)
+        kept, at, left = {0: [], 1: []}, 0, {0: 0, 1: 0}
+        for role, text in cut:
+            some = text.split(" ")
+            if role < 2:
+                flags = gone[1 - role][at : at + len(some)]
+                left[role] += len(some) - sum(flags)
+                kept[role].append(" ".join(html_text.unique_runs(list(zip(some, flags, strict=True)))))
+            at += len(some)
+        role = 0 if kept[0] and 2 * left[0] >= left[1] else 1
+        out[page_id] = "\n".join(x for x in kept[role] if x)
+    return out
+
+
+def test_main_text_without_containers_and_in_any_groups(spark, monkeypatch):
+    """Pages whose article is a plain div, with a long host of more than 256 pages: as brute force says, however they are dealt."""
+    import random
+
+    rng = random.Random(3)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    given = [(r["page_id"], r["url"], r["html"].replace("<article>", "<div>").replace("</article>", "</div>")) for r in pages]
+    truth = {r["page_id"]: article(r["html"]) for r in pages}
+    words = [f"w{i}" for i in range(3000)]
+    menu, notice = " ".join(rng.choices(words, k=14)), " ".join(rng.choices(words, k=12))
+    for i in range(400):
+        body = " ".join(rng.choices(words, k=60))
+        some = f"<p>{notice}</p>" if i % 3 == 0 else f"<article><p>{body} inside</p><p>{menu}</p></article>" if i % 3 == 1 else ""
+        given.append((10000 + i, "https://long.example/x", f"<div>{menu}</div>{some}<div><p>{body}</p></div>"))
+        truth[10000 + i] = None
+    given += [given[-1], (20000, "https://long.example/y", given[-1][2]), (20001, "https://short.example/", "long " * 30000), (20002, None, None)]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in given], "page_id long, url string, html string, host int, key string")
+    want = brute_texts(given)
+    for size in (8, 256, 10**6):
+        rows = html_text.main_texts(df, size).collect()
+        assert len(rows) == len(given) and {r["page_id"]: r["text"] for r in rows} == want, size
+    monkeypatch.setattr(html_text, "DICTIONARY", 0)  # dictionaries too large for all tasks
+    assert {r["page_id"]: r["text"] for r in html_text.main_texts(df, 64).collect()} == want
+    scores = []
+    for page_id, text in truth.items():
+        if text is not None:
+            a, b = collections.Counter(want[page_id].split()), collections.Counter(text.split())
+            scores.append(2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())))
+    assert np.mean(scores) >= 0.99
+    assert all(menu not in want[10000 + i] and notice not in want[10000 + i] for i in range(400))
 
 
 def survivors(rows):
