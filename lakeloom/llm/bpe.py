@@ -138,22 +138,22 @@ class Encoder:
     encoded by itself with the space before it.
     """
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
+    def __init__(self, path: str, cache: int = CACHE):
+        self.vocabulary, self.cache = Vocabulary(path), cache
         self.findall = regex.compile(PIECES).findall
         self.pieces: dict[str, bytes] = {}
         #: None for a chunk that does not stand alone.
         self.chunks: dict[str, bytes | None] = {}
 
     def learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > CACHE:  # what is in use stays
+        if len(self.pieces) > self.cache:  # what is in use stays
             self.pieces = {x: self.pieces[x] for x in pieces if x in self.pieces}
         new = [x for x in pieces if x not in self.pieces]
         for piece, ids in zip(new, self.vocabulary.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new]), strict=True):
             self.pieces[piece] = ids.tobytes()
 
     def learn_chunks(self, chunks: set[str]) -> None:
-        if len(self.chunks) > CACHE:
+        if len(self.chunks) > self.cache:
             self.chunks = {x: self.chunks[x] for x in chunks if x in self.chunks}
         new = [x for x in chunks if x not in self.chunks]
         split = [None if not x or x[0].isspace() or x[-1].isspace() else self.findall(" " + x) for x in new]
@@ -216,14 +216,14 @@ def groups(some: list[str], limit: int) -> Iterator[list[str]]:
         yield group
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One encoder for each worker process, file and size of caches."""
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -237,14 +237,14 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, text string, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = (), cache: int = CACHE) -> DataFrame:
     """Encode each text and decode its ids again: doc_id, n_tokens, digest of the ids, digest of the decoded text,
     whether the decoded text is the text (it is unless the text holds broken surrogates), and the columns to ``keep``."""
     rows = texts(docs, keep)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" + "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(path)
+        tool = encoder(path, cache)
         decimal = [str(i).encode() for i in range(len(tool.vocabulary.bytes_of))].__getitem__
         for batch in batches:
             found = []

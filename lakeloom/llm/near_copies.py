@@ -115,14 +115,12 @@ def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of the nodes named."""
-    return nodes(docs).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    """node and text of the nodes named, written: the only time that whole texts are dealt by node."""
+    return written(nodes(docs).join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are similar, by their texts, written."""
-    ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    texts = written(_texts(ends, docs), "near-texts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
@@ -135,21 +133,20 @@ def _checked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.loc[keep, ["a", "b"]]
 
     full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    found = written(full.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "near-links")
-    dropped(texts)
-    return found
+    return written(full.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "near-links")
 
 
-def prefix_pairs(rooted: DataFrame, docs: DataFrame) -> DataFrame:
+def prefix_pairs(rooted: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct pairs a-b of the nodes of ``rooted`` (node, root), of different roots, that may have the similarity by
-    what their shingles' order of frequency allows; no similar pair is missing."""
+    what their shingles' order of frequency allows; no similar pair is missing. ``texts`` holds their texts once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(x).view(np.int64) for x in batch["text"]]
             yield pd.DataFrame({"node": batch["node"], "size": [len(x) for x in sets], "shingles": sets})
 
-    rows = written(_texts(rooted.select("node"), docs).mapInPandas(run, "node long, size long, shingles array<long>"), "near-shingles")
+    rows = texts.join(rooted.select("node"), "node", "left_semi")
+    rows = written(rows.mapInPandas(run, "node long, size long, shingles array<long>"), "near-shingles")
     each = rows.select("node", F.explode("shingles").alias("h"))
     shared = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     # shingles of one text alone come first in its order; only their number matters
@@ -175,28 +172,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
     heads = signed.groupBy("fp").agg(F.min(one).alias("head"))
     same = signed.join(heads, "fp").select(one.alias("x"), F.col("head").alias("y"))
     tries = simhash.links(heads.select("fp")).join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    by_print = written(_pairs(same.unionByName(tries)), "near-pairs")
 
     keyed = signed.select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = written(keyed.join(shared, "key"), "near-buckets")
+    ends = buckets.select("node").union(by_print.select("a")).union(by_print.select("b")).distinct()
+    texts = _texts(ends, docs)
     links = roots = None
     for turn in range(STARS):
         named = buckets.withColumn("root", F.col("node")) if roots is None else buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         chance = F.xxhash64("node", "key", F.lit(turn)).alias("turn")
         hubs = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(chance, "node", "size", "root")).alias("hub")).filter("low <> high")
-        stars = named.join(hubs, "key").filter("root <> hub.root").select(one.alias("x"), F.struct("hub.node", "hub.size").alias("y"))
-        pairs = _pairs(stars.unionByName(same).unionByName(tries) if turn == 0 else stars)
-        first = written(_likely(pairs, signed), "near-pairs")
-        found = _checked(first, docs)
+        pairs = _pairs(named.join(hubs, "key").filter("root <> hub.root").select(one.alias("x"), F.struct("hub.node", "hub.size").alias("y")))
+        first = written(_likely(pairs.union(by_print).distinct() if turn == 0 else pairs, signed), "near-pairs")
+        found = _checked(first, texts)
         dropped(first, *([roots] if roots is not None else []))
         links = found if links is None else written(links.unionByName(found), "near-links")
         roots = simhash.components(links)
     named = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     left = written(named.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-mixed")
-    pairs = prefix_pairs(left, docs)
-    more = _checked(pairs, docs)
-    dropped(signed, buckets, left, pairs)
+    pairs = prefix_pairs(left, texts)
+    more = _checked(pairs, texts)
+    dropped(signed, by_print, buckets, left, pairs, texts)
     if more.first():
         dropped(roots)
         roots = simhash.components(links.unionByName(more))

@@ -532,11 +532,11 @@ def test_prefixes_lose_no_pair(spark):
             texts.append(" ".join(copy))
     given = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(texts))], "doc_id long, text string")
     keyed = {r["node"]: set(nc.shingle_set(r["text"]).tolist()) for r in nc.nodes(given).collect()}
-    got = {(r["a"], r["b"]) for r in nc.prefix_pairs(nc.nodes(given).selectExpr("node", "node AS root"), given).collect()}
+    got = {(r["a"], r["b"]) for r in nc.prefix_pairs(nc.nodes(given).selectExpr("node", "node AS root"), nc.nodes(given)).collect()}
     want = {(a, b) for a in keyed for b in keyed if a < b and len(keyed[a] & keyed[b]) >= 0.8 * len(keyed[a] | keyed[b])}
     assert want and want <= got and len(got) < len(keyed) ** 2 / 8
     same = nc.nodes(given).selectExpr("node", "0L AS root")
-    assert nc.prefix_pairs(same, given).count() == 0
+    assert nc.prefix_pairs(same, nc.nodes(given)).count() == 0
 
 
 def test_pipeline_stages(spark, docs):
