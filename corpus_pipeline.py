@@ -19,6 +19,8 @@ from lakeloom.llm import bpe, mixing, near_copies, quality
 from lakeloom.llm.common import dropped, table, written
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Entries of the encoder's caches; workers of the pipeline also hold what the other stages loaded.
+CACHE = 150_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the texts decoded from them, with position and round as the mix gave
     them; a null text counts as empty."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), tuple(c for c in ("position", "round") if c in docs.columns))
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), tuple(c for c in ("position", "round") if c in docs.columns), CACHE)
 
 
 STAGES = [
