@@ -108,10 +108,10 @@ ORACLES: dict[str, str] = {
                 WHEN 5 THEN CASE WHEN share >= 0.625 THEN 0.5 + 2 * (share - 0.625) / (1.0 + sqrt(greatest(1.0 - 2 * (share - 0.625), 0))) ELSE 2 * share / (1.5 + sqrt(greatest(2.25 - 2 * share, 0))) END
                 WHEN 2 THEN share
                 ELSE CASE WHEN share >= 0.375 THEN 0.5 + 2 * (share - 0.375) / (1.0 + sqrt(1.0 + 2 * (share - 0.375))) ELSE 2 * share / (0.5 + sqrt(0.25 + 2 * share)) END
-            END AS at FROM r
+            END AS due FROM r
         )
         SELECT doc_id, size, source_size, any_value(target) AS target, sum(words)::BIGINT AS taken, count(*) FILTER (words > 0)::INTEGER AS rounds,
-            min(floor(least(at, 1) * 1e9 + 0.5) / 1e9) FILTER (words > 0) AS position
+            min(floor(least(due, 1) * 1e9 + 0.5) / 1e9) FILTER (words > 0) AS position
         FROM p GROUP BY doc_id, size, source_size, pos
     """,
 }

@@ -195,6 +195,20 @@ def test_quality_query_holds_out_a_fold(spark, docs, no_docs):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.9
 
 
+@pytest.mark.parametrize("name", ["op5_curriculum_mix", "op6_exact_topk"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    from lakeloom.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLES[name])
+    at = [rel.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
 def test_mix_meets_targets(spark, docs, no_docs):
     for d in (docs, table(spark, "documents")):
         rows = mixing.mixed(d).collect()
