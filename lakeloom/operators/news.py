@@ -223,12 +223,21 @@ def strip_publish_noise(c: Column) -> Column:
     return t.squeeze(out)
 
 
+def _bound(c: Column, f) -> Column:
+    """``f`` of a column that is costly and named several times: it is evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def polish_summary(summary: Column, title: Column) -> Column:
     """A summary to show: site prefix, publishing noise and a repeated title off, then its excerpt."""
+    title = F.coalesce(title, F.lit(""))
+
+    def untitled(x: Column) -> Column:
+        named = (title != "") & F.lower(x).startswith(F.lower(title))
+        return F.when(named, F.regexp_replace(F.substring(x, F.length(title) + 1, F.length(x)), "^[ :-]+", "")).otherwise(x)
+
     out = strip_publish_noise(F.regexp_replace(F.trim(summary), r"^\[[^\]]+\]\s*", ""))
-    named = (F.coalesce(title, F.lit("")) != "") & F.lower(out).startswith(F.lower(title))
-    out = F.when(named, F.regexp_replace(F.substring(out, F.length(title) + 1, F.length(out)), "^[ :-]+", "")).otherwise(out)
-    return excerpt(out, F.substring(out, 1, 280))
+    return _bound(_bound(out, untitled), lambda x: excerpt(x, F.substring(x, 1, 280)))
 
 
 def excerpt(text: Column, fallback: Column, cap: int = 420) -> Column:
@@ -238,10 +247,9 @@ def excerpt(text: Column, fallback: Column, cap: int = 420) -> Column:
     label = lambda x: (F.size(F.split(x, " ")) < 6) & F.contains(F.substring(x, 1, 8), F.lit(":"))
     lines = F.filter(F.transform(F.split(text, _LINE_END), t.squeeze), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\d{1,2}:\d{2}\s+")) & ~label(x))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("parts"))
-    taken = F.aggregate(lines, start, lambda a, x: F.when(a["n"] >= cap, a).otherwise(F.struct((a["n"] + F.length(x)).alias("n"), F.concat(a["parts"], F.array(x)).alias("parts"))))["parts"]
-    whole = F.when(F.size(taken) > 0, F.array_join(taken, " ")).otherwise(t.squeeze(text))
-    cut = F.when(F.length(whole) > cap, F.concat(F.rtrim(F.substring(whole, 1, cap - 1)), F.lit("…"))).otherwise(whole)
-    return F.when(t.squeeze(text) == "", fallback).otherwise(cut)
+    taken = F.aggregate(lines, start, lambda a, x: F.when(a["n"] >= cap, a).otherwise(F.struct((a["n"] + F.length(x)).alias("n"), F.concat(a["parts"], F.array(x)).alias("parts"))), lambda a: F.array_join(a["parts"], " "))
+    whole = _bound(taken, lambda x: F.when(x != "", x).otherwise(t.squeeze(text)))
+    return _bound(whole, lambda x: F.when(x == "", fallback).when(F.length(x) > cap, F.concat(F.rtrim(F.substring(x, 1, cap - 1)), F.lit("…"))).otherwise(x))
 
 
 # -- intent and scores ------------------------------------------------------------------------------------------------
