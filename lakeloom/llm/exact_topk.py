@@ -105,17 +105,15 @@ def best(q: np.ndarray, floor: np.ndarray, c: np.ndarray, c_id: np.ndarray, own:
             seen.setdefault("pairs", []).append(int(alive.sum()))
         for n, (qm, qs), (cm, cs) in zip(levels, q_levels, c_levels, strict=True):
             at = np.flatnonzero(alive.any(0))  # candidates that still matter to a query of the slice
-            if len(at) == len(c):
-                at = slice(None)
             bound = qm[some] @ cm[at].T + qs[some] @ cs[at].T + slack[some].astype(np.float32)
             if n == levels[0] and len(c) > likely:  # what looks best sets a floor of this cell
                 for k in range(len(bound)):
-                    first = np.flatnonzero(alive[k])
-                    first = first[np.argpartition(-bound[k][first], min(likely, len(first)) - 1)[:likely]] if len(first) else first
+                    left = np.flatnonzero(alive[k, at])
+                    first = left[np.argpartition(-bound[k][left], min(likely, len(left)) - 1)[:likely]] if len(left) else left
                     if least[k] == -np.inf:  # and some of all
-                        first = np.union1d(first, np.flatnonzero(alive[k])[::8])
+                        first = np.union1d(first, left[::8])
                     if len(first) >= top:
-                        least[k] = max(least[k], np.sort(exact_products(c[first], q[lo + k]))[-top])
+                        least[k] = max(least[k], np.sort(exact_products(c[at[first]], q[lo + k]))[-top])
             alive[:, at] &= bound >= least[:, None]
             if seen is not None:
                 seen.setdefault(n, []).append(int(alive.sum()))

@@ -282,7 +282,7 @@ def test_exact_topk(spark):
     rows += [(i, rows[3][1]) for i in range(1000, 1040)] + [(2000, None), (2001, []), (2100, [None] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, rows[0][1]), (2200, [0.5, 0.5]), (2201, [0.25, 0.5]), rows[5]]
     rows += [rows[200]] * 3 + [(200, rows[7][1]), (300, rows[8][1]), (300, rows[8][1])]  # queries repeated, and of one id with other vectors
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, v int")
-    for sizes in ({"candidates": 100, "queries": 3}, {}):
+    for sizes in ({"candidates": 100, "queries": 3}, {"candidates": 400, "queries": 1}, {}):
         got = collections.Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_topk.top_products(df, **sizes).collect())
         good = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
         want = collections.Counter()
@@ -320,6 +320,8 @@ def test_segment_bounds_prune_and_lose_nothing():
                 want = sorted((-int(x[j] @ x[i]), int(ids[j])) for j in range(3000) if j != i)[:10]
                 assert [(-int(s), int(ids[j])) for j, s in zip(at, score, strict=True)] == want
         left = {n: sum(seen[n]) / sum(seen["pairs"]) for n in exact_topk.LEVELS}
+        (one,) = exact_topk.best(x[5:6], np.full(1, -np.inf), x, ids, [5])  # a query alone in its cell
+        assert sorted(one[1].tolist()) == sorted((x @ x[5])[np.arange(3000) != 5].tolist())[-10:]
         assert left[4] >= left[16] >= left[32] and left[32] < (0.6 if spread[-1] == 1 else 0.1), left
 
 
