@@ -10,7 +10,8 @@ n-grams each), while depths 0 and 1 (at most 256 x 255 nodes) pass through the d
 the count of each word then go back to the blocks that hold them, so that nothing that grows is broadcast.
 
 Defined results: null and empty texts are the end mark alone; repeated rows count as often as they stand there; without
-training texts every estimate is one half; texts of any length are whole. Words are keyed by their 64-bit hash.
+training texts every estimate is one half; texts of any length are whole; an empty table gives no rows; extra columns of
+any name are left out. Words are keyed by their 64-bit hash.
 """
 
 from __future__ import annotations

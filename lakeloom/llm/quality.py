@@ -5,7 +5,10 @@ of labelled rows (``SAMPLE``, a parameter: those whose doc_id hashes lowest), wi
 flattened into arrays: a complete binary tree for each round, traversed for all rows of a batch at once by numpy.
 
 Defined results: null and empty texts have all statistics zero and get a score like any other; a document labelled more
-than once counts with its lowest label; null labels are ignored; without any label the score is 0.5.
+than once counts with its lowest label; null labels are ignored; without any label the score is 0.5; repeated
+rows are rows of their own with equal scores; of equal hashes, the sample takes the smaller doc_id, then the smaller
+statistics; of equal gains, a split takes the first statistic and the lowest cut; an empty table gives no rows; extra columns
+of any name are left out.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Two deterministic machines are compiled from a byte-level BPE file:
   when first met, states are prefixes of pieces; pieces longer than ``LONG`` run with a window of states instead.
 
 Defined results: null and empty texts have zero tokens; whole texts of any length are counted; special strings inside
-texts count one token, as the library has it by default.
+texts count one token, as the library has it by default; repeated rows are rows of their own with equal results; an empty
+table gives no rows; extra columns of any name are left out.
 """
 
 from __future__ import annotations
