@@ -76,25 +76,27 @@ def freshness(title: Column, snippet: Column, published: Column, timelimit: Colu
     return F.when(today, 4).when(days <= 7, 3).when(days <= 30, 2).when(days.isNotNull(), 1).when(timelimit.isin("d", "w", "m"), 2).otherwise(0)
 
 
-def _words(text: Column) -> Column:
-    """Folded text with its word boundaries as single spaces, so that a word is found by plain search."""
-    return F.concat(F.lit(" "), F.regexp_replace(t.norm_free(text), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+def _bound(c: Column, f) -> Column:
+    """``f`` of a column that is costly and named several times, also within lambdas: it is evaluated once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def token_score(tokens: Column, title: Column, snippet: Column, url: Column) -> Column:
     """Sum over tokens: phrases count 6, 4 and 3 where they occur in title, snippet and URL; words 5, 3 and 2 where they
     stand as whole words."""
-    fields = ((title, 6, 5), (snippet, 4, 3), (url, 3, 2))
+    weights = ((6, 5), (4, 3), (3, 2))
+    folded = F.array(*(t.norm_free(c) for c in (title, snippet, url)))
+    spaced = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
 
-    def of(token: Column) -> Column:
-        phrase = F.contains(token, F.lit(" "))
+    def of(token: Column, x: Column) -> Column:
         total = F.lit(0)
-        for c, p, w in fields:
-            whole = F.contains(_words(c), F.concat(F.lit(" "), token, F.lit(" ")))
-            total = total + F.when(phrase, F.when(F.contains(t.norm_free(c), token), p).otherwise(0)).otherwise(F.when(whole, w).otherwise(0))
+        for i, (p, w) in enumerate(weights):
+            whole = F.contains(x["words"][i], F.concat(F.lit(" "), token, F.lit(" ")))
+            total = total + F.when(F.contains(token, F.lit(" ")), F.when(F.contains(x["text"][i], token), p).otherwise(0)).otherwise(F.when(whole, w).otherwise(0))
         return total
 
-    return F.aggregate(F.transform(tokens, of), F.lit(0), lambda a, b: a + b)
+    both = _bound(folded, lambda x: F.struct(x.alias("text"), F.transform(x, spaced).alias("words")))
+    return _bound(both, lambda x: F.aggregate(F.transform(tokens, lambda token: of(token, x)), F.lit(0), lambda a, b: a + b))
 
 
 def score_relevance(tokens: Column, title: Column, snippet: Column, url: Column, fresh: Column) -> Column:
@@ -182,25 +184,25 @@ def extract_article_text(articles: DataFrame, cap: int = 5000, least: int = 120)
     the first heading, else at the line most like the title; lines of menus, clocks and links are dropped; it ends at a
     tail marker once there are ``least`` characters, or when ``cap`` characters are reached. The snippet stands in for a
     text that is empty, under 20 words, or holds two noise markers."""
-    rows = articles.select("article_id", "title", "snippet", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), _LINE_END)).alias("line_no", "raw"))
-    fold = t.match_norm(F.col("raw"))
     words = F.filter(F.regexp_extract_all(t.match_norm(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) >= 3)
-    paper = F.array_contains(words, "bao") & F.array_contains(words, "vnexpress")
-    words = F.slice(F.when(paper, F.filter(words, lambda x: ~x.isin("bao", "vnexpress", "cafef"))).otherwise(words), 1, 8)
-    likeness = F.size(F.filter(words, lambda w: F.contains(fold, w)))
+    paper = lambda x: F.array_contains(x, "bao") & F.array_contains(x, "vnexpress")
+    words = _bound(words, lambda x: F.slice(F.when(paper(x), F.filter(x, lambda w: ~w.isin("bao", "vnexpress", "cafef"))).otherwise(x), 1, 8))
+    lines = F.transform(F.split(F.coalesce("markdown", F.lit("")), _LINE_END), lambda x: F.struct(x.alias("raw"), t.match_norm(x).alias("fold")))
+    rows = articles.select("article_id", "snippet", words.alias("words"), F.posexplode(lines).alias("line_no", "x")).select("article_id", "snippet", "words", "line_no", "x.raw", "x.fold")
     line = F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))
-    rows = rows.withColumns({"fold": fold, "line": line, "likeness": likeness, "enough": F.greatest(F.lit(2), F.least(F.lit(4), F.size(words))), "clean": _plain_line(line)})
+    likeness = F.size(F.filter("words", lambda w: F.contains(F.col("fold"), w)))
+    rows = rows.withColumns({"line": line, "likeness": likeness, "enough": F.greatest(F.lit(2), F.least(F.lit(4), F.size("words")))}).drop("words")
     per = Window.partitionBy("article_id")
     most = F.max(F.when(F.col("likeness") > 0, F.struct(F.col("likeness"), -F.col("line_no")))).over(per)
     anchor = F.coalesce(
         F.min(F.when(F.col("likeness") >= F.col("enough"), F.col("line_no"))).over(per), F.min(F.when(F.col("line").startswith("#"), F.col("line_no"))).over(per), -most["col2"], F.lit(0)
     )
     rows = rows.withColumn("anchor", anchor).filter(F.col("line_no") >= F.col("anchor"))
-    clean, line = F.col("clean"), F.col("line")
-    both = F.concat_ws("\n", "fold", t.match_norm(clean))
-    few = _word_count(clean)
+    plain = _bound(_plain_line(F.col("line")), lambda x: F.struct(x.alias("clean"), t.match_norm(x).alias("folded"), _word_count(x).alias("words")))
+    rows = rows.withColumn("p", F.explode(F.array(plain))).select("*", "p.clean", "p.folded", "p.words").drop("p")
+    clean, line, few = F.col("clean"), F.col("line"), F.col("words")
     links = (F.length(line) - F.length(F.replace(line, F.lit("](")))) / 2
-    noise = t.any_of(both, NOISE_MARKERS) | line.startswith("[](") | line.startswith("![](") | ((links >= 2) & (few < 12)) | clean.isin("*", "-", "#", "") | F.rlike(clean, F.lit(r"^\d{1,2}:\d{2}\s")) | ((few < 10) & F.rlike(clean, F.lit(r"\d{1,2}:\d{2}")))
+    noise = t.any_of(F.col("fold"), NOISE_MARKERS) | t.any_of(F.col("folded"), NOISE_MARKERS) | line.startswith("[](") | line.startswith("![](") | ((links >= 2) & (few < 12)) | clean.isin("*", "-", "#", "") | F.rlike(clean, F.lit(r"^\d{1,2}:\d{2}\s")) | ((few < 10) & F.rlike(clean, F.lit(r"\d{1,2}:\d{2}")))
     tail = line.startswith("[ ![") | line.startswith("#### [") | t.any_of(F.col("fold"), TAIL_MARKERS)
     rows = rows.withColumns({"keep": ~noise, "tail": tail})
     so_far = Window.partitionBy("article_id").orderBy("line_no")
@@ -209,7 +211,7 @@ def extract_article_text(articles: DataFrame, cap: int = 5000, least: int = 120)
     kept = F.when(F.col("keep") & (F.col("over") == 0) & (F.col("chars") < cap), F.struct("line_no", "clean"))
     lines = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["clean"])
     out = rows.groupBy("article_id").agg(F.first("snippet").alias("snippet"), lines.alias("lines")).withColumn("text", t.clean_html_text(F.array_join("lines", "\n")))
-    marked = sum((F.contains(t.match_norm(F.col("text")), F.lit(w)).cast("int") for w in NOISE_MARKERS), F.lit(0))
+    marked = _bound(t.match_norm(F.col("text")), lambda x: sum((F.contains(x, F.lit(w)).cast("int") for w in NOISE_MARKERS), F.lit(0)))
     poor = (F.col("text") == "") | (marked >= 2) | (_word_count(F.col("text")) < 20)
     return out.select("article_id", F.when(poor, t.clean_html_text(F.coalesce("snippet", F.lit("")))).otherwise(F.col("text")).alias("text"))
 
@@ -223,11 +225,6 @@ def strip_publish_noise(c: Column) -> Column:
     return t.squeeze(out)
 
 
-def _bound(c: Column, f) -> Column:
-    """``f`` of a column that is costly and named several times: it is evaluated once."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def polish_summary(summary: Column, title: Column) -> Column:
     """A summary to show: site prefix, publishing noise and a repeated title off, then its excerpt."""
     title = F.coalesce(title, F.lit(""))
