@@ -22,6 +22,11 @@ def texts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)
 
 
+def told_ids(docs: DataFrame) -> DataFrame:
+    """doc_id (0 where null), no_id, text: whole numbers stay exact on their way to Python also where some ids are null."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as set. One of our own is made only where that is unset and
     all of Spark runs in one process, as in tests."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, ctw, exact_topk, html_text, mixing, quality, simhash, tiff, token_counts, token_files
+from lakeloom.llm import alignment, bpe, ctw, exact_topk, html_text, mask_search, mixing, quality, simhash, tiff, token_counts, token_files
 from lakeloom.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_components": op9_simhash_components,
     "op10_html_main_text": op10_html_main_text,
+    "op12_mask_search": op12_mask_search,
+    "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
 }
 
@@ -83,6 +93,24 @@ ORACLES: dict[str, str] = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_mask_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+        ), e AS (SELECT doc_id, rid, t, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+        g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM e),
+        q AS (
+            SELECT item_id, row_number() OVER () AS iid, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+        ), i AS (SELECT item_id, iid, unnest(t) AS term FROM q),
+        p AS (
+            SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(t) AS term FROM e)
+            WHERE term IN (SELECT term FROM i) GROUP BY rid, doc_id, n, term
+        ), w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, docs),
+        s AS (
+            SELECT i.iid, i.item_id, p.rid, p.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * p.n * g.docs) // g.words))))::BIGINT AS score
+            FROM i JOIN p USING (term) JOIN w USING (term), g GROUP BY i.iid, i.item_id, p.rid, p.doc_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
     "op5_curriculum_mix": r"""
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS turn
