@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import alignment, bpe, ctw, exact_topk, html_text, mask_search, mixing, quality, simhash, tiff, token_counts, token_files
+from lakeloom.llm import alignment, bpe, ctw, exact_topk, html_text, mask_search, mixing, packing, quality, simhash, tiff, token_counts, token_files
 from lakeloom.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_simhash_components": op9_simhash_components,
     "op10_html_main_text": op10_html_main_text,
+    "op11_retrieval_packing": op11_retrieval_packing,
     "op12_mask_search": op12_mask_search,
     "op13_token_alignment": op13_token_alignment,
     "pipeline": pipeline,
