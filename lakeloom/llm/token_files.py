@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -117,11 +118,22 @@ class WordEncoder:
         whole, stem, marks = self._ids(["Ab,.", "ab", ",."])
         self.by_part = self.by_word and whole == stem + marks
         self.parts: dict[str, bytes] = {"": b""}
+        #: Letters that the normalizer or the splitter does not part from a mark after them; words with one go whole.
+        self.bound = "[" + "".join(map(re.escape, self._bound_letters())) + "]" if self.by_part else ""
         #: Which ids end a word, where the vocabulary tells.
         suffix = json.loads(self.tool.to_str())["model"].get("end_of_word_suffix")
         self.ends = np.zeros(self.tool.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for token, i in self.tool.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
+    def _bound_letters(self) -> list[str]:
+        letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
+        words = " ".join(c + "," for c in letters)
+        text = self.tool.normalizer.normalize_str(words) if self.tool.normalizer else words
+        begins = {at for _, (at, end) in self.tool.pre_tokenizer.pre_tokenize_str(text) if end == at + 1}
+        ends = [i - 1 for i, c in enumerate(text + " ") if c == " "]
+        assert len(ends) == len(letters)
+        return [c for c, end in zip(letters, ends, strict=True) if end not in begins]
+
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tool.encode_batch_fast(some, add_special_tokens=False)]
 
@@ -147,6 +159,8 @@ class WordEncoder:
         if self.by_part:
             asked = pa.array(new, pa.string())
             found = pc.extract_regex(asked, PARTS)
+            if len(self.bound) > 2:
+                found = pc.if_else(pc.match_substring_regex(asked, self.bound), pa.scalar(None, found.type), found)
             whole = listed(asked.filter(pc.is_null(found)))
             stems = pc.ascii_lower(pc.struct_field(found, "stem")).drop_null().dictionary_encode()
             marks = pc.struct_field(found, "marks").drop_null().dictionary_encode()
