@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,10 @@ from lakeloom.operators.market import PAYLOAD_FIELDS
 
 # -- folders and versioned tables -------------------------------------------------------------------------------------
 
-#: Parts by hash of the key into which an upserted table is dealt where the caller names no other.
-BUCKETS = 16
+#: Hash parts of a new table whose parts the caller does not name, and rows of a part from which on they are multiplied.
+BUCKETS, PART_ROWS = 16, 4_000_000
+#: How often a writer starts over because another one committed first.
+ATTEMPTS = 50
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -39,92 +44,168 @@ def _files(spark: SparkSession, path: str) -> tuple:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """The last committed version of a table, 0 when there is none."""
+def _remove(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
     files, at = _files(spark, f"{path}/_versions")
     if not files.exists(at):
-        return 0
-    return max((int(x.getPath().getName()) for x in files.listStatus(at) if x.getPath().getName().isdigit()), default=0)
+        return []
+    return sorted(int(x.getPath().getName()) for x in files.listStatus(at) if x.getPath().getName().isdigit())
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    """The last committed version of a table, 0 when there is none. A commit is one file that appears whole or not at all."""
+    return max(_versions(spark, path), default=0)
 
 
-def _parts(spark: SparkSession, path: str, version: int) -> dict[str, int]:
-    """Which version each part of a table has, as of a commit."""
+def _state(spark: SparkSession, path: str, version: int) -> dict:
+    """What a commit holds: the number of hash parts, and the folder and rows of each part."""
     if not version:
-        return {}
-    rows = spark.read.schema("part string, version int").parquet(f"{path}/_versions/{version}").collect()
-    return {r["part"]: r["version"] for r in rows}
+        return {"buckets": BUCKETS, "parts": {}}
+    files, at = _files(spark, f"{path}/_versions/{version}")
+    stream = files.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
-def _read_parts(spark: SparkSession, path: str, parts: dict[str, int], schema: T.StructType | str) -> DataFrame:
+def _read_parts(spark: SparkSession, path: str, parts: dict[str, list], schema: T.StructType | str) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(f"{path}/v{v}/part={k}" for k, v in sorted(parts.items())))
+    return spark.read.schema(schema).parquet(*(f"{path}/{folder}/part={k}" for k, (folder, _) in sorted(parts.items())))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """The current version, or an empty table."""
-    return _read_parts(spark, path, _parts(spark, path, current_version(spark, path)), schema)
-
-
-def _commit(spark: SparkSession, path: str, version: int, parts: dict[str, int]) -> None:
-    """Make a version the current one. A commit of a number that is there already fails, so of two writers one loses;
-    what neither this version nor the one before it needs is removed."""
-    before = _parts(spark, path, version - 1)
-    spark.createDataFrame(sorted(parts.items()), "part string, version int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/_versions/{version}")
-    if version < 3:
-        return
-    for part, v in _parts(spark, path, version - 2).items():
-        if v not in (before.get(part), parts.get(part)):
-            files, at = _files(spark, f"{path}/v{v}/part={part}")
-            files.delete(at, True)
-    files, at = _files(spark, f"{path}/_versions/{version - 2}")
-    files.delete(at, True)
+    return _read_parts(spark, path, _state(spark, path, current_version(spark, path))["parts"], schema)
+
+
+def _commit(spark: SparkSession, path: str, version: int, state: dict) -> bool:
+    """Publish a version; False if that number is there already. The file is written under a name of its own and gets its
+    number in one step that fails where the number is taken: a link on a local disk, elsewhere a rename that does not
+    overwrite (atomic on file systems such as HDFS; a store whose rename copies allows one writer only).
+
+    Folders that neither this version nor the one before it needs are removed, with their commits; what a writer has not
+    committed belongs to no version and is never touched by another."""
+    jvm = spark._jvm
+    files, temporary = _files(spark, f"{path}/_versions/.{uuid.uuid4().hex}")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{version}")
+    out = files.create(temporary, False)
+    jvm.org.apache.commons.io.IOUtils.write(json.dumps(state), out, "UTF-8")
+    out.close()
+    try:
+        if files.getScheme() == "file":
+            local = [jvm.java.nio.file.Paths.get(files.makeQualified(x).toUri()) for x in (target, temporary)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(temporary, target, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        files.delete(temporary, False)
+    used = [state["parts"], _state(spark, path, version - 1)["parts"] if version - 1 in _versions(spark, path) else {}]
+    for old in [x for x in _versions(spark, path) if x < version - 1]:
+        for part, (folder, _) in _state(spark, path, old)["parts"].items():
+            if not any(folder == f for parts in used for f, _ in parts.values()):
+                _remove(spark, f"{path}/{folder}")
+            elif not any(parts.get(part, [None])[0] == folder for parts in used):
+                _remove(spark, f"{path}/{folder}/part={part}")
+        _remove(spark, f"{path}/_versions/{old}")
+    return True
+
+
+def _committed(spark: SparkSession, path: str, change: Callable[[dict, str], tuple[dict, int] | None]) -> tuple[int, int]:
+    """Apply a change to the current version until it is the next one: version, rows. ``change`` gets the state and a folder
+    of its own for data, and gives the new state and a number of rows, or None for no change. If another writer commits
+    first, it is asked again with what that one left, so both changes hold, one after the other."""
+    for _ in range(ATTEMPTS):
+        version = current_version(spark, path)
+        folder = f"data-{uuid.uuid4().hex}"
+        try:
+            made = change(_state(spark, path, version), folder)
+        except Exception:
+            _remove(spark, f"{path}/{folder}")
+            if current_version(spark, path) == version:
+                raise
+            continue  # what it read was superseded and removed meanwhile
+        if made is None:
+            return version, 0
+        if _commit(spark, path, version + 1, made[0]):
+            return version + 1, made[1]
+        _remove(spark, f"{path}/{folder}")
+    raise RuntimeError(f"{path}: {ATTEMPTS} times another writer was first")
 
 
 def write_version(df: DataFrame, path: str) -> int:
     """Write a whole new version beside the old one, then commit it: readers never see half a table, and a frame that reads
     the old version can be written."""
-    spark = df.sparkSession
-    version = current_version(spark, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{version}/part=all")
-    _commit(spark, path, version, {"all": version})
-    return version
+
+    def change(state: dict, folder: str) -> tuple[dict, int]:
+        df.write.parquet(f"{path}/{folder}/part=all")
+        return state | {"parts": {"all": [folder, None]}}, 0
+
+    return _committed(df.sparkSession, path, change)[0]
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[str], part: Column | None = None) -> int:
-    """Keyed upsert into a versioned table; returns the number of rows put in. ``part``, a function of the key (a date, a
-    hash by default), deals the table into parts, and only the parts that the batch touches are written anew."""
+    """Keyed upsert into a versioned table; returns the number of rows put in. ``part``, a function of the key such as a
+    date, deals the table into parts, and only the parts that the batch touches are written anew. By default parts are
+    hashes of the key, and there are more of them as the table grows, so that a part keeps its size.
+
+    A null is a key like any other: a batch that is repeated changes nothing. Writers may run side by side; each writes
+    into a folder of its own, and one that finds another's commit merges its batch again on top of it."""
     from lakeloom.operators.market import last_of_batch
 
     columns = [c for c in batch.columns if not c.startswith("_")]
-    part = F.coalesce((F.pmod(F.hash(*keys), F.lit(BUCKETS)) if part is None else part).cast("string"), F.lit("none"))
-    folder = f"{path}/_batches/{uuid.uuid4().hex}"  # the batch is read three times and may be costly
-    last_of_batch(batch, keys, order).select(*columns, part.alias("part")).write.parquet(folder)
+    stage = f"{path}/_batches/{uuid.uuid4().hex}"  # the batch is read several times and may be costly
+    last_of_batch(batch, keys, order).select(*columns).write.parquet(stage)
     schema = batch.select(*columns).schema
-    rows = spark.read.schema(T.StructType([*schema, T.StructField("part", T.StringType())])).parquet(folder)
-    version = current_version(spark, path)
-    parts = _parts(spark, path, version)
-    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
-    if counts:
-        target = _read_parts(spark, path, {k: v for k, v in parts.items() if k in counts}, schema).withColumn("part", part)
-        merged = target.join(rows.select(*keys), keys, "left_anti").select(*columns, "part").unionByName(rows)
-        merged.hint("rebalance", "part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/v{version + 1}")
-        _commit(spark, path, version + 1, parts | dict.fromkeys(counts, version + 1))
-    files, at = _files(spark, folder)
-    files.delete(at, True)
-    return sum(counts.values())
+    rows = spark.read.schema(schema).parquet(stage)
+    dealt = T.StructType([*schema, T.StructField("part", T.StringType())])
+
+    def change(state: dict, folder: str) -> tuple[dict, int] | None:
+        def place(buckets: int) -> Column:
+            return F.coalesce((F.pmod(F.hash(*keys), F.lit(buckets)) if part is None else part).cast("string"), F.lit("none"))
+
+        buckets, parts = state["buckets"], state["parts"]
+        counts = {r["part"]: r["count"] for r in rows.groupBy(place(buckets).alias("part")).count().collect()}
+        added = sum(counts.values())
+        if not counts:
+            return None
+        touched = {k: v for k, v in parts.items() if k in counts}
+        if part is None and (total := added + sum(n for _, n in parts.values())) > buckets * PART_ROWS:
+            while total > buckets * PART_ROWS // 2:
+                buckets *= 2
+            touched, parts = parts, {}
+        target, new = _read_parts(spark, path, touched, schema), rows.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        merged = target.join(new, reduce(Column.__and__, same), "left_anti").unionByName(rows).withColumn("part", place(buckets))
+        merged.hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/{folder}")
+        made = spark.read.schema(dealt).parquet(f"{path}/{folder}").groupBy("part").count().collect()
+        return {"buckets": buckets, "parts": parts | {r["part"]: [folder, r["count"]] for r in made}}, added
+
+    try:
+        return _committed(spark, path, change)[1]
+    finally:
+        _remove(spark, stage)
 
 
 def drop_parts(spark: SparkSession, path: str, gone: Callable[[str], bool]) -> int:
     """Drop the parts of a versioned table whose names ``gone`` picks; nothing is written anew. Returns how many rows went."""
-    version = current_version(spark, path)
-    parts = _parts(spark, path, version)
-    old = {k: v for k, v in parts.items() if gone(k)}
-    if not old:
-        return 0
-    rows = spark.read.parquet(*(f"{path}/v{v}/part={k}" for k, v in old.items())).count()
-    _commit(spark, path, version + 1, {k: v for k, v in parts.items() if k not in old})
-    return rows
+
+    def change(state: dict, folder: str) -> tuple[dict, int] | None:
+        old = {k: v for k, v in state["parts"].items() if gone(k)}
+        rows = sum(spark.read.parquet(f"{path}/{folder}/part={k}").count() if n is None else n for k, (folder, n) in old.items())
+        return (state | {"parts": {k: v for k, v in state["parts"].items() if k not in old}}, rows) if old else None
+
+    return _committed(spark, path, change)[1]
 
 
 def write_by_year(daily: DataFrame, path: str) -> None:

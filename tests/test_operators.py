@@ -157,6 +157,91 @@ def test_versioned_upsert_is_idempotent(spark, tmp_path):
         assert [tuple(r) for r in s.read_table(spark, str(tmp_path / "t"), batch.schema).orderBy("k").collect()] == [(1, "b", 2), (2, "c", 1)]
 
 
+KIND = "k int, v string, n int"
+
+
+def rows_of(spark, path):
+    return sorted((tuple(r) for r in s.read_table(spark, path, KIND).collect()), key=str)
+
+
+def test_losing_writer_merges_on_top_of_the_winner(spark, tmp_path, monkeypatch):
+    """While one writer has read version 1 and writes, another commits version 2: both batches hold, nothing is removed."""
+    path = str(tmp_path / "t")
+    s.upsert_table(spark, path, spark.createDataFrame([(i, "old", 1) for i in range(20)], KIND), ["k"], ["n"])
+    commit, raced = s._commit, []
+
+    def slow(*some):
+        if not raced:
+            raced.append(True)
+            s.upsert_table(spark, path, spark.createDataFrame([(3, "other", 2), (50, "other", 2)], KIND), ["k"], ["n"])
+        return commit(*some)
+
+    monkeypatch.setattr(s, "_commit", slow)
+    assert s.upsert_table(spark, path, spark.createDataFrame([(3, "mine", 3), (4, "mine", 3)], KIND), ["k"], ["n"]) == 2
+    want = {i: (i, "old", 1) for i in range(20)} | {50: (50, "other", 2), 3: (3, "mine", 3), 4: (4, "mine", 3)}
+    assert rows_of(spark, path) == sorted(want.values(), key=str) and s.current_version(spark, path) == 3
+    assert not list((tmp_path / "t/_versions").glob(".[0-9a-f]*[0-9a-f]")) and not list((tmp_path / "t/_batches").iterdir())
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    s.upsert_table(spark, path, spark.createDataFrame([(1, "a", 1)], KIND), ["k"], ["n"])
+    state = s._state(spark, path, 1)
+    assert s._commit(spark, path, 2, state) and not s._commit(spark, path, 2, {"buckets": 1, "parts": {}})
+    assert s._state(spark, path, 2) == state
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    batches = [spark.createDataFrame([(w * 10 + i, f"w{w}", w) for i in range(10)] + [(1000, f"w{w}", w)], KIND) for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda b: s.upsert_table(spark, path, b, ["k"], ["n"]), batches)) == [11] * 4
+    got = rows_of(spark, path)
+    assert [r for r in got if r[0] < 1000] == sorted(((w * 10 + i, f"w{w}", w) for w in range(4) for i in range(10)), key=str)
+    assert sum(r[0] == 1000 for r in got) == 1 and s.current_version(spark, path) == 4
+
+
+def test_half_commit_is_not_seen(spark, tmp_path):
+    """Files of a writer that died before its commit belong to no version, and a later cleaning leaves them alone."""
+    path = str(tmp_path / "t")
+    s.upsert_table(spark, path, spark.createDataFrame([(1, "a", 1)], KIND), ["k"], ["n"])
+    (tmp_path / "t/_versions/.0123abc").write_text('{"buck')
+    spark.createDataFrame([(9, "lost", 9)], KIND).write.parquet(f"{path}/data-dead/part=0")
+    for n in range(2, 5):
+        s.upsert_table(spark, path, spark.createDataFrame([(1, "b", n)], KIND), ["k"], ["n"])
+        assert rows_of(spark, path) == [(1, "b", n)]
+    assert len(list((tmp_path / "t").glob("data-*"))) == 3  # of the last two versions, and the dead writer's
+
+
+def test_null_keys_are_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([(None, "a", 1), (None, "b", 2), (1, "c", 1)], KIND)
+    for _ in range(2):
+        s.upsert_table(spark, path, batch, ["k"], ["n"])
+        assert rows_of(spark, path) == [(1, "c", 1), (None, "b", 2)]
+    day = F.when(F.col("k") > 0, F.lit("d"))
+    for _ in range(2):
+        s.upsert_table(spark, f"{path}-day", batch, ["k"], ["n"], day)
+    assert rows_of(spark, f"{path}-day") == [(1, "c", 1), (None, "b", 2)]
+
+
+def test_parts_grow_in_number_and_touch_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "PART_ROWS", 10)
+    path = str(tmp_path / "t")
+    s.upsert_table(spark, path, spark.createDataFrame([(i, "a", 1) for i in range(100)], KIND), ["k"], ["n"])
+    assert s._state(spark, path, 1)["buckets"] == 16
+    s.upsert_table(spark, path, spark.createDataFrame([(i, "b", 2) for i in range(90, 600)], KIND), ["k"], ["n"])
+    state = s._state(spark, path, 2)
+    assert state["buckets"] == 128 and sum(n for _, n in state["parts"].values()) == 600
+    s.upsert_table(spark, path, spark.createDataFrame([(5, "c", 3)], KIND), ["k"], ["n"])
+    after = s._state(spark, path, 3)["parts"]
+    assert sum(after[k] != v for k, v in state["parts"].items()) == 1
+    assert rows_of(spark, path) == sorted(((i, "c" if i == 5 else "b" if i >= 90 else "a", 3 if i == 5 else 2 if i >= 90 else 1) for i in range(600)), key=str)
+    assert s.drop_parts(spark, path, lambda k: k == next(iter(after))) == after[next(iter(after))][1]
+
+
 def test_maps_merge(spark):
     kind = "id int, title string, meta map<string,string>, status string"
     a = spark.createDataFrame([(1, "old", {"a": "1", "b": "1"}, "kept"), (3, "stays", None, "s")], kind)
