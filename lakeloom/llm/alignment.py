@@ -38,7 +38,7 @@ from lakeloom.llm.bpe import byte_symbols, groups
 from lakeloom.llm.common import told_ids, written
 
 #: Characters of a block of documents; chunks asked for in one text; bytes of what a worker keeps of chunks.
-BLOCK, TOGETHER, KEPT = 1 << 23, 256, 80 << 20
+BLOCK, TOGETHER, KEPT = 1 << 22, 1024, 40 << 20
 #: A space that no token of either side crosses.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -91,8 +91,8 @@ class Aligner:
             offset = np.array(e.offsets, np.int64).reshape(-1, 2)
             starts = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
             a_ends = refined(starts[offset[:, 1]], np.append(offset[1:, 0] >= offset[:-1, 1], True), self.a_size[a])
-            begin, end = (np.array(x, np.int64) for x in ([p.begin for p in pieces], [p.end for p in pieces]))
-            yield a, a_ends, b, refined(end + 1, end > begin, self.b_size[b])  # the space before the text is B's own
+            end = np.array([p.end for p in pieces], np.int64)  # spans follow each other: where the end stays, one is empty
+            yield a, a_ends, b, refined(end + 1, np.diff(end, prepend=0) > 0, self.b_size[b])  # the first space is B's own
 
     def parts(self, chunks: list[str], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple]:
         """Of each chunk of one text: tokens of A, of B, groups, linked pairs (A id << 16 | B id), groups as text."""
@@ -125,8 +125,8 @@ class Aligner:
         plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace() and SPACE not in x]
         kept = set(plain)
         lots = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[x] for x in new if x not in kept]
-        for i in range(0, len(lots), 64):
-            some = lots[i : i + 64]
+        for i in range(0, len(lots), 16):
+            some = lots[i : i + 16]
             for lot, found in zip(some, self.ends([" ".join(x) for x in some]), strict=True):
                 if found is not None:
                     self.known.update(zip(lot, self.parts(lot, *found), strict=True))
