@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -168,25 +170,95 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters:
     schema = f"question_id {dict(q.dtypes)['question_id']}, point_id {dict(c.dtypes)['point_id']}, cosine double"
     met = left.groupBy("key", "qc", "cc").cogroup(right.groupBy("key", "qc", "cc")).applyInPandas(lambda a, b: _cell_best(a, b, k), schema)
     order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "point_id")
-    met = met.filter(~F.isnan("cosine")).withColumn("cosine", F.round("cosine", 6))
+    met = met.filter(F.col("cosine").isNotNull() & ~F.isnan("cosine")).withColumn("cosine", F.round("cosine", 6))
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "point_id", "cosine")
 
 
-def vector_topk_lsh(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, tables: int = 8, width: float = 1.0, radius: float = 1.4) -> DataFrame:
-    """Approximate top-k: random projections of unit vectors propose pairs within a radius, exact cosine ranks those that
-    meet the filters the question sets. Recall is measured by the tests."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    used = [c for c in filters if c in questions.columns and c in chunks.columns]
-    q, c = (x.select(key, array_to_vector(F.transform("vector", lambda v: v.cast("double"))).alias("v"), *used) for x, key in ((questions, "question_id"), (chunks, "point_id")))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, "distance")
-    for x in used:
-        pairs = pairs.filter(F.col(f"datasetA.{x}").isNull() | (F.col(f"datasetA.{x}") == F.col(f"datasetB.{x}")))
-    pairs = pairs.select("datasetA.question_id", "datasetB.point_id", F.round(1 - F.col("distance") * F.col("distance") / 2, 6).alias("cosine"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "point_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+#: Rows on which cells are fitted and probes are measured, at most; questions of that measure; cells, at most.
+SAMPLE, MEASURED, CELLS = 32_768, 256, 1024
+
+
+@dataclass(frozen=True)
+class CellIndex:
+    """A coarse quantizer of unit vectors: centres of cells, and how many cells a question looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+    def nearest(self, vectors: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest cells of each vector, nearest first."""
+        near = vectors @ self.centres.T
+        some = np.argpartition(-near, n - 1, axis=1)[:, :n] if n < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
+
+
+def _units(vectors: pd.Series, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the given length that have a direction, as unit vectors, and where they stand."""
+    at = np.array([i for i, x in enumerate(vectors) if x is not None and len(x) == dims], np.int64)
+    v = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in at]) if len(at) else np.zeros((0, dims))
+    size = np.linalg.norm(v, axis=1)
+    good = np.isfinite(size) & (size > 0)
+    return (v[good] / size[good, None]).astype(np.float32), at[good]
+
+
+def fit_cells(chunks: DataFrame, k: int = TOP, recall: float = 0.97, cells: int | None = None, rounds: int = 12) -> CellIndex:
+    """Cells by k-means over directions, fitted on ``SAMPLE`` chunks at most, the first by hash of their id; every chunk is
+    indexed later. Probes are the fewest with which ``MEASURED`` of the sample find the share ``recall`` of their ``k``
+    nearest others in it; those of the whole table are nearer, so its recall is higher, if anything."""
+    rows = chunks.filter(F.size("vector") > 0).select("point_id", "vector")
+    n = rows.count()
+    drawn = rows.withColumn("_h", F.xxhash64("point_id")).orderBy("_h", "point_id").limit(SAMPLE).toPandas()
+    lengths = drawn["vector"].map(len)
+    dims = int(lengths.mode().iloc[0]) if len(drawn) else 0
+    v, _ = _units(drawn["vector"], dims)
+    if not len(v):
+        return CellIndex(np.zeros((1, dims), np.float32), 1)
+    cells = cells or int(min(CELLS, max(1, len(v) // 16), max(1, round(n**0.5))))
+    rng = np.random.default_rng(7)
+    centres = v[rng.choice(len(v), cells, replace=False)]
+    for _ in range(rounds):
+        own = np.argmax(v @ centres.T, axis=1)
+        order = np.argsort(own, kind="stable")
+        held, first = np.unique(own[order], return_index=True)
+        centres[held] = np.add.reduceat(v[order], first)
+        size = np.linalg.norm(centres, axis=1)
+        empty = np.setdiff1d(np.arange(cells), held)
+        centres[empty] = v[rng.choice(len(v), len(empty))]
+        size[empty] = 1
+        centres /= np.maximum(size, 1e-12)[:, None]
+    index = CellIndex(centres, cells)
+    asked = rng.choice(len(v), min(MEASURED, len(v)), replace=False)
+    near = v[asked] @ v.T
+    near[np.arange(len(asked)), asked] = -2
+    top = np.argpartition(-near, min(k, len(v) - 1) - 1, axis=1)[:, : max(1, min(k, len(v) - 1))]
+    turn = np.argsort(index.nearest(v[asked], cells), axis=1)  # of each cell, its place in a question's order
+    place = np.sort(np.take_along_axis(turn, np.argmax(v @ centres.T, axis=1)[top], 1).ravel())
+    return CellIndex(centres, int(place[max(0, int(np.ceil(recall * len(place))) - 1)]) + 1)
+
+
+def in_cells(rows: DataFrame, index: CellIndex, probes: int) -> DataFrame:
+    """Rows with ``_cell``, one for each of their nearest cells. Vectors of another length or without a direction are in
+    cell -1."""
+    dims = index.centres.shape[1]
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        v, at = _units(vectors, dims)
+        out = [[-1]] * len(vectors)
+        if len(v):
+            for i, own in zip(at.tolist(), index.nearest(v, probes).tolist(), strict=True):
+                out[i] = own
+        return pd.Series(out)
+
+    return rows.withColumn("_cell", F.explode(cells("vector")))
+
+
+def vector_topk_approx(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, index: CellIndex | None = None) -> DataFrame:
+    """Approximate top-k: chunks lie in the cells of a coarse quantizer, a question meets the chunks of the cells nearest to
+    it that pass its filters, and those are ranked by exact cosine. A cell is one more filter of the exact search, so
+    large cells are dealt into blocks like any other key."""
+    index = index or fit_cells(chunks, k)
+    return vector_topk(in_cells(questions, index, index.probes), in_cells(chunks, index, 1), k, (*filters, "_cell"))
 
 
 def merge_candidates(hits: DataFrame) -> DataFrame:

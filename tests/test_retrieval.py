@@ -36,16 +36,51 @@ def test_vector_cells_change_nothing(spark):
         assert best(r.vector_topk(a, c, **sizes).collect(), 12) == want
 
 
-def test_approximate_search_finds_nine_of_ten(spark):
+def found_share(exact, near):
+    return np.mean([len({*exact[i]} & {*near.get(i, [])}) / len(exact[i]) for i in exact])
+
+
+def met_share(a, c, index):
+    """The share of all pairs of a question and a chunk that lie in one cell."""
+    by = lambda rows: {x["_cell"]: x["count"] for x in rows.groupBy("_cell").count().collect()}
+    chunks, asked = by(r.in_cells(c, index, 1)), by(r.in_cells(a, index, index.probes))
+    return sum(n * chunks.get(cell, 0) for cell, n in asked.items()) / (a.count() * c.count())
+
+
+def test_approximate_search_prunes_and_finds_nine_of_ten(spark):
+    """On vectors that lie in bundles: most pairs are never met, and few of the nearest are missed."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(60, 24))
+    vectors = middles[rng.integers(0, 60, 6000)] + 0.35 * rng.normal(size=(6000, 24))
+    c = spark.createDataFrame([(i, v.tolist(), f"t{i % 3}") for i, v in enumerate(vectors)], "point_id int, vector array<double>, ticker string")
+    a = spark.createDataFrame([(i, v.tolist(), "t1" if i % 4 == 0 else None) for i, v in enumerate(middles[rng.integers(0, 60, 100)] + 0.35 * rng.normal(size=(100, 24)))], "question_id int, vector array<double>, ticker string")
+    index = r.fit_cells(c)
+    exact, near = best(r.vector_topk(a, c).collect(), 12), best(r.vector_topk_approx(a, c, index=index).collect(), 12)
+    assert found_share(exact, near) >= 0.9 and met_share(a, c, index) <= 0.1
+    assert all(p % 3 == 1 for i, some in near.items() if i % 4 == 0 for p in some)
+
+
+def test_approximate_search_of_given_vectors(spark):
+    """These have hardly any structure, so cells prune little; recall is what is asked for all the same."""
     a, c = q.question_vectors(spark, SF), q.chunks(spark, SF)
-    exact, near = best(r.vector_topk(a, c).collect(), 12), best(r.vector_topk_lsh(a, c).collect(), 12)
-    hits = [len({*exact[i]} & {*near.get(i, [])}) / len(exact[i]) for i in exact]
-    assert np.mean(hits) >= 0.9
+    index = r.fit_cells(c)
+    exact, near = best(r.vector_topk(a, c).collect(), 12), best(r.vector_topk_approx(a, c, index=index).collect(), 12)
+    assert found_share(exact, near) >= 0.9 and met_share(a, c, index) < 1
     tickers = {x["point_id"]: x["ticker"] for x in c.select("point_id", "ticker").collect()}
     asked = {x["question_id"]: x["ticker"] for x in a.select("question_id", "ticker").collect()}
     assert all(asked[i] is None or tickers[p] == asked[i] for i, some in near.items() for p in some)
 
 
+def test_vectors_without_a_cell(spark):
+    """Other lengths, zeros and nulls: found among their like as the exact search finds them, and never in the way."""
+    rows = [(i, [float(i % 7 + 1), 1.0, float(i % 5)]) for i in range(200)] + [(500, [1.0, 2.0]), (501, [0.0, 0.0, 0.0]), (502, None), (503, [])]
+    c = spark.createDataFrame(rows, "point_id int, vector array<double>")
+    a = spark.createDataFrame([(1, [2.0, 1.0, 0.0]), (2, [2.0, 4.0]), (3, [0.0, 0.0, 0.0]), (4, None)], "question_id int, vector array<double>")
+    got = best(r.vector_topk_approx(a, c).collect(), 12)
+    assert {*got} == {1, 2} and got[2] == [500] and len(got[1]) == 12
+    assert r.vector_topk_approx(a, c.filter("false")).count() == 0 and r.vector_topk_approx(a.filter("false"), c).count() == 0
+
+
 def test_expanded_queries(spark):
     df = spark.createDataFrame([(1, "Tổng tài sản của ACB quý 2 năm 2025 tại ngày 30/06/2025 là bao nhiêu?"), (2, "Đơn vị tính là gì?"), (3, "xin chào")], "question_id int, question string")
     by = collections.defaultdict(list)
