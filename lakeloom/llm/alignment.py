@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakeloom.llm.bpe import byte_symbols, groups
-from lakeloom.llm.common import told_ids, written
+from lakeloom.llm.bpe import byte_symbols
+from lakeloom.llm.common import map_texts, written
 
 #: Characters of a block of documents; chunks asked for in one text; bytes of what a worker keeps of chunks.
 BLOCK, TOGETHER, KEPT = 1 << 22, 1024, 40 << 20
@@ -210,11 +210,11 @@ def aligner(a: str, b: str) -> Aligner:
 def aligned_blocks(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
     """Written blocks of aligned documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(slices: Iterator[tuple[list, list, list]]) -> Iterator[pd.DataFrame]:
         tool, number = aligner(a, b), TaskContext.get().partitionId() << 32
         ids, no_ids, some, size = [], [], [], 0
-        for batch in batches:
-            for doc_id, no_id, text in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), batch["text"].tolist(), strict=True):
+        for part in slices:
+            for doc_id, no_id, text in zip(*part, strict=True):
                 ids.append(doc_id)
                 no_ids.append(no_id)
                 some.append(text)
@@ -225,7 +225,7 @@ def aligned_blocks(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataF
         if some:
             yield pd.DataFrame([tool.block(number, ids, no_ids, some)])
 
-    return written(told_ids(docs).mapInPandas(run, ROW), "aligned")
+    return written(map_texts(docs, run, ROW), "aligned")
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Space and the controls 9-13: what the contracts call white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +32,23 @@ def told_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Documents that are turned into Python's texts at a time.
+ROWS = 1024
+
+
+def map_texts(docs: DataFrame, run: Callable[[Iterator[tuple[list, list, list]]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Frames that ``run`` makes of slices of doc_ids, no_ids and texts; of an Arrow batch, one slice at a time is turned
+    into Python's objects, so that a worker's memory does not follow the size of batches."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (tuple(x.to_pylist() for x in batch.slice(lo, ROWS).columns) for batch in batches for lo in range(0, batch.num_rows, ROWS))
+        for frame in run(slices):
+            yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+
+    return told_ids(docs).mapInArrow(each, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as set. One of our own is made only where that is unset and
     all of Spark runs in one process, as in tests."""

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import told_ids, written
+from lakeloom.llm.common import map_texts, written
 from lakeloom.llm.token_files import word_encoder
 
 #: Ids of a sequence; ids of a shard; terms of a seed asked for first; BM25's two parameters.
@@ -52,14 +52,15 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """The whole windows and the rest of each encoded document, written."""
+    names = [c.split()[0] for c in FRAGMENT.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(slices: Iterator[tuple[list, list, list]]) -> Iterator[pd.DataFrame]:
         tool = word_encoder(tokenizer)
         ranks, width = orders(len(tool.ends)), tool.dtype.itemsize
         end, turn = np.asarray([end_id], tool.dtype).tobytes(), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            rows = []
-            for doc_id, no_id, ids in zip(batch["doc_id"].tolist(), batch["no_id"].tolist(), tool.encode(batch["text"].tolist()), strict=True):
+        rows: list[tuple] = []
+        for doc_ids, no_ids, some in slices:
+            for doc_id, no_id, ids in zip(doc_ids, no_ids, tool.encode(some), strict=True):
                 ids += end
                 n = len(ids) // width
                 for lo in range(0, n, window):
@@ -68,13 +69,13 @@ def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
                     low = (0,) * HASHES if whole else ranks[:, np.frombuffer(own, tool.dtype)].min(1).tolist()
                     turn += 1
                     rows.append((doc_id, no_id, lo, n, whole, len(own) // width, width, own, turn, *low))
-                if len(rows) >= 2000:
-                    yield pd.DataFrame(rows)
+                if len(rows) >= 500:
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    return written(told_ids(docs).mapInPandas(lambda x: (y.set_axis([c.split()[0] for c in FRAGMENT.split(", ")], axis=1) for y in run(x)), FRAGMENT), "fragments")
+    return written(map_texts(docs, run, FRAGMENT), "fragments")
 
 
 def document_frequencies(rests: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ from lakeloom.llm.bpe import groups
 from lakeloom.llm.common import scratch, texts
 
 SAMPLE = 512
-#: Characters that are split at a time; ids of a block, at least (a document is never cut); entries of a word cache.
-SLICE, BLOCK_IDS, CACHE = 1 << 22, 1 << 20, 500_000
+#: Characters that are split at a time; ids of a block, at least (a document is never cut); bytes of a word cache, about,
+#: and what an entry takes besides its word and ids.
+SLICE, BLOCK_IDS, CACHE, ENTRY = 1 << 22, 1 << 20, 64 << 20, 200
 #: doc_ids are delta-coded against first_doc by Parquet itself, as a list column.
 BLOCK = "part int, block int, first_doc long, n_docs long, n_ids long, width int, ids binary, doc_ids array<long>, low_bits int, low binary, high binary, samples binary"
 
@@ -114,6 +115,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_word = not self._ids(["a \n　b"])[0] != self._ids(["a b"])[0] and self._ids([" "])[0] == []
         self.known: dict[str, bytes] = {}
+        self.known_size = self.parts_size = 0
         #: Ids of stems and of runs of marks, for a tokenizer that parts them and folds ASCII case.
         whole, stem, marks = self._ids(["Ab,.", "ab", ",."])
         self.by_part = self.by_word and whole == stem + marks
@@ -142,8 +144,6 @@ class WordEncoder:
 
     def _learn_parts(self, new: list[str]) -> None:
         """Stems and runs of marks, a text of many at a time; one whose ends do not tell its parts is asked for singly."""
-        if len(self.parts) > 2 * CACHE:  # what the library was asked for stays longer than the words made of it
-            self.parts = {"": b""}
         chunks = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
         for chunk, ids in zip(chunks, self._ids([" ".join(x) for x in chunks]), strict=True):
             ids = np.asarray(ids, self.dtype)
@@ -166,7 +166,11 @@ class WordEncoder:
             marks = pc.struct_field(found, "marks").drop_null().dictionary_encode()
             parted = listed(asked.filter(pc.is_valid(found)))
             stem_list, marks_list = listed(stems.dictionary), listed(marks.dictionary)
+            if self.parts_size > 3 * CACHE // 2:  # what the library was asked for stays longer than the words made of it
+                self.parts, self.parts_size = {"": b""}, 0
+            was = len(self.parts)
             self._learn_parts([x for x in dict.fromkeys([*stem_list, *marks_list]) if x not in self.parts])
+            self.parts_size += (len(self.parts) - was) * ENTRY + sum(map(len, stem_list))
             s, m = ([self.parts[x] for x in some] for some in (stem_list, marks_list))
             self.known.update(zip(parted, [s[i] + m[j] for i, j in zip(listed(stems.indices), listed(marks.indices), strict=True)], strict=True))
             new = whole
@@ -181,10 +185,13 @@ class WordEncoder:
             split = pc.ascii_split_whitespace(pa.array(group, pa.large_string()))
             words = split.flatten().dictionary_encode()
             distinct = listed(words.dictionary)
-            if len(self.known) > CACHE:  # what is in use stays
+            if self.known_size > CACHE:  # what is in use stays
                 self.known = {w: self.known[w] for w in distinct if w in self.known}
-            self._learn([w for w in distinct if w not in self.known])
+                self.known_size = sum(ENTRY + len(w) + len(x) for w, x in self.known.items())
+            new = [w for w in distinct if w not in self.known]
+            self._learn(new)
             ids = list(map(self.known.__getitem__, distinct))
+            self.known_size += len(new) * ENTRY + sum(map(len, new)) * 2
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
             begin = np.cumsum(size) - size
             ids = np.frombuffer(b"".join(ids), self.dtype)

@@ -127,3 +127,11 @@ def test_letters_that_fall_apart_equal_library():
     some = ["İ,", "SABİ. Aİ!", *(f"a{c}, {c}. {c}'s {c}" for c in letters), *("".join(rng.choice(["İ", "ß", "ŉ", "a", ",", ".", " ", "'", rng.choice(letters)]) for _ in range(25)) for _ in range(2000))]
     for text, ids in zip(some, mine.encode(some), strict=True):
         assert np.frombuffer(ids, mine.dtype).tolist() == mine.tool.encode(text, add_special_tokens=False).ids, text
+
+
+def test_full_caches_lose_nothing(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 3)
+    mine = token_files.WordEncoder(WORD)
+    some = ["alpha, beta. gamma", "beta, alpha! delta?", "one two three four five six", "alpha. two, delta"]
+    for text, ids in zip(some * 2, [y for x in some * 2 for y in mine.encode([x])], strict=True):
+        assert np.frombuffer(ids, mine.dtype).tolist() == mine.tool.encode(text, add_special_tokens=False).ids
