@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakeloom.functions.text import any_of, fold_text, squeeze, strip_row_prefix, tokenize_fold
 
@@ -120,24 +123,38 @@ def dot(a: Column, b: Column) -> Column:
 CELL_CHUNKS, CELL_QUESTIONS, CELL_STEP = 8192, 4096, 1 << 22
 
 
-def _cell_best(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best chunks of one cell for each of its questions, by cosine rounded to six digits, then point_id."""
-    columns = ["question_id", "point_id", "cosine"]
-    if not len(q) or not len(c):
-        return pd.DataFrame({x: [] for x in columns})
-    c = c.sort_values("point_id")
-    points, found = c["point_id"].to_numpy(), []
+#: How far a single-precision cosine may be off, with rounding.
+SLACK = 1e-5
+
+
+def _cell_units(rows: pa.Table) -> np.ndarray:
+    """Vectors of one length as unit vectors, read from Arrow's buffer; rows without a direction are not a number."""
+    v = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (np.stack(t["vector"].to_numpy()).astype(float) for t in (q, c)))
-    for lo in range(0, len(a), step := max(1, CELL_STEP // max(1, len(b)))):
-        near = np.round(a[lo : lo + step] @ b.T, 6)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _cell_best(q: pa.Table, c: pa.Table, k: int, schema: pa.Schema) -> pa.Table:
+    """The ``k`` best chunks of one cell for each of its questions, by cosine rounded to six digits, then point_id: a
+    product in single precision picks those that can be among them, which are worked out in double precision."""
+    if not len(q) or not len(c):
+        return schema.empty_table()
+    c = c.sort_by("point_id")
+    a, b = _cell_units(q), _cell_units(c)
+    ids, few, found = c.column("point_id").combine_chunks(), min(k, len(b)), []
+    a32, b32 = a.astype(np.float32), b.astype(np.float32).T
+    for lo in range(0, len(a), step := max(1, CELL_STEP // len(b))):
+        near = a32[lo : lo + step] @ b32
         near[np.isnan(near)] = -2  # a vector of zeros has no cosine
-        for i, row in enumerate(near, lo):
-            kth = np.partition(row, len(row) - min(k, len(row)))[len(row) - min(k, len(row))]
-            at = np.flatnonzero(row >= kth)
-            at = at[np.argsort(-row[at], kind="stable")][:k]
-            found.append((np.full(len(at), q["question_id"].iloc[i]), points[at], np.where(row[at] < -1, np.nan, row[at])))
-    return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        kth = np.partition(near, len(b) - few, axis=1)[:, len(b) - few]
+        i, j = np.nonzero((near >= kth[:, None] - SLACK) & (near > -2))
+        i += lo
+        cosine = np.round(np.einsum("ij,ij->i", a[i], b[j]), 6)
+        order = np.lexsort((j, -cosine, i))
+        first = np.searchsorted(i[order], i[order])  # where each question's hits begin
+        found.append((i[order], j[order], cosine[order], np.arange(len(order)) - first < k))
+    i, j, cosine, kept = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table([q.column("question_id").combine_chunks().take(pa.array(i[kept])), ids.take(pa.array(j[kept])), pa.array(cosine[kept])], schema=schema)
 
 
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters: tuple[str, ...] = FILTERS, cell_chunks: int = CELL_CHUNKS, cell_questions: int = CELL_QUESTIONS) -> DataFrame:
@@ -167,10 +184,10 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = TOP, filters:
     own = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
     left = q.join(sizes, "key").select("question_id", "vector", "key", own("question_id", "q_cells").alias("qc"), every("c_cells").alias("cc"))
     right = c.join(sizes, "key").select("point_id", "vector", "key", own("point_id", "c_cells").alias("cc"), every("q_cells").alias("qc"))
-    schema = f"question_id {dict(q.dtypes)['question_id']}, point_id {dict(c.dtypes)['point_id']}, cosine double"
-    met = left.groupBy("key", "qc", "cc").cogroup(right.groupBy("key", "qc", "cc")).applyInPandas(lambda a, b: _cell_best(a, b, k), schema)
+    schema = T.StructType([q.schema["question_id"], c.schema["point_id"], T.StructField("cosine", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    met = left.groupBy("key", "qc", "cc").cogroup(right.groupBy("key", "qc", "cc")).applyInArrow(lambda a, b: _cell_best(a, b, k, arrow), schema)
     order = Window.partitionBy("question_id").orderBy(F.desc("cosine"), "point_id")
-    met = met.filter(F.col("cosine").isNotNull() & ~F.isnan("cosine")).withColumn("cosine", F.round("cosine", 6))
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("question_id", "rank", "point_id", "cosine")
 
 

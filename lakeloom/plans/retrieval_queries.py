@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom import views
+from lakeloom.operators import chunk_index, documents
 from lakeloom.operators import retrieval as r
+from lakeloom.operators import retrieval_chain as chain
 from lakeloom.plans.document_queries import table_chunks
+from lakeloom.sources.tables import scratch, written
 from lakeloom.views import with_views
 
 QUERIES = {}
@@ -113,39 +116,57 @@ def report_chunks(spark: SparkSession, d: str) -> DataFrame:
                     body.alias("content_for_embedding"), body.alias("raw_content"), F.when(kind == "table_row_window", body).alias("window_text"), F.when(kind == "table_row", body).alias("focus_row_text"), F.lit(1).alias("page"))
 
 
+#: Tickers put on the chunks of orders, by order.
+TICKERS = ("FPT", "HPG", "ACB", "TCB", "VNM", "SSI")
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return report_chunks(spark, d).withColumn("point_id", F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)))
+    """The chunks with an id for the vector store and the filters of their report."""
+    n = F.col("doc_id")
+    ticker = F.element_at(F.array(*map(F.lit, TICKERS)), (F.pmod(n, F.lit(len(TICKERS))) + 1).cast("int"))
+    return report_chunks(spark, d).withColumns({"point_id": F.pmod(F.xxhash64("retrieval_id"), F.lit(1 << 40)), "ticker": ticker, "year": (2024 + F.pmod((n / 8).cast("long"), F.lit(2))).cast("int"), "quarter": (F.pmod((n / 2).cast("long"), F.lit(4)) + 1).cast("int")})
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    """Each question with the chunks of four slots of orders, and a cosine by hash. There are as many slots as orders and
-    every order has one, so any order can be met and the candidates of a question stay few."""
-    slots = views.table(spark, d, "lineitem").select(F.countDistinct("l_orderkey")).first()[0] or 1
-    slot = F.pmod(F.xxhash64("question_id"), F.lit(slots))
-    q = r.prepare_questions(views.questions(spark, d)).withColumn("slot", F.explode(F.array_distinct(F.array(*(F.pmod(slot + i, F.lit(slots)) for i in range(4))))))
-    c = points(spark, d).withColumn("slot", F.pmod("doc_id", F.lit(slots)))
-    c = r.prepare_chunks(c)
-    return q.join(c, "slot").drop("slot").withColumn("cosine", F.round(F.pmod(F.crc32(F.concat_ws("|", F.col("question_id").cast("string"), "retrieval_id").cast("binary")), F.lit(1000)) / 1000.0, 6))
+    """All questions with the filters that they name."""
+    return chain.with_filters(views.questions(spark, d))
+
+
+def label_index(rows: DataFrame) -> DataFrame:
+    return chunk_index.postings(rows, F.concat_ws(" ", "row_label", r.payload_text()))
+
+
+def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All questions with their filters and all chunks, as the chain reads them: written tables."""
+    return written(asked(spark, d), "questions"), written(points(spark, d), "chunks")
 
 
 @query()
 def rerank(spark: SparkSession, d: str) -> DataFrame:
-    return r.rank_candidates(r.rerank(asked(spark, d))).filter("rank <= 12").select("question_id", "rank", "retrieval_id", "focus", "rerank_score", "why")
+    q, c = prepared(spark, d)
+    ranked = chain.reranked(q, c, chain.candidates(q, c, label_index(c)))
+    return ranked.filter("rank <= 12").select("question_id", "rank", "retrieval_id", "focus", "rerank_score", "why")
 
 
 @query()
 def assemble_context(spark: SparkSession, d: str) -> DataFrame:
-    ranked = r.rank_candidates(r.rerank(asked(spark, d))).filter("rank <= 48")
-    ranked = r.linked_chunks(ranked, report_chunks(spark, d))
-    text = r.fold_text(F.concat_ws("\n", "section_title", r.payload_text()))
-    return r.assemble_context(ranked.withColumns({"toc": r.toc_like(text), "has_unit": F.contains(text, F.lit("don vi"))}))
+    q, c = prepared(spark, d)
+    return chain.contexts(chain.reranked(q, c, chain.candidates(q, c, label_index(c))), c)
 
 
 @query()
 def metric_rescue(spark: SparkSession, d: str) -> DataFrame:
-    a = asked(spark, d)
-    hits = a.filter("cosine > 0.5").select("question_id", "point_id")
-    return r.metric_rescue(views.questions(spark, d), points(spark, d), hits)
+    """What the inverted index adds to the vector hits: candidates without a cosine."""
+    q, c = prepared(spark, d)
+    return chain.candidates(q, c, label_index(c)).filter("rescued").drop("rescued")
+
+
+@query()
+def coverage_search(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that hold most of each question's words, under its filters, off the inverted index of all chunks."""
+    q, c = prepared(spark, d)
+    index = chunk_index.write_postings(c, scratch(spark, "postings"), F.concat_ws(" ", "section_title", "row_label", r.payload_text()))
+    return chunk_index.coverage_topk(q, index)
 
 
 @query("""SELECT l_orderkey AS doc_id, chunk_type, n FROM (SELECT l_orderkey, unnest([{'k': 'table_row', 'n': len(list_filter(rows, lambda x: len(list_filter(x, lambda c: trim(c) <> '')) >= 2))}, {'k': 'table_row_window', 'n': len(list_filter(rows, lambda x: len(list_filter(x, lambda c: trim(c) <> '')) >= 2))}, {'k': 'table_full', 'n': 1}]) AS s FROM v_lines), LATERAL (SELECT s.k AS chunk_type, s.n AS n) WHERE n > 0""")

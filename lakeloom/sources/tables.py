@@ -38,6 +38,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{context.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """Rows written to the shared folder and read again: worked out once, whatever is made of them."""
+    path = scratch(rows.sparkSession, what)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     """Hadoop's file system of a path, and the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -261,24 +261,3 @@ def test_embedder_is_deterministic(spark):
     assert got[1] == got[2] and sum(x * x for x in got[3]) == pytest.approx(1, rel=1e-5)
     with pytest.raises(Exception, match="lost texts"):
         o.embed_chunks(df, "id", "text", lambda: lambda xs: []).collect()
-
-
-def test_question_candidates_come_from_all_orders(spark):
-    from lakeloom.plans import retrieval_queries as q
-
-    sf = "/root/testdata/sf0.001"
-    asked = q.asked(spark, sf)
-    n = {r["question_id"] for r in q.views.questions(spark, sf).select("question_id").collect()}
-    rows = asked.select("question_id", "doc_id", "point_id", "cosine").collect()
-    assert {r["question_id"] for r in rows} == n and max(r["doc_id"] for r in rows) >= 1000
-    hits = {(r["question_id"], r["point_id"]) for r in rows if r["cosine"] > 0.5}
-    named = q.points(spark, sf).withColumn("label", retrieval.strip_row_prefix(F.col("row_label"))).filter("label = 'tong tai san' AND doc_id % 4 <> 3").collect()
-    metrics = {r["question_id"]: r["metrics"] for r in q.metric_targets(spark, sf).collect()}
-    got = {}
-    for r in q.metric_rescue(spark, sf).collect():
-        got.setdefault(r["question_id"], set()).add(r["point_id"])
-    only = [k for k, m in metrics.items() if m == ["tong tai san"]]
-    assert only
-    for k in only:
-        rest = sorted({r["point_id"] for r in named} - {p for i, p in hits if i == k})
-        assert sorted(got[k]) == rest[:48]

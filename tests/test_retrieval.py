@@ -2,11 +2,16 @@
 
 import collections
 import datetime
+import re
+import unicodedata
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.operators import chunk_index, documents
 from lakeloom.operators import retrieval as r
+from lakeloom.operators import retrieval_chain as chain
 from lakeloom.plans import retrieval_queries as q
 from lakeloom.plans import stream_queries as st
 
@@ -91,19 +96,6 @@ def test_expanded_queries(spark):
     assert all(len(v) == len(set(v)) for v in by.values())
 
 
-def test_context_takes_few_chunks_of_the_best_ranks(spark):
-    ranked = {}
-    for x in r.rank_candidates(r.rerank(q.asked(spark, SF))).select("question_id", "retrieval_id", "rank").collect():
-        ranked.setdefault(x["question_id"], {})[x["retrieval_id"]] = x["rank"]
-    by = collections.defaultdict(list)
-    for x in q.assemble_context(spark, SF).collect():
-        by[x["question_id"]].append((x["ordinal"], x["retrieval_id"]))
-    assert {*by} == {*ranked}
-    for rows in by.values():
-        ids = [i for _, i in sorted(rows)]
-        assert len(ids) == len(set(ids)) and [n for n, _ in sorted(rows)] == list(range(sorted(rows)[0][0], sorted(rows)[0][0] + len(rows)))
-
-
 def test_urls_are_seen_once_within_the_watermark(spark):
     events = st.views.table(spark, SF, "events").select(F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), "event_type"), 256).alias("h"), "ts").collect()
     seen = collections.defaultdict(list)
@@ -120,3 +112,107 @@ def test_urls_are_seen_once_within_the_watermark(spark):
             if last is None or t - last > datetime.timedelta(hours=24):
                 stretches, last = stretches + 1, t
         assert 1 <= got[h] <= stretches
+
+
+WORDS = "tong tai san loi nhuan sau thue cho vay khach hang doanh thu nam quy bao cao so du dau ky cuoi".split()
+
+
+def word_chunks(n=400, seed=3):
+    rng = np.random.default_rng(seed)
+    some = [" ".join(rng.choice(WORDS[: 3 + i % (len(WORDS) - 3)], rng.integers(1, 9)).tolist()) for i in range(n)]
+    return [(i, f"{'Tổng ' if i % 5 == 0 else ''}{x}{'x' if i % 3 == 0 else ''}", [None, "A", "B"][i % 3], i % 2 + 2024) for i, x in enumerate(some)] + [(900, None, "A", 2024), (901, "", "B", 2025)]
+
+
+def word_index(spark):
+    rows = spark.createDataFrame(word_chunks(), "point_id int, text string, ticker string, year int")
+    return chunk_index.postings(rows, F.col("text"))
+
+
+def covered(question, text):
+    """Share of the question's words that the folded text holds somewhere."""
+    fold = lambda s: "".join(c for c in unicodedata.normalize("NFKD", (s or "").replace("đ", "d")) if not unicodedata.combining(c)).lower()
+    words = dict.fromkeys(w for w in re.findall(r"\w+", fold(question)) if len(w) > 1)
+    return sum(w in fold(text) for w in words) / len(words) if words else 0
+
+
+@pytest.mark.parametrize("k, probe", [(48, 4), (3, 1), (5, 0.2)])
+def test_coverage_off_postings_equals_brute_force(spark, monkeypatch, k, probe):
+    monkeypatch.setattr(chunk_index, "PROBE", probe)
+    questions = [(1, "Tổng tài sản năm nay", None, None), (2, "lợi nhuận sau thuế quý", "A", None), (3, "khách hàng vay", "B", 2025), (4, "zz yy", None, None), (5, " ".join(WORDS), None, 2024), (6, "a ?", None, None), (7, "an", None, None), (8, None, "A", None), (9, "tổng doanh thu zz", "none", None)]
+    asked = spark.createDataFrame(questions, "question_id int, question string, ticker string, year int")
+    got = {}
+    for x in chunk_index.coverage_topk(asked, word_index(spark), k).collect():
+        got.setdefault(x["question_id"], []).append((x["rank"], x["point_id"], x["coverage"]))
+    for i, question, ticker, year in questions:
+        fit = [(-round(covered(question, text), 6), p) for p, text, t, y in word_chunks() if (ticker is None or t == ticker) and (year is None or y == year)]
+        want = [(n, p, -c) for n, (c, p) in enumerate(sorted(x for x in fit if x[0] < 0)[:k], 1)]
+        assert sorted(got.get(i, [])) == want, i
+
+
+def test_coverage_of_empty_tables(spark):
+    asked = spark.createDataFrame([(1, "tong")], "question_id int, question string")
+    assert chunk_index.coverage_topk(asked, word_index(spark).filter("false")).count() == 0
+    assert chunk_index.coverage_topk(asked.filter("false"), word_index(spark)).count() == 0
+
+
+def test_metric_chunks_miss_none(spark):
+    found = {x["point_id"] for x in chunk_index.metric_chunks(word_index(spark)).collect()}
+    names = {a for m, some in r.METRICS for a in (m, *some)}
+    for p, text, *_ in word_chunks():
+        if any(a in (text or "").lower().replace("ổ", "o") for a in names):
+            assert p in found
+    assert len(found) < 400
+
+
+def report(spark, n=60):
+    """Chunks of small reports, and questions about them."""
+    kinds = ["table_full", "table_row", "table_row_window", "text"]
+    labels = ["Tổng tài sản", "Lợi nhuận sau thuế", "Tiền gửi của khách hàng", "khác"]
+    rows = [(i, i, f"r{i}", kinds[i % 4], "Bảng cân đối kế toán" if i % 7 else "Rủi ro", labels[i // 4 % 4] if i % 4 in (1, 2) else None, f"{labels[i // 4 % 4]} {i} 1.234.567", ["ACB", "FPT"][i % 2], 2025, i % 4 + 1, [f"s{i}"], f"r{i - 1}", f"s{i - i % 4}") for i in range(n)]
+    c = spark.createDataFrame(rows, "point_id int, doc_id int, retrieval_id string, chunk_type string, section_title string, row_label string, content_for_embedding string, ticker string, year int, quarter int, source_ids array<string>, linked_id string, parent_table_id string")
+    c = c.withColumns({"raw_content": F.col("content_for_embedding"), "window_text": F.lit(None).cast("string"), "focus_row_text": F.lit(None).cast("string"), "page": F.lit(1)})
+    asked = [(1, "Tổng tài sản của ACB năm 2025 là bao nhiêu?"), (2, "Lợi nhuận sau thuế FPT quý 2"), (3, "Đơn vị tính?"), (4, "Tổng tài sản của ACB năm 2025 là bao nhiêu?")]
+    return c, chain.with_filters(spark.createDataFrame(asked, "question_id int, question string"))
+
+
+def test_chain_candidates_equal_brute_force(spark):
+    c, asked = report(spark)
+    vector = {x["point_id"]: documents.hash_vector(x["content_for_embedding"]) for x in c.collect()}
+    meta = {x["point_id"]: x for x in c.collect()}
+    texts = collections.defaultdict(list)
+    for x in r.expand_queries(asked.select("question_id", "question")).collect():
+        texts[x["question_id"]].append(x["query"])
+    index = chunk_index.postings(c, F.concat_ws(" ", "row_label", r.payload_text()))
+    got, rescued = collections.defaultdict(dict), collections.defaultdict(set)
+    for x in chain.candidates(asked, c, index, k=5).collect():
+        (rescued[x["question_id"]].add if x["rescued"] else got[x["question_id"]].__setitem__)(*((x["point_id"],) if x["rescued"] else (x["point_id"], x["cosine"])))
+    for q_ in asked.collect():
+        fit = [p for p, x in meta.items() if all(q_[f] is None or q_[f] == x[f] for f in ("ticker", "year", "quarter"))]
+        want = {}
+        for text in texts[q_["question_id"]]:
+            v = np.array(documents.hash_vector(text), np.float32).astype(float)
+            near = sorted((-round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 6), p) for p in fit for w in [np.array(vector[p], np.float32).astype(float)])[:5]
+            for cosine, p in near:
+                want[p] = max(want.get(p, -9), -cosine)
+        assert got[q_["question_id"]] == want
+        metric = {1: "tổng tài sản", 2: "lợi nhuận sau thuế", 4: "tổng tài sản"}.get(q_["question_id"])
+        named = {p for p in fit if metric and p % 7 and meta[p]["chunk_type"] != "text" and metric in (meta[p]["row_label"] or meta[p]["content_for_embedding"]).lower()} - {*want}
+        assert rescued[q_["question_id"]] == named
+
+
+def test_chain_ranks_and_assembles(spark):
+    c, asked = report(spark)
+    index = chunk_index.postings(c, F.concat_ws(" ", "row_label", r.payload_text()))
+    ranked = chain.reranked(asked, c, chain.candidates(asked, c, index, k=5))
+    rows = ranked.select("question_id", "rank", "retrieval_id", "rerank_score", "why").collect()
+    by = {}
+    for x in sorted(rows, key=lambda x: (x["question_id"], x["rank"])):
+        by.setdefault(x["question_id"], []).append(x)
+    assert all([x["rank"] for x in v] == list(range(1, len(v) + 1)) and [x["rerank_score"] for x in v] == sorted((x["rerank_score"] for x in v), reverse=True) for v in by.values())
+    assert [(x["retrieval_id"], x["rerank_score"]) for x in by[1]] == [(x["retrieval_id"], x["rerank_score"]) for x in by[4]]
+    assert "metric_row_exact:tong tai san" in by[1][0]["why"]
+    context = collections.defaultdict(list)
+    for x in chain.contexts(ranked, c).collect():
+        context[x["question_id"]].append((x["ordinal"], x["retrieval_id"]))
+    assert {*context} == {*by} and all(1 <= len(v) <= 4 for v in context.values())
+    assert sorted(context[1])[0][1] == by[1][0]["retrieval_id"]
