@@ -32,7 +32,7 @@ from lakeloom.llm.common import map_texts, written
 from lakeloom.llm.token_files import word_encoder
 
 #: Ids of a sequence; ids of a shard; terms of a seed asked for first; BM25's two parameters.
-WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 22, 32, 1.2, 0.75
+WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 32, 1.2, 0.75
 HASHES = 3
 FRAGMENT = "doc_id long, no_id boolean, start long, doc_tokens long, whole boolean, length int, width int, ids binary, turn long, " + ", ".join(f"h{i} int" for i in range(HASHES))
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, score double, width int, ids binary"

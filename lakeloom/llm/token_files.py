@@ -36,7 +36,7 @@ from lakeloom.llm.common import scratch, texts
 SAMPLE = 512
 #: Characters that are split at a time; ids of a block, at least (a document is never cut); bytes of a word cache, about,
 #: and what an entry takes besides its word and ids.
-SLICE, BLOCK_IDS, CACHE, ENTRY = 1 << 22, 1 << 20, 64 << 20, 200
+SLICE, BLOCK_IDS, CACHE, ENTRY = 1 << 22, 1 << 20, 40 << 20, 200
 #: doc_ids are delta-coded against first_doc by Parquet itself, as a list column.
 BLOCK = "part int, block int, first_doc long, n_docs long, n_ids long, width int, ids binary, doc_ids array<long>, low_bits int, low binary, high binary, samples binary"
 
@@ -128,13 +128,15 @@ class WordEncoder:
         self.ends[[i for token, i in self.tool.get_vocab().items() if suffix and token.endswith(suffix)]] = True
 
     def _bound_letters(self) -> list[str]:
-        letters = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()]
-        words = " ".join(c + "," for c in letters)
-        text = self.tool.normalizer.normalize_str(words) if self.tool.normalizer else words
-        begins = {at for _, (at, end) in self.tool.pre_tokenizer.pre_tokenize_str(text) if end == at + 1}
-        ends = [i - 1 for i, c in enumerate(text + " ") if c == " "]
-        assert len(ends) == len(letters)
-        return [c for c, end in zip(letters, ends, strict=True) if end not in begins]
+        letters, out = [c for c in map(chr, range(0x80, 0x110000)) if c.isalpha()], []
+        for lo in range(0, len(letters), 4096):
+            some = letters[lo : lo + 4096]
+            words = " ".join(c + "," for c in some)
+            text = self.tool.normalizer.normalize_str(words) if self.tool.normalizer else words
+            begins = {at for _, (at, end) in self.tool.pre_tokenizer.pre_tokenize_str(text) if end == at + 1}
+            ends = [i - 1 for i, c in enumerate(text + " ") if c == " "]
+            out += [c for c, end in zip(some, ends, strict=True) if end not in begins]
+        return out
 
     def _ids(self, some: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tool.encode_batch_fast(some, add_special_tokens=False)]
