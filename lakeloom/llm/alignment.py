@@ -5,8 +5,9 @@ library has it as ``proto``, its ``immutable_proto`` is gone). These are the coa
 character have no offset of their own, and byte-fallback tokens an empty span: their ends are found by running on from
 the last coarse cut by the bytes that their ids decode to. Byte offsets where tokens of both end cut them into groups.
 
-Neither side has tokens that cross a single space between two non-spaces, so texts are cut there, and each distinct chunk
-is asked of the libraries once, many in one text. Documents are dealt into blocks. A block is written with its distinct
+Neither side has tokens that cross a single space between two non-spaces, so texts are cut there; nor a place between a
+Latin letter and a mark, if no piece of B holds both, so chunks are cut there once more. Each distinct part is asked of the
+libraries once, many in one text. Documents are dealt into blocks. A block is written with its distinct
 pairs, each with the number of the block's documents that hold it linked, and with its documents as chunks. Pair counts
 are summed over blocks, the highest of each A id is taken (one row an A id: bounded by the vocabulary), and both go back
 to the blocks that hold the pair, where documents are summed up.
@@ -23,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ BLOCK, TOGETHER, KEPT = 1 << 22, 1024, 40 << 20
 #: A space that no token of either side crosses.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
+#: A Latin letter and a mark that A's splitter parts from it.
+LETTER_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ][,.;:!?]")
 ROW = "block long, doc_ids array<long>, no_ids array<boolean>, sums binary, digests binary, doc_ends binary, width int, codes binary, chunk_ends binary, links binary, pairs array<long>, held array<int>"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -74,8 +78,11 @@ class Aligner:
         #: Decimal ids behind the sign before them: a group's first A id, other ids, a group's first B id.
         n = max(len(self.a_bytes), len(self.b_bytes))
         self.opens, self.joins, self.turns = (np.array([sign + str(i).encode() for i in range(n)], object) for sign in (b";", b",", b"|"))
+        #: Parts that have a space before them; parts that follow a letter.
         self.known: dict[str, tuple | None] = {}
+        self.tails: dict[str, tuple | None] = {}
         self.kept = 0
+        self.cuts = not any(LETTER_MARK.search(piece(i)) for i in range(self.b.get_piece_size()))
 
     def ends(self, some: list[str]) -> Iterator[tuple | None]:
         """Of each text, ids and byte ends of both sides in space + text; None where their bytes are not those."""
@@ -88,14 +95,14 @@ class Aligner:
             if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
                 yield None
                 continue
-            offset = np.array(e.offsets, np.int64).reshape(-1, 2)
+            offset = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
             starts = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
             a_ends = refined(starts[offset[:, 1]], np.append(offset[1:, 0] >= offset[:-1, 1], True), self.a_size[a])
             end = np.array([p.end for p in pieces], np.int64)  # spans follow each other: where the end stays, one is empty
             yield a, a_ends, b, refined(end + 1, np.diff(end, prepend=0) > 0, self.b_size[b])  # the first space is B's own
 
-    def parts(self, chunks: list[str], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple]:
-        """Of each chunk of one text: tokens of A, of B, groups, linked pairs (A id << 16 | B id), groups as text."""
+    def parts(self, sizes: list[int], a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> Iterator[tuple]:
+        """Of each stretch of so many bytes of one text: tokens of A, of B, groups, linked pairs (A id << 16 | B id), groups as text."""
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
         n_a, n_b = np.bincount(a_group, minlength=len(cuts)), np.bincount(b_group, minlength=len(cuts))
@@ -108,7 +115,7 @@ class Aligner:
         i, j = np.arange(len(a)), np.arange(len(b))
         said[i + b_first[a_group]] = np.where(i == a_first[a_group], self.opens[a], self.joins[a])
         said[j + (a_first + n_a)[b_group]] = np.where(j == b_first[b_group], self.turns[b], self.joins[b])
-        ends = np.cumsum([1 + len(x.encode()) for x in chunks])
+        ends = np.cumsum(sizes)
         group = np.searchsorted(cuts, ends) + 1
         a_at, b_at, link = np.cumsum(n_a)[group - 1], np.cumsum(n_b)[group - 1], np.cumsum(n_a * n_b)[group - 1]
         before = (0, 0, 0, 0)
@@ -117,31 +124,47 @@ class Aligner:
             yield now[0] - before[0], now[1] - before[1], now[2] - before[2], pairs[before[3] : now[3]].tobytes(), text
             before = now
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, heads: list[str], tails: list[str]) -> None:
         if self.kept > KEPT:  # what is in use stays
-            self.known = {x: self.known[x] for x in chunks if x in self.known}
-            self.kept = sum(self.weight(x, y) for x, y in self.known.items())
-        new = [x for x in chunks if x not in self.known]
+            self.known, self.tails = ({x: had[x] for x in some if x in had} for had, some in ((self.known, heads), (self.tails, tails)))
+            self.kept = sum(self.weight(x, y) for had in (self.known, self.tails) for x, y in had.items())
+        new = [x for x in heads if x not in self.known]
         plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace() and SPACE not in x]
-        kept = set(plain)
-        lots = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)] + [[x] for x in new if x not in kept]
+        alone = {*new}.difference(plain)
+        size = lambda x: len(x.encode())
+        self._ask(self.known, plain, lambda lot: " ".join(lot), lambda lot: [1 + size(x) for x in lot], slice(None))
+        for x in alone:
+            found = next(self.ends([x]))
+            self._keep(self.known, [x], [None] if found is None else self.parts([1 + size(x)], *found))
+        # a line break before each: no token of either side holds it and a mark
+        after = [x for x in tails if x not in self.tails]
+        self._ask(self.tails, after, lambda lot: "\n" + "\n".join(lot), lambda lot: [n for x in lot for n in (1, size(x))], slice(1, None, 2))
+
+    def _keep(self, had: dict, some: list[str], entries) -> None:
+        had.update(zip(some, entries, strict=True))
+        self.kept += sum(self.weight(x, had[x]) for x in some)
+
+    def _ask(self, had: dict, some: list[str], joined, sizes, own: slice) -> None:
+        """Learn many parts in one text; where that text is not reproduced, each by itself."""
+        lots = [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
         for i in range(0, len(lots), 16):
-            some = lots[i : i + 16]
-            for lot, found in zip(some, self.ends([" ".join(x) for x in some]), strict=True):
+            for lot, found in zip(lots[i : i + 16], self.ends([joined(x) for x in lots[i : i + 16]]), strict=True):
                 if found is not None:
-                    self.known.update(zip(lot, self.parts(lot, *found), strict=True))
-                else:
+                    each = sizes(lot)
+                    each[0] += own.start or 0  # the first line break has the space before it
+                    self._keep(had, lot, list(self.parts(each, *found))[own])
+                elif len(lot) > 1:
                     for x in lot:
-                        alone = next(self.ends([x]))
-                        self.known[x] = None if alone is None else next(self.parts([x], *alone))
-                self.kept += sum(self.weight(x, self.known[x]) for x in lot)
+                        self._ask(had, [x], joined, sizes, own)
+                else:
+                    self._keep(had, lot, [None])
 
     @staticmethod
     def weight(chunk: str, entry: tuple | None) -> int:
         return 300 + 2 * len(chunk) + (len(entry[3]) + len(entry[4]) if entry else 0)
 
-    def split(self, some: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """The distinct chunks of the texts, and each text as numbers of chunks."""
+    def split(self, some: list[str]) -> tuple[list[str], list[str], list[np.ndarray]]:
+        """The distinct heads and tails of chunks, and each text as numbers of heads and, after these, of tails."""
         cut = pc.split_pattern(pa.array(some, pa.large_string()), " ")
         words = cut.flatten().dictionary_encode()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -154,17 +177,27 @@ class Aligner:
                 number = number or {x: i for i, x in enumerate(distinct)}
                 own = np.array([number.setdefault(x, len(number)) for x in SAFE.split(text)], np.int64)
             out.append(own)
-        return (list(number) if number else distinct), out
+        distinct = list(number) if number else distinct
+        used = np.unique(np.concatenate([*out, np.zeros(0, np.int64)]))
+        heads: dict[str, int] = {}
+        tails: dict[str, int] = {}
+        part = np.full((len(distinct), 2), -1)
+        for i in used.tolist():
+            x = distinct[i]
+            found = LETTER_MARK.search(x) if self.cuts and not x[-1:].isspace() and SPACE not in x else None
+            if found is not None:
+                part[i, 1] = tails.setdefault(x[found.start() + 1 :], len(tails))
+                x = x[: found.start() + 1]
+            part[i, 0] = heads.setdefault(x, len(heads))
+        part[:, 1] += np.where(part[:, 1] >= 0, len(heads), 0)
+        both = (part[own].ravel() for own in out)
+        return list(heads), list(tails), [x[x >= 0] for x in both]
 
     def block(self, number: int, doc_ids: list, no_ids: list, some: list[str]) -> dict:
         """A block of documents: see ROW."""
-        distinct, codes = self.split(some)
-        used = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        place = np.full(len(distinct), -1)
-        place[used] = np.arange(len(used))
-        distinct = [distinct[i] for i in used.tolist()]
-        self.learn([x for x in distinct])
-        entries = [self.known[x] for x in distinct]
+        heads, tails, codes = self.split(some)
+        self.learn(heads, tails)
+        entries = [*map(self.known.__getitem__, heads), *map(self.tails.__getitem__, tails)]
         good = np.fromiter((x is not None for x in entries), bool, len(entries))
         entries = [x or (0, 0, 0, b"", b"") for x in entries]
         links = np.frombuffer(b"".join(x[3] for x in entries), "<u4")
@@ -177,15 +210,14 @@ class Aligner:
         held = np.zeros(len(pairs), np.int64)
         sums, digests, kept = np.zeros((len(some), 4), np.int64), [], []
         for i, (text, code) in enumerate(zip(some, codes, strict=True)):
-            own = place[code]
-            if not text or not good[own].all():
+            if not text or not good[code].all():
                 digests.append(b"")
-                kept.append(own[:0])
+                kept.append(code[:0])
                 continue
-            digests.append(hashlib.sha256(b";".join(map(said.__getitem__, own.tolist()))).digest())
-            kept.append(own)
-            sums[i] = each[own].sum(0)
-            mine = np.unique(own)
+            digests.append(hashlib.sha256(b";".join(map(said.__getitem__, code.tolist()))).digest())
+            kept.append(code)
+            sums[i] = each[code].sum(0)
+            mine = np.unique(code)
             wide = n_links[mine]
             upto = np.cumsum(wide)
             held[np.unique(links[np.arange(int(upto[-1])) + np.repeat(first[mine] - upto + wide, wide)])] += 1

@@ -45,6 +45,7 @@ def map_texts(docs: DataFrame, run: Callable[[Iterator[tuple[list, list, list]]]
         slices = (tuple(x.to_pylist() for x in batch.slice(lo, ROWS).columns) for batch in batches for lo in range(0, batch.num_rows, ROWS))
         for frame in run(slices):
             yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+        pa.default_memory_pool().release_unused()  # an idle worker waits beside the next stage
 
     return told_ids(docs).mapInArrow(each, schema)
 

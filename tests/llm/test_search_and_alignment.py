@@ -136,7 +136,8 @@ def hard_texts():
     rng = random.Random(7)
     pool = [*"abcAB19.,'!-<|>", " ", " ", "  ", "\n", "\t", " \n ", "\x1c", "\x85", "\xa0", "　", "é", "İ", "漢", "한", "😀", "🏳‍🌈", "é", "​", "\x00", "ß", "ﬁ", "the ", " the", "ing "]
     own = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
-    return [*own, "▁x", "a ▁ b", "word ▁word word", " lead", "trail ", "  ", " ", "<s></s><unk>", "<0x41> <0x0A>", "<|endoftext|> in <|endoftext|>", "漢字 " * 50, "x" * 3000]
+    own += ["".join(rng.choice([*"abé,.;:!?\n'", "Ab", " ", "ing"]) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    return [*own, "a,b.c;d", "é.\nWas it?!", "x,▁y", "e,\n\n", "\n,a, b",  "▁x", "a ▁ b", "word ▁word word", " lead", "trail ", "  ", " ", "<s></s><unk>", "<0x41> <0x0A>", "<|endoftext|> in <|endoftext|>", "漢字 " * 50, "x" * 3000]
 
 
 def test_alignment_equals_brute_force(spark, docs, monkeypatch):
@@ -149,8 +150,9 @@ def test_alignment_equals_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(alignment, "KEPT", 1)
     tool = alignment.Aligner(BYTE, PIECE)
     for _ in range(3):
-        tool.learn(["one", "two", "été"])
-    assert set(tool.known) == {"one", "two", "été"}
+        tool.learn(["one", "two", "été"], [",", ".\nNext"])
+    assert set(tool.known) == {"one", "two", "été"} and set(tool.tails) == {",", ".\nNext"}
+    assert tool.cuts
 
 
 def test_alignment_of_an_empty_table(no_docs):
