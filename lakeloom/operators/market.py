@@ -193,10 +193,11 @@ def signal_flags(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"flag_above_ma50": F.col("close_price") > F.col("ma50"), "flag_overbought": F.col("rsi_14") > 70, "flag_oversold": F.col("rsi_14") < 30})
 
 
-def daily_features(daily: DataFrame, symbols: DataFrame) -> DataFrame:
-    """All indicators of all tickers: one shuffle by ticker serves the windows and the recursion."""
+def daily_features(daily: DataFrame, symbols: DataFrame, macd: DataFrame | None = None) -> DataFrame:
+    """All indicators of all tickers: one shuffle by ticker serves the windows and the recursion. ``macd`` (ticker,
+    trading_date, macd, macd_signal), where it is known already, names the rows that are wanted."""
     rows = rsi(moving_averages(daily.select("ticker", "trading_date", "close_price", "adj_close_price"))).drop("price")
-    rows = rows.join(ema_macd(daily), ["ticker", "trading_date"])
+    rows = rows.join(ema_macd(daily) if macd is None else macd, ["ticker", "trading_date"])
     rows = rows.join(symbols.select("ticker", F.col("current_listed_shares").alias("snapshot_listed_shares")), "ticker", "left")
     rows = signal_flags(rows.withColumn("market_cap", market_cap(F.col("close_price"), F.col("snapshot_listed_shares"))))
     return rows.withColumn("formula_version", F.lit(FORMULA)).drop("close_price", "adj_close_price")

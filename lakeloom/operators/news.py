@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -482,6 +483,79 @@ def near_duplicate_pairs(rows: DataFrame, overlap: float = TOPIC_OVERLAP) -> Dat
     return out.filter(F.col("overlap") >= overlap).distinct()
 
 
+#: Min-hash bands of title trigrams and rows of a band: a pair of trigram similarity 0.5 meets with probability 0.998.
+#: Titles of a cell in which pairs are compared.
+BANDS, BAND_ROWS, TITLE_CELL = 48, 3, 256
+
+
+def duplicate_title(title: Column) -> Column:
+    """A title as near duplicates are compared: folded letters and digits, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(t.norm_free(F.coalesce(title, F.lit(""))), "[^a-zA-Z0-9]", " "), " +", " "))
+
+
+def title_classes(articles: DataFrame) -> DataFrame:
+    """article_id and the smallest article_id with the same title; articles without a title are left out."""
+    rows = articles.select("article_id", duplicate_title(F.col("title")).alias("_title")).filter(F.length("_title") > 0)
+    first = rows.groupBy("_title").agg(F.min("article_id").alias("representative"))
+    return rows.join(first, "_title").select("article_id", "representative", "_title")
+
+
+def _title_bands(titles: pd.Series) -> pd.Series:
+    """Keys of the bands of each title: minima of its trigrams under fixed random orders."""
+    factors = np.random.default_rng(11).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint64)
+    out = []
+    for title in titles:
+        c = np.frombuffer(title.encode().ljust(3), np.uint8).astype(np.uint64)
+        grams = np.unique(c[:-2] << 16 | c[1:-1] << 8 | c[2:])
+        low = ((grams[:, None] * (factors[0] | 1) + factors[1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min(0).reshape(BANDS, BAND_ROWS)
+        key = (low[:, 0] * np.uint64(0xBF58476D1CE4E5B9) ^ low[:, 1]) * np.uint64(0x94D049BB133111EB) ^ low[:, 2]
+        out.append(key.view(np.int64))
+    return pd.Series(out)
+
+
+def _close_titles(a: pd.DataFrame, b: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """Pairs of two blocks whose ratio may reach the threshold: matched characters are no more than the characters that both
+    have, nor than the shorter one's length."""
+
+    def bags(rows: pd.DataFrame) -> np.ndarray:
+        return np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) & 63, minlength=64) for x in rows["_title"]], np.int32).reshape(-1, 64)
+
+    left, right, found = bags(a), bags(b), []
+    size = right.sum(1)
+    for i, bag in enumerate(left):
+        whole = size + bag.sum()
+        at = np.flatnonzero(2 * np.minimum(size, bag.sum()) >= ratio * whole - 1e-9)
+        at = at[2 * np.minimum(right[at], bag).sum(1) >= ratio * whole[at] - 1e-9]
+        found += [(a["representative"].iloc[i], x) for x in b["representative"].iloc[at] if x != a["representative"].iloc[i]]
+    return pd.DataFrame([(min(x), max(x)) for x in found], columns=["first", "second"])
+
+
+def near_duplicate_titles(articles: DataFrame, ratio: float = TITLE_RATIO) -> DataFrame:
+    """Pairs of different titles in the whole corpus that are alike: first, second (the smallest article_id of each title,
+    see ``title_classes``) and ratio, difflib's of the second title against the first.
+
+    Titles meet in min-hash bands of their trigrams; a crowded band is dealt into cells of bounded size that meet pairwise;
+    bounds by length and by characters leave few pairs, each of which difflib measures once."""
+    titles = title_classes(articles).select("representative", "_title").distinct()
+    kind = dict(titles.dtypes)["representative"]
+    keys = titles.withColumn("key", F.explode(F.pandas_udf(_title_bands, "array<long>")("_title")))
+    sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / TITLE_CELL).cast("int").alias("cells"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = keys.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("representative"), F.col("cells")).cast("int"))
+    left = dealt.select("key", "representative", "_title", F.col("cell").alias("x"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("y"))
+    again = [F.col(c).alias(c) for c in ("key", "representative", "_title")]  # columns of their own, for the side that meets itself
+    right = dealt.select(*again, F.explode(F.sequence(F.lit(0), "cell")).alias("x"), F.col("cell").alias("y"))
+    place = ("key", "x", "y")
+    met = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(lambda a, b: _close_titles(a, b, ratio), f"`first` {kind}, `second` {kind}")
+    said = lambda name: titles.select(F.col("representative").alias(name), F.col("_title").alias(f"_{name}"))
+
+    @F.pandas_udf("double")
+    def measured(existing: pd.Series, candidate: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, c, e).ratio() for e, c in zip(existing, candidate, strict=True)], dtype=float)
+
+    pairs = met.distinct().join(said("first"), "first").join(said("second"), "second").withColumn("ratio", measured("_first", "_second"))
+    return pairs.filter(F.col("ratio") >= ratio).select("first", "second", F.round("ratio", 6).alias("ratio"))
+
+
 def select_diverse(candidates: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Walk each question's candidates by rank and take those with no reason against them; each choice depends on the
     earlier ones, so a question is one small group (candidates are ranked and few)."""

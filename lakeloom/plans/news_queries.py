@@ -228,6 +228,13 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return n.near_duplicate_pairs(signatures(spark, d).withColumn("query_id", F.floor(F.col("article_id") / 200)))
 
 
+@query()
+def near_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
+    """First lines of all documents as titles, over the whole corpus; difflib has no SQL form, tests compare all pairs."""
+    a = views.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"))
+    return n.near_duplicate_titles(a)
+
+
 @query()
 def select_diverse_topk(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).join(signatures(spark, d), "article_id", "left").withColumns({"canonical_url": F.col("url"), "latest": F.col("intent.latest"), "negative_query": F.col("intent.negative")})

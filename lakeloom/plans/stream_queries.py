@@ -11,6 +11,7 @@ from lakeloom.plans.document_queries import doc_tables
 from lakeloom.plans.market_queries import daily
 from lakeloom.sources import tables as s
 from lakeloom.streaming import jobs as j
+from lakeloom.streaming import stateful as st
 from lakeloom.views import with_views
 
 QUERIES = {}
@@ -68,7 +69,7 @@ def stream_eod(spark: SparkSession, d: str) -> DataFrame:
     columns = ["ticker", "trading_date", "close_price", "adj_close_price"]
     daily(spark, d).select(*columns).repartitionByRange(2, "trading_date").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    j.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint")
+    st.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint")
     kind = "ticker string, trading_date date, ma20 double, flag_above_ma50 boolean"
     return s.read_table(spark, f"{path}-features", kind).withColumn("ma20", F.round("ma20", 9))
 
@@ -126,7 +127,58 @@ _RANK = "CASE new_status WHEN 'DISCOVERED' THEN 10 WHEN 'DOWNLOADED' THEN 20 WHE
 def stream_doc_state(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"signup": "DISCOVERED", "view": "DOWNLOADED", "click": "PARSED", "purchase": "EMBEDDED", "error": "FAILED"}
     status = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()))
-    return finished(spark, j.doc_state(events(spark, d).select(F.col("user_id").cast("string").alias("doc_id"), status.alias("new_status"))), "doc_id")
+    path = s.scratch(spark, "doc-state")
+    st.stream_doc_status(events(spark, d).select(F.col("user_id").cast("string").alias("doc_id"), status.alias("new_status")), path, f"{path}-checkpoint")
+    return s.read_table(spark, path, "doc_id string, status string")
+
+
+@query("SELECT user_id::VARCHAR AS doc_id, 'ARCHIVED' AS new_status, count(*) AS n FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+def stream_doc_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh event has a status that no document can have: what the stream puts aside."""
+    path = s.scratch(spark, "doc-state")
+    status = F.when(F.col("event_id") % 7 == 0, "ARCHIVED").otherwise("PARSED")
+    st.stream_doc_status(events(spark, d).select(F.col("user_id").cast("string").alias("doc_id"), status.alias("new_status")), path, f"{path}-checkpoint")
+    bad = spark.read.schema("doc_id string, new_status string").option("recursiveFileLookup", True).parquet(f"{path}-rejected")
+    return bad.groupBy("doc_id", "new_status").agg(F.count("*").alias("n"))
+
+
+def in_turn(spark: SparkSession, rows: DataFrame, ts: str = "ts", parts: int = 3) -> DataFrame:
+    """Rows as a stream that comes in order of time, a batch for each stretch of it."""
+    path = s.scratch(spark, "in-turn")
+    rows = rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    cuts = rows.approxQuantile("_us", [i / parts for i in range(1, parts)], 0.01) if rows.head(1) else []
+    cuts = sorted({int(x) for x in cuts})
+    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+        some = rows.filter((F.col("_us") >= lo if lo is not None else F.lit(True)) & (F.col("_us") < hi if hi is not None else F.lit(True)))
+        some.drop("_us").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("SELECT event_id, count(*) OVER w AS recent, count(*) OVER w < 2 AS allowed FROM (SELECT event_id, event_type, epoch_us(ts) AS us FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 59999999 PRECEDING AND 1 PRECEDING)")
+def stream_quota(spark: SparkSession, d: str) -> DataFrame:
+    """The events in order of time, each with the calls of its kind in the minute before it, from the state of the stream."""
+    path = s.scratch(spark, "quota")
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    st.stream_quota(in_turn(spark, e), "event_type", path, f"{path}-checkpoint", 2)
+    return spark.read.schema("event_id long, recent long, allowed boolean").option("recursiveFileLookup", True).parquet(path)
+
+
+@query("SELECT event_type AS stage, count(*) AS published, count(*) FILTER (WHERE event_id % 3 <> 0) AS backlog FROM events GROUP BY 1")
+def stream_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event is completed half a minute later. A last job, far later, moves the watermarks past all others."""
+    e = views.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    end = e.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("stage"), F.lit(-1).cast("long").alias("doc_id"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    done = e.filter("doc_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 SECONDS")).unionByName(end).withColumnRenamed("ts", "done_ts")
+    path = s.scratch(spark, "backlog")
+    st.stream_backlog(in_turn(spark, e.unionByName(end)), in_turn(spark, done, "done_ts"), path, f"{path}-checkpoint")
+    return st.backlog(s.read_table(spark, path, "stage string, doc_id long, done boolean").filter("stage <> 'end'"))
+
+
+@query()
+def stream_latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all days off the sketches of each; they are approximate, tests bound the error of their ranks."""
+    sketches = finished(spark, st.latency_sketches(calls(events(spark, d)).withWatermark("ts", "1 day"), ["agent"]), "window_start", "agent")
+    return st.percentiles(sketches, ["agent"])
 
 
 @query()
@@ -202,7 +254,7 @@ def stream_eod_purge(spark: SparkSession, d: str) -> DataFrame:
     closed = views.table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.to_date("ts").alias("trading_date"), F.col("value").alias("close_price"), F.col("value").alias("adj_close_price"))
     closed.filter("trading_date <= '2024-01-20'").groupBy("ticker", "trading_date").agg(F.max("close_price").alias("close_price"), F.max("adj_close_price").alias("adj_close_price")).write.parquet(f"{path}-closed")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}-closed").schema).parquet(f"{path}-closed")
-    j.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint-eod", path)
+    st.stream_eod(stream, views.symbols(spark, d), f"{path}-raw", f"{path}-features", f"{path}-checkpoint-eod", path)
     return s.read_table(spark, path, e.schema).select("ticker", "timestamp", "close")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import documents, market
 from lakeloom.operators.market import status_rank
 from lakeloom.schemas import STATUS_RANK
-from lakeloom.sources.tables import append_events, drop_parts, read_table, upsert_table
+from lakeloom.sources.tables import append_events, drop_parts, upsert_table
 
 
 def available_now(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -43,26 +43,6 @@ def purge_intraday(spark: SparkSession, path: str, before: str) -> int:
     return drop_parts(spark, path, lambda day: day < before)
 
 
-def stream_eod(daily: DataFrame, symbols: DataFrame, raw_path: str, feature_path: str, checkpoint: str, intraday_path: str | None = None) -> None:
-    """Closed days: upsert the daily rows by year, compute features anew for the touched tickers from the first day of the
-    batch on (what lies before cannot change), and drop intraday rows of days before the last one that is closed."""
-    spark = daily.sparkSession
-    year = F.year("trading_date")
-
-    def each(batch: DataFrame, _: int) -> None:
-        upsert_table(spark, raw_path, batch, ["ticker", "trading_date"], ["trading_date"], year)
-        first, last = batch.agg(F.min("trading_date"), F.max("trading_date")).first()
-        if first is None:
-            return
-        rows = read_table(spark, raw_path, batch.schema).join(batch.select("ticker").distinct(), "ticker", "left_semi")
-        features = market.daily_features(rows, symbols).filter(F.col("trading_date") >= F.lit(first))
-        upsert_table(spark, feature_path, features, ["ticker", "trading_date"], ["trading_date"], year)
-        if intraday_path:
-            purge_intraday(spark, intraday_path, last.isoformat())
-
-    available_now(daily, each, checkpoint)
-
-
 def stream_stage(jobs: DataFrame, stage: str, work: Callable[[DataFrame], DataFrame], next_path: str | None, event_path: str, checkpoint: str) -> None:
     """One stage of the report pipeline: messages are validated, ``work`` adds artifact columns and a nullable error, good
     jobs go to the next stage's directory and every outcome to the event log. A failed job is logged and never retried; a
