@@ -484,8 +484,8 @@ def near_duplicate_pairs(rows: DataFrame, overlap: float = TOPIC_OVERLAP) -> Dat
 
 
 #: Min-hash bands of title trigrams and rows of a band: a pair of trigram similarity 0.5 meets with probability 0.998.
-#: Titles of a cell in which pairs are compared.
-BANDS, BAND_ROWS, TITLE_CELL = 48, 3, 256
+#: Titles of a cell in which pairs are compared, and rows of keys that are compared in one call.
+BANDS, BAND_ROWS, TITLE_CELL, TITLE_ROWS = 48, 3, 256, 20_000
 
 
 def duplicate_title(title: Column) -> Column:
@@ -513,21 +513,38 @@ def _title_bands(titles: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _close_titles(a: pd.DataFrame, b: pd.DataFrame, ratio: float) -> pd.DataFrame:
-    """Pairs of two blocks whose ratio may reach the threshold: matched characters are no more than the characters that both
-    have, nor than the shorter one's length."""
+def _bags(titles: pd.Series) -> np.ndarray:
+    """How often each character occurs in each title."""
+    return np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) & 63, minlength=64) for x in titles], np.int32).reshape(-1, 64)
+
 
-    def bags(rows: pd.DataFrame) -> np.ndarray:
-        return np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) & 63, minlength=64) for x in rows["_title"]], np.int32).reshape(-1, 64)
+def _close_to(bag: np.ndarray, bags: np.ndarray, ratio: float) -> np.ndarray:
+    """Which titles may reach the ratio with one: matched characters are no more than the shorter one has, nor than the
+    characters that both have."""
+    size, own = bags.sum(1), int(bag.sum())
+    at = np.flatnonzero(2 * np.minimum(size, own) >= ratio * (size + own) - 1e-9)
+    return at[2 * np.minimum(bags[at], bag).sum(1) >= ratio * (size[at] + own) - 1e-9]
 
-    left, right, found = bags(a), bags(b), []
-    size = right.sum(1)
-    for i, bag in enumerate(left):
-        whole = size + bag.sum()
-        at = np.flatnonzero(2 * np.minimum(size, bag.sum()) >= ratio * whole - 1e-9)
-        at = at[2 * np.minimum(right[at], bag).sum(1) >= ratio * whole[at] - 1e-9]
-        found += [(a["representative"].iloc[i], x) for x in b["representative"].iloc[at] if x != a["representative"].iloc[i]]
-    return pd.DataFrame([(min(x), max(x)) for x in found], columns=["first", "second"])
+
+def _close_titles(a: pd.DataFrame, b: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """Pairs of two cells of a crowded key that may reach the ratio."""
+    left, right, found = _bags(a["_title"]), _bags(b["_title"]), []
+    for one, bag in zip(a["representative"], left, strict=True):
+        found += [(min(one, x), max(one, x)) for x in b["representative"].iloc[_close_to(bag, right, ratio)] if x != one]
+    return pd.DataFrame(found, columns=["first", "second"])
+
+
+def _close_in_keys(rows: pd.DataFrame, ratio: float) -> pd.DataFrame:
+    """Pairs within each of many keys that may reach the ratio."""
+    rows = rows.sort_values(["key", "representative"])
+    bags, ids, found = _bags(rows["_title"]), rows["representative"].to_numpy(), []
+    ends = np.append(np.flatnonzero(np.diff(rows["key"].to_numpy())) + 1, len(rows))
+    lo = 0
+    for hi in ends.tolist():
+        for i in range(lo, hi - 1):
+            found += [(ids[i], x) for x in ids[i + 1 + _close_to(bags[i], bags[i + 1 : hi], ratio)]]
+        lo = hi
+    return pd.DataFrame(found, columns=["first", "second"]).drop_duplicates()
 
 
 def near_duplicate_titles(articles: DataFrame, ratio: float = TITLE_RATIO) -> DataFrame:
@@ -541,11 +558,16 @@ def near_duplicate_titles(articles: DataFrame, ratio: float = TITLE_RATIO) -> Da
     keys = titles.withColumn("key", F.explode(F.pandas_udf(_title_bands, "array<long>")("_title")))
     sizes = keys.groupBy("key").agg(F.ceil(F.count("*") / TITLE_CELL).cast("int").alias("cells"), F.count("*").alias("n")).filter("n > 1").drop("n")
     dealt = keys.join(sizes, "key").withColumn("cell", F.pmod(F.xxhash64("representative"), F.col("cells")).cast("int"))
-    left = dealt.select("key", "representative", "_title", F.col("cell").alias("x"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("y"))
+    parts = max(1, titles.count() * BANDS // TITLE_ROWS)
+    pairs_kind = f"`first` {kind}, `second` {kind}"
+    few = dealt.filter("cells = 1").select("key", "representative", "_title").groupBy(F.pmod("key", F.lit(parts)))
+    near = few.applyInPandas(lambda rows: _close_in_keys(rows, ratio), pairs_kind)
+    many = dealt.filter("cells > 1")
+    left = many.select("key", "representative", "_title", F.col("cell").alias("x"), F.explode(F.sequence("cell", F.col("cells") - 1)).alias("y"))
     again = [F.col(c).alias(c) for c in ("key", "representative", "_title")]  # columns of their own, for the side that meets itself
-    right = dealt.select(*again, F.explode(F.sequence(F.lit(0), "cell")).alias("x"), F.col("cell").alias("y"))
+    right = many.select(*again, F.explode(F.sequence(F.lit(0), "cell")).alias("x"), F.col("cell").alias("y"))
     place = ("key", "x", "y")
-    met = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(lambda a, b: _close_titles(a, b, ratio), f"`first` {kind}, `second` {kind}")
+    met = near.unionByName(left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(lambda a, b: _close_titles(a, b, ratio), pairs_kind))
     said = lambda name: titles.select(F.col("representative").alias(name), F.col("_title").alias(f"_{name}"))
 
     @F.pandas_udf("double")

@@ -2,6 +2,8 @@
 
 import collections
 import itertools
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +158,47 @@ def test_article_detail(spark):
     c = spark.createDataFrame([(1, "t" * 300, "k")], "article_id int, cleaned_text string, markdown_artifact_key string")
     got = {r["article_id"]: r for r in news.article_detail(a, c).collect()}
     assert (len(got[1]["cleaned_excerpt"]), got[1]["markdown_artifact_key"], got[2]["cleaned_text"]) == (280, "k", None)
+
+
+def plain_title(x):
+    return " ".join("".join(c if c.isalnum() and c.isascii() else " " for c in x.lower()).split())
+
+
+@pytest.mark.parametrize("cell", [256, 3])
+def test_alike_titles_equal_difflib_over_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(news, "TITLE_CELL", cell)
+    rng = random.Random(4)
+    words = "hoa phat fpt vinamilk loi nhuan quy tang giam co phieu doanh thu nam ngan hang acb vuot ke hoach lai truoc thue".split()
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 12))) for _ in range(150)]
+    for x in titles[:60]:
+        y = x.split()
+        titles += [" ".join(y[:-1]), x.replace("o", "0", 1) + "!", " ".join(y[::-1]), x.upper()]
+    titles += ["", "??", None, "ab", "ab", "abc"]
+    rows = [(i, x) for i, x in enumerate(titles)]
+    class_of = {}
+    for i, x in rows:
+        if x and plain_title(x):
+            class_of.setdefault(plain_title(x), i)
+    first = sorted((i, x) for x, i in class_of.items())
+    want = {(i, j): SequenceMatcher(None, y, x).ratio() for k, (i, x) in enumerate(first) for j, y in first[k + 1 :]}
+    want = {k: round(v, 6) for k, v in want.items() if v >= news.TITLE_RATIO}
+    articles = spark.createDataFrame(rows, "article_id int, title string")
+    assert {(x["first"], x["second"]): x["ratio"] for x in news.near_duplicate_titles(articles).collect()} == want and len(want) > 60
+    assert {x["article_id"]: x["representative"] for x in news.title_classes(articles).collect()} == {i: class_of[plain_title(x)] for i, x in rows if x and plain_title(x)}
+    assert news.near_duplicate_titles(articles.filter("false")).count() == 0
+
+
+def test_alike_titles_of_documents_equal_difflib(spark):
+    """All pairs of first lines of the smallest documents table."""
+    from lakeloom.plans import news_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    got = {(x["first"], x["second"]): x["ratio"] for x in q.near_duplicate_titles(spark, sf).collect()}
+    rows = q.views.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"))
+    first = sorted({(x["representative"], x["_title"]) for x in news.title_classes(rows).collect()})
+    want = {}
+    for k, (i, x) in enumerate(first):
+        for j, y in first[k + 1 :]:
+            if 2 * min(len(x), len(y)) >= news.TITLE_RATIO * (len(x) + len(y)) and (m := SequenceMatcher(None, y, x)).real_quick_ratio() >= news.TITLE_RATIO and m.quick_ratio() >= news.TITLE_RATIO and m.ratio() >= news.TITLE_RATIO:
+                want[i, j] = round(m.ratio(), 6)
+    assert got == want
