@@ -34,8 +34,9 @@ from lakeloom.llm.token_files import word_encoder
 #: Ids of a sequence; ids of a shard; terms of a seed asked for first; BM25's two parameters.
 WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 32, 1.2, 0.75
 HASHES = 3
-FRAGMENT = "doc_id long, no_id boolean, start long, doc_tokens long, whole boolean, length int, width int, ids binary, turn long, " + ", ".join(f"h{i} int" for i in range(HASHES))
-PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, score double, width int, ids binary"
+FRAGMENT = "doc_id long, no_id boolean, start long, doc_tokens long, whole boolean, length int, width int, ids binary, crc long, turn long, " + ", ".join(f"h{i} int" for i in range(HASHES))
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, score double"
+IDS = ", width int, ids binary"
 
 
 def orders(size: int) -> np.ndarray:
@@ -50,6 +51,11 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some[first], np.diff(np.append(first, len(some)))
 
 
+def checksum(ids: bytes, width: int) -> int:
+    """crc32 of ids as little-endian 32-bit integers."""
+    return zlib.crc32(ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4"))
+
+
 def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
     """The whole windows and the rest of each encoded document, written."""
     names = [c.split()[0] for c in FRAGMENT.split(", ")]
@@ -66,9 +72,10 @@ def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
                 for lo in range(0, n, window):
                     own = ids[lo * width : (lo + window) * width]
                     whole = len(own) == window * width
+                    crc = checksum(own, width) if whole else 0
                     low = (0,) * HASHES if whole else ranks[:, np.frombuffer(own, tool.dtype)].min(1).tolist()
                     turn += 1
-                    rows.append((doc_id, no_id, lo, n, whole, len(own) // width, width, own, turn, *low))
+                    rows.append((doc_id, no_id, lo, n, whole, len(own) // width, width, own, crc, turn, *low))
                 if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -186,10 +193,10 @@ def sequences(parts: list[tuple], window: int) -> Iterator[list[tuple]]:
         yield out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """Pieces of all documents in sequences: doc_id, start, length, doc_tokens, sequence_id, offset, score (of a neighbour,
-    against its seed), ids (of ``width`` bytes each, little-endian)."""
-    table = fragments(docs, tokenizer, end_id, window)
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, shard: int = SHARD, ids: bool = True) -> DataFrame:
+    """Pieces of all documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, score (of a
+    neighbour, against its seed), and with ``ids`` the ids themselves (of ``width`` bytes each, little-endian)."""
+    table, kind = fragments(docs, tokenizer, end_id, window), PIECE + IDS * ids
     rests = table.filter("not whole")
     n, tokens = rests.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     counts = document_frequencies(rests).toPandas()  # a row for each id of the vocabulary at most
@@ -198,7 +205,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = TaskContext.get().partitionId() << 32
+        number, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in kind.split(", ")]
+        names.insert(1, "no_id")
         rows: list[tuple] = []
         size = 0
 
@@ -209,12 +217,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
                 for some in sequences(parts, window):
                     offset = 0
                     for i, lo, hi, score in some:
-                        doc_id, no_id, start, doc_tokens, width, ids = rows[i]
-                        out.append((doc_id, no_id, start + lo, hi - lo, doc_tokens, 2 * number + 1, offset, score, width, ids[lo * width : hi * width]))
+                        doc_id, no_id, start, doc_tokens, width, own = rows[i]
+                        own = own[lo * width : hi * width]
+                        out.append((doc_id, no_id, start + lo, hi - lo, checksum(own, width), doc_tokens, 2 * number + 1, offset, score, *((width, own) if ids else ())))
                         offset += hi - lo
                     number += 1
             for lo in range(0, len(out), 4000):
-                each = pd.DataFrame(out[lo : lo + 4000], columns=["doc_id", "no_id", "start", "length", "doc_tokens", "sequence_id", "offset", "score", "width", "ids"])
+                each = pd.DataFrame(out[lo : lo + 4000], columns=names)
                 each["doc_id"] = pd.arrays.IntegerArray(each["doc_id"].to_numpy(np.int64), each["no_id"].to_numpy(bool))
                 yield each.drop(columns="no_id").astype({"score": float})
 
@@ -230,19 +239,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
 
     keys = [*(f"h{i}" for i in range(HASHES)), "turn"]
     ordered = rests.repartitionByRange(max(1, -(-tokens // shard)), *keys).sortWithinPartitions(*keys)
-    mixed = ordered.select("doc_id", "no_id", "start", "doc_tokens", "width", "ids").mapInPandas(run, PIECE)
+    mixed = ordered.select("doc_id", "no_id", "start", "doc_tokens", "width", "ids").mapInPandas(run, kind)
     whole = table.filter("whole").select(
-        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "start", F.col("length").cast("long").alias("length"), "doc_tokens",
-        (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("double").alias("score"), "width", "ids",
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens",
+        (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(None).cast("double").alias("score"), *(("width", "ids") if ids else ()),
     )
     return whole.unionByName(mixed)
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32 (of their ids as little-endian 32-bit integers) in place of ids."""
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4")) for x, w in zip(ids, width, strict=True)], dtype="int64")
-
-    return pieces.select("doc_id", "start", "length", crc("ids", "width").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "score")

@@ -36,7 +36,7 @@ from lakeloom.llm.common import scratch, texts
 SAMPLE = 512
 #: Characters that are split at a time; ids of a block, at least (a document is never cut); bytes of a word cache, about,
 #: and what an entry takes besides its word and ids.
-SLICE, BLOCK_IDS, CACHE, ENTRY = 1 << 22, 1 << 20, 40 << 20, 200
+SLICE, BLOCK_IDS, CACHE, ENTRY = 1 << 22, 1 << 20, 52 << 20, 200
 #: doc_ids are delta-coded against first_doc by Parquet itself, as a list column.
 BLOCK = "part int, block int, first_doc long, n_docs long, n_ids long, width int, ids binary, doc_ids array<long>, low_bits int, low binary, high binary, samples binary"
 
