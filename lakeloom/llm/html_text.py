@@ -11,8 +11,12 @@ that the host is dealt into at least. Each group names the runs that do; these f
 1 / SHARE of its length) are then counted exactly over all pages of the host, and what remains is the host's dictionary.
 
 Unique runs decide: the text of a page is what the dictionary leaves of its containers or, where they hold under half as
-many unique tokens as the loose blocks, of the loose blocks. Inside containers, only runs of nearly all pages of the host go
-(``FIRM``), so a passage that articles share stays. Identical pages count once, so a copied page stays as well.
+many unique tokens as the loose blocks, of the loose blocks. Inside containers, a run goes if its share would be ``FIRM`` even
+with one page more that lacks it, so a passage that some articles share stays. Identical pages count once, so a copied page
+stays as well.
+
+Tags are read in one pass: a quote that is never closed ends with its tag, a tag that is never closed is text. Inside
+containers an element is marked by its tag, its role or a whole class name, not by a part of one.
 
 Defined results: null and empty pages, and pages without text, give an empty text; pages without a host are a host of
 their own; repeated rows of a page are one page for the counts and rows of their own in the result; any length is treated
@@ -35,16 +39,17 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import written
 
-#: Tokens of a run; of a host's distinct pages, the share from which a run is boilerplate, and the share and number from
-#: which it is inside containers too.
-RUN, SHARE, FIRM, FIRM_PAGES = 8, 0.3, 0.9, 10
+#: Tokens of a run; of a host's distinct pages, the share from which a run is boilerplate, and that of containers.
+RUN, SHARE, FIRM = 8, 0.3, 0.9
 #: Pages of a group; groups of a task; pages that are cut into blocks at a time; bytes of dictionaries up to which all tasks
 #: get them whole, beyond which pages and dictionaries meet by host and part.
 PAGES, TOGETHER, CUT, DICTIONARY = 256, 8, 250, 32_000_000
 MAIN, LOOSE, MARKED = 0, 1, 2
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe textarea title xmp".split())
@@ -57,36 +62,93 @@ _MARKED_NAMES = frozenset(
 )
 _MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _MAIN_NAMES = frozenset("article content main post story entry articlebody maincontent".split())
+#: Elements of text, which no class name takes out of a container.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody table section figure figcaption".split())
 
 
-def role_of(tag: str, attributes: str, inside: int) -> int | None:
+def role_of(tag: str, attributes: list[tuple[str, str]], inside: int) -> int | None:
     """The role that an element gives its content, None to keep the one around it."""
     if tag in _MARKED_TAGS or (tag == "header" and inside != MAIN):
         return MARKED
     main = tag in _MAIN_TAGS
-    if attributes and not attributes.isspace():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id"):
-                names = [x for x in _SPLIT.split(value) if x]
-                if not _MARKED_NAMES.isdisjoint(names) or ("header" in names and inside != MAIN and not main):
-                    return MARKED
-                main = main or (tag in ("div", "section", "td") and not _MAIN_NAMES.isdisjoint(names) and "wrapper" not in names and "page" not in names)
-            elif name == "role":
-                if value in _MARKED_ROLES:
+    for name, value in attributes:
+        value = value.lower()
+        if name in ("class", "id"):
+            if inside == MAIN:
+                if tag not in _TEXT_TAGS and not _MARKED_NAMES.isdisjoint(value.split()):
                     return MARKED
-                main = main or value in ("main", "article")
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                continue
+            names = [x for x in _SPLIT.split(value) if x]
+            if not _MARKED_NAMES.isdisjoint(names) or ("header" in names and not main):
+                return MARKED
+            main = main or (tag in ("div", "section", "td") and not _MAIN_NAMES.isdisjoint(names) and "wrapper" not in names and "page" not in names)
+        elif name == "role":
+            if value in _MARKED_ROLES:
                 return MARKED
+            main = main or value in ("main", "article")
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            return MARKED
     return MAIN if main else None
 
 
+class _Page:
+    """A page read from front to back. What is searched for and not there is not searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where a text comes next, -1 if it doesn't."""
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """Names and values from behind a tag's name on, whether it closes itself, and where the tag ends (-1: never)."""
+        out, page = [], self.page
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if m is None:
+                end = _GAP.match(page, at).end()
+                if page[end : end + 1] == "=":  # a stray sign
+                    at = end + 1
+                    continue
+                return out, page[end - 1 : end] == "/", end + 1 if page[end : end + 1] == ">" else -1
+            at, value = m.end(), ""
+            if m[2]:
+                quote = page[at : at + 1]
+                end = self.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    value = _BARE.match(page, at)[0]
+                    at += len(value)
+            out.append((m[1].lower(), value))
+
+    def after(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup; the page's end if there is none."""
+        if tag in self.absent:
+            return len(self.page)
+        m = re.compile(rf"</{tag}(?![a-zA-Z0-9:-])[^>]*>", re.I).search(self.page, at)
+        if m is None:
+            self.absent.add(tag)
+            return len(self.page)
+        return m.end()
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(role, text) of the blocks of a page in order; white space within a block is one space."""
+    """(role, text) of the blocks of a page in order; white space within a block is one space. Time is in proportion to the
+    page, whatever its markup."""
+    read, n = _Page(page), len(page)
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    #: Open elements: name, role around them, how many elements of blocks are open below; places of each name.
+    stack: list[tuple[str, int, int]] = []
+    places: dict[str, list[int]] = {}
     pieces: list[str] = []
-    role, at = LOOSE, 0
+    role, at, deep = LOOSE, 0, 0
 
     def close() -> None:
         if pieces:
@@ -95,43 +157,62 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 out.append((role, text))
             pieces.clear()
 
-    n = len(page)
+    def pop() -> tuple[str, int, int]:
+        top = stack.pop()
+        places[top[0]].pop()
+        return top
+
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = read.find("<", at)
+        if start < 0 or read.find(">", start) < 0:
             pieces.append(page[at:])
             break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if start > at:
+            pieces.append(page[at:start])
+        if page.startswith(("<!--", "<![CDATA["), start):
+            end = read.find("-->" if page.startswith("<!--", start) else "]]>", start)
+            at = end + 3 if end >= 0 else n
+            continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = read.find(">", start) + 1
+            continue
+        m = _NAME.match(page, start + 1)
+        attributes, itself, end = read.attributes(m.end()) if m else ([], False, -1)
+        if end < 0:
+            pieces.append("<")
+            at = start + 1
+            if m:  # the rest has no end of a tag outside quotes
+                pieces.append(page[at:])
+                break
             continue
-        tag = m[2].lower()
+        at, tag = end, m[2].lower()
         if tag not in _INLINE:
             close()
         elif tag == "br":
             pieces.append(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in _INLINE and any(x not in _INLINE for x, _ in stack[i:]):
-                        break  # a stray inline end does not close blocks
-                    if role != stack[i][1]:
-                        close()
-                        role = stack[i][1]
-                    del stack[i:]
-                    break
+            held = places.get(tag)
+            if held:
+                name, around, below = stack[held[-1]]
+                if tag in _INLINE and deep > below:
+                    continue  # a stray inline end does not close blocks
+                if role != around:
+                    close()
+                    role = around
+                for _ in range(len(stack) - held[-1]):
+                    deep = pop()[2]
             continue
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or itself:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = read.after(tag, at)
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
-            role = stack.pop()[1]
-        new = role_of(tag, m[3], role) if role != MARKED else None
-        stack.append((tag, role))
+            _, role, deep = pop()
+        new = role_of(tag, attributes, role) if role != MARKED else None
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, role, deep))
+        deep += tag not in _INLINE
         if new is not None and new != role:
             close()
             role = new
@@ -187,15 +268,19 @@ def unique_runs(block: list[tuple[str, bool]], run: int = RUN) -> list[str]:
 
 
 _HASHES: dict[str, int] = {}
+#: Characters of the tokens whose hashes a worker keeps, about.
+_KEPT = [0]
 _FACTORS = np.random.default_rng(10).integers(0, 1 << 63, RUN, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def token_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of tokens; a worker keeps those of common tokens."""
-    if len(_HASHES) > 400_000:
+    if _KEPT[0] > 40_000_000:
         _HASHES.clear()
+        _KEPT[0] = 0
     for x in set(tokens).difference(_HASHES):
         _HASHES[x] = xxhash.xxh3_64_intdigest(x)
+        _KEPT[0] += len(x) + 100
     return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -319,7 +404,7 @@ def main_texts(pages: DataFrame, group_pages: int = PAGES) -> DataFrame:
     some = rows.select("host", "part", "body", "html")
     counts = _with_dictionaries(some, candidates, standing, "host string, body long, key long").distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
     counts = counts.join(hosts, "host").filter((F.col("n") >= 2) & (F.col("n") >= F.col("contents") * F.lit(SHARE) - 1e-6))
-    words = written(counts.select("host", "key", ((F.col("n") >= F.col("contents") * F.lit(FIRM) - 1e-6) & (F.col("n") >= FIRM_PAGES)).alias("firm")), "boilerplate")
+    words = written(counts.select("host", "key", (F.col("n") >= (F.col("contents") + 1) * F.lit(FIRM) - 1e-6).alias("firm")), "boilerplate")
 
     def texts(batch: pd.DataFrame, words_of: Callable) -> pd.DataFrame:
         none, out, sorted_words = np.zeros(0, np.int64), [], {}
