@@ -34,6 +34,8 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 322, 323, 324, 325
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
+#: How many bytes one byte can stand for at most, by compression: deflate's 258 for two bits, a whole LZW table of 12-bit codes.
+GROWTH = {NONE: 1, LZW: 2600, DEFLATE: 1040, DEFLATE_OLD: 1040, PACKBITS: 64}
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -67,6 +69,8 @@ def unpack_lzw(data: bytes) -> bytes:
         if code == 256:
             table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
             continue
+        if code > len(table) or (code == len(table) and not before):
+            raise ValueError(f"LZW code {code} is beyond the table")
         word = table[code] if code < len(table) else before + before[:1]
         out += word
         if before:
@@ -126,7 +130,14 @@ def decode_page(media: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     offsets, sizes = (fields[TILE_OFFSETS], fields[TILE_BYTES]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_BYTES])
     wide, high = (one(TILE_WIDTH, width), one(TILE_LENGTH, length)) if tiled else (width, min(one(ROWS_PER_STRIP, length), length))
     apart = one(PLANAR, 1) == 2
+    if min(wide, high, samples) <= 0:
+        raise ValueError("tiles, strips or samples without size")
     across, down = -(-width // wide), -(-length // high)
+    if len(offsets) != across * down * (samples if apart else 1):
+        raise ValueError(f"{len(offsets)} strips or tiles do not make up the page")
+    held = GROWTH.get(one(COMPRESSION, NONE), 1) * sum(len(media[a : a + n]) for a, n in zip(offsets, sizes, strict=True))
+    if width * length * samples > held:
+        raise ValueError(f"{width} x {length} x {samples} samples are more than {held} bytes, which the strips can hold at most")
     out = np.zeros((down * high, across * wide, samples), np.uint8)
     for i, (a, n) in enumerate(zip(offsets, sizes, strict=True)):
         plane, k = divmod(i, across * down)
@@ -182,7 +193,7 @@ def read_pages(images: DataFrame, key: str, media: str, keep: tuple[str, ...] =
                         page = decode_page(data, fields)
                         rows.append((k, n, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), None))
                         of.append(i)
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as e:
                     rows.append((k, -1, 0, 0, 0, b"", str(e)[:200]))
                     of.append(i)
             out = pd.DataFrame(rows, columns=["key", "page", "width", "height", "samples", "pixels", "error"])
