@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 NONE, END = 1 << 60, (1 << 20) - 1
 #: Symbols in the arrays of one block of pieces; characters of the texts that are split at a time.
 BLOCK, SLICE = 1 << 18, 1 << 21
-#: Entries that a worker keeps for pieces and for space-separated chunks before it starts again.
-CACHE = 350_000
+#: Pieces longer than this of which there are only few together have a tree each.
+LONG, FEW = 256, 32
+#: Entries of usual size that a worker keeps for pieces and for space-separated chunks before it starts again; bytes of one.
+CACHE, ENTRY = 350_000, 220
 
 
 def byte_symbols() -> list[str]:
@@ -79,6 +82,7 @@ class Vocabulary:
         pair = np.array([vocab[a] << 20 | vocab[b] for a, b in parts], np.int64)
         self.pair_rank = np.argsort(pair)
         self.pairs = pair[self.pair_rank]
+        self.rank_of: dict[int, int] = {}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,6 +101,10 @@ class Vocabulary:
             step = max(1, BLOCK // width)
             for lo in range(0, cut, step):
                 some = order[lo : min(cut, lo + step)]
+                if width > LONG and len(some) < FEW:
+                    for i in some.tolist():
+                        out[i] = self._encode_long(pieces[i])
+                    continue
                 for i, ids in zip(some.tolist(), self._encode_block([pieces[i] for i in some], lengths[some], width), strict=True):
                     out[i] = ids
             order, width = order[cut:], width * 2
@@ -127,6 +135,46 @@ class Vocabulary:
         kept = (ids >= 0) & (ids != END)
         return np.split(ids[kept].astype("<u4"), np.cumsum(kept.sum(1))[:-1])
 
+    def _encode_long(self, piece: bytes) -> np.ndarray:
+        """The ids of one long piece, by a tree of its own: an update ends where a node keeps its minimum."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.pairs.tolist(), self.pair_rank.tolist(), strict=True))
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        n, m = len(ids), 1 << (len(piece) - 1).bit_length()
+        leaves = np.full(m, NONE)
+        rank = self.ranks(ids[:-1], ids[1:])
+        leaves[: n - 1] = np.where(rank == NONE, NONE, rank * m + np.arange(n - 1))
+        tree = array("q", np.concatenate([[NONE], *(x[0] for x in build_trees(leaves[None])[::-1])]).tobytes())
+        ids, after, before = array("q", ids.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        rank_of, merged = self.rank_of.get, self.merged.tolist()
+
+        def put_leaf(at: int, key: int) -> None:
+            at += m
+            while at and tree[at] != key:
+                tree[at] = key
+                at >>= 1
+                a, b = tree[2 * at], tree[2 * at + 1]
+                key = a if a < b else b
+
+        while (key := tree[1]) != NONE:
+            rank, i = divmod(key, m)
+            j = after[i]
+            k = after[j]
+            new = merged[rank]
+            ids[i], ids[j], after[i] = new, -1, k
+            put_leaf(j, NONE)
+            found = None
+            if k < n:
+                before[k] = i
+                found = rank_of(new << 20 | ids[k])
+            put_leaf(i, NONE if found is None else found * m + i)
+            h = before[i]
+            if h >= 0:
+                found = rank_of(ids[h] << 20 | new)
+                put_leaf(h, NONE if found is None else found * m + h)
+        out = np.frombuffer(ids, np.int64)
+        return out[out >= 0].astype("<u4")
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -144,22 +192,27 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         #: None for a chunk that does not stand alone.
         self.chunks: dict[str, bytes | None] = {}
+        self.pieces_size = self.chunks_size = 0
 
     def learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > self.cache:  # what is in use stays
+        if self.pieces_size > self.cache * ENTRY:  # what is in use stays
             self.pieces = {x: self.pieces[x] for x in pieces if x in self.pieces}
+            self.pieces_size = 200 * len(self.pieces) + 2 * sum(map(len, self.pieces))
         new = [x for x in pieces if x not in self.pieces]
         for piece, ids in zip(new, self.vocabulary.encode_pieces([x.encode("utf-8", "surrogatepass") for x in new]), strict=True):
             self.pieces[piece] = ids.tobytes()
+        self.pieces_size += 200 * len(new) + 2 * sum(map(len, new))
 
     def learn_chunks(self, chunks: set[str]) -> None:
-        if len(self.chunks) > self.cache:
+        if self.chunks_size > self.cache * ENTRY:
             self.chunks = {x: self.chunks[x] for x in chunks if x in self.chunks}
+            self.chunks_size = 200 * len(self.chunks) + 2 * sum(map(len, self.chunks))
         new = [x for x in chunks if x not in self.chunks]
         split = [None if not x or x[0].isspace() or x[-1].isspace() else self.findall(" " + x) for x in new]
         self.learn_pieces({y for x in split if x for y in x})
         for chunk, found in zip(new, split, strict=True):
             self.chunks[chunk] = None if found is None else b"".join(map(self.pieces.__getitem__, found))
+        self.chunks_size += 200 * len(new) + 2 * sum(map(len, new))
 
     def by_pieces(self, text: str) -> bytes:
         found = self.findall(text)

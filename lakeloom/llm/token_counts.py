@@ -33,7 +33,7 @@ STOP, LETTER, NUMBER, OTHER, QUOTE, BLANK, SPACE, SINGLE, R, V, L, E = range(12)
 START, LETTERS, NUMBERS, OTHERS, AFTER_BLANK, AFTER_SPACE, QUOTED, QUOTED_R, QUOTED_V, QUOTED_L, CLOSED = range(11)
 STATES, CLASSES = 11, 12
 CHUNK = 64
-#: Characters for each pass; entries kept of pieces; states kept of the transducer; bytes of a piece run by window.
+#: Characters for each pass; entries of usual size kept of pieces; states kept of the transducer; bytes of a piece run by window.
 SLICE, CACHE, NODES, LONG = 1 << 20, 400_000, 400_000, 48
 
 
@@ -213,6 +213,7 @@ class Counter:
         self.vocabulary = Vocabulary(path)
         self.splitter, self.transducer = Splitter(), CountingTransducer(self.vocabulary)
         self.known: dict[str, int] = {}
+        self.kept = 0
 
     def count(self, some: list[str]) -> Iterator[int]:
         added = self.vocabulary.added
@@ -240,11 +241,13 @@ class Counter:
 
     def pieces(self, whole: str, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         found = [whole[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        if len(self.known) > CACHE:
+        if self.kept > CACHE * 128:
             self.known.clear()
+            self.kept = 0
         known, count = self.known, self.transducer.count
         for piece in set(found).difference(known):
             known[piece] = count(piece.encode("utf-8", "surrogatepass"))
+            self.kept += 120 + len(piece)
         return np.fromiter(map(known.__getitem__, found), np.int64, len(found))
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -220,3 +222,46 @@ def test_pages_of_tiles_strips_and_broken_images(spark):
     assert bytes(rows[1, 0]["pixels"]) == grid.tobytes() and (rows[1, 0]["width"], rows[1, 0]["height"]) == (24, 20)
     assert b"".join(bytes(rows[2, p]["pixels"]) for p in range(2)) == payload
     assert rows[3, -1]["error"] and rows[4, -1]["error"]
+
+
+def test_long_pieces_equal_library_in_time():
+    tool, mine = Tokenizer.from_file(BYTE), bpe.Encoder(BYTE)
+    rng = random.Random(1)
+    for n in (257, 600, 5000, 40_000):
+        text = "".join(rng.choice("etaoinshrdluéß") for _ in range(n))
+        assert next(mine.encode([text])).tolist() == tool.encode(text, add_special_tokens=False).ids
+    mixed = [" " + "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 900))) for _ in range(300)]
+    for text, ids in zip(mixed, mine.encode(mixed), strict=True):
+        assert ids.tolist() == tool.encode(text, add_special_tokens=False).ids
+    text = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids = next(mine.encode([text])).tolist()
+    assert time.perf_counter() - began < 30  # about 6 s on a free core
+    assert mine.vocabulary.decode(ids) == text
+
+
+def test_caches_are_bounded_by_bytes():
+    mine = bpe.Encoder(BYTE, cache=100)
+    for i in range(5):
+        next(mine.encode([" ".join(f"{i}word{j}" + "x" * 400 for j in range(60))]))
+        assert mine.chunks_size <= 2 * 100 * bpe.ENTRY + 60 * 2500
+        assert len(mine.chunks) <= 120
+
+
+def broken(width, length, data=b"\1", compression=1, samples=1):
+    fields = [(256, 4, 1, width), (257, 4, 1, length), (258, 3, 1, 8), (259, 3, 1, compression), (273, 4, 1, 122), (277, 3, 1, samples), (278, 4, 1, length), (279, 4, 1, len(data))]
+    head = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + bytes(4)
+    return head.ljust(122, b"\0") + data
+
+
+def test_broken_images_give_their_error(spark):
+    """Sizes that no strip can hold, codes beyond the table, no size at all: one row with its error, and the task lives."""
+    bad_lzw = bytes([0b10000000, 0b00011111, 0b11110000, 0])  # clear, then code 510... of a table of 258
+    images = [broken(1 << 31, 1 << 31), broken(1 << 22, 1 << 22), broken(0, 5), broken(64, 64, bad_lzw, 5), broken(1 << 16, 1 << 16, b"x\x9c\x03", 8), broken(4, 1, b"\1\2\3\4"), broken(3, 1, b"\1", samples=0), b"II*\0", b"", None]
+    rows = tiff.read_pages(spark.createDataFrame([(i, x) for i, x in enumerate(images)], "k int, media binary"), "k", "media").collect()
+    assert len(rows) == len(images)
+    by = {r["k"]: r for r in rows}
+    assert by[5]["error"] is None and bytes(by[5]["pixels"]) == b"\1\2\3\4"
+    assert all(by[i]["error"] and by[i]["page"] == -1 for i in range(len(images)) if i != 5)
+    with pytest.raises(ValueError, match="beyond the table"):
+        tiff.unpack_lzw(bad_lzw)
