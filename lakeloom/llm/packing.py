@@ -34,7 +34,7 @@ from lakeloom.llm.token_files import word_encoder
 #: Ids of a sequence; ids of a shard; terms of a seed asked for first; BM25's two parameters.
 WINDOW, SHARD, TERMS, K1, B = 4096, 1 << 21, 32, 1.2, 0.75
 HASHES = 3
-FRAGMENT = "doc_id long, no_id boolean, start long, doc_tokens long, whole boolean, length int, width int, ids binary, crc long, turn long, " + ", ".join(f"h{i} int" for i in range(HASHES))
+FRAGMENT = "doc_id long, no_id boolean, start long, doc_tokens long, whole boolean, length int, width int, ids binary, crc long, turn long, " + ", ".join(f"h{i} int" for i in range(HASHES)) + ", df array<long>"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, score double"
 IDS = ", width int, ids binary"
 
@@ -57,14 +57,15 @@ def checksum(ids: bytes, width: int) -> int:
 
 
 def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
-    """The whole windows and the rest of each encoded document, written."""
+    """The whole windows and the rest of each encoded document, written, and a row of each task with ``df``: in how many of
+    its rests each id occurs (``whole`` is null there)."""
     names = [c.split()[0] for c in FRAGMENT.split(", ")]
 
     def run(slices: Iterator[tuple[list, list, list]]) -> Iterator[pd.DataFrame]:
         tool = word_encoder(tokenizer)
         ranks, width = orders(len(tool.ends)), tool.dtype.itemsize
         end, turn = np.asarray([end_id], tool.dtype).tobytes(), TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
+        df, rows = np.zeros(len(tool.ends), np.int64), []
         for doc_ids, no_ids, some in slices:
             for doc_id, no_id, ids in zip(doc_ids, no_ids, tool.encode(some), strict=True):
                 ids += end
@@ -73,33 +74,25 @@ def fragments(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
                     own = ids[lo * width : (lo + window) * width]
                     whole = len(own) == window * width
                     crc = checksum(own, width) if whole else 0
-                    low = (0,) * HASHES if whole else ranks[:, np.frombuffer(own, tool.dtype)].min(1).tolist()
-                    turn += 1
-                    rows.append((doc_id, no_id, lo, n, whole, len(own) // width, width, own, crc, turn, *low))
+                    low, turn = (0,) * HASHES, turn + 1
+                    if not whole:
+                        terms = counted(np.frombuffer(own, tool.dtype))[0]
+                        df[terms] += 1
+                        low = ranks[:, terms].min(1).tolist()
+                    rows.append((doc_id, no_id, lo, n, whole, len(own) // width, width, own, crc, turn, *low, None))
                 if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+        rows.append((0, True, 0, 0, None, 0, width, b"", 0, turn + 1, *(0,) * HASHES, df))
+        yield pd.DataFrame(rows, columns=names)
 
     return written(map_texts(docs, run, FRAGMENT), "fragments")
 
 
-def document_frequencies(rests: DataFrame) -> DataFrame:
-    """term, df over all fragments: each task adds up its own first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for width, ids in zip(batch["width"].tolist(), batch["ids"].tolist(), strict=True):
-                terms = counted(np.frombuffer(ids, f"<u{width}"))[0]
-                if terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(2 * int(terms[-1]), np.int64)])
-                df[terms] += 1
-        held = np.flatnonzero(df)
-        yield pd.DataFrame({"term": held, "df": df[held]})
-
-    return rests.select("width", "ids").mapInPandas(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+def document_frequencies(table: DataFrame) -> DataFrame:
+    """term, df over all rests: what each task has added up, added up."""
+    each = table.filter("df IS NOT NULL").select(F.posexplode("df").alias("term", "df")).filter("df > 0")
+    return each.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 class Shard:
@@ -199,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, sha
     table, kind = fragments(docs, tokenizer, end_id, window), PIECE + IDS * ids
     rests = table.filter("not whole")
     n, tokens = rests.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    counts = document_frequencies(rests).toPandas()  # a row for each id of the vocabulary at most
+    counts = document_frequencies(table).toPandas()  # a row for each id of the vocabulary at most
     df = np.zeros(1 + int(counts["term"].max()) if len(counts) else 1)
     df[counts["term"]] = counts["df"]
     idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(n, 1)
