@@ -85,8 +85,13 @@ def _bound(c: Column, f) -> Column:
 def token_score(tokens: Column, title: Column, snippet: Column, url: Column) -> Column:
     """Sum over tokens: phrases count 6, 4 and 3 where they occur in title, snippet and URL; words 5, 3 and 2 where they
     stand as whole words."""
+    return folded_token_score(tokens, *(t.norm_free(c) for c in (title, snippet, url)))
+
+
+def folded_token_score(tokens: Column, title: Column, snippet: Column, url: Column) -> Column:
+    """The same of texts that are folded already."""
     weights = ((6, 5), (4, 3), (3, 2))
-    folded = F.array(*(t.norm_free(c) for c in (title, snippet, url)))
+    folded = F.array(title, snippet, url)
     spaced = lambda x: F.concat(F.lit(" "), F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
 
     def of(token: Column, x: Column) -> Column:
@@ -407,29 +412,38 @@ def score_recency(published: Column, now: Column, latest: Column) -> Column:
     )
 
 
-def _hits(text: Column, terms: tuple[str, ...]) -> Column:
+#: Every term that is looked for in a folded text, once.
+TERMS = tuple(dict.fromkeys((*STOCK_TERMS, *SHOW_TERMS, *NEGATIVE_TERMS, *STRONG_TERMS)))
+
+
+def found_terms(text: Column) -> Column:
+    """Which of all terms a folded text holds. As a column of its own it is worked out once, whatever is made of it."""
+    return F.array(*(F.contains(text, F.lit(w)) for w in TERMS))
+
+
+def _hits(found: Column, terms: tuple[str, ...]) -> Column:
     out = F.lit(0)
     for w in terms:
-        out = out + F.contains(text, F.lit(w)).cast("int")
+        out = out + found[TERMS.index(w)].cast("int")
     return out
 
 
-def score_negative(text: Column, negative: Column) -> Column:
-    """``text`` is folded."""
-    base = _hits(text, NEGATIVE_TERMS) * F.lit(0.8) + _hits(text, STRONG_TERMS) * F.lit(0.6)
+def score_negative(found: Column, negative: Column) -> Column:
+    """``found`` as ``found_terms`` gives it."""
+    base = _hits(found, NEGATIVE_TERMS) * F.lit(0.8) + _hits(found, STRONG_TERMS) * F.lit(0.6)
     return F.when(negative & (base == 0), -1.3).when(negative, base + 0.6).otherwise(F.least(base, F.lit(0.8)))
 
 
-def score_source_quality(domain: Column, text: Column, stock: Column, negative: Column) -> Column:
-    show = _hits(text, SHOW_TERMS)
+def score_source_quality(domain: Column, found: Column, stock: Column, negative: Column) -> Column:
+    show = _hits(found, SHOW_TERMS)
     own = F.when(domain.isin(*FINANCE_SITES), F.when(stock, 1.6).otherwise(0.6)).otherwise(0.0)
-    context = F.when(stock & (_hits(text, STOCK_TERMS) > 0), 0.9).otherwise(0.0)
+    context = F.when(stock & (_hits(found, STOCK_TERMS) > 0), 0.9).otherwise(0.0)
     noise = F.when(stock & (show > 0), 1.3 + F.least(F.lit(1.1), 0.35 * show) + F.when(negative, 0.7).otherwise(0.0)).otherwise(0.0)
     return own + context - noise
 
 
-def score_alignment(text: Column, stock: Column, negative: Column) -> Column:
-    context, show, bad = _hits(text, STOCK_TERMS), _hits(text, SHOW_TERMS), _hits(text, NEGATIVE_TERMS)
+def score_alignment(found: Column, stock: Column, negative: Column) -> Column:
+    context, show, bad = _hits(found, STOCK_TERMS), _hits(found, SHOW_TERMS), _hits(found, NEGATIVE_TERMS)
     score = F.when(context > 0, F.least(F.lit(2.0), 0.45 * context)).when(stock, -0.5).otherwise(0.0)
     noise = F.when((show > 0) & stock, 1.2 + F.least(F.lit(1.2), 0.35 * show) + F.when(negative, 0.9).otherwise(0.0)).otherwise(0.0)
     bonus = F.when(negative & (bad > 0), F.least(F.lit(1.8), 0.55 * bad)).when(negative, -0.8).otherwise(0.0)
@@ -439,22 +453,25 @@ def score_alignment(text: Column, stock: Column, negative: Column) -> Column:
 def score_candidates(rows: DataFrame, now: Column) -> DataFrame:
     """All scores of (question, article) rows with title, snippet, summary, cleaned_text, url, published and intent; the
     final score and the rank by it."""
-    folded = t.norm_free(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "snippet", "summary", "cleaned_text"))))
-    rows = rows.withColumn("folded", folded)
-    i = F.col("intent")
+    # each text is folded once, and each term is looked for once: columns of their own that the scores read
+    texts = ("title", "snippet", "summary", "cleaned_text")
+    rows = rows.withColumns({f"_{c}": t.norm_free(F.coalesce(c, F.lit(""))) for c in texts})
+    rows = rows.withColumn("_found", found_terms(F.concat_ws(" ", *(f"_{c}" for c in texts))))
+    i, found = F.col("intent"), F.col("_found")
     domain = F.replace(F.lower(F.regexp_extract("url", "https?://([^/]+)", 1)), F.lit("www."), F.lit(""))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col(f"_{c}"))
     rows = rows.withColumns(
         {
-            "relevance": token_score(i["tokens"], F.col("title"), F.col("summary"), F.col("url")),
+            "relevance": folded_token_score(i["tokens"], known("title"), known("summary"), t.norm_free(F.col("url"))),
             "recency": score_recency(F.col("published"), now, i["latest"]),
-            "negative": score_negative(F.col("folded"), i["negative"]),
-            "quality": score_source_quality(domain, F.col("folded"), i["stock"], i["negative"]),
-            "alignment": score_alignment(F.col("folded"), i["stock"], i["negative"]),
+            "negative": score_negative(found, i["negative"]),
+            "quality": score_source_quality(domain, found, i["stock"], i["negative"]),
+            "alignment": score_alignment(found, i["stock"], i["negative"]),
         }
-    )
+    ).drop("_found", *(f"_{c}" for c in texts))
     final = 1.7 * F.col("relevance") + 2.2 * F.col("recency") + F.when(i["negative"], 2.4).otherwise(0.5) * F.col("negative") + F.col("quality") + 1.4 * F.col("alignment")
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc_nulls_last("published"), "url")
-    return rows.drop("folded").withColumn("final_score", F.round(final, 6)).withColumn("rank", F.row_number().over(order))
+    return rows.withColumn("final_score", F.round(final, 6)).withColumn("rank", F.row_number().over(order))
 
 
 def topic_signature(articles: DataFrame, n: int = 8) -> DataFrame:

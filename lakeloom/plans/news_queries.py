@@ -186,7 +186,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, round(negative_score, 6) AS negative, round(quality, 6) AS quality, round(alignment, 6) AS alignment, round(recency, 6) AS recency FROM (SELECT doc_id, {_SCORES} FROM v_articles)")
 def article_scores(spark: SparkSession, d: str) -> DataFrame:
-    a = articles(spark, d).withColumn("f", t.norm_free(F.col("body")))
+    a = articles(spark, d).withColumn("f", t.norm_free(F.col("body"))).withColumn("f", n.found_terms(F.col("f")))
     i, f = F.col("intent"), F.col("f")
     scores = {"negative": n.score_negative(f, i["negative"]), "quality": n.score_source_quality(F.col("domain"), f, i["stock"], i["negative"]), "alignment": n.score_alignment(f, i["stock"], i["negative"]), "recency": n.score_recency(F.col("published"), F.lit(NOW).cast("timestamp"), i["latest"])}
     return a.select("doc_id", *(F.round(c, 6).alias(k) for k, c in scores.items()))
