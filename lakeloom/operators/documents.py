@@ -105,16 +105,11 @@ def extract_markdown_tables(pages: DataFrame) -> DataFrame:
 
 
 def extract_html_tables(pages: DataFrame) -> DataFrame:
-    """Tables of HTML pages: the header is the first row with a header cell, else the first; rows of two cells or more,
-    tables of two rows or more."""
-    tables = F.regexp_extract_all("text", F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
-    rows = pages.select("doc_id", "page", F.posexplode(tables).alias("ordinal", "table"))
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: squeeze(F.regexp_replace(c, "<[^>]+>", " ")))
-    lines = F.transform(F.regexp_extract_all("table", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.struct(cells(r).alias("cells"), F.rlike(r, F.lit(r"(?i)<th\b")).alias("head")))
-    rows = rows.withColumn("lines", F.filter(lines, lambda x: F.size(x["cells"]) >= 2)).filter(F.size("lines") >= 2)
-    at = F.coalesce(F.nullif(F.array_position(F.transform("lines", lambda x: x["head"]), True), F.lit(0)), F.lit(1)).cast("int")
-    rows = rows.withColumn("at", at)
-    return rows.select("doc_id", "page", "ordinal", F.element_at("lines", F.col("at"))["cells"].alias("header"), F.transform(F.filter("lines", lambda x, i: i + 1 != F.col("at")), lambda x: x["cells"]).alias("rows"))
+    """Tables of HTML pages, see ``functions.sql.HtmlTables``: nested tables on their own, spanning cells repeated."""
+    from lakeloom.functions.sql import HtmlTables
+
+    found = pages.select("doc_id", "page", "text").lateralJoin(HtmlTables(F.col("text").outer()))
+    return found.select("doc_id", "page", "ordinal", "header", "rows")
 
 
 def extract_provider_tables(documents: DataFrame) -> DataFrame:

@@ -74,9 +74,14 @@ def extract_row_values(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.extract_row_values(t, "tong tai san").select("doc_id", F.get("row_values", F.lit(0))["value"].alias("newest"))
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS has_metric FROM documents")
+@query("""SELECT doc_id, contains(f, 'tong tai san') OR contains(f, 'total assets') AS has_metric FROM (SELECT doc_id, lower(strip_accents(replace(replace(replace(left(t, length(t) // 2) || CASE doc_id % 4 WHEN 0 THEN ' TỔNG tài sản ' WHEN 1 THEN ' Total Assets: 5 ' WHEN 2 THEN ' tong  tai san ' ELSE '' END || substr(t, length(t) // 2 + 1), 'đ', 'd'), 'Đ', 'D'), 'ß', 'ss'))) AS f
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
 def table_has_metric(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 2 == 0, "Lãi: TOTAL ASSETS 5").otherwise("none")
+    """Whole texts with the metric's names, and one that is not quite a name, put into their middle."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    put = F.when(k == 0, " TỔNG tài sản ").when(k == 1, " Total Assets: 5 ").when(k == 2, " tong  tai san ").otherwise("")
+    half = F.floor(F.length(t) / 2).cast("int")
+    text = F.concat(F.substring(t, F.lit(1), half), put, F.substring(t, half + 1, F.length(t)))
     return views.table(spark, d, "documents").select("doc_id", retrieval.table_has_metric(text, "tong tai san").alias("has_metric"))
 
 

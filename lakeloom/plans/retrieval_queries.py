@@ -210,16 +210,25 @@ def select_amounts(spark: SparkSession, d: str) -> DataFrame:
     return r.select_amounts(contexts).select("question_id", "metric", "key", "value")
 
 
-@query("SELECT doc_id AS question_id, doc_id % 3 <> 1 AS has_evidence FROM documents")
+#: Paragraphs of all documents as contexts of their document's question, with what is looked for put in by position.
+_FOLD = "lower(strip_accents(replace(replace(replace({0}, 'đ', 'd'), 'Đ', 'D'), 'ß', 'ss')))"
+views.SQL["v_contexts"] = f"""SELECT doc_id AS question_id, ordinal, CASE doc_id % 3 WHEN 0 THEN 'unit' WHEN 1 THEN 'method' ELSE 'generic' END AS focus, {_FOLD.format("content")} AS f FROM (
+    SELECT *, text || CASE (doc_id + ordinal) % 11 WHEN 0 THEN '. Không thấy có vấn đề gì' WHEN 3 THEN ' (Đơn vị tính: đồng)' WHEN 7 THEN ', theo PHƯƠNG PHÁP đường thẳng' ELSE '' END AS content FROM v_sections)"""
+
+
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    n, k = F.col("doc_id"), (F.col("doc_id") + F.col("ordinal")) % 11
+    put = F.when(k == 0, ". Không thấy có vấn đề gì").when(k == 3, " (Đơn vị tính: đồng)").when(k == 7, ", theo PHƯƠNG PHÁP đường thẳng").otherwise("")
+    focus = F.when(n % 3 == 0, "unit").when(n % 3 == 1, "method").otherwise("generic")
+    none = [F.lit(None).cast("string").alias(x) for x in ("window_text", "focus_row_text", "raw_content")]
+    return views.sections(spark, d).select(n.alias("question_id"), "ordinal", F.col("ordinal").alias("page"), F.lit("r").alias("retrieval_id"), focus.alias("focus"), F.lit("text").alias("chunk_type"), F.concat("text", put).alias("content_for_embedding"), *none)
+
+
+@query("SELECT question_id, bool_or(CASE focus WHEN 'unit' THEN contains(f, 'don vi') WHEN 'method' THEN contains(f, 'phuong phap') ELSE true END) AS has_evidence FROM v_contexts GROUP BY 1")
 def focus_evidence_check(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("doc_id") % 3
-    c = views.table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.when(n == 2, "generic").otherwise("unit").alias("focus"), F.lit("text").alias("chunk_type"), F.when(n == 0, "Đơn vị tính").otherwise("x").alias("content_for_embedding"), *(F.lit(None).cast("string").alias(x) for x in ("window_text", "focus_row_text", "raw_content")))
-    return r.focus_evidence(c)
+    return r.focus_evidence(paragraphs(spark, d))
 
 
-@query("SELECT doc_id AS question_id, 2 AS page FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT question_id, min(ordinal)::INTEGER AS page FROM v_contexts WHERE contains(f, 'khong thay co van de gi') GROUP BY 1")
 def opinion_evidence(spark: SparkSession, d: str) -> DataFrame:
-    x = views.table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("page"))
-    says = (F.col("question_id") % 2 == 0) & (F.col("page") >= 2)
-    c = x.select("question_id", "page", F.col("page").alias("ordinal"), F.lit("r").alias("retrieval_id"), F.lit("text").alias("chunk_type"), F.when(says, "Không thấy có vấn đề gì").otherwise("x").alias("content_for_embedding"), *(F.lit(None).cast("string").alias(y) for y in ("window_text", "focus_row_text", "raw_content")))
-    return r.opinion_evidence(c).select("question_id", "page")
+    return r.opinion_evidence(paragraphs(spark, d)).select("question_id", "page")

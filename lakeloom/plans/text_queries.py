@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom import views
 from lakeloom.functions import text as t
+from lakeloom.functions.sql import register as register_functions
 from lakeloom.views import with_views
 
 QUERIES = {}
@@ -201,3 +202,12 @@ def fix_mojibake(spark: SparkSession, d: str) -> DataFrame:
     docs = views.table(spark, d, "documents").filter(F.col("lang").isin("fr", "es") & F.rlike("text", F.lit(r"^[\x00-ÿ]*$")))
     spoiled = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return docs.select("doc_id", F.md5(t.fix_mojibake(spoiled)).alias("fixed"))
+
+
+@query("""SELECT doc_id, (w - 1)::INTEGER AS part, md5(array_to_string(words[(w - 1) * 448 + 1 : (w - 1) * 448 + 512], ' ')) AS digest, strip_accents(replace(lower(source), 'đ', 'd')) AS origin FROM (
+    SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS words FROM documents), unnest(range(1, 2 + CASE WHEN len(words) <= 512 THEN 0 ELSE ceil((len(words) - 512) / 448.0)::BIGINT END)) t(w) WHERE len(words) > 0""")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered functions from SQL: windows of words by a table function, a folded column by a scalar one."""
+    register_functions(spark)
+    views.table(spark, d, "documents").createOrReplaceTempView("lakeloom_documents")
+    return spark.sql("SELECT doc_id, part, md5(c.text) AS digest, norm_free(source) AS origin FROM lakeloom_documents d, LATERAL chunk_text(d.text, 512, 64) c")

@@ -108,6 +108,41 @@ def test_html_metric_table(spark):
     assert [(c["key"], c["value"]) for c in cell] == [("30.6.2025", "8.080.817"), ("31.12.2024", "7.1")]
 
 
+def html_tables(spark, html):
+    pages = spark.createDataFrame([("d", 1, html), ("e", 1, None), ("f", 1, "no < table")], "doc_id string, page int, text string")
+    return [(r["ordinal"], r["header"], r["rows"]) for r in o.extract_html_tables(pages).orderBy("doc_id", "ordinal").collect()]
+
+
+def test_nested_and_spanning_tables(spark):
+    inner = "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td><td>s &amp; t</td></tr></table>"
+    got = html_tables(spark, f"<table><tr><td>a</td><td>b{inner}c</td></tr><tr><td>d</td><td>e</td></tr></table><TABLE><tr><td>1<td>2<tr><td>3<td>4")
+    assert got == [(0, ["a", "b c"], [["d", "e"]]), (1, ["p", "q"], [["r", "s & t"]]), (2, ["1", "2"], [["3", "4"]])]
+    got = html_tables(spark, "<table><tr><th rowspan=2>k</th><th colspan='2'>both</th></tr><tr><th>x</th><th>y</th></tr><tr><td rowspan=9>m</td><td colspan=0>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table>")
+    assert got == [(0, ["k", "both", "both"], [["k", "x", "y"], ["m", "1", "2"], ["m", "3", "4"]])]
+    assert html_tables(spark, "<table><tr><td>only</td></tr></table><table><tr><td>x</td><td>y</td></tr></table>") == []
+    got = html_tables(spark, "<table><thead><tr><th></th><th></th><th>Thuyết minh</th><th colspan=2>Kỳ sáu tháng</th></tr><tr><th></th><th></th><th></th><th>30.6.2025 Triệu VND</th><th>30.6.2024 Triệu VND</th></tr></thead><tbody><tr><td>XIII</td><td>Lợi nhuận sau thuế</td><td></td><td>8.080.817</td><td>8.004.714</td></tr></tbody></table>")
+    table = spark.createDataFrame([("d", [got[0][1], *got[0][2]])], "doc_id string, lines array<array<string>>")
+    cell = retrieval.extract_row_values(table, "loi nhuan sau thue").select("row_values").first()["row_values"]
+    assert [(c["key"], c["value"]) for c in cell] == [("30.6.2025 Triệu VND", "8.080.817"), ("30.6.2024 Triệu VND", "8.004.714")]
+
+
+def test_functions_from_sql(spark):
+    from lakeloom.functions import sql
+    from lakeloom.functions import text as t
+
+    sql.register(spark)
+    some = ["Đường Hòa Phát", "ÉÀ ñ", "", None, "İstanbul ß", "e\u0301"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "id int, x string")
+    df.createOrReplaceTempView("t_some")
+    want = {r["id"]: r["y"] for r in df.select("id", t.norm_free(F.col("x")).alias("y")).collect()}
+    assert {r["id"]: r["y"] for r in spark.sql("SELECT id, norm_free(x) AS y FROM t_some").collect()} == want
+    words = spark.createDataFrame([(n, " \n".join(f"w{i}" for i in range(n))) for n in (0, 1, 5, 6, 7, 11, 12)], "doc_id int, text string")
+    words.createOrReplaceTempView("t_words")
+    want = sorted((r["doc_id"], r["part"], r["text"]) for r in o.chunk_text(words, 5, 2).collect())
+    assert sorted(tuple(r) for r in spark.sql("SELECT doc_id, part, c.text FROM t_words d, LATERAL chunk_text(d.text, 5, 2) c").collect()) == want
+    assert spark.sql("SELECT * FROM html_tables('<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>')").first()["header"] == ["a", "b"]
+
+
 def test_rerank_prefers_the_exact_metric_row(spark):
     rows = [
         (1, "Tổng tài sản của ACB là bao nhiêu?", 1, "table_row", "Bảng cân đối kế toán", "I. Tổng tài sản", "Tổng tài sản | 911.617.856", 0.5),
