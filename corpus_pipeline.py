@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near copies, linked by a five-word similarity of 0.8 or more, one row: that of the smallest
     doc_id, by hash among rows of it and among rows without an id. Rows of null or repeated id are told apart by content."""
     node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    row = F.xxhash64(*(x for c in DOCUMENTS for x in (F.col(c).isNull(), F.col(c))))  # a null alone leaves the hash as it is
+    values = [x for c in DOCUMENTS for x in (F.col(c).isNull(), F.col(c))]  # a null alone leaves the hash as it is
+    row = F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))  # 128 bits: no two rows in 10^10 share it
     roots = near_copies.near_copies(docs)
     rows = docs.select("doc_id", node.alias("node"), row.alias("row")).join(roots, "node", "left")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
