@@ -230,9 +230,8 @@ def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
-    """First lines of all documents as titles, over the whole corpus; difflib has no SQL form, tests compare all pairs."""
-    a = views.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"))
-    return n.near_duplicate_titles(a)
+    """Titles of all pages, over the whole corpus; difflib has no SQL form, tests compare all pairs."""
+    return n.near_duplicate_titles(views.hits(spark, d).select(F.col("position").alias("article_id"), "title"))
 
 
 @query()

@@ -144,21 +144,21 @@ def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def rerank(spark: SparkSession, d: str) -> DataFrame:
     q, c = prepared(spark, d)
-    ranked = chain.reranked(q, c, chain.candidates(q, c, label_index(c)))
+    ranked = chain.reranked(q, c, chain.candidates(q, c))
     return ranked.filter("rank <= 12").select("question_id", "rank", "retrieval_id", "focus", "rerank_score", "why")
 
 
 @query()
 def assemble_context(spark: SparkSession, d: str) -> DataFrame:
     q, c = prepared(spark, d)
-    return chain.contexts(chain.reranked(q, c, chain.candidates(q, c, label_index(c))), c)
+    return chain.contexts(chain.reranked(q, c, chain.candidates(q, c)), c)
 
 
 @query()
 def metric_rescue(spark: SparkSession, d: str) -> DataFrame:
     """What the inverted index adds to the vector hits: candidates without a cosine."""
     q, c = prepared(spark, d)
-    return chain.candidates(q, c, label_index(c)).filter("rescued").drop("rescued")
+    return chain.candidates(q, c, written(label_index(c), "postings")).filter("rescued").drop("rescued")
 
 
 @query()

@@ -188,13 +188,13 @@ def test_alike_titles_equal_difflib_over_all_pairs(spark, monkeypatch, cell):
     assert news.near_duplicate_titles(articles.filter("false")).count() == 0
 
 
-def test_alike_titles_of_documents_equal_difflib(spark):
-    """All pairs of first lines of the smallest documents table."""
+def test_alike_titles_of_pages_equal_difflib(spark):
+    """All pairs of titles of the smallest table of pages."""
     from lakeloom.plans import news_queries as q
 
     sf = "/root/testdata/sf0.001"
     got = {(x["first"], x["second"]): x["ratio"] for x in q.near_duplicate_titles(spark, sf).collect()}
-    rows = q.views.table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"))
+    rows = q.views.hits(spark, sf).select(F.col("position").alias("article_id"), "title")
     first = sorted({(x["representative"], x["_title"]) for x in news.title_classes(rows).collect()})
     want = {}
     for k, (i, x) in enumerate(first):

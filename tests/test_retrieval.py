@@ -184,6 +184,8 @@ def test_chain_candidates_equal_brute_force(spark):
         texts[x["question_id"]].append(x["query"])
     index = chunk_index.postings(c, F.concat_ws(" ", "row_label", r.payload_text()))
     got, rescued = collections.defaultdict(dict), collections.defaultdict(set)
+    both = [{(x["question_id"], x["point_id"], x["cosine"], x["rescued"]) for x in chain.candidates(asked, c, i, k=5).collect()} for i in (index, None)]
+    assert both[0] == both[1]
     for x in chain.candidates(asked, c, index, k=5).collect():
         (rescued[x["question_id"]].add if x["rescued"] else got[x["question_id"]].__setitem__)(*((x["point_id"],) if x["rescued"] else (x["point_id"], x["cosine"])))
     for q_ in asked.collect():
