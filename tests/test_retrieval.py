@@ -218,3 +218,40 @@ def test_chain_ranks_and_assembles(spark):
         context[x["question_id"]].append((x["ordinal"], x["retrieval_id"]))
     assert {*context} == {*by} and all(1 <= len(v) <= 4 for v in context.values())
     assert sorted(context[1])[0][1] == by[1][0]["retrieval_id"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_meet_questions_where_they_are(spark):
+    """Chunks are made, embedded and searched without a shuffle of their own while the questions are small."""
+    tables = spark.createDataFrame([(1, "t1", ["a", "b"], [["x", "1"], ["y", "2"]])], "doc_id int, table_id string, header array<string>, rows array<array<string>>")
+    assert "Exchange" not in plan(documents.chunk_table(tables)) and "Window" not in plan(documents.chunk_table(tables))
+    c, a = q.chunks(spark, SF), q.question_vectors(spark, SF)
+    found = plan(r.vector_topk(a, c))
+    assert "CoGroups" not in found and "SortMergeJoin" not in found and found.count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize("name", ["rerank", "assemble_context", "metric_rescue"])
+def test_the_chain_writes_no_chunks(spark, monkeypatch, name):
+    made = []
+    for module in (q, chain, r):
+        monkeypatch.setattr(module, "written", lambda rows, what, own=module.written: made.append((what, rows.columns)) or own(rows, what))
+    q.QUERIES[name](spark, SF)
+    assert made and not {"chunks", "postings"} & {what for what, _ in made} and not any("content_for_embedding" in columns for what, columns in made if what not in ("ranked",))
+
+
+def test_hash_vectors_equal_one_by_one():
+    texts = ["", "a", "Tổng tài sản", "x" * 5000]
+    assert np.array_equal(documents.hash_vectors(texts), np.array([documents.hash_vector(x) for x in texts], np.float32))
+
+
+def test_vector_best_over_many_blocks(spark, monkeypatch):
+    """Blocks that come one after the other, and more questions than a task holds, give the same hits."""
+    rng = np.random.default_rng(4)
+    c = spark.createDataFrame([(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(500)], "point_id int, vector array<double>").coalesce(1)
+    a = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(20)], "question_id int, vector array<double>")
+    want = best(r.vector_topk(a, c).collect(), 12)
+    monkeypatch.setattr(r, "HELD", 3)
+    assert best(r.vector_topk(a, c, cell_chunks=7, cell_questions=2).collect(), 12) == want
