@@ -1,0 +1,45 @@
+"""Queries on tables like those of larger runs: repeated URLs, crowded partitions, and steps that must not be repeated."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from lakeloom.plans import all_queries
+from tests.test_oracles import plain
+
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = all_queries()
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """The given tables, with pages that share a URL and not a text."""
+    d = tmp_path_factory.mktemp("repeated")
+    for name in os.listdir(SF):
+        if name != "pages.parquet":
+            os.symlink(f"{SF}/{name}", d / name)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    n = pages.agg(F.max("page_id") + 1).first()[0]
+    again = pages.withColumns({"page_id": F.col("page_id") + 30 * n, "html": F.concat("html", F.lit("<p>again"))})
+    pages.unionByName(again).coalesce(1).write.parquet(str(d / "pages.parquet"))
+    return str(d)
+
+
+def same_as_sql(spark, d, name):
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t in os.listdir(d):
+        path = f"{d}/{t}/*.parquet" if os.path.isdir(f"{d}/{t}") else f"{d}/{t}"
+        c.execute(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{path}'")
+    df, rel = QUERIES[name](spark, d), c.sql(ORACLES[name])
+    columns = sorted(df.columns)
+    at = [rel.columns.index(x) for x in columns]
+    mine = sorted((tuple(plain(r[x]) for x in columns) for r in df.collect()), key=str)
+    return mine == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("name", ["article_content_store", "merge_hits", "rank_in_source", "select_top_hits"])
+def test_pages_that_share_a_url(spark, repeated, name):
+    assert same_as_sql(spark, repeated, name)
