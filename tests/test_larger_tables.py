@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.operators import documents
 from lakeloom.plans import all_queries
+from lakeloom.sources import tables
 from tests.test_oracles import plain
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,34 @@ def same_as_sql(spark, d, name):
 @pytest.mark.parametrize("name", ["article_content_store", "merge_hits", "rank_in_source", "select_top_hits"])
 def test_pages_that_share_a_url(spark, repeated, name):
     assert same_as_sql(spark, repeated, name)
+
+
+def plan(df, which="optimizedPlan"):
+    return str(getattr(df._jdf.queryExecution(), which)())
+
+
+def test_markdown_tables_are_read_where_they_are(spark):
+    pages = spark.createDataFrame([(1, 1, "# A\n| a | b |\n|---|---|\n| 1 | 2 |\n# B | c\n| a | b |\n---\n| 3 | 4 |\n"), (2, 1, "| a | b |"), (3, 1, None)], "doc_id int, page int, text string")
+    df = documents.extract_markdown_tables(pages)
+    assert "Exchange" not in plan(df, "executedPlan") and "Window" not in plan(df)
+    got = [(r["ordinal"], r["section_title"], r["header"], r["rows"]) for r in df.orderBy("ordinal").collect()]
+    assert got == [(1, "B | c", ["a", "b"], [["1", "2"], ["# B", "c"]]), (2, "B | c", ["a", "b"], [])]
+
+
+def test_a_large_chunk_set_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("content_for_embedding"), F.lit(2025).alias("fiscal_year"), F.lit("A").alias("ticker"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        tables.write_chunks(rows, str(tmp_path / "c"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "c" / "fiscal_year=2025" / "ticker=A").glob("*.parquet"))) > 1
+    assert tables.read_chunks(spark, str(tmp_path / "c")).count() == 40_000
+
+
+def test_messages_are_parsed_once(spark):
+    job = '"ticker": "f", "period": "Q", "report_type": "x", "report_family": "x", "source": "x", "source_url": "x", "fiscal_year": '
+    some = [f'{{"doc_id": "1", {job}2025}}', f'{{"doc_id": 3, "x": {{"doc_id": "n"}}, {job}2025}}', f'{{"doc_id": "2", {job}2025.0}}', "{", None]
+    good, bad = documents.validate_jobs(spark.createDataFrame([(x,) for x in some], "value string"), "download")
+    assert [r["doc_id"] for r in good.collect()] == ["1"] and bad.count() == 4
+    assert all(plan(df).lower().count("parse") == 1 for df in (good, bad))
