@@ -255,3 +255,16 @@ def test_vector_best_over_many_blocks(spark, monkeypatch):
     want = best(r.vector_topk(a, c).collect(), 12)
     monkeypatch.setattr(r, "HELD", 3)
     assert best(r.vector_topk(a, c, cell_chunks=7, cell_questions=2).collect(), 12) == want
+
+
+@pytest.mark.parametrize("k", [48, 3])
+def test_coverage_by_kinds_of_chunks_equals_postings(spark, monkeypatch, k):
+    """The same hits, and no rows of a word and a chunk are written."""
+    questions = [(1, "Tổng tài sản năm nay", None, None), (2, "lợi nhuận sau thuế quý", "A", None), (3, "khách hàng vay", "B", 2025), (4, "zz yy", None, None), (5, " ".join(WORDS), None, 2024), (7, "an", None, None), (8, None, "A", None), (9, "tổng doanh thu zz", "none", None)]
+    asked = spark.createDataFrame(questions, "question_id int, question string, ticker string, year int")
+    want = {tuple(x) for x in chunk_index.coverage_topk(asked, word_index(spark), k).collect()}
+    made, own = {}, chunk_index.written
+    monkeypatch.setattr(chunk_index, "written", lambda rows, what: made.setdefault(what, own(rows, what)))
+    rows = spark.createDataFrame(word_chunks(), "point_id int, text string, ticker string, year int")
+    assert {tuple(x) for x in chunk_index.coverage_by_words(asked, rows, F.col("text"), k).collect()} == want and want
+    assert "lists" not in made and made["kinds"].groupBy("_key", "_kind").count().agg(F.max("count")).first()[0] <= k
