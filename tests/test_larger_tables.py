@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import documents
+from lakeloom.operators import documents, news
 from lakeloom.plans import all_queries
 from lakeloom.sources import tables
 from tests.test_oracles import plain
@@ -76,3 +76,10 @@ def test_messages_are_parsed_once(spark):
     good, bad = documents.validate_jobs(spark.createDataFrame([(x,) for x in some], "value string"), "download")
     assert [r["doc_id"] for r in good.collect()] == ["1"] and bad.count() == 4
     assert all(plan(df).lower().count("parse") == 1 for df in (good, bad))
+
+
+def test_pairs_work_signatures_out_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, ["aa1", "bb1"]), (1, 2, ["aa1", "bb1"]), (1, 3, ["bb1", "cc1"])], "query_id int, article_id int, signature array<string>")
+    made = []
+    monkeypatch.setattr(news, "written", lambda rows, what, own=news.written: made.append(what) or own(rows, what))
+    assert [tuple(r) for r in news.near_duplicate_pairs(rows).collect()] == [(1, 1, 2, 1.0)] and made == ["signatures"]
