@@ -296,3 +296,12 @@ def test_embedder_is_deterministic(spark):
     assert got[1] == got[2] and sum(x * x for x in got[3]) == pytest.approx(1, rel=1e-5)
     with pytest.raises(Exception, match="lost texts"):
         o.embed_chunks(df, "id", "text", lambda: lambda xs: []).collect()
+
+
+def test_order_lines_are_shuffled_as_numbers(spark):
+    """The cells of order tables are made after the shuffle, so that it holds no texts."""
+    from lakeloom.plans.document_queries import doc_tables
+
+    plan = doc_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("collect_list") :]
+    assert "cast(" not in below and "RepartitionByExpression" in doc_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
