@@ -305,3 +305,17 @@ def test_order_lines_are_shuffled_as_numbers(spark):
     plan = doc_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     below = plan[plan.index("collect_list") :]
     assert "cast(" not in below and "RepartitionByExpression" in doc_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_html_is_read_as_by_the_parser(monkeypatch):
+    """Texts cut at plain tags give what HTMLParser gives, and pages of plain tables never reach it."""
+    from lakeloom.functions import sql
+
+    plain = "x<table border=1><tr><th class='x'>a</th><th>b </th></tr>\n<TR ><td>1 > 0<td id=\"k\">2<b>3</b></td></tr></table><p>y"
+    texts = [plain, plain * 2, plain[:-20], "<table><tr><td>" + plain + "<td>q<tr><td>r<td>s</table>", plain + "<", plain.replace("1 >", "1 &lt;"), plain.replace("<b>", "<b/>"), plain.replace("id=", "colspan="), "<!-- " + plain + " -->", "<script>" + plain + "</script>", plain + "<title>" + plain, "<td>a</td></table>" + plain, "a < b" + plain, plain.replace("<p>", "<p a=b/>")]
+    quick = [list(sql.html_tables(x)) for x in texts]
+    fed = []
+    monkeypatch.setattr(sql._Reader, "feed", lambda self, text, f=sql._Reader.feed: (fed.append(text), f(self, text)) and None)
+    assert list(sql.html_tables(plain)) == [(0, ["a", "b"], [["1 > 0", "2 3"]])] and not fed
+    monkeypatch.setattr(sql, "_plain", lambda text: None)
+    assert quick == [list(sql.html_tables(x)) for x in texts] and len(fed) == len(texts)
