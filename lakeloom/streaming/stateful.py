@@ -183,23 +183,33 @@ def ema_from(x: np.ndarray, span: int, y: float, weight: float) -> tuple[np.ndar
     return factor * y + offset, weights
 
 
+#: Calls over which the tickers of ``macd_from`` are dealt by hash, at most.
+CALLS = 4096
+
+
 def macd_from(rows: DataFrame, state: DataFrame) -> DataFrame:
     """macd and macd_signal of new rows (ticker, trading_date, price) that all come after their ticker's state; each row has
-    the state after it, so the last one of a ticker is its next state."""
+    the state after it, so the last one of a ticker is its next state. A call takes many tickers, one after the other."""
+    names = [f"{k}{i}" for i in range(3) for k in "yw"]
 
     def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        new = new.sort_values("trading_date")
-        y = [float(old[f"y{i}"].iloc[0]) if len(old) else np.nan for i in range(3)]
-        w = [float(old[f"w{i}"].iloc[0]) if len(old) else 1.0 for i in range(3)]
-        price = new["price"].to_numpy(float)
-        fast, slow = ema_from(price, SPANS[0], y[0], w[0]), ema_from(price, SPANS[1], y[1], w[1])
-        macd = fast[0] - slow[0]
-        signal = ema_from(macd, SPANS[2], y[2], w[2])
-        out = pd.DataFrame({"ticker": new["ticker"], "trading_date": new["trading_date"], "macd": macd, "macd_signal": signal[0]})
-        return out.assign(**{f"{k}{i}": v for i, x in enumerate((fast, slow, signal)) for k, v in zip("yw", x, strict=True)})
+        new = new.sort_values(["ticker", "trading_date"])
+        known = dict(zip(old["ticker"], old[names].to_numpy(float), strict=True))
+        tickers, prices = new["ticker"].to_numpy(), new["price"].to_numpy(float)
+        ends = np.append(np.flatnonzero(tickers[1:] != tickers[:-1]) + 1, len(new)) if len(new) else np.zeros(0, int)
+        out, lo = np.zeros((len(new), 8)), 0
+        for hi in ends.tolist():
+            y0, w0, y1, w1, y2, w2 = known.get(tickers[lo], (np.nan, 1.0) * 3)
+            fast, slow = ema_from(prices[lo:hi], SPANS[0], y0, w0), ema_from(prices[lo:hi], SPANS[1], y1, w1)
+            macd = fast[0] - slow[0]
+            signal = ema_from(macd, SPANS[2], y2, w2)
+            out[lo:hi] = np.stack([macd, signal[0], *fast, *slow, *signal], 1)
+            lo = hi
+        return pd.DataFrame({"ticker": new["ticker"], "trading_date": new["trading_date"]}).assign(**dict(zip(["macd", "macd_signal", *names], out.T, strict=True)))
 
     kind = f"ticker string, trading_date date, macd double, macd_signal double, {STATE.split(', ', 2)[2]}"
-    return rows.select("ticker", "trading_date", "price").groupBy("ticker").cogroup(state.groupBy("ticker")).applyInPandas(lambda a, b: run(a, b) if len(a) else pd.DataFrame(columns=[c.split()[0] for c in kind.split(", ")]), kind)
+    part = F.pmod(F.xxhash64("ticker"), F.lit(CALLS))
+    return rows.select("ticker", "trading_date", "price").groupBy(part).cogroup(state.groupBy(part)).applyInPandas(run, kind)
 
 
 def stream_eod(daily: DataFrame, symbols: DataFrame, raw_path: str, feature_path: str, checkpoint: str, intraday_path: str | None = None) -> None:

@@ -121,3 +121,19 @@ def test_percentiles_of_merged_sketches(spark):
     for p in (50, 95, 99):
         assert abs(np.mean(value <= r[f"p{p}"]) - p / 100) < 0.02
     assert st.percentiles(sketches.filter("false"), ["agent"]).count() == 0
+
+
+def test_means_of_many_tickers_in_one_call(spark, monkeypatch):
+    """Tickers that share a call have the exponential means that each has alone, from its own state."""
+    monkeypatch.setattr(st, "CALLS", 1)
+    rows = [(f"T{i}", datetime.date(2024, 1, 1 + k), float(10 + (i * 7 + k * k) % 5) if (i + k) % 4 else None) for i in range(6) for k in range(8)]
+    state = [(f"T{i}", datetime.date(2023, 12, 31), 10.0 + i, 1.0, 11.0, 0.5, 0.25, 1.0) for i in range(0, 6, 2)]
+    out = st.macd_from(spark.createDataFrame(rows, "ticker string, trading_date date, price double"), spark.createDataFrame(state, st.STATE))
+    assert out.rdd.glom().map(len).filter(bool).count() == 1
+    got = out.toPandas().sort_values(["ticker", "trading_date"])
+    for i in range(6):
+        x = np.array([np.nan if p is None else p for t, _, p in rows if t == f"T{i}"])
+        y = (10.0 + i, 1.0, 11.0, 0.5, 0.25, 1.0) if i % 2 == 0 else (np.nan, 1.0) * 3
+        macd = st.ema_from(x, 12, *y[:2])[0] - st.ema_from(x, 26, *y[2:4])[0]
+        own = got[got["ticker"] == f"T{i}"]
+        assert np.array_equal(own["macd"], macd, equal_nan=True) and np.array_equal(own["macd_signal"], st.ema_from(macd, 9, *y[4:])[0], equal_nan=True)
