@@ -1,6 +1,8 @@
 """Queries on tables like those of larger runs: repeated URLs, crowded partitions, and steps that must not be repeated."""
 
 import os
+import random
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -83,3 +85,17 @@ def test_pairs_work_signatures_out_once(spark, monkeypatch):
     made = []
     monkeypatch.setattr(news, "written", lambda rows, what, own=news.written: made.append(what) or own(rows, what))
     assert [tuple(r) for r in news.near_duplicate_pairs(rows).collect()] == [(1, 1, 2, 1.0)] and made == ["signatures"]
+
+
+def test_alike_titles_are_found_whatever_their_trigrams(spark):
+    """Titles with letters changed all over share few trigrams; some of these are longer than a word of bits."""
+    rng = random.Random(7)
+    titles = []
+    for i in range(80):
+        x = [rng.choice("abcdefghijklm") for _ in range((50, 51, 64, 65, 100, 210)[i % 6])]
+        y = [rng.choice("nopqrstuvwxyz") if k % 7 == 3 else c for k, c in enumerate(x)]
+        titles += ["".join(x), "".join(y)]
+    rows = list(enumerate(titles))
+    want = {(i, j): round(r, 6) for i, x in rows for j, y in rows[i + 1 :] if (r := SequenceMatcher(None, y, x).ratio()) >= news.TITLE_RATIO}
+    got = news.near_duplicate_titles(spark.createDataFrame(rows, "article_id int, title string")).collect()
+    assert {(x["first"], x["second"]): x["ratio"] for x in got} == want and len(got) == len(want) > 60
