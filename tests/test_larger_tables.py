@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import documents, news
+from lakeloom.operators import documents, news, retrieval
 from lakeloom.plans import all_queries
 from lakeloom.sources import tables
 from tests.test_oracles import plain
@@ -99,3 +99,19 @@ def test_alike_titles_are_found_whatever_their_trigrams(spark):
     want = {(i, j): round(r, 6) for i, x in rows for j, y in rows[i + 1 :] if (r := SequenceMatcher(None, y, x).ratio()) >= news.TITLE_RATIO}
     got = news.near_duplicate_titles(spark.createDataFrame(rows, "article_id int, title string")).collect()
     assert {(x["first"], x["second"]): x["ratio"] for x in got} == want and len(got) == len(want) > 60
+
+
+def test_links_within_a_document_are_looked_up_in_place(spark):
+    rng = random.Random(5)
+    kinds = "doc_id int, chunk_type string, retrieval_id string, linked_id string, parent_table_id string, source_ids array<string>"
+    rows = []
+    for d in (*range(12), None):
+        ids = [f"r{d}-{i}" for i in range(rng.randrange(1, 9))]
+        pick = lambda: rng.choice([*ids, f"t{d}", f"u{d}", None, "gone"])  # noqa: E731, B023
+        for x in (*ids, ids[0], None):
+            rows.append((d, rng.choice(["table_full", "table_row"]), x, pick(), pick(), rng.choice([None, [], [f"t{d}"], [f"u{d}", f"t{d}"]])))
+    c = spark.createDataFrame(rows, kinds)
+    same = lambda df: sorted((tuple(r[x] for x in (*c.columns, "parent_id")) for r in df.collect()), key=repr)
+    got = same(retrieval.linked_within(c, ("doc_id",)))
+    assert got == same(retrieval.linked_chunks(c, c)) and len(got) == len(rows)
+    assert plan(QUERIES["linked_chunk_lookup"](spark, SF), "executedPlan").count("Exchange hashpartitioning") == 1
