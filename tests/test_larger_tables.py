@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom.functions import text
 from lakeloom.operators import documents, news, retrieval
 from lakeloom.plans import all_queries
 from lakeloom.sources import tables
@@ -115,3 +116,13 @@ def test_links_within_a_document_are_looked_up_in_place(spark):
     got = same(retrieval.linked_within(c, ("doc_id",)))
     assert got == same(retrieval.linked_chunks(c, c)) and len(got) == len(rows)
     assert plan(QUERIES["linked_chunk_lookup"](spark, SF), "executedPlan").count("Exchange hashpartitioning") == 1
+
+
+def test_signatures_of_candidates_are_counted_in_their_rows(spark):
+    rng = random.Random(3)
+    texts = ["", "a b", "Tin tin news the", *(" ".join(rng.choice("Hòa phát thép thÉp quý lãi loi nhuan abc abd abe abf abg price x1y".split()) for _ in range(rng.randrange(1, 60))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "article_id int, summary string").withColumns({"title": F.lit(""), "snippet": F.lit(None).cast("string")})
+    want = {r["article_id"]: r["signature"] for r in news.topic_signature(rows).collect()}
+    got = rows.select("article_id", news.signature_of(text.norm_free(F.col("summary"))).alias("s")).collect()
+    assert {r["article_id"]: r["s"] for r in got if r["s"]} == want and len(got) == len(texts) and len(want) == len(texts) - 2
+    assert plan(QUERIES["select_diverse_topk"](spark, SF), "executedPlan").count("Exchange") == 1
