@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lakeloom import views
 from lakeloom.operators import chunk_index, documents
 from lakeloom.operators import retrieval as r
 from lakeloom.operators import retrieval_chain as chain
@@ -242,6 +243,14 @@ def test_the_chain_writes_no_chunks(spark, monkeypatch, name):
     assert made and not {"chunks", "postings"} & {what for what, _ in made} and not any("content_for_embedding" in columns for what, columns in made if what not in ("ranked",))
 
 
+def test_every_question_is_asked(spark):
+    """The queries read all conversations; what is rescued belongs to all questions that name a metric and a known report."""
+    ids = {x["question_id"] for x in views.questions(spark, SF).select("question_id").collect()}
+    assert {x["question_id"] for x in q.asked(spark, SF).collect()} == ids and len(ids) == 48
+    named = {i for i in ids if i // 100 % len(views.QUESTION_FORMS) in (3, 7)}
+    assert {x["question_id"] for x in q.metric_rescue(spark, SF).select("question_id").distinct().collect()} == named and len(named) > 5
+
+
 def test_hash_vectors_equal_one_by_one():
     texts = ["", "a", "Tổng tài sản", "x" * 5000]
     assert np.array_equal(documents.hash_vectors(texts), np.array([documents.hash_vector(x) for x in texts], np.float32))
