@@ -277,3 +277,27 @@ def test_coverage_by_kinds_of_chunks_equals_postings(spark, monkeypatch, k):
     rows = spark.createDataFrame(word_chunks(), "point_id int, text string, ticker string, year int")
     assert {tuple(x) for x in chunk_index.coverage_by_words(asked, rows, F.col("text"), k).collect()} == want and want
     assert "lists" not in made and made["kinds"].groupBy("_key", "_kind").count().agg(F.max("count")).first()[0] <= k
+
+
+def test_python_and_the_jvm_cut_texts_alike(spark):
+    """All characters that are not left to the JVM, each between letters, as words; the others are left to it."""
+    other = spark.createDataFrame([(f"a{chr(i)}b",) for i in (0x250, 0x300, 0x3A3, 0x1DFF, 0x1F00, 0xFFFD, 0x10000, 0x10FFFF)], "t string")
+    assert other.filter(chunk_index.cut_text(F.col("t"))["done"]).count() == 8
+    some = [chr(i) for i in (*range(1, 0x250), *range(0x1E00, 0x1F00))]
+    rows = spark.createDataFrame([(f"aB{x}cd {x}E{x} {x}{x}",) for x in some], "t string")
+    for x in rows.select("t", chunk_index.words_of(F.col("t")).alias("w"), chunk_index.cut_text(F.col("t")).alias("cut")).collect():
+        pieces = re.split("[\x00-/:-@\\[-^`{-\x7f]+", x["t"])
+        assert {w for p in pieces for w in chunk_index._words_in(p)} == {*x["w"]} and x["cut"] == (False, x["t"]), x["t"]
+
+
+def test_kinds_of_chunks_in_small_steps(spark, monkeypatch):
+    """Texts with foreign letters and marks, words at the ends of texts, and tasks that tell what they hold early."""
+    texts = ["", "a", "28", "1283", "12 8", "2", "ΣΑΣ quý", "QUÝ…28", "thép đồng", "x_y", "e\u0301t\u00e9", "dong", "…", None, "28\n28|quy", "ﬁn", "fin٣٣", "DỒNG-28"] * 9
+    rows = spark.createDataFrame([(i * 7 % 1000, x, ["A", "B", None][i % 3]) for i, x in enumerate(texts)], "point_id int, text string, ticker string").coalesce(1)
+    questions = [(1, "28 quý đồng", None), (2, "σας fi 83", "A"), (3, "été y_ 28", "B"), (4, "٣٣ quy", None), (5, "zz", "C"), (6, "28 quý đồng zz", None)]
+    asked = spark.createDataFrame(questions, "question_id int, question string, ticker string")
+    want = {tuple(x) for x in chunk_index.coverage_topk(asked, chunk_index.postings(rows, F.col("text")), 5).collect()}
+    assert len({x[0] for x in want}) == 5
+    for name, n in (("ROWS", 1 << 18), ("ROWS", 2), ("PIECES", 1)):
+        monkeypatch.setattr(chunk_index, name, n)
+        assert {tuple(x) for x in chunk_index.coverage_by_words(asked, rows, F.col("text"), 5).collect()} == want
