@@ -41,6 +41,8 @@ from lakeloom.llm.common import map_texts, written
 
 #: Characters of a block of documents; chunks asked for in one text; bytes of what a worker keeps of chunks.
 BLOCK, TOGETHER, KEPT = 1 << 22, 1024, 40 << 20
+#: Rows are megabytes, of which a Parquet writer would hold a hundred before it looks at their size, and a reader a row group.
+WRITER = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 #: A space that no token of either side crosses.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 SPACE = "▁"
@@ -257,7 +259,7 @@ def aligned_blocks(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataF
         if some:
             yield pd.DataFrame([tool.block(number, ids, no_ids, some)])
 
-    return written(map_texts(docs, run, ROW), "aligned")
+    return written(map_texts(docs, run, ROW), "aligned", **WRITER)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -276,21 +278,21 @@ def align(docs: DataFrame, a: str, b: str, block: int = BLOCK) -> DataFrame:
     back = each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best")))).alias("x"))
     back = back.select("block", F.col("x.n").alias("n"), F.col("x.best").alias("best"))  # of the pairs of a block, which is bounded
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                count, best = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (row.n, row.best))
-                links, codes = np.frombuffer(row.links, "<u4"), np.frombuffer(row.codes, f"<u{row.width}")
-                chunk_ends, doc_ends = np.frombuffer(row.chunk_ends, "<i8"), np.frombuffer(row.doc_ends, "<i8")
-                of_docs = []
-                for value in (best, count):
-                    run_links = np.concatenate([[0], np.cumsum(value[links])])
-                    of_chunk = np.diff(run_links[np.concatenate([[0], chunk_ends])])
-                    run_codes = np.concatenate([[0], np.cumsum(of_chunk[codes])])
-                    of_docs.append(np.diff(run_codes[np.concatenate([[0], doc_ends])]))
-                sums = np.frombuffer(row.sums, np.int64).reshape(-1, 4)
-                digests = [row.digests[i : i + 32].hex() if n else "" for i, n in zip(range(0, len(row.digests), 32), sums[:, 0].tolist(), strict=True)]
-                ids = pd.arrays.IntegerArray(np.array(row.doc_ids, np.int64), np.array(row.no_ids, bool))
-                yield pd.DataFrame({"doc_id": ids, "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3], "n_best": of_docs[0], "count_sum": of_docs[1], "groups_sha256": digests})
-
-    return blocks.drop("pairs", "held").join(back, "block", "left").mapInPandas(run, OUT)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        row = next(rows.itertuples(index=False))
+        count, best = (np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in (row.n, row.best))
+        links, codes = np.frombuffer(row.links, "<u4"), np.frombuffer(row.codes, f"<u{row.width}")
+        chunk_ends, doc_ends = np.frombuffer(row.chunk_ends, "<i8"), np.frombuffer(row.doc_ends, "<i8")
+        of_docs = []
+        for value in (best, count):
+            run_links = np.concatenate([[0], np.cumsum(value[links])])
+            of_chunk = np.diff(run_links[np.concatenate([[0], chunk_ends])])
+            run_codes = np.concatenate([[0], np.cumsum(of_chunk[codes])])
+            of_docs.append(np.diff(run_codes[np.concatenate([[0], doc_ends])]))
+        sums = np.frombuffer(row.sums, np.int64).reshape(-1, 4)
+        digests = [row.digests[i : i + 32].hex() if n else "" for i, n in zip(range(0, len(row.digests), 32), sums[:, 0].tolist(), strict=True)]
+        ids = pd.arrays.IntegerArray(np.array(row.doc_ids, np.int64), np.array(row.no_ids, bool))
+        return pd.DataFrame({"doc_id": ids, "n_a": sums[:, 0], "n_b": sums[:, 1], "n_groups": sums[:, 2], "n_links": sums[:, 3], "n_best": of_docs[0], "count_sum": of_docs[1], "groups_sha256": digests})
+
+    # a block is a group of its own, so that it alone is handed to Python, and not all those of a partition in one batch
+    return blocks.drop("pairs", "held").join(back, "block", "left").groupBy("block").applyInPandas(run, OUT)

@@ -69,11 +69,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write a table to the shared folder and read it again."""
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Cut lineage: write a table to the shared folder, with options of the writer, and read it again."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -165,3 +166,16 @@ def test_cuts_inside_characters():
     a, a_ends, b, b_ends = next(tool.ends(["漢"]))
     assert a_ends.tolist() == np.cumsum(tool.a_size[a]).tolist() and b_ends.tolist() == np.cumsum(tool.b_size[b]).tolist()
     assert len(a) > 1 and len(b) > 1
+
+
+def test_blocks_are_written_and_handed_on_a_few_at_a_time(spark, monkeypatch):
+    """Blocks are megabytes: row groups are closed by size and not after a hundred rows, and Python is given one block at a time."""
+    docs = spark.createDataFrame([(i, " ".join(str(i * j) for j in range(200))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "WRITER", alignment.WRITER | {"parquet.block.size": str(1 << 16)})
+    blocks = alignment.aligned_blocks(docs, BYTE, PIECE, 1000)
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("//", "/")) for f in blocks.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) > 25 and sum(f.metadata.num_row_groups for f in files) > 5
+    out = alignment.align(docs, BYTE, PIECE, 1000)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "MapInPandas" not in plan.replace("FlatMapGroupsInPandas", "")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in alignment.align(docs, BYTE, PIECE).collect())
