@@ -301,3 +301,18 @@ def test_kinds_of_chunks_in_small_steps(spark, monkeypatch):
     for name, n in (("ROWS", 1 << 18), ("ROWS", 2), ("PIECES", 1)):
         monkeypatch.setattr(chunk_index, name, n)
         assert {tuple(x) for x in chunk_index.coverage_by_words(asked, rows, F.col("text"), 5).collect()} == want
+
+
+@pytest.mark.parametrize("share", [32, 1, 1 << 40])
+def test_rescued_without_all_hits(spark, monkeypatch, share):
+    """As of all candidates, whatever is searched first, also where questions share an id; and few asks meet all chunks."""
+    c, asked = report(spark, 240)
+    more = [(i, f"{x} số {i}?") for i in range(5, 45) for x in ("Tổng tài sản của ACB năm 2025", "Lợi nhuận sau thuế", "Khách hàng nào")[i % 3 :][:1]] + [(5, "Lợi nhuận sau thuế FPT"), (6, "Đơn vị tính FPT?")]
+    asked = asked.unionByName(chain.with_filters(spark.createDataFrame(more, "question_id int, question string")))
+    want = {tuple(x) for x in chain.candidates(asked, c, k=5).filter("rescued").drop("rescued").collect()}
+    monkeypatch.setattr(chain, "SHARE", share)
+    met, own = [], r.vector_topk
+    monkeypatch.setattr(r, "vector_topk", lambda some, *a: met.append(some.count()) or own(some, *a))
+    got = [tuple(x) for x in chain.rescued(asked, c, k=5, limit=48).collect()]
+    assert {*got} == want and len(got) == len(want) > 500 and len(met) == 2
+    assert {x[0] for x in want} < {x[0] for x in chain.candidates(asked, c, k=5).select("question_id").collect()}
