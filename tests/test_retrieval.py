@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +317,19 @@ def test_rescued_without_all_hits(spark, monkeypatch, share):
     got = [tuple(x) for x in chain.rescued(asked, c, k=5, limit=48).collect()]
     assert {*got} == want and len(got) == len(want) > 500 and len(met) == 2
     assert {x[0] for x in want} < {x[0] for x in chain.candidates(asked, c, k=5).select("question_id").collect()}
+
+
+def test_products_of_a_block_are_read_once(monkeypatch):
+    """Vectors of zeros, chunks' or questions', and blocks of nothing else are no hits, and are not looked for among the products."""
+    rng = np.random.default_rng(8)
+    v, a = rng.normal(size=(60, 4)).astype(np.float32), rng.normal(size=(7, 4)).astype(np.float32)
+    v[::3], a[2] = 0, 0
+    asks = pa.StructArray.from_arrays([pa.array(range(7)), pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), 4)], ["question_id", "vector"])
+    best = r._Best(asks, 5)
+    monkeypatch.setattr(np, "isnan", lambda x: pytest.fail("a pass of its own"))
+    for some in (np.arange(0, 60, 3), np.arange(0, 25), np.arange(25, 60)):
+        best.meet(some, r._units_of(pa.array(v[some].ravel()), len(some)))
+    unit = lambda x: x / np.linalg.norm(x)
+    for i in range(7):
+        want = sorted((-round(float(unit(a[i].astype(float)) @ unit(v[j].astype(float))), 6), j) for j in range(60) if j % 3)[:5] if i != 2 else []
+        assert [(-c, p) for c, p in zip(best.cosines[best.i == i].tolist(), ([] if best.points is None else best.points[best.i == i]).tolist(), strict=True)] == want
